@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardmend.llm import media
+from shardmend.llm import media, mixing, packing
 from shardmend.llm.common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixture(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_media_columns": op10_media_columns}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
+    "op10_media_columns": op10_media_columns,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_packing": packing.ORACLE_SQL,
+    "op3_mixing": mixing.ORACLE_SQL,
+}
