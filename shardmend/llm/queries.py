@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardmend.llm import media, mixing, packing
+from shardmend.llm import media, mixing, neardup, packing
 from shardmend.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -24,10 +28,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op10_media_columns": op10_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_packing": packing.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
+    "op4_near_duplicates": neardup.ORACLE_SQL,
 }
