@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: texts may be long, and a batch is held in memory whole.
-BATCH_ROWS = 512
+#: Rows in an Arrow batch, which is held in memory whole; Spark also ends a batch at 64 MB.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
