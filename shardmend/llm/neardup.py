@@ -6,9 +6,9 @@ registers grow likelier with similarity. Equal sets become one class. Bands of r
 pair's similarity is estimated by maximum likelihood from its registers and set sizes, and pairs near the threshold or
 above it are verified on the full sets.
 
-No bucket is written out as pairs. First each member meets two leaders of its bucket only, best estimate first. What is
-then still in different components of one bucket is compared in blocks of registers, all against all, and only pairs
-whose estimate passes leave a block. Links inside a component cannot change the result and are skipped.
+No bucket is written out as pairs. First each member meets one or two leaders of its bucket only, best estimate first.
+What is then still in different components of one bucket is compared in blocks of registers, all against all, and
+verified there; only links leave a block. Links inside a component cannot change the result and are skipped.
 
 Null and empty texts have no shingles and are linked with nothing. A text with fewer words than a shingle is one
 shingle. Rows without doc_id are kept and linked with nothing. Rows that repeat a doc_id with the same text share one
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import LOWER, arrow_map, materialise, mix64, row_groups, shingle_hashes, strings, utf8, word_hashes
+from shardmend.llm.common import LOWER, arrow_map, materialise, mix64, row_groups, shingle_hashes, utf8, word_hashes
 
 M, BANDS, ROWS = 256, 42, 6
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
@@ -30,7 +30,7 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 PERCENT = 80
 #: Estimates this far below the threshold, four standard deviations of M registers, are not verified.
 SLACK = 0.1
-BLOCK = 512
+BLOCK, USUAL = 512, 400.0
 
 _RANDOM = mix64(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _FACTOR = (_RANDOM[:M] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -81,16 +81,22 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sketch, "doc_id long, n long, a long, b long, regs binary")
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """The bucket of each class in each band, from rows of registers."""
+    regs = regs.astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), BANDS)).copy()
+    for r in range(ROWS):
+        key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + regs[:, r : BANDS * ROWS : ROWS] + np.uint64(1))
+    return key.view(np.int64)
+
+
 def banded(classes: DataFrame) -> DataFrame:
     """(bucket, cid): a row for each band of a class."""
 
     def bands(batch: pa.RecordBatch) -> pa.RecordBatch:
-        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, M).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), BANDS)).copy()
-        for r in range(ROWS):
-            key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + regs[:, r : BANDS * ROWS : ROWS] + np.uint64(1))
+        key = band_keys(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, M))
         cid = np.repeat(batch.column("cid").to_numpy(), BANDS)
-        return pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(cid)], names=["bucket", "cid"])
+        return pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(cid)], names=["bucket", "cid"])
 
     return arrow_map(classes.select("cid", "regs"), bands, "bucket long, cid long")
 
@@ -126,27 +132,42 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(a, "x").join(b, "y").where(near).select("x", "y", "nx", "ny", "rx", "ry"), estimate, "x long, y long, est double")
 
 
-def shingle_set(text: str, k: int) -> set[bytes]:
-    words = text.encode().lower().split()  # bytes split on the same six white-space bytes, and lower A-Z alone
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(cid, members): all shingles of a text as sorted 64-bit hashes."""
+
+    def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, starts = utf8(batch.column("text"))
+        out = []
+        for i, j in row_groups(starts, 1 << 20):
+            h, row, _, _ = word_hashes(LOWER[data[starts[i] : starts[j]]], starts[i : j + 1] - starts[i])
+            h, row = shingle_hashes(h, row, j - i, k)
+            cut = np.searchsorted(row, np.arange(j - i + 1))
+            out += [np.unique(h[s:e]).tobytes() for s, e in zip(cut, cut[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(out, pa.binary())], names=["cid", "members"])
+
+    return arrow_map(docs, collect, "cid long, members binary")
+
 
+def is_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < PERCENT * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) that are links by their full sets."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok, last, kept = [], None, set()
-        for x, tx, ty in zip(batch.column("x").to_pylist(), strings(batch.column("tx")), strings(batch.column("ty")), strict=True):
-            if x != last:
-                last, kept = x, shingle_set(tx, k)
-            other = shingle_set(ty, k)
-            both = len(kept & other)
-            ok.append(100 * both >= PERCENT * (len(kept) + len(other) - both))
+        both = zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True)
+        ok = [is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both]
         return batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    full = pairs.select("x", "y").join(texts.select(F.col("cid").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("cid").alias("y"), F.col("text").alias("ty")), "y")
+    full = pairs.select("x", "y").join(sets.select(F.col("cid").alias("x"), F.col("members").alias("sx")), "x").join(sets.select(F.col("cid").alias("y"), F.col("members").alias("sy")), "y")
     return arrow_map(full, check, "x long, y long")
 
 
@@ -179,49 +200,53 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select(*pairs.columns)
 
 
-def rest_of_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x, y): pairs of one bucket but of different components whose estimate passes.
+def rest_of_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y): links between classes of one bucket but of different components, one for a class and a component.
 
-    A bucket is dealt into blocks: a component of many members has blocks of its own, small ones share blocks. Blocks
-    meet each other as matrices of registers; two blocks of one component are skipped.
+    A bucket is dealt into blocks of about BLOCK rows of usual length: a component of many members has blocks of its
+    own, small ones share blocks. Blocks meet each other as matrices of registers; two blocks of one component are
+    skipped. A pair whose estimate passes is verified in place, in the first bucket that it shares, and nothing else
+    leaves a block.
     """
     placed = members.join(labels.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "cid", "left").select("bucket", "cid", F.coalesce("comp", "cid").alias("comp"))
-    by_comp = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
+    placed = placed.join(classes.select("cid", F.greatest(F.lit(1.0), F.col("n") / USUAL).alias("weight")), "cid")
+    by_comp = placed.groupBy("bucket", "comp").agg(F.sum("weight").alias("in_comp"))
     buckets = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum(F.when(F.col("in_comp") < BLOCK, F.col("in_comp"))).alias("small")).where("comps > 1")
     sized = placed.join(by_comp, ["bucket", "comp"]).join(buckets, "bucket")
     large = F.col("in_comp") >= BLOCK
     parts = F.ceil(F.when(large, F.col("in_comp")).otherwise(F.col("small")) / BLOCK)
     name = F.concat_ws(":", F.when(large, F.col("comp")), F.pmod(F.xxhash64(F.when(large, F.col("cid")).otherwise(F.col("comp"))), parts))
-    rows = sized.select("bucket", name.alias("block"), F.when(large, F.col("comp")).alias("whole"), "cid", "comp").join(classes.select("cid", "n", "regs"), "cid")
-    blocks = materialise(rows.groupBy("bucket", "block").agg(F.first("whole").alias("whole"), F.collect_list(F.struct("cid", "comp", "n", "regs")).alias("rows")))
+    rows = sized.select("bucket", name.alias("block"), F.when(large, F.col("comp")).alias("whole"), "cid", "comp").join(classes.select("cid", "regs"), "cid").join(sets, "cid")
+    blocks = materialise(rows.groupBy("bucket", "block").agg(F.first("whole").alias("whole"), F.collect_list(F.struct("cid", "comp", "regs", "members")).alias("rows")))
     other = blocks.select("bucket", F.col("block").alias("block2"), F.col("whole").alias("whole2"), F.col("rows").alias("rows2"))
     met = blocks.join(other, "bucket").where((F.col("block") <= F.col("block2")) & (F.col("whole").isNull() | F.col("whole2").isNull() | (F.col("whole") != F.col("whole2"))))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in range(batch.num_rows):
+        out = []
+        for r, bucket in enumerate(batch.column("bucket").to_pylist()):
             sides = []
             for c in ("rows", "rows2"):
                 s = batch.column(c)[r].values
                 regs = np.frombuffer(b"".join(s.field("regs").to_pylist()), np.uint16).reshape(-1, M)
-                sides.append((s.field("cid").to_numpy(), s.field("comp").to_numpy(), s.field("n").to_numpy(), regs))
-            (cx, px, nx, rx), (cy, py, ny, ry) = sides
+                sides.append((s.field("cid").to_numpy(), s.field("comp").to_numpy(), regs, [np.frombuffer(m, np.uint64) for m in s.field("members").to_pylist()]))
+            (cx, px, rx, sx), (cy, py, ry, sy) = sides
+            own, keys = band_keys(rx), band_keys(ry)
+            ny = np.array([len(m) for m in sy])
             for i in range(len(cx)):
-                near = np.flatnonzero((py != px[i]) & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * PERCENT))
-                if not len(near):
-                    continue
-                same = (ry[near] == rx[i]).sum(axis=1)
-                near = near[same >= M * (PERCENT / 100 - 2 * SLACK)]
+                near = np.flatnonzero((py != px[i]) & (np.minimum(ny, len(sx[i])) * 100 >= np.maximum(ny, len(sx[i])) * PERCENT))
+                near = near[(ry[near] == rx[i]).sum(axis=1) >= M * (PERCENT / 100 - 2 * SLACK)]
+                near = near[keys[near, (keys[near] == own[i]).argmax(axis=1)] == bucket]
                 if not len(near):
                     continue
-                est = likely_similarity((rx[i] > ry[near]).sum(axis=1), (rx[i] < ry[near]).sum(axis=1), np.full(len(near), nx[i]), ny[near])
-                near = near[est >= PERCENT / 100 - SLACK]
-                out_x.append(np.minimum(cx[i], cy[near]))
-                out_y.append(np.maximum(cx[i], cy[near]))
-        xy = np.unique(np.stack([np.concatenate(out_x), np.concatenate(out_y)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+                est = likely_similarity((rx[i] > ry[near]).sum(axis=1), (rx[i] < ry[near]).sum(axis=1), np.full(len(near), len(sx[i])), ny[near])
+                linked: set[int] = set()
+                for j in near[np.argsort(-est)][: int((est >= PERCENT / 100 - SLACK).sum())].tolist():
+                    if py[j] not in linked and is_link(sx[i], sy[j]):
+                        linked.add(py[j])
+                        out.append((min(cx[i], cy[j]), max(cx[i], cy[j])))
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["x", "y"])
 
-    return arrow_map(met.select("rows", "rows2"), compare, "x long, y long").distinct()
+    return arrow_map(met.select("bucket", "rows", "rows2"), compare, "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
@@ -230,17 +255,18 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     key = ["n", "a", "b"]
     classes = materialise(found.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("cid"), F.first("regs").alias("regs")))
     bands = banded(classes)
-    draw = F.struct(F.xxhash64("bucket", "cid"), F.col("cid").alias("cid"))
-    leaders = bands.groupBy("bucket").agg(F.min("cid").alias("first"), F.min(draw)["cid"].alias("drawn"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    # Every bucket has its first class as a leader, and every fourth one more that is drawn by hash.
+    draw = F.min(F.when(F.pmod("bucket", F.lit(4)) == 0, F.struct(F.xxhash64("bucket", "cid"), F.col("cid").alias("cid"))))["cid"]
+    leaders = bands.groupBy("bucket").agg(F.min("cid").alias("first"), draw.alias("drawn"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     members = materialise(bands.join(leaders, "bucket"))
     pairs = members.select(F.explode(F.array("first", "drawn")).alias("x"), F.col("cid").alias("y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     passed = materialise(estimated(pairs, classes))
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members.select("cid").distinct(), "cid", "left_semi")
+    sets = materialise(full_sets(wanted, k).dropDuplicates(["cid"]))
     best = passed.groupBy("y").agg(F.max(F.struct("est", "x"))["x"].alias("x")).select("x", "y")
-    labels = components(materialise(verified(best, texts, k)))
-    labels = merged(labels, materialise(verified(across(passed, labels), texts, k)))
-    rest = materialise(rest_of_buckets(members.select("bucket", "cid"), labels, classes))
-    labels = merged(labels, materialise(verified(rest, texts, k)))
+    labels = components(materialise(verified(best, sets)))
+    labels = merged(labels, materialise(verified(across(passed, labels), sets)))
+    labels = merged(labels, materialise(rest_of_buckets(members.select("bucket", "cid"), labels, classes, sets)))
     by_class = classes.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select(*key, F.coalesce("root", "cid").alias("root"))
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("root")).otherwise(F.col("doc_id"))
     joined = found.drop("regs").join(by_class, key, "left").withColumn("component_id", component)

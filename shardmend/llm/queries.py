@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardmend.llm import linededup, media, mixing, neardup, packing
+from shardmend.llm import linededup, media, mixing, neardup, packing, quality
 from shardmend.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "text", "n_chars", "_lines.n_lines", "_lines.n_removed")
@@ -34,6 +38,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op10_media_columns": op10_media_columns,
 }
