@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardmend.llm import linededup, media, mixing, neardup, packing, quality
+from shardmend.llm import fingerprint, linededup, media, mixing, neardup, packing, quality
 from shardmend.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -35,6 +39,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
