@@ -27,10 +27,12 @@ from shardmend.llm.common import arrow_map, materialise, mix64, row_groups, stri
 PERCENT = 80
 MIN_TOKENS = 5
 CELLS = 1 << 20
+#: A token is a grade of one byte and so many bits of a hash of the word.
+HASH_BITS = 43
 #: Tokens with more occurrences are dealt over pairs of parts of about half as many rows.
 HOT = 100_000
 #: Up to this many tokens one 64-bit parity word tells lines apart, above it two.
-NARROW = 110
+NARROW = 64
 FILTER_BITS = 1 << 24
 CHUNK = 1 << 19
 LOOK_ROWS = 1 << 16
@@ -73,6 +75,21 @@ def line_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(bounds, len(data)), row, np.arange(len(bounds)) - first
 
 
+def distinct_tokens(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each line in ascending order, each once. ``line`` ascends."""
+    low = np.uint64(8 + HASH_BITS)
+    number = np.cumsum(np.r_[False, line[1:] != line[:-1]]) if len(line) else line
+    if len(line) and number[-1] < 1 << (64 - 8 - HASH_BITS):
+        both = np.sort((number.astype(np.uint64) << low) | key)
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        return both & ((np.uint64(1) << low) - np.uint64(1)), line[np.r_[True, line[1:] != line[:-1]]][(both >> low).astype(np.int64)]
+    order = np.lexsort((key, line))
+    key, line = key[order], line[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    return key[new], line[new]
+
+
 def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int) -> DataFrame:
     """(token, d, at, low, high): each line under its prefix tokens; ``at`` packs line number, size and position."""
     shared = docs.sparkSession.sparkContext.broadcast(grades)
@@ -85,12 +102,7 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int) -> DataFrame:
             part = data[starts[i] : starts[j]]
             bounds, row, number = line_starts(part, starts[i : j + 1] - starts[i])
             h, line, _, _ = word_hashes(part, bounds)
-            key = (grade[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (h >> np.uint64(9))
-            order = np.lexsort((key, line))
-            key, line = key[order], line[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-            key, line = key[new], line[new]
+            key, line = distinct_tokens((grade[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)), line)
             if not len(key):
                 continue
             first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
@@ -113,19 +125,19 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text").mapInArrow(run, "token long, d long, at long, low long, high long")
 
 
-def may_match(x: tuple, y: tuple) -> np.ndarray:
-    """Length, positional and bitmap filters on columns (at, low, high) of two sides."""
+def may_match(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Length, positional and bitmap filters on columns (at, low, high) of two sides: may match, and surely does or nearly so."""
     (ax, lx, hx), (ay, ly, hy) = x, y
     nx, ny = (ax >> 16) & 65535, (ay >> 16) & 65535
     small, large = np.minimum(nx, ny), np.maximum(nx, ny)
     ok = small * 100 >= large * PERCENT
     need = -(-(nx + ny) * PERCENT // (100 + PERCENT))
     ok &= np.minimum(nx - (ax & 65535), ny - (ay & 65535)) + np.minimum(ax & 65535, ay & 65535) >= need
-    wide = small > NARROW
     ones = lambda z: np.bitwise_count(z.view(np.uint64)).astype(np.int64)  # noqa: E731  of a negative number it counts the absolute value
-    differ = np.where(wide, ones(lx ^ ly) + ones(hx ^ hy), ones(lx ^ hx ^ ly ^ hy))
-    ok &= differ <= nx + ny - 2 * need
-    return ok | (large == 65535)
+    differ = np.where(small > NARROW, ones(lx ^ ly) + ones(hx ^ hy), ones(lx ^ hx ^ ly ^ hy))
+    most = nx + ny - 2 * need
+    long = large == 65535
+    return ok & (differ <= most) | long, ok & (2 * differ <= most) & ~long
 
 
 def _looked(held: list[np.ndarray], waiting: list[list[np.ndarray]], every: bool) -> tuple[list[np.ndarray], pa.RecordBatch]:
@@ -139,26 +151,29 @@ def _looked(held: list[np.ndarray], waiting: list[list[np.ndarray]], every: bool
     begin = np.maximum.accumulate(begin)
     active = np.arange(len(held[0]) if held else 0, n)
     active = active[asks[active].astype(bool)]
-    xs, ys, lag = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+    xs, ys, sures, lag = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 1
     while len(active := active[active - lag >= begin[active]]):
         other = active - lag
-        hit = may_match((at[active], low[active], high[active]), (at[other], low[other], high[other]))
-        hit &= (d[active] != d[other]) | (at[active] >> 32 != at[other] >> 32)
+        hit, sure = may_match((at[active], low[active], high[active]), (at[other], low[other], high[other]))
+        apart = (d[active] != d[other]) | (at[active] >> 32 != at[other] >> 32)
+        hit, sure = hit & apart, sure & apart
         xs.append(active[hit])
         ys.append(other[hit])
+        sures.append(sure[hit])
         if not every:
-            active = active[~hit]
+            active = active[~sure]
         lag += 1
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    found = np.unique(np.stack([d[x], at[x] >> 32, d[y], at[y] >> 32], axis=1), axis=0)
+    x, y, sure = np.concatenate(xs), np.concatenate(ys), np.concatenate(sures)
+    found = np.unique(np.stack([d[x], at[x] >> 32, d[y], at[y] >> 32, sure], axis=1), axis=0)
     last = int(begin[-1])
-    return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], names=["xd", "xl", "yd", "yl"])
+    return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names=["xd", "xl", "yd", "yl", "sure"])
 
 
 def look_back(rows: DataFrame, every: bool) -> DataFrame:
-    """(xd, xl, yd, yl): lines and the nearest earlier line under the same token that may match; ``every``: all of them.
+    """(xd, xl, yd, yl, sure): lines and earlier lines under the same token that may match.
 
-    Rows come sorted by (pair, token, d, at). Each looks one line further back at a time, until it finds one.
+    Rows come sorted by (token, pair, d, at). Each looks one line further back at a time, to the first that differs by
+    no more than half of what a match may, which is ``sure`` to hold but for hash accidents; with ``every``, to the last.
     """
 
     names = ("token", "pair", "d", "at", "low", "high", "asks")
@@ -175,14 +190,14 @@ def look_back(rows: DataFrame, every: bool) -> DataFrame:
         if waiting:
             yield _looked(held, waiting, every)[1]
 
-    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long").distinct()
+    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, sure long").distinct()
 
 
 def grouped(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
     """Rows dealt by token and sorted; a token of many occurrences over pairs of its parts, each pair in one place."""
     most = max(HOT, int(8 * counts.mean()))
     parts = {int(c): int(-(-2 * counts[c] // most)) for c in np.flatnonzero(counts > most)}
-    cell = F.shiftrightunsigned(F.col("token"), 35).bitwiseAND(F.lit(CELLS - 1))
+    cell = F.shiftrightunsigned(F.col("token"), HASH_BITS - 20).bitwiseAND(F.lit(CELLS - 1))
     plain = tokens.withColumn("pair", F.lit(0).cast("long"))
     if parts:
         known = F.create_map(*[F.lit(x) for item in parts.items() for x in item])
@@ -221,15 +236,15 @@ def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
-            d, number, text = [], [], []
-            for i, t in zip(batch.column("d").to_pylist(), strings(batch.column("text")), strict=True):
-                own = t.split("\n")
-                p, q = _positions(np.full(len(own), i, np.int64), np.arange(len(own)))
-                for k in np.flatnonzero(wanted[p] & wanted[q]).tolist():
-                    d.append(i)
-                    number.append(k)
-                    text.append(own[k])
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(number, pa.int64()), pa.array(text, pa.string())], names=["d", "l", "line"])
+            lines = [t.split("\n") for t in strings(batch.column("text"))]
+            count = np.array([len(x) for x in lines])
+            d = np.repeat(batch.column("d").to_numpy(), count)
+            number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            p, q = _positions(d, number)
+            some = np.flatnonzero(wanted[p] & wanted[q])
+            of = np.repeat(np.arange(len(lines)), count)[some]
+            text = [lines[i][k] for i, k in zip(of.tolist(), number[some].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(number[some]), pa.array(text, pa.string())], names=["d", "l", "line"])
 
     found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text").mapInArrow(split, "d long, l long, line string")
     return found.join(lines, ["d", "l"], "left_semi").distinct()
@@ -257,13 +272,21 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     counts = token_counts(docs)
     rows = listed(docs, graded(counts), min_tokens)
     pairs = materialise(look_back(grouped(rows.withColumn("asks", F.lit(True)), counts), every=False))
-    gone = materialise(matches(pairs, docs))
-    failed = materialise(pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct().join(gone, ["d", "l"], "left_anti"))
+    line, x = [F.col("xd").alias("d"), F.col("xl").alias("l")], ["xd", "xl"]
+    # One pair of each line first, a sure one where there is any; the others only for lines that are left.
+    best = pairs.groupBy(*x).agg(F.max(F.struct("sure", "yd", "yl")).alias("y")).select(*x, "y.yd", "y.yl")
+    gone = materialise(matches(best, docs))
+    left = pairs.join(gone.select(F.col("d").alias("xd"), F.col("l").alias("xl")), x, "left_anti").join(best, [*x, "yd", "yl"], "left_anti")
+    more = materialise(left)
+    if more.limit(1).count():
+        gone = materialise(gone.union(matches(more.drop("sure"), docs)).distinct())
+    # A sure pair ended the look of its line: if it didn't hold, the line looks through everything.
+    failed = materialise(pairs.where("sure = 1").select(*line).distinct().join(gone, ["d", "l"], "left_anti"))
     if failed.limit(1).count():
         asking = rows.withColumn("l", F.shiftright("at", 32)).join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
         tokens = asking.where("asks").select("token").distinct()
-        again = look_back(grouped(asking.join(tokens, "token", "left_semi"), counts), every=True)
-        gone = gone.union(matches(materialise(again.join(pairs, ["xd", "xl", "yd", "yl"], "left_anti")), docs)).distinct()
+        again = look_back(grouped(asking.join(tokens, "token", "left_semi"), counts), every=True).drop("sure")
+        gone = gone.union(matches(materialise(again.join(pairs, [*x, "yd", "yl"], "left_anti")), docs)).distinct()
     return gone
 
 
