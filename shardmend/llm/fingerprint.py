@@ -2,7 +2,7 @@
 
 Every window of 64 bytes has an entropy; entropies are ranked by how rare they are over all windows of all documents,
 rarest first. A window that is the leftmost of best rank in at least POPULAR of the 64 runs of 64 windows around it is a
-feature. The features of a text, in order and without repeats, go into Bloom filters of 2048 bits, 160 to each, chained
+feature; where no window gets so far, those that got farthest are. The features of a text, in order and without repeats, go into Bloom filters of 2048 bits, 160 to each, chained
 as needed. Two digests are alike by the bits that their filters share beyond chance, over the most that could be shared.
 
 Null texts count as empty; an empty text has no features and an empty fingerprint. A text under 64 bytes is one window,
@@ -136,7 +136,9 @@ def features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> list[np.
             winner[place[r]] = at[r] + int(np.argmin(key[at[r] : at[r] + count[r]]))
         popular = np.bincount(winner, minlength=len(part))
         of = np.repeat(np.arange(len(runs)), np.diff(at))
-        chosen = np.flatnonzero(popular >= np.minimum(POPULAR, np.maximum(runs[of], 1)))
+        highest = np.zeros(len(runs), np.int64)
+        np.maximum.at(highest, of[popular > 0], popular[popular > 0])
+        chosen = np.flatnonzero((popular > 0) & (popular >= np.minimum(POPULAR, highest[of])))
         r = of[chosen]
         inside = (chosen - at[r] >= low[r]) & (chosen - at[r] < high[r])
         chosen, r = chosen[inside], r[inside]
