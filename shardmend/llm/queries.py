@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardmend.llm import fingerprint, linededup, media, mixing, neardup, packing, quality
+from shardmend.llm import chat, fingerprint, html, licenses, linededup, media, mixing, neardup, packing, quality
 from shardmend.llm.common import table
 
 
@@ -34,6 +34,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_chars", "_lines.n_lines", "_lines.n_removed")
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -45,6 +57,9 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
+    "op7_license_scans": op7_license_scans,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
 }
 
@@ -52,4 +67,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_packing": packing.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_near_duplicates": neardup.ORACLE_SQL,
+    "op8_chat_formatting": chat.ORACLE_SQL,
 }
