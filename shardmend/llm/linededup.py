@@ -31,8 +31,6 @@ CELLS = 1 << 20
 HASH_BITS = 43
 #: Tokens with more occurrences are dealt over pairs of parts of about half as many rows.
 HOT = 100_000
-#: Up to this many tokens one 64-bit parity word tells lines apart, above it two.
-NARROW = 64
 FILTER_BITS = 1 << 24
 CHUNK = 1 << 19
 LOOK_ROWS = 1 << 16
@@ -44,12 +42,18 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences over all documents by cell of the token's hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total, cells, held = np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
             data, starts = utf8(batch.column(0))
             for i, j in row_groups(starts, CHUNK):
                 h, _, _, _ = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+                cells.append((h >> np.uint64(44)).astype(np.int64))
+                held += len(h)
+                if held > 4 * CELLS:
+                    total += np.bincount(np.concatenate(cells), minlength=CELLS)
+                    cells, held = [], 0
+        if cells:
+            total += np.bincount(np.concatenate(cells), minlength=CELLS)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
 
@@ -90,11 +94,18 @@ def distinct_tokens(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.n
     return key[new], line[new]
 
 
-def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int) -> DataFrame:
-    """(token, d, at, low, high): each line under its prefix tokens; ``at`` packs line number, size and position."""
-    shared = docs.sparkSession.sparkContext.broadcast(grades)
+LISTED = "token long, d long, at long, low long, high long"
 
-    def index(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+
+def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndarray | None = None) -> DataFrame:
+    """(token, d, at, low, high): each line under its prefix tokens; ``at`` packs line number, size and position.
+
+    ``tokens``: a filter over tokens; then only rows that it passes come, with the line itself.
+    """
+    spark = docs.sparkSession.sparkContext
+    shared, wanted = spark.broadcast(grades), None if tokens is None else spark.broadcast(np.packbits(tokens))
+
+    def index(batch: pa.RecordBatch, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         grade = shared.value
         data, starts = utf8(batch.column("text"))
         ids = batch.column("d").to_numpy()
@@ -110,87 +121,146 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int) -> DataFrame:
             bit = np.uint64(1) << (key & np.uint64(63))
             upper = (key & np.uint64(64)) > 0
             low, high = np.bitwise_xor.reduceat(np.where(upper, 0, bit), first), np.bitwise_xor.reduceat(np.where(upper, bit, 0), first)
-            low, high = np.where(n > NARROW, low, low ^ high), np.where(n > NARROW, high, 0)
             prefix = np.where(n >= min_tokens, n - (n * PERCENT + 99) // 100 + 1, 0)
             group = np.repeat(np.arange(len(first)), prefix)
             position = np.arange(len(group)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            token = key[first[group] + position]
+            if bits is not None:
+                some = np.flatnonzero(passes(bits, token.view(np.int64), np.zeros(len(token), np.int64)))
+                group, position, token = group[some], position[some], token[some]
             of = line[first][group]
             at = (number[of] << 32) | (np.minimum(n[group], 65535) << 16) | np.minimum(position, 65535)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[first[group] + position], ids[i + row[of]], at, low[group].astype(np.uint64), high[group].astype(np.uint64))], names=["token", "d", "at", "low", "high"])
+            columns = [pa.array(x.view(np.int64)) for x in (token, ids[i + row[of]], at, low[group], high[group])]
+            if bits is None:
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "d", "at", "low", "high"])
+            else:
+                text = [bytes(part[bounds[k] : bounds[k + 1]]).rstrip(b"\n").decode() for k in of.tolist()]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.string())], names=["token", "d", "at", "low", "high", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if wanted is None else np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
-            yield from index(batch)
+            yield from index(batch, bits)
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text")
+    return rows.mapInArrow(run, LISTED + ("" if tokens is None else ", line string"))
+
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text").mapInArrow(run, "token long, d long, at long, low long, high long")
+def ones(z: np.ndarray) -> np.ndarray:
+    """Bits set; of a signed number, numpy would count those of its absolute value."""
+    return np.bitwise_count(z.view(np.uint64)).astype(np.int64)
 
 
-def may_match(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Length, positional and bitmap filters on columns (at, low, high) of two sides: may match, and surely does or nearly so."""
-    (ax, lx, hx), (ay, ly, hy) = x, y
+def filtered(x: np.ndarray, y: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the row pairs (x[i], y[i]) pass the length, positional and bitmap filters; bits that differ; the most that may."""
+    ax, ay = at[x], at[y]
     nx, ny = (ax >> 16) & 65535, (ay >> 16) & 65535
-    small, large = np.minimum(nx, ny), np.maximum(nx, ny)
-    ok = small * 100 >= large * PERCENT
+    ok = np.flatnonzero(np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * PERCENT)
+    ax, ay, nx, ny = ax[ok], ay[ok], nx[ok], ny[ok]
+    ix, iy = ax & 65535, ay & 65535
     need = -(-(nx + ny) * PERCENT // (100 + PERCENT))
-    ok &= np.minimum(nx - (ax & 65535), ny - (ay & 65535)) + np.minimum(ax & 65535, ay & 65535) >= need
-    ones = lambda z: np.bitwise_count(z.view(np.uint64)).astype(np.int64)  # noqa: E731  of a negative number it counts the absolute value
-    differ = np.where(small > NARROW, ones(lx ^ ly) + ones(hx ^ hy), ones(lx ^ hx ^ ly ^ hy))
-    most = nx + ny - 2 * need
-    long = large == 65535
-    return ok & (differ <= most) | long, ok & (2 * differ <= most) & ~long
+    long = np.maximum(nx, ny) == 65535
+    pass_ = (np.minimum(nx - ix, ny - iy) + np.minimum(ix, iy) >= need) | long
+    ok, need, total, long = ok[pass_], need[pass_], (nx + ny)[pass_], long[pass_]
+    differ, most = ones(low[x[ok]] ^ low[y[ok]]) + ones(high[x[ok]] ^ high[y[ok]]), total - 2 * need
+    pass_ = (differ <= most) | long
+    return ok[pass_], np.where(long, 65535, differ)[pass_], most[pass_]
 
 
-def _looked(held: list[np.ndarray], waiting: list[list[np.ndarray]], every: bool) -> tuple[list[np.ndarray], pa.RecordBatch]:
-    """The pairs of the waiting rows with rows before them, and the rows of the last group, which may go on."""
-    columns = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
-    token, pair, d, at, low, high, asks = columns
-    n = len(token)
+def _groups(token: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Where the group of each row begins."""
+    begin = np.zeros(len(token), np.int64)
     change = np.flatnonzero((token[1:] != token[:-1]) | (pair[1:] != pair[:-1])) + 1
-    begin = np.zeros(n, np.int64)
     begin[change] = change
-    begin = np.maximum.accumulate(begin)
-    active = np.arange(len(held[0]) if held else 0, n)
-    active = active[asks[active].astype(bool)]
-    xs, ys, sures, lag = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 1
+    return np.maximum.accumulate(begin)
+
+
+def _looked(held: list[np.ndarray], waiting: list[list[np.ndarray]]) -> tuple[list[np.ndarray], pa.RecordBatch]:
+    """The pairs of the waiting rows with rows before them, and the rows of the last group, which may go on."""
+    columns = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
+    token, pair, d, at, low, high = columns
+    begin = _groups(token, pair)
+    active = np.arange(len(held[0]) if held else 0, len(token))
+    had = np.zeros(len(token), bool)
+    out = [np.zeros((3, 0), np.int64)]
+    lag = 1
     while len(active := active[active - lag >= begin[active]]):
-        other = active - lag
-        hit, sure = may_match((at[active], low[active], high[active]), (at[other], low[other], high[other]))
-        apart = (d[active] != d[other]) | (at[active] >> 32 != at[other] >> 32)
-        hit, sure = hit & apart, sure & apart
-        xs.append(active[hit])
-        ys.append(other[hit])
-        sures.append(sure[hit])
-        if not every:
-            active = active[~sure]
+        hit, differ, most = filtered(active, active - lag, at, low, high)
+        x = active[hit]
+        apart = (d[x] != d[x - lag]) | (at[x] >> 32 != at[x - lag] >> 32)
+        x, differ, most, hit = x[apart], differ[apart], most[apart], hit[apart]
+        sure = 2 * differ <= most
+        # Lines that look equal meet under their first token too: there the pair is given out.
+        again = (differ == 0) & ((at[x] & 65535) > 0) & ((at[x] & 0xFFFFFFFF) == (at[x - lag] & 0xFFFFFFFF))
+        give = (sure | ~had[x]) & ~again
+        out.append(np.stack([x, x - lag, differ])[:, give])
+        had[x] = True
+        stays = np.ones(len(active), bool)
+        stays[hit[sure]] = False
+        active = active[stays]
         lag += 1
-    x, y, sure = np.concatenate(xs), np.concatenate(ys), np.concatenate(sures)
-    found = np.unique(np.stack([d[x], at[x] >> 32, d[y], at[y] >> 32, sure], axis=1), axis=0)
+    x, y, differ = np.concatenate(out, axis=1)
     last = int(begin[-1])
-    return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names=["xd", "xl", "yd", "yl", "sure"])
+    names = ["xd", "xl", "yd", "yl", "differ"]
+    return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(c) for c in (d[x], at[x] >> 32, d[y], at[y] >> 32, differ)], names=names)
 
 
-def look_back(rows: DataFrame, every: bool) -> DataFrame:
-    """(xd, xl, yd, yl, sure): lines and earlier lines under the same token that may match.
+def look_back(rows: DataFrame) -> DataFrame:
+    """(xd, xl, yd, yl, differ): lines and earlier lines under the same token that may match.
 
     Rows come sorted by (token, pair, d, at). Each looks one line further back at a time, to the first that differs by
-    no more than half of what a match may, which is ``sure`` to hold but for hash accidents; with ``every``, to the last.
+    no more than half of what a match may. That one is given out, and the first that may match at all.
     """
-
-    names = ("token", "pair", "d", "at", "low", "high", "asks")
+    names = ("token", "pair", "d", "at", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, count = [], [], 0
         for batch in batches:
-            waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            waiting.append([batch.column(c).to_numpy() for c in names])
             count += batch.num_rows
             if count >= LOOK_ROWS:
-                held, found = _looked(held, waiting, every)
+                held, found = _looked(held, waiting)
                 waiting, count = [], 0
                 yield found
         if waiting:
-            yield _looked(held, waiting, every)[1]
+            yield _looked(held, waiting)[1]
+
+    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, differ long")
+
 
-    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, sure long").distinct()
+def look_through(rows: DataFrame) -> DataFrame:
+    """(d, l): asking lines that match any earlier line under the same token, checked on the lines themselves.
+
+    Rows come sorted by (token, pair, d, at) with the line and whether it asks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        at, low, high, ids, sets = [], [], [], [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for token, pair, d, a, lo, hi, line, asks in zip(*(batch.column(c).to_pylist() for c in ("token", "pair", "d", "at", "low", "high", "line", "asks")), strict=True):
+                if group != (token, pair):
+                    group = (token, pair)
+                    at, low, high, ids, sets = [], [], [], [], []
+                own = line.encode()
+                at.append(a)
+                low.append(lo)
+                high.append(hi)
+                ids.append((d, a >> 32))
+                sets.append(own)
+                if asks and len(at) > 1:
+                    n = len(at) - 1
+                    hit, differ, _ = filtered(np.full(n, n), np.arange(n), np.array(at), np.array(low), np.array(high))
+                    words = set(own.split())
+                    for k in hit[np.argsort(differ, kind="stable")].tolist():
+                        other = set(sets[k].split())
+                        if ids[k] != ids[n] and 100 * len(words & other) >= PERCENT * len(words | other):
+                            out.append(ids[n])
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["d", "l"])
+
+    return rows.mapInArrow(run, "d long, l long").distinct()
 
 
 def grouped(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -213,6 +283,11 @@ def _positions(d: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def passes(bits: np.ndarray, d: np.ndarray, line: np.ndarray) -> np.ndarray:
+    p, q = _positions(d, line)
+    return bits[p] & bits[q]
+
+
 def wanted_filter(lines: DataFrame) -> np.ndarray:
     """A Bloom filter of fixed size over (d, l)."""
 
@@ -240,8 +315,7 @@ def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
             count = np.array([len(x) for x in lines])
             d = np.repeat(batch.column("d").to_numpy(), count)
             number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            p, q = _positions(d, number)
-            some = np.flatnonzero(wanted[p] & wanted[q])
+            some = np.flatnonzero(passes(wanted, d, number))
             of = np.repeat(np.arange(len(lines)), count)[some]
             text = [lines[i][k] for i, k in zip(of.tolist(), number[some].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(number[some]), pa.array(text, pa.string())], names=["d", "l", "line"])
@@ -250,44 +324,46 @@ def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return found.join(lines, ["d", "l"], "left_semi").distinct()
 
 
-def matches(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(d, l, mark): later lines of the pairs that hold on the texts; ``mark`` is a hash of the line."""
-    wanted = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
-    texts = materialise(line_texts(docs, wanted))
     side = lambda s: texts.select(F.col("d").alias(s + "d"), F.col("l").alias(s + "l"), F.col("line").alias(s))
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
         for x, y in zip(strings(batch.column("x")), strings(batch.column("y")), strict=True):
+            if x == y:
+                ok.append(True)
+                continue
             a, b = set(x.encode().split()), set(y.encode().split())
             ok.append(100 * len(a & b) >= PERCENT * len(a | b))
         return batch.select(["xd", "xl", "x"]).filter(pa.array(ok, pa.bool_()))
 
     full = pairs.join(side("x"), ["xd", "xl"]).join(side("y"), ["yd", "yl"]).select("xd", "xl", "x", "y")
-    return arrow_map(full, check, "xd long, xl long, x string").select(F.col("xd").alias("d"), F.col("xl").alias("l"), F.xxhash64("x").alias("mark")).distinct()
+    return arrow_map(full, check, "xd long, xl long, x string").select(F.col("xd").alias("d"), F.col("xl").alias("l"), F.xxhash64("x").alias("mark"))
 
 
 def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(d, l, mark) of the lines that go."""
     counts = token_counts(docs)
-    rows = listed(docs, graded(counts), min_tokens)
-    pairs = materialise(look_back(grouped(rows.withColumn("asks", F.lit(True)), counts), every=False))
-    line, x = [F.col("xd").alias("d"), F.col("xl").alias("l")], ["xd", "xl"]
-    # One pair of each line first, a sure one where there is any; the others only for lines that are left.
-    best = pairs.groupBy(*x).agg(F.max(F.struct("sure", "yd", "yl")).alias("y")).select(*x, "y.yd", "y.yl")
-    gone = materialise(matches(best, docs))
-    left = pairs.join(gone.select(F.col("d").alias("xd"), F.col("l").alias("xl")), x, "left_anti").join(best, [*x, "yd", "yl"], "left_anti")
-    more = materialise(left)
-    if more.limit(1).count():
-        gone = materialise(gone.union(matches(more.drop("sure"), docs)).distinct())
-    # A sure pair ended the look of its line: if it didn't hold, the line looks through everything.
-    failed = materialise(pairs.where("sure = 1").select(*line).distinct().join(gone, ["d", "l"], "left_anti"))
+    grades = graded(counts)
+    pairs = materialise(look_back(grouped(listed(docs, grades, min_tokens), counts)))
+    x = ["xd", "xl"]
+    # One pair of each line first, of those that differ least; the others only for lines that are left.
+    best = materialise(pairs.groupBy(*x).agg(F.min(F.struct("differ", "yd", "yl")).alias("y")).select(*x, "y.yd", "y.yl"))
+    texts = materialise(line_texts(docs, best.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(best.select("yd", "yl")).distinct()))
+    gone = materialise(matches(best, texts))
+    rest = best.select(F.col("xd").alias("d"), F.col("xl").alias("l")).join(gone, ["d", "l"], "left_anti")
+    failed = materialise(rest)
     if failed.limit(1).count():
-        asking = rows.withColumn("l", F.shiftright("at", 32)).join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
-        tokens = asking.where("asks").select("token").distinct()
-        again = look_back(grouped(asking.join(tokens, "token", "left_semi"), counts), every=True).drop("sure")
-        gone = gone.union(matches(materialise(again.join(pairs, [*x, "yd", "yl"], "left_anti")), docs)).distinct()
-    return gone
+        # A look may have ended at a line that didn't match: these lines look through everything under their tokens.
+        own = texts.join(failed, ["d", "l"], "left_semi").select(F.col("d").alias("doc_id"), F.col("line").alias("text"))
+        tokens = materialise(listed(own, grades, min_tokens).select("token").distinct())
+        some = listed(docs, grades, min_tokens, wanted_filter(tokens.select(F.col("token").alias("d"), F.lit(0).cast("long").alias("l"))))
+        some = some.join(tokens, "token", "left_semi").withColumn("l", F.shiftright("at", 32))
+        asking = some.join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
+        found = look_through(grouped(asking, counts)).join(texts, ["d", "l"])
+        gone = gone.unionByName(found.select("d", "l", F.xxhash64("line").alias("mark")))
+    return gone.distinct()
 
 
 def without_repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:

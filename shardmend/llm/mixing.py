@@ -46,9 +46,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 
 
 def mixture(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """``docs`` with a column ``_mix`` of size, source_size, target, copies and taken; other columns stay as they are."""
+    """``docs`` with a column ``_mix`` (one of that name is replaced) of size, source_size, target, copies and taken."""
     sized = docs.select("source", n_words(F.col("text")).alias("size"))
     targets = source_targets(sized, weights, budget, cap).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"))
+    docs = docs.drop("_mix")
     joined = docs.join(targets, docs["source"].eqNullSafe(targets["_mix_source"]))
     rate = F.when(F.col("_mix_size") > 0, F.col("_mix_target") / F.col("_mix_size")).otherwise(0.0)
     extra = unit_hash(F.lit(seed), docs["doc_id"].cast("string")) < rate - F.floor(rate)
@@ -60,8 +61,10 @@ def mixture(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHT
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
-    plan = mixture(docs, seed).where("_mix.copies > 0")
-    return plan.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int"))).alias("_copy")).drop("_copy")
+    own = docs.withColumnRenamed("_mix", "_mix_own")
+    plan = mixture(own, seed).where("_mix.copies > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int"))).alias("_mix_copy")
+    return plan.select(*own.columns, copies).drop("_mix_copy").withColumnRenamed("_mix_own", "_mix")
 
 
 ORACLE_SQL = r"""
