@@ -17,6 +17,8 @@ decision. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -200,53 +202,81 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select(*pairs.columns)
 
 
-def rest_of_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y): links between classes of one bucket but of different components, one for a class and a component.
+def blocks_of_buckets(members: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """(bucket, rows, rows2): blocks of members (bucket, cid) that meet, for buckets with more than one component.
 
     A bucket is dealt into blocks of about BLOCK rows of usual length: a component of many members has blocks of its
-    own, small ones share blocks. Blocks meet each other as matrices of registers; two blocks of one component are
-    skipped. A pair whose estimate passes is verified in place, in the first bucket that it shares, and nothing else
-    leaves a block.
+    own, small ones share blocks. Two blocks of one component do not meet. ``rows``: columns by cid, with n among them.
     """
     placed = members.join(labels.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "cid", "left").select("bucket", "cid", F.coalesce("comp", "cid").alias("comp"))
-    placed = placed.join(classes.select("cid", F.greatest(F.lit(1.0), F.col("n") / USUAL).alias("weight")), "cid")
+    weight = F.greatest(F.lit(1.0), F.col("n") / USUAL)
+    placed = placed.join(rows.select("cid", weight.alias("weight")), "cid")
     by_comp = placed.groupBy("bucket", "comp").agg(F.sum("weight").alias("in_comp"))
     buckets = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum(F.when(F.col("in_comp") < BLOCK, F.col("in_comp"))).alias("small")).where("comps > 1")
     sized = placed.join(by_comp, ["bucket", "comp"]).join(buckets, "bucket")
     large = F.col("in_comp") >= BLOCK
     parts = F.ceil(F.when(large, F.col("in_comp")).otherwise(F.col("small")) / BLOCK)
     name = F.concat_ws(":", F.when(large, F.col("comp")), F.pmod(F.xxhash64(F.when(large, F.col("cid")).otherwise(F.col("comp"))), parts))
-    rows = sized.select("bucket", name.alias("block"), F.when(large, F.col("comp")).alias("whole"), "cid", "comp").join(classes.select("cid", "regs"), "cid").join(sets, "cid")
-    blocks = materialise(rows.groupBy("bucket", "block").agg(F.first("whole").alias("whole"), F.collect_list(F.struct("cid", "comp", "regs", "members")).alias("rows")))
+    full = sized.select("bucket", name.alias("block"), F.when(large, F.col("comp")).alias("whole"), "cid", "comp").join(rows, "cid")
+    own = [c for c in full.columns if c not in ("bucket", "block", "whole")]
+    blocks = materialise(full.groupBy("bucket", "block").agg(F.first("whole").alias("whole"), F.collect_list(F.struct(*own)).alias("rows")))
     other = blocks.select("bucket", F.col("block").alias("block2"), F.col("whole").alias("whole2"), F.col("rows").alias("rows2"))
     met = blocks.join(other, "bucket").where((F.col("block") <= F.col("block2")) & (F.col("whole").isNull() | F.col("whole2").isNull() | (F.col("whole") != F.col("whole2"))))
+    return met.select("bucket", "rows", "rows2")
+
+
+def close_rows(bucket: int, x: pa.StructArray, y: pa.StructArray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of x, each with the rows of y of other components whose estimate passes, best first.
+
+    A pair counts in the first bucket that it shares.
+    """
+    (cx, nx, rx), (cy, ny, ry) = ((s.field("comp").to_numpy(), s.field("n").to_numpy(), np.frombuffer(b"".join(s.field("regs").to_pylist()), np.uint16).reshape(-1, M)) for s in (x, y))
+    own, keys = band_keys(rx), band_keys(ry)
+    for i in range(len(cx)):
+        near = np.flatnonzero((cy != cx[i]) & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * PERCENT))
+        near = near[(ry[near] == rx[i]).sum(axis=1) >= M * (PERCENT / 100 - 2 * SLACK)]
+        near = near[keys[near, (keys[near] == own[i]).argmax(axis=1)] == bucket]
+        if len(near):
+            est = likely_similarity((rx[i] > ry[near]).sum(axis=1), (rx[i] < ry[near]).sum(axis=1), np.full(len(near), nx[i]), ny[near])
+            order = np.argsort(-est, kind="stable")[: int((est >= PERCENT / 100 - SLACK).sum())]
+            if len(order):
+                yield i, near[order]
 
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def rest_of_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y): links between classes of one bucket but of different components, one for a class and a component.
+
+    Registers alone first tell which classes have anything close in another component of a bucket. Those meet again
+    with their full sets, and pairs are verified in place: nothing but links leaves a block.
+    """
+
+    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+        buckets, cids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r, bucket in enumerate(batch.column("bucket").to_pylist()):
+            x, y = batch.column("rows")[r].values, batch.column("rows2")[r].values
+            found = list(close_rows(bucket, x, y))
+            some = np.unique(np.concatenate([x.field("cid").to_numpy()[[i for i, _ in found]], *(y.field("cid").to_numpy()[near] for _, near in found)])) if found else cids[0]
+            buckets.append(np.full(len(some), bucket))
+            cids.append(some)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(cids))], names=["bucket", "cid"])
+
+    def link(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for r, bucket in enumerate(batch.column("bucket").to_pylist()):
-            sides = []
-            for c in ("rows", "rows2"):
-                s = batch.column(c)[r].values
-                regs = np.frombuffer(b"".join(s.field("regs").to_pylist()), np.uint16).reshape(-1, M)
-                sides.append((s.field("cid").to_numpy(), s.field("comp").to_numpy(), regs, [np.frombuffer(m, np.uint64) for m in s.field("members").to_pylist()]))
-            (cx, px, rx, sx), (cy, py, ry, sy) = sides
-            own, keys = band_keys(rx), band_keys(ry)
-            ny = np.array([len(m) for m in sy])
-            for i in range(len(cx)):
-                near = np.flatnonzero((py != px[i]) & (np.minimum(ny, len(sx[i])) * 100 >= np.maximum(ny, len(sx[i])) * PERCENT))
-                near = near[(ry[near] == rx[i]).sum(axis=1) >= M * (PERCENT / 100 - 2 * SLACK)]
-                near = near[keys[near, (keys[near] == own[i]).argmax(axis=1)] == bucket]
-                if not len(near):
-                    continue
-                est = likely_similarity((rx[i] > ry[near]).sum(axis=1), (rx[i] < ry[near]).sum(axis=1), np.full(len(near), len(sx[i])), ny[near])
+            x, y = batch.column("rows")[r].values, batch.column("rows2")[r].values
+            sx, sy = ([np.frombuffer(m, np.uint64) for m in s.field("members").to_pylist()] for s in (x, y))
+            ix, iy, comp = x.field("cid").to_numpy(), y.field("cid").to_numpy(), y.field("comp").to_numpy()
+            for i, near in close_rows(bucket, x, y):
                 linked: set[int] = set()
-                for j in near[np.argsort(-est)][: int((est >= PERCENT / 100 - SLACK).sum())].tolist():
-                    if py[j] not in linked and is_link(sx[i], sy[j]):
-                        linked.add(py[j])
-                        out.append((min(cx[i], cy[j]), max(cx[i], cy[j])))
+                for j in near.tolist():
+                    if comp[j] not in linked and is_link(sx[i], sy[j]):
+                        linked.add(comp[j])
+                        out.append((min(ix[i], iy[j]), max(ix[i], iy[j])))
         return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["x", "y"])
 
-    return arrow_map(met.select("bucket", "rows", "rows2"), compare, "x long, y long").distinct()
+    involved = materialise(arrow_map(blocks_of_buckets(members, labels, classes.select("cid", "n", "regs")), close, "bucket long, cid long").distinct())
+    some = classes.select("cid", "n", "regs").join(involved.select("cid").distinct(), "cid", "left_semi").join(sets, "cid")
+    return arrow_map(blocks_of_buckets(involved, labels, materialise(some)), link, "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
