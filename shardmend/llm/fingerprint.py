@@ -30,7 +30,7 @@ GRADES = 1001
 #: Windows of less than this part of the highest entropy, in thousandths, come after all others.
 DULL = 100
 PIECE = 1 << 18
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
 
 _G = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * 1024).astype(np.int64)
@@ -221,7 +221,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     types = dict(docs.dtypes)
     placed = rows.mapInArrow(run, f"part long, tail boolean, d long, h long, doc_id {types['doc_id']}, text string")
-    return placed.repartition("part").sortWithinPartitions("part", "tail", F.col("d").desc(), F.col("h").desc())
+    return placed.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "tail", F.col("d").desc(), F.col("h").desc())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
