@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shardmend.plans.recipe import Recipe, Step, apply_recipe
+from shardmend.functions.prng import Pcg32, batch_seed, repeat_seed
+from shardmend.operators import byte_steps, cards, coefficients, donors, seeded_steps
+from shardmend.plans.recipe import Recipe, Repeat, Step, apply_recipe, parse_recipe, plan_keys
+from shardmend.sources import markers
+from shardmend.sources.files import payload_kind
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +34,11 @@ def recipe_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_recipe(before, recipe).select("doc_id", "n_in", F.length("bytes").cast("long").alias("n_out"), digest().alias("digest"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"recipe_chain": recipe_chain}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {"recipe_chain": recipe_chain}
+
+#: Payload bytes and their length in upper-case hex, for byte steps in SQL.
+SQL_PAYLOAD = "p AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n, upper(hex(encode(text))) AS hx FROM documents)"
 
 ORACLE_SQL: dict[str, str] = {
     "recipe_chain": """
@@ -38,3 +47,317 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_in, octet_length(e) AS n_out, md5(upper(hex(e))) AS digest FROM d
     """,
 }
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- Byte steps as column expressions -------------------------------------------------------------------------------
+
+
+def byte_query(name: str, step: Callable[[Column], Column], hexed: str) -> None:
+    """A query that digests every payload after a step; ``hexed``: the result as hex in SQL, of b, n and hx."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return payloads(spark, sf_dir).select("doc_id", step(F.col("bytes")).alias("bytes")).select("doc_id", F.length("bytes").cast("long").alias("n_out"), digest().alias("digest"))
+
+    query(name, f"WITH {SQL_PAYLOAD}, r AS (SELECT doc_id, {hexed} AS h FROM p) SELECT doc_id, len(h) // 2 AS n_out, md5(h) AS digest FROM r")(run)
+
+
+def _cut(percent: float) -> str:
+    return f"CAST(floor(n * {float(percent)}::DOUBLE / 100) AS BIGINT)"
+
+
+byte_query("byte_truncate", lambda b: byte_steps.truncate(b, 60), f"substr(hx, 1, 2 * {_cut(60)})")
+byte_query("byte_truncate_exact", lambda b: byte_steps.truncate(b, byte=100), "substr(hx, 1, 200)")
+byte_query("transfer_interrupted_download", byte_steps.interrupted_download, f"substr(hx, 1, 2 * {_cut(70)})")
+byte_query("transfer_ftp_ascii", byte_steps.ftp_ascii, "upper(hex(encode(replace(replace(decode(b), chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)))))")
+byte_query("transfer_ftp_crlf_to_lf", lambda b: byte_steps.ftp_ascii(byte_steps.ftp_ascii(b), "crlf_to_lf"), "upper(hex(encode(replace(decode(b), chr(13) || chr(10), chr(10)))))")
+byte_query("byte_swap16", byte_steps.byte_swap16, f"substr(hx, 1, 2 * {_cut(50)}) || regexp_replace(substr(hx, 2 * {_cut(50)} + 1), '(..)(..)', '\\2\\1', 'g')")
+_seven = f"regexp_replace(substr(hx, 2 * {_cut(30)} + 1), '(..)', '\\1,', 'g')"
+for _i, _digit in enumerate("89ABCDEF"):
+    _seven = f"regexp_replace({_seven}, '{_digit}(.),', '{_i}\\1,', 'g')"
+byte_query("transfer_seven_bit", byte_steps.seven_bit, f"substr(hx, 1, 2 * {_cut(30)}) || replace({_seven}, ',', '')")
+byte_query("byte_zero_fill", lambda b: byte_steps.zero_fill(b, 50, 256), f"substr(hx, 1, 2 * {_cut(50)}) || repeat('00', least(256, n - {_cut(50)})) || substr(hx, 2 * ({_cut(50)} + least(256, n - {_cut(50)})) + 1)")
+byte_query("byte_patch", lambda b: byte_steps.byte_patch(b, 8, "DEADBEEF"), "substr(hx, 1, 16) || substr('DEADBEEF', 1, 2 * greatest(least(4, n - 8), 0)) || substr(hx, 2 * least(8 + greatest(least(4, n - 8), 0), n) + 1)")
+
+
+# --- Recipes --------------------------------------------------------------------------------------------------------
+
+
+@query("recipe_repeat", f"WITH {SQL_PAYLOAD}, r AS (SELECT doc_id, n, CAST(floor(n * 90.0::DOUBLE / 100) AS BIGINT) AS a, hx FROM p), s AS (SELECT doc_id, hx, CAST(floor(a * 90.0::DOUBLE / 100) AS BIGINT) AS c FROM r) SELECT doc_id, CAST(floor(c * 90.0::DOUBLE / 100) AS BIGINT) AS n_out, md5(substr(hx, 1, 2 * CAST(floor(c * 90.0::DOUBLE / 100) AS BIGINT))) AS digest FROM s")
+def recipe_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recipe = Recipe([Repeat([Step("truncate", {"percent": 90}), Step("byte_patch", enabled=False)], 3)])
+    return apply_recipe(payloads(spark, sf_dir), recipe).select("doc_id", F.length("bytes").cast("long").alias("n_out"), digest().alias("digest"))
+
+
+@query("recipe_from_json", ORACLE_SQL["byte_swap16"])
+def recipe_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recipe = parse_recipe('{"steps": [{"id": "byte_swap16", "params": {"start": 50}}, {"id": "truncate", "enabled": false}]}')
+    return apply_recipe(payloads(spark, sf_dir), recipe).select("doc_id", F.length("bytes").cast("long").alias("n_out"), digest().alias("digest"))
+
+
+@query("recipe_patch_stale", f"WITH {SQL_PAYLOAD}, r AS (SELECT doc_id, n, CASE WHEN doc_id % 2 = 0 THEN substr(hx, 1, 4) || substr('FFFF', 1, 2 * greatest(least(2, n - 2), 0)) || substr(hx, 2 * least(2 + greatest(least(2, n - 2), 0), n) + 1) ELSE hx END AS h FROM p) SELECT doc_id, doc_id % 2 <> 0 AS stale, md5(h) AS digest FROM r")
+def recipe_patch_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches that were made for a version of a payload: they hold where its hash is still the same."""
+    docs = payloads(spark, sf_dir)
+    made_for = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.sha2("bytes", 256)).otherwise("gone").alias("base"))
+    joined = docs.join(made_for, "doc_id").withColumn("stale", F.sha2("bytes", 256) != F.col("base"))
+    return joined.select("doc_id", "stale", F.when(F.col("stale"), F.col("bytes")).otherwise(byte_steps.byte_patch(F.col("bytes"), 2, "FFFF")).alias("bytes")).select("doc_id", "stale", digest().alias("digest"))
+
+
+@query("recipe_plan_keys")
+def recipe_plan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the prefixes of a recipe: a disabled step keeps the key before it."""
+    recipe = Recipe([Step("truncate", {"percent": 60}), Step("seven_bit", enabled=False), Step("byte_swap16")])
+    rows = [(i, k) for i, k in enumerate(plan_keys(recipe))]
+    return spark.createDataFrame(rows, "node int, key string")
+
+
+@query("recipe_steps_animation", f"WITH {SQL_PAYLOAD}, s AS (SELECT doc_id, hx, n FROM p) SELECT doc_id, k AS n_steps, md5(CASE k WHEN 0 THEN hx WHEN 1 THEN substr(hx, 1, 2 * {_cut(60)}) ELSE substr(hx, 1, 16) || substr('DEADBEEF', 1, 2 * greatest(least(4, {_cut(60)} - 8), 0)) || substr(substr(hx, 1, 2 * {_cut(60)}), 2 * least(8 + greatest(least(4, {_cut(60)} - 8), 0), {_cut(60)}) + 1) END) AS digest FROM s, (SELECT unnest([0, 1, 2]) AS k) WHERE {_cut(60)} >= 8")
+def recipe_steps_animation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of a recipe on every payload, from none of its steps to all."""
+    recipe = Recipe([Step("truncate", {"percent": 60}), Step("byte_patch", {"at": 8, "hexed": "DEADBEEF"})])
+    docs = payloads(spark, sf_dir).where((F.length("bytes") * 60.0 / 100).cast("int") >= 8)
+    frames = [apply_recipe(docs, Recipe(recipe.nodes[:k])).select("doc_id", F.lit(k).alias("n_steps"), digest().alias("digest")) for k in range(len(recipe.nodes) + 1)]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+# --- Seeds ----------------------------------------------------------------------------------------------------------
+
+
+@query("batch_seeds", "SELECT doc_id, (4294967290 + doc_id) % 4294967296 AS seed FROM documents")
+def batch_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", batch_seed(F.lit(4294967290).cast("long"), F.col("doc_id")).alias("seed"))
+
+
+_mix = "(SELECT doc_id, r, xor(xor(doc_id, (77::HUGEINT * 2654435761 % 4294967296)::BIGINT), ((r + 1)::HUGEINT * 2246822507 % 4294967296)::BIGINT) AS h FROM documents, (SELECT unnest(range(3)) AS r))"
+
+
+@query("repeat_seeds", f"WITH a AS {_mix}, b AS (SELECT doc_id, r, (xor(h, h >> 16)::HUGEINT * 2146121005 % 4294967296)::BIGINT AS h FROM a), c AS (SELECT doc_id, r, (xor(h, h >> 15)::HUGEINT * 2221713035 % 4294967296)::BIGINT AS h FROM b) SELECT doc_id, r::INTEGER AS turn, xor(h, h >> 16) AS seed FROM c")
+def repeat_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("turn"))
+    return docs.select("doc_id", "turn", repeat_seed(F.col("doc_id"), F.lit(77).cast("long"), F.col("turn").cast("long")).alias("seed"))
+
+
+@query("pcg32_stream", """
+    WITH RECURSIVE g(seed, i, st) AS (
+        SELECT d.doc_id, 0, ((2493549199::UHUGEINT + d.doc_id::UHUGEINT) % 18446744073709551616::UHUGEINT * 6364136223846793005::UHUGEINT + 2493549199::UHUGEINT) % 18446744073709551616::UHUGEINT FROM documents d
+        UNION ALL
+        SELECT seed, i + 1, (st * 6364136223846793005::UHUGEINT + 2493549199::UHUGEINT) % 18446744073709551616::UHUGEINT FROM g WHERE i < 4),
+    o AS (SELECT seed, i, (xor(st::UBIGINT >> 18::UBIGINT, st::UBIGINT) >> 27::UBIGINT) & 4294967295::UBIGINT AS x, st::UBIGINT >> 59::UBIGINT AS r FROM g)
+    SELECT seed, i AS draw, (((x >> r) | ((x::UHUGEINT * (1::UHUGEINT << ((32::UBIGINT - r) % 32::UBIGINT)::UHUGEINT)) % 4294967296::UHUGEINT)::UBIGINT) & 4294967295::UBIGINT)::BIGINT AS value FROM o
+""")
+def pcg32_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draw = F.pandas_udf(lambda s: s.map(lambda x: Pcg32(x).draw(5).astype("int64").tolist()), T.ArrayType(T.LongType()))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed"), F.posexplode(draw("doc_id")).alias("draw", "value"))
+
+
+# --- Seeded damage: no SQL twin; tests hold invariants and hand vectors ---------------------------------------------
+
+
+def seeded_query(name: str, **params) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = payloads(spark, sf_dir).withColumn("seed", F.col("doc_id")).withColumn("n_in", F.length("bytes"))
+        return seeded_steps.seeded(docs, name, **params).select("doc_id", "n_in", F.length("bytes").alias("n_out"), digest().alias("digest"))
+
+    query(f"seeded_{name}")(run)
+
+
+for _name, _params in {
+    "bitflip": {"rate": 200.0}, "byte_delete": {"count": 3, "length": 5}, "byte_insert": {"count": 2}, "fake_marker": {"count": 3}, "zero_run": {"length": 64}, "ransomware": {"kb": 1},
+    "stutter_read": {"cluster_kb": 1}, "dropped_sectors": {}, "tool_fill_pattern": {}, "flash_fault": {"mode": "burst", "page_kb": 2},
+}.items():
+    seeded_query(_name, **_params)
+
+
+# --- Donors ---------------------------------------------------------------------------------------------------------
+
+SQL_POOL = "p AS (SELECT a.doc_id, upper(hex(encode(a.text))) AS x, octet_length(encode(a.text)) AS n, upper(hex(encode(b.text))) AS y, octet_length(encode(b.text)) AS m FROM documents a JOIN documents b ON b.doc_id = (a.doc_id + 1) % (SELECT count(*) FROM documents))"
+SQL_BODY = "q AS (SELECT *, least(n, 624) AS s FROM p)"
+
+
+def donor_query(name: str, step: Callable[[Column, Column], Column], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pool = payloads(spark, sf_dir).withColumnRenamed("doc_id", "ord")
+        return donors.with_donor(pool).select(F.col("ord").alias("doc_id"), step(F.col("bytes"), F.col("other")).alias("bytes")).select("doc_id", F.length("bytes").cast("long").alias("n_out"), digest().alias("digest"))
+
+    query(name, f"WITH {SQL_POOL}, {SQL_BODY}, {sql} SELECT doc_id, len(h) // 2 AS n_out, md5(h) AS digest FROM r")(run)
+
+
+donor_query("card_cross_link", lambda b, o: donors.cross_link(b, o, 55, 1), "t AS (SELECT *, s + floor(floor((n - s) * 0.55::DOUBLE) / 1024)::BIGINT * 1024 AS k, floor(floor(m * 0.55::DOUBLE) / 1024)::BIGINT * 1024 AS d FROM q), r AS (SELECT doc_id, substr(x, 1, 2 * k) || substr(y, 2 * d + 1) AS h FROM t)")
+donor_query("card_recuva_contiguous", lambda b, o: donors.recuva_contiguous(b, o, 45, 1), "t AS (SELECT *, s + floor(floor((n - s) * 0.45::DOUBLE) / 1024)::BIGINT * 1024 AS k, floor((m // 3) / 1024)::BIGINT * 1024 AS d FROM q), r AS (SELECT doc_id, substr(x, 1, 2 * k) || substr(repeat(y, ceil((n - k + d) / m)::BIGINT), 2 * d + 1, 2 * (n - k)) AS h FROM t)")
+donor_query("card_interleave", lambda b, o: donors.interleave(b, o, 20, 1, 1), "t AS (SELECT *, s + floor(floor((n - s) * 0.2::DOUBLE) / 1024)::BIGINT * 1024 AS k FROM q), u AS (SELECT *, ceil((n - k) / 1024.0)::BIGINT AS turns, greatest(ceil(m / 1024.0)::BIGINT, 1) AS lap FROM t), r AS (SELECT doc_id, substr(x, 1, 2 * k) || array_to_string(list_transform(range(turns), lambda i: substr(x, 2 * (k + i * 1024) + 1, 2048) || CASE WHEN i < turns - 1 THEN substr(y, 2 * (i % lap) * 1024 + 1, 2048) ELSE '' END), '') AS h FROM u)")
+
+
+@query("pool_rotation", "SELECT a.doc_id, k::INTEGER AS k, (a.doc_id + 1 + k) % (SELECT count(*) FROM documents) AS donor FROM documents a, (SELECT unnest(range(3)) AS k)")
+def pool_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return donors.pool_rotation(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord")), 3).select(F.col("ord").alias("doc_id"), "k", "donor")
+
+
+# --- Cards: documents as files on cards of 64, the last 16 written after every other of the rest was deleted --------
+
+CLUSTER = 512
+SQL_CARD = f"""
+    files AS (SELECT doc_id // 64 AS card_id, doc_id % 64 AS file_no, octet_length(encode(text)) AS size FROM documents),
+    sized AS (SELECT *, (size + {CLUSTER} - 1) // {CLUSTER} AS n FROM files),
+    fresh AS (SELECT card_id, file_no, size, n, 2 + coalesce(sum(n) OVER (PARTITION BY card_id ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first,
+                     row_number() OVER (PARTITION BY card_id ORDER BY file_no) % 2 = 1 AS gone FROM sized WHERE file_no < 48),
+    old AS (SELECT card_id, file_no, gone, i AS pos, first + i AS cluster FROM (SELECT *, unnest(range(n)) AS i FROM fresh)),
+    hole AS (SELECT card_id, cluster, row_number() OVER (PARTITION BY card_id ORDER BY cluster) AS k FROM old WHERE gone),
+    need AS (SELECT card_id, file_no, i AS pos, row_number() OVER (PARTITION BY card_id ORDER BY file_no, i) AS k FROM (SELECT *, unnest(range(n)) AS i FROM sized WHERE file_no >= 48)),
+    fin AS (SELECT card_id, max(cluster) AS last, count(*) FILTER (gone) AS holes FROM old GROUP BY card_id),
+    new AS (SELECT need.card_id, need.file_no, need.pos, coalesce(hole.cluster, fin.last + need.k - fin.holes) AS cluster FROM need LEFT JOIN hole USING (card_id, k) JOIN fin USING (card_id)),
+    live AS (SELECT card_id, file_no, pos, cluster FROM old WHERE NOT gone UNION ALL SELECT * FROM new)"""
+
+
+def card_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    docs = payloads(spark, sf_dir)
+    files = docs.select(F.floor(F.col("doc_id") / 64).alias("card_id"), (F.col("doc_id") % 64).alias("file_no"), F.length("bytes").cast("long").alias("size"))
+    first = files.where("file_no < 48")
+    old = cards.allocate_fresh(first, CLUSTER)
+    gone = cards.deleted_every_other(first)
+    freed = old.join(gone.select("card_id", "file_no"), ["card_id", "file_no"], "left_semi")
+    new = cards.allocate_into_free(old, freed, files.where("file_no >= 48"), CLUSTER)
+    live = old.join(gone.select("card_id", "file_no"), ["card_id", "file_no"], "left_anti").unionByName(new)
+    return {"files": files, "old": old, "gone": gone, "freed": freed, "new": new, "live": live}
+
+
+@query("card_allocation", f"WITH {SQL_CARD} SELECT card_id, file_no, pos::INTEGER AS pos, cluster FROM live")
+def card_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return card_tables(spark, sf_dir)["live"]
+
+
+@query("card_fragments", f"WITH {SQL_CARD}, j AS (SELECT *, cluster - lag(cluster) OVER (PARTITION BY card_id, file_no ORDER BY pos) AS gap FROM live) SELECT card_id, file_no, count(*) AS clusters, count(*) FILTER (gap <> 1) + 1 AS fragments FROM j GROUP BY card_id, file_no")
+def card_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.fragments(card_tables(spark, sf_dir)["live"])
+
+
+@query("card_fat", f"WITH {SQL_CARD} SELECT card_id, cluster, lead(cluster) OVER (PARTITION BY card_id, file_no ORDER BY pos) AS next FROM live")
+def card_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.fat(card_tables(spark, sf_dir)["live"])
+
+
+@query("card_fat_chains", f"WITH {SQL_CARD}, h AS (SELECT card_id, file_no, min(cluster) FILTER (pos = 0) AS head FROM live GROUP BY 1, 2) SELECT card_id, head, pos, cluster FROM live JOIN h USING (card_id, file_no)")
+def card_fat_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    live = card_tables(spark, sf_dir)["live"]
+    return cards.follow_chains(cards.fat(live), live.where("pos = 0").select("card_id", F.col("cluster").alias("head")))
+
+
+@query("card_unclaimed_islands", f"WITH {SQL_CARD}, u AS (SELECT card_id, cluster FROM old WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.card_id = old.card_id AND l.cluster = old.cluster)), r AS (SELECT *, cluster - row_number() OVER (PARTITION BY card_id ORDER BY cluster) AS run FROM u) SELECT card_id, min(cluster) AS first, max(cluster) AS last, count(*) AS clusters FROM r GROUP BY card_id, run")
+def card_unclaimed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = card_tables(spark, sf_dir)
+    return cards.islands(cards.unclaimed(t["old"].select("card_id", "cluster"), t["live"]))
+
+
+@query("card_overwritten", f"WITH {SQL_CARD} SELECT n.card_id, n.file_no, o.file_no AS victim, count(*) AS clusters FROM new n JOIN old o ON o.card_id = n.card_id AND o.cluster = n.cluster WHERE o.gone GROUP BY 1, 2, 3")
+def card_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = card_tables(spark, sf_dir)
+    return cards.overwritten(t["freed"], t["new"])
+
+
+@query("card_undelete_contiguous", f"WITH {SQL_CARD} SELECT o.card_id, o.file_no, count(*) AS clusters, count(*) FILTER (l.cluster IS NULL) AS intact FROM old o LEFT JOIN live l ON l.card_id = o.card_id AND l.cluster = o.cluster WHERE o.gone GROUP BY 1, 2")
+def card_undelete_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = card_tables(spark, sf_dir)
+    first = t["old"].where("pos = 0").select("card_id", "file_no", F.col("cluster").alias("first"))
+    return cards.undelete_contiguous(t["gone"].join(first, ["card_id", "file_no"]), t["live"], CLUSTER)
+
+
+@query("card_dense_image", f"WITH {SQL_CARD}, e AS (SELECT card_id, max(cluster) AS last FROM live GROUP BY card_id), a AS (SELECT card_id, unnest(range(2, last + 1)) AS cluster FROM e) SELECT a.card_id, a.cluster, CASE WHEN l.cluster IS NULL THEN 'blank' ELSE 'used' END AS state FROM a LEFT JOIN live l ON l.card_id = a.card_id AND l.cluster = a.cluster")
+def card_dense_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = card_tables(spark, sf_dir)["live"]
+    return cards.dense_image(live, live.groupBy("card_id").agg(F.max("cluster").alias("last")))
+
+
+@query("card_cluster_kinds", "WITH p AS (SELECT doc_id, encode(text) AS b FROM documents) SELECT doc_id, CASE WHEN octet_length(b) = 0 THEN 'empty' ELSE 'other' END AS kind FROM p")
+def card_cluster_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.cluster_kinds(payloads(spark, sf_dir)).select("doc_id", "kind")
+
+
+# --- Photos: synthetic files, their structure, marker-level edits ---------------------------------------------------
+
+
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic JPEG file of 600 to 2500 bytes for each document: (photo_id, bytes)."""
+    make = F.pandas_udf(lambda s: s.map(lambda i: markers.fake_photo(int(i), 600 + int(i) % 1900)), T.BinaryType())
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo_id"), make("doc_id").alias("bytes"))
+
+
+@query("photo_segments", "SELECT doc_id AS photo_id, s.n::INTEGER AS seq, s.name AS name FROM documents, (SELECT unnest([0, 1, 2, 3, 4]) AS n, unnest(['SOI', 'DQT', 'SOF0', 'SOS', 'EOI']) AS name) s")
+def photo_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers.segment_table(photos(spark, sf_dir)).select("photo_id", "seq", "name")
+
+
+@query("photo_sof_dims", "SELECT doc_id AS photo_id, 'FFC00011080010002003012200021100031100' AS frame FROM documents")
+def photo_sof_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The width in each frame header, at its place from the segment table, made 16 larger."""
+    all_photos = photos(spark, sf_dir)
+    frame = markers.segment_table(all_photos).where("name = 'SOF0'").select("photo_id", F.col("offset").alias("at"))
+    joined = all_photos.join(frame, "photo_id")
+    width = F.conv(F.hex(F.substring("bytes", F.col("at") + 8, F.lit(2))), 16, 10).cast("int") + 16
+    changed = F.overlay("bytes", F.unhex(F.lpad(F.hex(width), 4, "0")), F.col("at") + 8, F.lit(2))
+    return joined.select("photo_id", F.hex(F.substring(changed, F.col("at") + 1, F.lit(19))).alias("frame"))
+
+
+@query("photo_header_graft", "SELECT doc_id AS photo_id, (doc_id + 1) % (SELECT count(*) FROM documents) AS donor, true AS same_header FROM documents")
+def photo_header_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies under the header of the next photo of the same camera: the best donor has equal tables."""
+    pool = photos(spark, sf_dir)
+    scans = markers.segment_table(pool).where("name = 'SOS'").select("photo_id", F.col("end").alias("body"))
+    parts = pool.join(scans, "photo_id").select(F.col("photo_id").alias("ord"), F.expr("substring(bytes, 1, body)").alias("header"), F.expr("substring(bytes, body + 1)").alias("rest"))
+    turn = donors.pool_rotation(parts.select("ord"), 1)
+    donor = parts.select(F.col("ord").alias("donor"), F.col("header").alias("other"))
+    joined = parts.join(turn, "ord").join(donor, "donor")
+    return joined.select(F.col("ord").alias("photo_id"), "donor", (F.substring(F.concat("other", "rest"), F.lit(1), F.length("header")) == F.col("header")).alias("same_header"))
+
+
+@query("payload_kinds", "SELECT doc_id, 'unknown' AS kind FROM documents UNION ALL SELECT doc_id, 'photo' FROM documents")
+def payload_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = payloads(spark, sf_dir).withColumn("path", F.lit("a.bin"))
+    made = photos(spark, sf_dir).select(F.col("photo_id").alias("doc_id"), "bytes", F.lit("b.dat").alias("path"))
+    return docs.unionByName(made).select("doc_id", payload_kind(F.col("path"), F.col("bytes")).alias("kind"))
+
+
+# --- Coefficient blocks: the first 64 numbers of each embedding, in thousandths --------------------------------------
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 64), lambda v: F.round(v.cast("double") * 1000).cast("int")).alias("coef"))
+
+
+SQL_BLOCKS = "b AS (SELECT vec_id, label, list_transform(embedding[1:64], lambda v: round(v::DOUBLE * 1000)::INTEGER) AS coef FROM embeddings)"
+
+
+@query("block_energy", f"WITH {SQL_BLOCKS} SELECT vec_id, list_sum(list_transform(coef[2:], lambda v: v::BIGINT * v))::BIGINT AS energy, len(list_filter(coef, lambda v: v = 0))::INTEGER AS zeros, list_sort(coef)[len(coef) // 2 + 1] AS median FROM b")
+def block_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("coef")
+    return blocks(spark, sf_dir).select("vec_id", coefficients.energy(c).alias("energy"), coefficients.zeros(c).alias("zeros"), coefficients.upper_median(c).alias("median"))
+
+
+_ORDER = "[" + ", ".join(map(str, coefficients.zigzag())) + "]"
+
+
+@query("block_kill", f"WITH {SQL_BLOCKS} SELECT vec_id, array_to_string(list_transform(range(1, len(coef) + 1), lambda i: CASE WHEN {_ORDER}[i] BETWEEN 10 AND 63 THEN 0 ELSE coef[i] END), ',') AS coef FROM b")
+def block_kill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(spark, sf_dir).select("vec_id", F.concat_ws(",", coefficients.kill(F.col("coef"), 10, 63).cast("array<string>")).alias("coef"))
+
+
+@query("block_drop", f"WITH {SQL_BLOCKS} SELECT vec_id, array_to_string(list_transform(coef, lambda v: least(-v, 32767)), ',') AS negated, array_to_string(list_transform(range(1, len(coef) + 1), lambda i: CASE WHEN i = 1 THEN coef[i] ELSE 0 END), ',') AS flat FROM b")
+def block_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("coef")
+    return blocks(spark, sf_dir).select("vec_id", F.concat_ws(",", coefficients.drop(c, "negate").cast("array<string>")).alias("negated"), F.concat_ws(",", coefficients.drop(c, "flat").cast("array<string>")).alias("flat"))
+
+
+@query("block_dc_running", f"WITH {SQL_BLOCKS} SELECT vec_id, sum(coef[1]) OVER (PARTITION BY label, vec_id // 16 ORDER BY vec_id)::BIGINT AS dc FROM b")
+def block_dc_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir).select("vec_id", F.col("label").alias("photo"), F.floor(F.col("vec_id") / 16).alias("interval"), F.col("vec_id").alias("seq"), F.element_at("coef", 1).alias("diff"))
+    return coefficients.dc_from_differences(rows).select("vec_id", "dc")

@@ -36,9 +36,10 @@ def byte_swap16(b: Column, start: float = 50, end: float = 100) -> Column:
 def seven_bit(b: Column, start: float = 30) -> Column:
     """Clear the top bit of every byte from ``start`` percent to the end."""
     low = share(b, start)
-    # The 128 upper Latin-1 characters, in order, become their lower halves.
-    upper, lower = "".join(map(chr, range(128, 256))), "".join(map(chr, range(128)))
-    return F.concat(head(b, low), unlatin(F.translate(latin(tail(b, low)), upper, lower)))
+    # Upper Latin-1 characters, in order, become their lower halves; translate() cannot write a NUL, so 0x80 goes apart.
+    upper, lower = "".join(map(chr, range(129, 256))), "".join(map(chr, range(1, 128)))
+    cleared = F.regexp_replace(F.translate(latin(tail(b, low)), upper, lower), "\u0080", "\u0000")
+    return F.concat(head(b, low), unlatin(cleared))
 
 
 def zero_fill(b: Column, at: float = 50, length: int = 4096) -> Column:

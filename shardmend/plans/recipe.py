@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
@@ -59,3 +60,18 @@ def parse_recipe(text: str) -> Recipe:
         else:
             nodes.append(step(x))
     return Recipe(nodes)
+
+
+def plan_keys(recipe: Recipe, source: str = "") -> list[str]:
+    """A key for the result after each node: equal keys mean equal results, so a written prefix can be read again.
+
+    A disabled node, and a repeat with nothing to do, keep the key before them.
+    """
+    keys, key = [], hashlib.sha256(source.encode()).hexdigest()
+    for node in recipe.nodes:
+        steps = unrolled(Recipe([node]))
+        if steps:
+            said = json.dumps([[s.id, s.params, s.seed] for s in steps], sort_keys=True)
+            key = hashlib.sha256(f"{key}{said}".encode()).hexdigest()
+        keys.append(key)
+    return keys
