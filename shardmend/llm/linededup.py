@@ -94,13 +94,10 @@ def distinct_tokens(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.n
     return key[new], line[new]
 
 
-LISTED = "token long, d long, at long, low long, high long"
-
-
 def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndarray | None = None) -> DataFrame:
     """(token, d, at, low, high): each line under its prefix tokens; ``at`` packs line number, size and position.
 
-    ``tokens``: a filter over tokens; then only rows that it passes come, with the line itself.
+    ``tokens``: a filter over tokens; then only rows that it passes come.
     """
     spark = docs.sparkSession.sparkContext
     shared, wanted = spark.broadcast(grades), None if tokens is None else spark.broadcast(np.packbits(tokens))
@@ -130,12 +127,7 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndar
                 group, position, token = group[some], position[some], token[some]
             of = line[first][group]
             at = (number[of] << 32) | (np.minimum(n[group], 65535) << 16) | np.minimum(position, 65535)
-            columns = [pa.array(x.view(np.int64)) for x in (token, ids[i + row[of]], at, low[group], high[group])]
-            if bits is None:
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "d", "at", "low", "high"])
-            else:
-                text = [bytes(part[bounds[k] : bounds[k + 1]]).rstrip(b"\n").decode() for k in of.tolist()]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.string())], names=["token", "d", "at", "low", "high", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (token, ids[i + row[of]], at, low[group], high[group])], names=["token", "d", "at", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.unpackbits(wanted.value).astype(bool)
@@ -143,7 +135,7 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndar
             yield from index(batch, bits)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text")
-    return rows.mapInArrow(run, LISTED + ("" if tokens is None else ", line string"))
+    return rows.mapInArrow(run, "token long, d long, at long, low long, high long")
 
 
 def ones(z: np.ndarray) -> np.ndarray:
@@ -228,6 +220,41 @@ def look_back(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, differ long")
 
 
+def near_askers(rows: DataFrame) -> DataFrame:
+    """(token, pair, d, at, low, high, asks): of sorted rows, asking lines and earlier lines that may match them."""
+    names = ("token", "pair", "d", "at", "low", "high", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, count = [], [], 0
+        for batch in batches:
+            waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            count += batch.num_rows
+            if count >= LOOK_ROWS:
+                held, found = keep(held, waiting)
+                waiting, count = [], 0
+                yield found
+        if waiting:
+            yield keep(held, waiting)[1]
+
+    def keep(held: list[np.ndarray], waiting: list[list[np.ndarray]]) -> tuple[list[np.ndarray], pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
+        token, pair, d, at, low, high, asks = columns
+        begin = _groups(token, pair)
+        active = np.arange(len(held[0]) if held else 0, len(token))
+        active = active[asks[active].astype(bool)]
+        near = np.zeros(len(token), bool)
+        lag = 1
+        while len(active := active[active - lag >= begin[active]]):
+            x = active[filtered(active, active - lag, at, low, high)[0]]
+            near[x] = near[x - lag] = True
+            lag += 1
+        last = int(begin[-1])
+        some = np.flatnonzero(near)
+        return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], names=list(names))
+
+    return rows.mapInArrow(run, "token long, pair long, d long, at long, low long, high long, asks boolean").distinct()
+
+
 def look_through(rows: DataFrame) -> DataFrame:
     """(d, l): asking lines that match any earlier line under the same token, checked on the lines themselves.
 
@@ -236,25 +263,24 @@ def look_through(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        at, low, high, ids, sets = [], [], [], [], []
+        at, low, high, ids, lines = [], [], [], [], []
         for batch in batches:
             out: list[tuple[int, int]] = []
             for token, pair, d, a, lo, hi, line, asks in zip(*(batch.column(c).to_pylist() for c in ("token", "pair", "d", "at", "low", "high", "line", "asks")), strict=True):
                 if group != (token, pair):
                     group = (token, pair)
-                    at, low, high, ids, sets = [], [], [], [], []
-                own = line.encode()
+                    at, low, high, ids, lines = [], [], [], [], []
                 at.append(a)
                 low.append(lo)
                 high.append(hi)
                 ids.append((d, a >> 32))
-                sets.append(own)
+                lines.append(line.encode())
                 if asks and len(at) > 1:
                     n = len(at) - 1
                     hit, differ, _ = filtered(np.full(n, n), np.arange(n), np.array(at), np.array(low), np.array(high))
-                    words = set(own.split())
+                    words = set(lines[n].split())
                     for k in hit[np.argsort(differ, kind="stable")].tolist():
-                        other = set(sets[k].split())
+                        other = set(lines[k].split())
                         if ids[k] != ids[n] and 100 * len(words & other) >= PERCENT * len(words | other):
                             out.append(ids[n])
                             break
@@ -275,7 +301,11 @@ def grouped(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
         own = F.pmod(F.xxhash64("d", F.shiftright("at", 32)), n)
         dealt = tokens.withColumn("_n", n).withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))))
         plain = dealt.withColumn("pair", F.least("_own", "_with") * F.col("_n") + F.greatest("_own", "_with")).drop("_n", "_own", "_with")
-    return plain.repartition("token", "pair").sortWithinPartitions("token", "pair", "d", "at")
+    return sorted_groups(plain)
+
+
+def sorted_groups(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token", "pair").sortWithinPartitions("token", "pair", "d", "at")
 
 
 def _positions(d: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,12 +386,15 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     failed = materialise(rest)
     if failed.limit(1).count():
         # A look may have ended at a line that didn't match: these lines look through everything under their tokens.
+        # The lists alone first tell what may match them, and only those lines are brought to be checked.
         own = texts.join(failed, ["d", "l"], "left_semi").select(F.col("d").alias("doc_id"), F.col("line").alias("text"))
         tokens = materialise(listed(own, grades, min_tokens).select("token").distinct())
         some = listed(docs, grades, min_tokens, wanted_filter(tokens.select(F.col("token").alias("d"), F.lit(0).cast("long").alias("l"))))
         some = some.join(tokens, "token", "left_semi").withColumn("l", F.shiftright("at", 32))
         asking = some.join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
-        found = look_through(grouped(asking, counts)).join(texts, ["d", "l"])
+        near = materialise(near_askers(grouped(asking, counts)).withColumn("l", F.shiftright("at", 32)))
+        lines = line_texts(docs, near.select("d", "l").distinct())
+        found = look_through(sorted_groups(near.join(lines, ["d", "l"]).drop("l"))).join(texts, ["d", "l"])
         gone = gone.unionByName(found.select("d", "l", F.xxhash64("line").alias("mark")))
     return gone.distinct()
 
