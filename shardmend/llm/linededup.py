@@ -30,7 +30,7 @@ CELLS = 1 << 20
 #: A token is a grade of one byte and so many bits of a hash of the word.
 HASH_BITS = 43
 #: Tokens with more occurrences are dealt over pairs of parts of about half as many rows.
-HOT = 100_000
+HOT = 1_000_000
 FILTER_BITS = 1 << 24
 CHUNK = 1 << 19
 LOOK_ROWS = 1 << 16
