@@ -26,7 +26,7 @@ from shardmend.llm.common import arrow_map, materialise, mix64, row_groups, stri
 
 PERCENT = 80
 MIN_TOKENS = 5
-CELLS = 1 << 20
+CELLS, PIECES = 1 << 20, 64
 #: A token is a grade of one byte and so many bits of a hash of the word.
 HASH_BITS = 43
 #: Tokens with more occurrences are dealt over pairs of parts of about half as many rows.
@@ -34,12 +34,18 @@ HOT = 1_000_000
 FILTER_BITS = 1 << 24
 CHUNK = 1 << 19
 LOOK_ROWS = 1 << 16
+#: Unsure candidates that a line gives out under one token.
+DEPTH = 16
 #: Distance between the null doc_id and others.
 NULL_ID = -(1 << 63)
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences over all documents by cell of the token's hash."""
+    """Occurrences over all documents by cell of the token's hash. Tasks give whole arrays in pieces, which are summed."""
+    size = CELLS // PIECES
+
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, cells, held = np.zeros(CELLS, np.int64), [], 0
@@ -54,13 +60,20 @@ def token_counts(docs: DataFrame) -> np.ndarray:
                     cells, held = [], 0
         if cells:
             total += np.bincount(np.concatenate(cells), minlength=CELLS)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+        yield rows({p: x for p, x in enumerate(total.reshape(PIECES, size)) if x.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[p] = total.get(p, 0) + np.frombuffer(x, np.int64)
+        yield rows(total)
 
-    out = np.zeros(CELLS, np.int64)
-    found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
+    kind = "piece int, counts binary"
+    out = np.zeros((PIECES, size), np.int64)
+    for row in docs.select("text").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).toLocalIterator():
+        out[row["piece"]] += np.frombuffer(row["counts"], np.int64)
+    return out.ravel()
 
 
 def graded(counts: np.ndarray) -> np.ndarray:
@@ -173,8 +186,8 @@ def _looked(held: list[np.ndarray], waiting: list[list[np.ndarray]]) -> tuple[li
     token, pair, d, at, low, high = columns
     begin = _groups(token, pair)
     active = np.arange(len(held[0]) if held else 0, len(token))
-    had = np.zeros(len(token), bool)
-    out = [np.zeros((3, 0), np.int64)]
+    had = np.zeros(len(token), np.int64)
+    out = [np.zeros((4, 0), np.int64)]
     lag = 1
     while len(active := active[active - lag >= begin[active]]):
         hit, differ, most = filtered(active, active - lag, at, low, high)
@@ -182,26 +195,25 @@ def _looked(held: list[np.ndarray], waiting: list[list[np.ndarray]]) -> tuple[li
         apart = (d[x] != d[x - lag]) | (at[x] >> 32 != at[x - lag] >> 32)
         x, differ, most, hit = x[apart], differ[apart], most[apart], hit[apart]
         sure = 2 * differ <= most
-        # Lines that look equal meet under their first token too: there the pair is given out.
-        again = (differ == 0) & ((at[x] & 65535) > 0) & ((at[x] & 0xFFFFFFFF) == (at[x - lag] & 0xFFFFFFFF))
-        give = (sure | ~had[x]) & ~again
-        out.append(np.stack([x, x - lag, differ])[:, give])
-        had[x] = True
+        had[x] += 1
+        give = sure | (had[x] <= DEPTH)
+        out.append(np.stack([x, x - lag, differ, sure | (had[x] == DEPTH)])[:, give])
         stays = np.ones(len(active), bool)
         stays[hit[sure]] = False
         active = active[stays]
         lag += 1
-    x, y, differ = np.concatenate(out, axis=1)
+    x, y, differ, more = np.concatenate(out, axis=1)
     last = int(begin[-1])
-    names = ["xd", "xl", "yd", "yl", "differ"]
-    return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(c) for c in (d[x], at[x] >> 32, d[y], at[y] >> 32, differ)], names=names)
+    names = ["xd", "xl", "yd", "yl", "differ", "more"]
+    return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(c) for c in (d[x], at[x] >> 32, d[y], at[y] >> 32, differ, more)], names=names)
 
 
 def look_back(rows: DataFrame) -> DataFrame:
-    """(xd, xl, yd, yl, differ): lines and earlier lines under the same token that may match.
+    """(xd, xl, yd, yl, differ, more): lines and earlier lines under the same token that may match.
 
     Rows come sorted by (token, pair, d, at). Each looks one line further back at a time, to the first that differs by
-    no more than half of what a match may. That one is given out, and the first that may match at all.
+    no more than half of what a match may. That one is given out, and the first DEPTH that may match at all; ``more``
+    is 1 where others may lie beyond.
     """
     names = ("token", "pair", "d", "at", "low", "high")
 
@@ -217,7 +229,7 @@ def look_back(rows: DataFrame) -> DataFrame:
         if waiting:
             yield _looked(held, waiting)[1]
 
-    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, differ long")
+    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, differ long, more long")
 
 
 def near_askers(rows: DataFrame) -> DataFrame:
@@ -376,16 +388,18 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(d, l, mark) of the lines that go."""
     counts = token_counts(docs)
     grades = graded(counts)
-    pairs = materialise(look_back(grouped(listed(docs, grades, min_tokens), counts)))
+    pairs = look_back(grouped(listed(docs, grades, min_tokens), counts))
     x = ["xd", "xl"]
+    found = materialise(pairs.groupBy(*x, "yd", "yl").agg(F.min("differ").alias("differ"), F.max("more").alias("more")))
+    texts = materialise(line_texts(docs, found.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(found.select("yd", "yl")).distinct()))
     # One pair of each line first, of those that differ least; the others only for lines that are left.
-    best = materialise(pairs.groupBy(*x).agg(F.min(F.struct("differ", "yd", "yl")).alias("y")).select(*x, "y.yd", "y.yl"))
-    texts = materialise(line_texts(docs, best.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(best.select("yd", "yl")).distinct()))
+    best = found.groupBy(*x).agg(F.min(F.struct("differ", "yd", "yl")).alias("y")).select(*x, "y.yd", "y.yl")
     gone = materialise(matches(best, texts))
-    rest = best.select(F.col("xd").alias("d"), F.col("xl").alias("l")).join(gone, ["d", "l"], "left_anti")
-    failed = materialise(rest)
+    left = found.join(gone.select(F.col("d").alias("xd"), F.col("l").alias("xl")), x, "left_anti")
+    gone = materialise(gone.unionByName(matches(left, texts)).distinct())
+    failed = materialise(left.where("more = 1").select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct().join(gone, ["d", "l"], "left_anti"))
     if failed.limit(1).count():
-        # A look may have ended at a line that didn't match: these lines look through everything under their tokens.
+        # A look ended at lines that didn't match, with others beyond: these lines look through everything under their tokens.
         # The lists alone first tell what may match them, and only those lines are brought to be checked.
         own = texts.join(failed, ["d", "l"], "left_semi").select(F.col("d").alias("doc_id"), F.col("line").alias("text"))
         tokens = materialise(listed(own, grades, min_tokens).select("token").distinct())
@@ -394,8 +408,8 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
         asking = some.join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
         near = materialise(near_askers(grouped(asking, counts)).withColumn("l", F.shiftright("at", 32)))
         lines = line_texts(docs, near.select("d", "l").distinct())
-        found = look_through(sorted_groups(near.join(lines, ["d", "l"]).drop("l"))).join(texts, ["d", "l"])
-        gone = gone.unionByName(found.select("d", "l", F.xxhash64("line").alias("mark")))
+        last = look_through(sorted_groups(near.join(lines, ["d", "l"]).drop("l"))).join(texts, ["d", "l"])
+        gone = gone.unionByName(last.select("d", "l", F.xxhash64("line").alias("mark")))
     return gone.distinct()
 
 
