@@ -24,7 +24,7 @@ from shardmend.llm.common import arrow_map, row_groups, utf8, word_hashes
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
-ROUNDS, PAIR_ROUNDS, RATE, RIDGE, LEAVES = 120, 40, 0.15, 1.0, 4
+ROUNDS, PAIR_ROUNDS, RATE, RIDGE, LEAVES = 120, 40, 0.15, 5.0, 4
 NAMES = ("log_bytes", "upper", "digit", "symbol", "bang", "bar", "stop", "space", "line_ends", "high_bytes", "word_length", "adjacent_repeats", "distinct_words", "words_per_line")
 
 #: Byte classes: 0 other, 1 upper case, 2 digit, 3 symbol, 4 exclamation, 5 bar, 6 full stop or comma, 7 space, 8 line end, 9 not ASCII.
