@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from shardmend.functions.prng import Pcg32, batch_seed, repeat_seed
 from shardmend.operators import byte_steps, cards, coefficients, donors, seeded_steps
+from shardmend.plans import presets
 from shardmend.plans.recipe import Recipe, Repeat, Step, apply_recipe, parse_recipe, plan_keys
 from shardmend.sources import markers
 from shardmend.sources.files import payload_kind
@@ -320,6 +321,64 @@ def photo_header_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("ord").alias("photo_id"), "donor", (F.substring(F.concat("other", "rest"), F.lit(1), F.length("header")) == F.col("header")).alias("same_header"))
 
 
+@query("photo_cbcr_swap", "SELECT doc_id AS photo_id, 'FFC0001108001000100301220003110002110' || '0' AS frame FROM documents")
+def photo_cbcr_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second and third component of each frame change names, so that their colours change places."""
+    all_photos = photos(spark, sf_dir)
+    frame = markers.segment_table(all_photos).where("name = 'SOF0'").select("photo_id", F.col("offset").alias("at"))
+    joined = all_photos.join(frame, "photo_id")
+    second, third = F.substring("bytes", F.col("at") + 14, F.lit(1)), F.substring("bytes", F.col("at") + 17, F.lit(1))
+    changed = F.overlay(F.overlay("bytes", third, F.col("at") + 14, F.lit(1)), second, F.col("at") + 17, F.lit(1))
+    return joined.select("photo_id", F.hex(F.substring(changed, F.col("at") + 1, F.lit(19))).alias("frame"))
+
+
+@query("photo_qtable_scale", "SELECT doc_id AS photo_id, array_to_string(list_transform(range(1, 65), lambda v: least(greatest(floor(v * 2.5 + 0.5)::INTEGER, 1), 255)), ',') AS qtable FROM documents")
+def photo_qtable_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantisation values times 2.5, rounded half up and kept in a byte."""
+    all_photos = photos(spark, sf_dir)
+    tables = markers.segment_table(all_photos).where("name = 'DQT'").select("photo_id", (F.col("start") + 1).alias("at"))
+    pairs = F.regexp_extract_all(F.hex(F.substring("bytes", F.col("at") + 1, F.lit(64))), F.lit("(..)"), F.lit(1))
+    scaled = F.transform(pairs, lambda p: F.least(F.greatest(F.floor(F.conv(p, 16, 10).cast("int") * F.lit(2.5) + 0.5).cast("int"), F.lit(1)), F.lit(255)))
+    return all_photos.join(tables, "photo_id").select("photo_id", F.concat_ws(",", scaled.cast("array<string>")).alias("qtable"))
+
+
+def photo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos one after another on cards of 64, cut into clusters: (card_id, cluster, file_no, bytes)."""
+    files = photos(spark, sf_dir).select(F.floor(F.col("photo_id") / 64).alias("card_id"), (F.col("photo_id") % 64).alias("file_no"), F.length("bytes").cast("long").alias("size"), "bytes")
+    chain = cards.allocate_fresh(files.drop("bytes"), CLUSTER)
+    return chain.join(files.drop("size"), ["card_id", "file_no"]).select("card_id", "cluster", "file_no", F.expr(f"substring(bytes, pos * {CLUSTER} + 1, {CLUSTER})").alias("bytes"))
+
+
+@query("card_carve")
+def card_carve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.carved(photo_clusters(spark, sf_dir).drop("file_no")).select("card_id", "first", "clusters", "complete", digest().alias("digest"))
+
+
+@query("card_carve_and_graft")
+def card_carve_and_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carving after every third photo lost its first cluster: headless bodies go under a header of their card."""
+    stored = photo_clusters(spark, sf_dir)
+    first = stored.groupBy("card_id", "file_no").agg(F.min("cluster").alias("cluster"))
+    left = stored.join(first.where("file_no % 3 = 0").select("card_id", "cluster"), ["card_id", "cluster"], "left_anti")
+    found = cards.carved(left.drop("file_no"))
+    bodies = left.where("file_no % 3 = 0").groupBy("card_id", "file_no").agg(F.min("cluster").alias("first"), F.sort_array(F.collect_list(F.struct("cluster", "bytes"))).alias("rows"))
+    pieces = bodies.select("card_id", "first", F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["bytes"])), "")).alias("bytes"))
+    headers = found.where("complete").select("card_id", F.substring("bytes", 1, 104).alias("header"))
+    grafts = cards.grafted(pieces, headers).select("card_id", "first", F.lit(True).alias("graft"), digest().alias("digest"))
+    return found.select("card_id", "first", F.lit(False).alias("graft"), digest().alias("digest")).unionByName(grafts)
+
+
+@query("preset_stories")
+def preset_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every story at half its worst on every payload, seeds counted up over the batch."""
+    docs = payloads(spark, sf_dir)
+    out = [apply_recipe(docs, presets.story(name, 0.5, 7), seed="doc_id").select("doc_id", F.lit(name).alias("story"), F.length("bytes").alias("n_out"), digest().alias("digest")) for name in presets.STORIES]
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 @query("payload_kinds", "SELECT doc_id, 'unknown' AS kind FROM documents UNION ALL SELECT doc_id, 'photo' FROM documents")
 def payload_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = payloads(spark, sf_dir).withColumn("path", F.lit("a.bin"))

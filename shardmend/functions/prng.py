@@ -72,3 +72,11 @@ def repeat_seed(child: Column, group: Column, turn: Column) -> Column:
 def batch_seed(seed: Column, i: Column) -> Column:
     """The seed of the i-th payload of a batch."""
     return (seed + i).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def turn_seed(child: int, group: int, turn: int) -> int:
+    """``repeat_seed`` for plain numbers, where a recipe is unrolled."""
+    h = (child ^ group * GROUP_FACTOR ^ (turn + 1) * ROUND_FACTOR) & 0xFFFFFFFF
+    for shift, factor in ((16, MIX_A), (15, MIX_B)):
+        h = (h ^ h >> shift) * factor & 0xFFFFFFFF
+    return h ^ h >> 16

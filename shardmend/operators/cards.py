@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shardmend.sources import markers
+
 FIRST_CLUSTER = 2
 MAX_CLUSTERS = 4_194_304
 
@@ -114,6 +116,32 @@ def dense_image(clusters: DataFrame, cards: DataFrame) -> DataFrame:
     return every.join(clusters.select("card_id", "cluster", F.lit("used").alias("state")), ["card_id", "cluster"], "left").withColumn("state", F.coalesce("state", F.lit("blank")))
 
 
+def carved(clusters: DataFrame) -> DataFrame:
+    """(card_id, first, clusters, complete, bytes): files carved from stored clusters (card_id, cluster, bytes).
+
+    A file begins at a cluster that starts with a photo header and runs over the clusters that follow it, up to the next
+    header, a blank, or the end marker of its scan, where it is cut. A running count of such starts numbers the files.
+    """
+    order = W.partitionBy("card_id").orderBy("cluster")
+    header = F.hex(F.substring("bytes", 1, 3)) == "FFD8FF"
+    fresh = header | (F.col("cluster") - F.coalesce(F.lag("cluster").over(order), F.col("cluster")) > 1)
+    numbered = clusters.withColumn("_head", header).withColumn("_no", F.sum(fresh.cast("int")).over(order))
+    files = numbered.groupBy("card_id", "_no").agg(F.min("cluster").alias("first"), F.count(F.lit(1)).alias("clusters"), F.min_by("_head", "cluster").alias("_head"), F.sort_array(F.collect_list(F.struct("cluster", "bytes"))).alias("_rows"))
+    whole = F.unhex(F.array_join(F.transform("_rows", lambda r: F.hex(r["bytes"])), ""))
+    cut = F.pandas_udf(lambda s: s.map(lambda b: markers.photo_end(bytes(b))), "int")
+    ends = files.where("_head").select("card_id", "first", "clusters", whole.alias("bytes")).withColumn("_end", cut("bytes"))
+    return ends.select("card_id", "first", "clusters", F.col("_end").isNotNull().alias("complete"), F.when(F.col("_end").isNull(), F.col("bytes")).otherwise(F.expr("substring(bytes, 1, _end)")).alias("bytes"))
+
+
+def grafted(pieces: DataFrame, donors: DataFrame) -> DataFrame:
+    """(card_id, first, bytes): bodies without a header under the longest header of their card.
+
+    ``pieces``: (card_id, first, bytes). ``donors``: (card_id, header). Of equal lengths the last in byte order counts.
+    """
+    best = donors.groupBy("card_id").agg(F.max(F.struct(F.length("header").alias("n"), "header"))["header"].alias("header"))
+    return pieces.join(best, "card_id").select("card_id", "first", F.concat("header", "bytes").alias("bytes"))
+
+
 def cluster_kinds(data: DataFrame, column: str = "bytes") -> DataFrame:
     """``data`` with ``kind``: empty, header, body or other, by its first bytes and the shares of zero and FF bytes."""
     hexed = F.hex(column)

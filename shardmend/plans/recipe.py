@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardmend.functions.prng import Pcg32, turn_seed
 from shardmend.operators.byte_steps import STEPS
+from shardmend.operators.seeded_steps import STEPS as SEEDED
 
 
 @dataclass
@@ -25,6 +28,7 @@ class Repeat:
     steps: list[Step]
     times: int = 1
     enabled: bool = True
+    seed: int = 0
 
 
 @dataclass
@@ -32,19 +36,57 @@ class Recipe:
     nodes: list[Step | Repeat]
 
 
-def apply_recipe(df: DataFrame, recipe: Recipe, column: str = "bytes") -> DataFrame:
-    """``df`` with ``column`` run through the recipe, as one projection per step."""
+def apply_recipe(df: DataFrame, recipe: Recipe, column: str = "bytes", seed: str | None = None) -> DataFrame:
+    """``df`` with ``column`` run through the recipe.
+
+    Steps without seeds become projections. Neighbouring seeded steps are fused, so that a payload goes to Python and
+    back once for all of them; ``seed`` names a column that is added to their seeds, as for the payloads of a batch.
+    A kernel that fails passes its input on.
+    """
+    waiting: list[Step] = []
     for step in unrolled(recipe):
+        if step.id in SEEDED:
+            waiting.append(step)
+            continue
+        df = _fused(df, waiting, column, seed)
+        waiting = []
         df = df.withColumn(column, STEPS[step.id](F.col(column), **step.params))
-    return df
+    return _fused(df, waiting, column, seed)
+
+
+def _fused(df: DataFrame, steps: list[Step], column: str, seed: str | None) -> DataFrame:
+    if not steps:
+        return df
+    steps = list(steps)
+
+    def one(data: bytes, add: int) -> bytes:
+        for step in steps:
+            try:
+                data = SEEDED[step.id](data, Pcg32((step.seed + add) & 0xFFFFFFFF), **step.params)
+            except (ValueError, IndexError):
+                continue
+        return data
+
+    def run(batches):
+        for batch in batches:
+            adds = batch.column(seed).to_pylist() if seed else [0] * batch.num_rows
+            done = [None if b is None else one(b, a or 0) for b, a in zip(batch.column(column).to_pylist(), adds, strict=True)]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(done, pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def unrolled(recipe: Recipe) -> list[Step]:
-    """Enabled steps in order, with repeats written out."""
+    """Enabled steps in order, with repeats written out; each turn of a repeat has seeds of its own."""
     out: list[Step] = []
     for node in recipe.nodes:
-        if node.enabled:
-            out += [s for s in node.steps if s.enabled] * node.times if isinstance(node, Repeat) else [node]
+        if not node.enabled:
+            continue
+        if isinstance(node, Step):
+            out.append(node)
+            continue
+        for turn in range(node.times):
+            out += [replace(s, seed=turn_seed(s.seed, node.seed, turn)) for s in node.steps if s.enabled]
     return out
 
 
@@ -56,7 +98,7 @@ def parse_recipe(text: str) -> Recipe:
     nodes: list[Step | Repeat] = []
     for x in json.loads(text).get("steps", []):
         if "repeat" in x:
-            nodes.append(Repeat([step(y) for y in x.get("steps", [])], min(500, max(1, int(x["repeat"]))), bool(x.get("enabled", True))))
+            nodes.append(Repeat([step(y) for y in x.get("steps", [])], min(500, max(1, int(x["repeat"]))), bool(x.get("enabled", True)), int(x.get("seed", 0)) & 0xFFFFFFFF))
         else:
             nodes.append(step(x))
     return Recipe(nodes)

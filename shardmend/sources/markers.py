@@ -82,6 +82,12 @@ def segment_table(photos: DataFrame, key: str = "photo_id", column: str = "bytes
     return photos.select(key, column).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"`{x.split()[0]}` {x.split()[1]}" for x in SEGMENT_SCHEMA.split(", ")))
 
 
+def photo_end(data: bytes) -> int | None:
+    """Where a photo ends, after the end marker that follows its scans; None if it is cut short."""
+    last = list(segments(data))[-1:]
+    return last[0]["end"] if last and last[0]["marker"] == EOI else None
+
+
 def neutralised(data: bytes) -> bytes:
     """Every FF that starts a marker other than a restart becomes FE; the last three bytes stay."""
     b = np.frombuffer(data, np.uint8).copy()

@@ -141,5 +141,30 @@ def test_files_and_streams(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/sink").collect()) == [("a", 3), ("b", 2)]
 
 
+def test_carving_gets_whole_photos_back(spark):
+    photos = [markers.fake_photo(i, 700 + 411 * i) for i in range(5)]
+    rows, at = [], 2
+    for p in photos:
+        rows += [(1, at + k, bytearray(p[k * 512 : k * 512 + 512])) for k in range(-(-len(p) // 512))]
+        at += -(-len(p) // 512)
+    lost = [r for r in rows if r[1] != rows[-1][1]]
+    df = spark.createDataFrame(lost, "card_id long, cluster long, bytes binary")
+    got = cards.carved(df).orderBy("first").collect()
+    assert [bytes(r["bytes"]) for r in got][:4] == photos[:4] and [r["complete"] for r in got] == [True] * 4 + [False]
+
+
+def test_seeded_recipes_fuse_and_repeat(spark, payloads):
+    from shardmend.functions.prng import turn_seed
+    from shardmend.plans.presets import STORIES, story
+
+    recipe = Recipe([Repeat([Step("bitflip", {"rate": 500.0}, 3)], 2, seed=9), Step("truncate", {"percent": 80}), Step("zero_run", {"length": 8}, 4)])
+    got = {r["ord"]: bytes(r["bytes"]) for r in apply_recipe(payloads, recipe, seed="ord").collect()}
+    for i, b in enumerate(PAYLOADS):
+        for t in range(2):
+            b = seeded_steps.bitflip(b, Pcg32(turn_seed(3, 9, t) + i & 0xFFFFFFFF), rate=500.0)
+        assert got[i] == seeded_steps.zero_run(b[: int(len(b) * 0.8)], Pcg32(4 + i), length=8)
+    assert all(apply_recipe(payloads, story(name, 1.0, 5), seed="ord").count() == len(PAYLOADS) for name in STORIES)
+
+
 def test_catalogue_names():
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
