@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their bucket, batch and slot."""
-    return packing.packed(docs, docs.columns)
+    return packing.packed(docs, docs.columns).select(*docs.columns, "_pack.*")
 
 
 STAGES = [

@@ -64,30 +64,31 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, carry: list[str], tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, seed: str = SEED) -> DataFrame:
-    """``carry`` columns of ``docs`` with n_tokens, bucket, bucket_len, batch, slot and padding.
+    """``carry`` columns of ``docs`` with a column ``_pack`` of n_tokens, bucket, bucket_len, batch, slot and padding.
 
-    ``tokens``: a column with each row's length; the number of words by default.
+    ``tokens``: a column with each row's length; the number of words by default. A carried ``_pack`` is replaced.
     """
+    carry = [c for c in carry if c != "_pack"]
     length = n_words(F.col("text")) if tokens is None else tokens.cast("long")
-    light = docs.select(length.alias("n_tokens"))
-    counted = sorted((r["length"], r["count"], r["tokens"]) for r in length_histogram(light).collect())
+    counted = sorted((r["length"], r["count"], r["tokens"]) for r in length_histogram(docs.select(length.alias("n_tokens"))).collect())
     bounds, sizes = [0], [0]
     if counted:
         lengths, counts, sums = (np.array(x, np.int64) for x in zip(*counted, strict=True))
         bounds = optimal_boundaries(lengths, counts, sums, buckets).tolist()
         at = np.searchsorted(lengths, bounds, "right")
         sizes = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(counts)])[at]])).tolist()
-    pick = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("bucket") + 1)
-    rows = docs.select(*carry, length.alias("n_tokens"), unit_hash(F.lit(seed), F.col("doc_id").cast("string")).alias("_u"))
-    bucket = sum((F.lit(int(b)) < F.col("n_tokens")).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
-    rows = rows.withColumn("bucket", bucket).withColumn("bucket_len", pick(bounds))
+    pick = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("_bucket") + 1)
+    rows = docs.select(*carry, length.alias("_length"), F.col("doc_id").alias("_id"), unit_hash(F.lit(seed), F.col("doc_id").cast("string")).alias("_u"))
+    bucket = sum((F.lit(int(b)) < F.col("_length")).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
+    rows = rows.withColumn("_bucket", bucket)
     shard = F.floor(F.col("_u") * pick([n // SHARD_ROWS + 1 for n in sizes])).cast("int")
-    placed = ranked(rows, ["bucket"], [F.col("_u"), *[F.col(c) for c in carry if c == "doc_id"]], shard, "_rank")
-    per = pick([max(1, budget // max(1, b)) for b in bounds])
-    return placed.select(
-        *carry, "n_tokens", F.col("bucket").cast("int").alias("bucket"), "bucket_len", F.floor(F.col("_rank") / per).cast("long").alias("batch"),
-        (F.col("_rank") % per).cast("int").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+    placed = ranked(rows, ["_bucket"], [F.col("_u"), F.col("_id")], shard, "_rank")
+    per, bound = pick([max(1, budget // max(1, b)) for b in bounds]), pick(bounds)
+    made = F.struct(
+        F.col("_length").alias("n_tokens"), F.col("_bucket").cast("int").alias("bucket"), bound.alias("bucket_len"), F.floor(F.col("_rank") / per).cast("long").alias("batch"),
+        (F.col("_rank") % per).cast("int").alias("slot"), (bound - F.col("_length")).alias("padding"),
     )
+    return placed.select(*carry, made.alias("_pack"))
 
 
 ORACLE_SQL = rf"""

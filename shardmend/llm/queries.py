@@ -13,7 +13,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), ["doc_id"])
+    return packing.packed(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "_pack.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,9 @@ def test_fingerprints(docs):
 
 
 def test_packing(docs):
-    rows = by_row(packing.packed(docs, ["doc_id"], buckets=3, budget=100))
+    carried = by_row(packing.packed(docs, docs.columns, buckets=3, budget=100))
+    assert all(r["bucket"] == r["batch"] == "clash" for r in carried)
+    rows = [r["_pack"].asDict() for r in carried]
     assert len(rows) == len(ROWS)
     assert sum(r["n_tokens"] for r in rows) == sum(len((t or "").split()) for _, t, *_ in ROWS)
     assert all(r["padding"] >= 0 and r["n_tokens"] <= r["bucket_len"] for r in rows)
