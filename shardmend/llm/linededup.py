@@ -15,6 +15,7 @@ remove each other's lines. An empty table gives no rows. Other columns are carri
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,7 +124,12 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndar
             part = data[starts[i] : starts[j]]
             bounds, row, number = line_starts(part, starts[i : j + 1] - starts[i])
             h, line, _, _ = word_hashes(part, bounds)
-            key, line = distinct_tokens((grade[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)), line)
+            key = (grade[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))
+            if bits is not None:
+                some = np.zeros(len(bounds), bool)
+                some[line[passes(bits, key.view(np.int64), np.zeros(len(key), np.int64))]] = True
+                key, line = key[some[line]], line[some[line]]
+            key, line = distinct_tokens(key, line)
             if not len(key):
                 continue
             first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
@@ -172,152 +178,135 @@ def filtered(x: np.ndarray, y: np.ndarray, at: np.ndarray, low: np.ndarray, high
     return ok[pass_], np.where(long, 65535, differ)[pass_], most[pass_]
 
 
-def _groups(token: np.ndarray, pair: np.ndarray) -> np.ndarray:
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups, from rows that come sorted by their first column; single rows are left out.
+
+    Rows of a group are put in order of d and at. A group is held in memory, which bounds what HOT may be.
+    """
+
+    def ordered(columns: list[np.ndarray]) -> list[np.ndarray]:
+        g = columns[0]
+        same = g[1:] == g[:-1]
+        some = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        columns = [c[some] for c in columns]
+        order = np.lexsort((columns[names.index("at")], columns[names.index("d")], columns[0]))
+        return [c[order] for c in columns]
+
+    waiting: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        count += batch.num_rows
+        last = waiting[-1][0][-1]
+        if count >= LOOK_ROWS and waiting[0][0][0] != last:
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            cut = int(np.searchsorted(columns[0], last, "left"))
+            yield ordered([c[:cut] for c in columns])
+            waiting = [[c[cut:] for c in columns]]
+            count = len(waiting[0][0])
+    if waiting:
+        yield ordered([np.concatenate(x) for x in zip(*waiting, strict=True)])
+
+
+def _begins(group: np.ndarray) -> np.ndarray:
     """Where the group of each row begins."""
-    begin = np.zeros(len(token), np.int64)
-    change = np.flatnonzero((token[1:] != token[:-1]) | (pair[1:] != pair[:-1])) + 1
+    begin = np.zeros(len(group), np.int64)
+    change = np.flatnonzero(group[1:] != group[:-1]) + 1
     begin[change] = change
     return np.maximum.accumulate(begin)
 
 
-def _looked(held: list[np.ndarray], waiting: list[list[np.ndarray]]) -> tuple[list[np.ndarray], pa.RecordBatch]:
-    """The pairs of the waiting rows with rows before them, and the rows of the last group, which may go on."""
-    columns = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
-    token, pair, d, at, low, high = columns
-    begin = _groups(token, pair)
-    active = np.arange(len(held[0]) if held else 0, len(token))
-    had = np.zeros(len(token), np.int64)
-    out = [np.zeros((4, 0), np.int64)]
-    lag = 1
-    while len(active := active[active - lag >= begin[active]]):
-        hit, differ, most = filtered(active, active - lag, at, low, high)
-        x = active[hit]
-        apart = (d[x] != d[x - lag]) | (at[x] >> 32 != at[x - lag] >> 32)
-        x, differ, most, hit = x[apart], differ[apart], most[apart], hit[apart]
-        sure = 2 * differ <= most
-        had[x] += 1
-        give = sure | (had[x] <= DEPTH)
-        out.append(np.stack([x, x - lag, differ, sure | (had[x] == DEPTH)])[:, give])
-        stays = np.ones(len(active), bool)
-        stays[hit[sure]] = False
-        active = active[stays]
-        lag += 1
-    x, y, differ, more = np.concatenate(out, axis=1)
-    last = int(begin[-1])
-    names = ["xd", "xl", "yd", "yl", "differ", "more"]
-    return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(c) for c in (d[x], at[x] >> 32, d[y], at[y] >> 32, differ, more)], names=names)
-
-
 def look_back(rows: DataFrame) -> DataFrame:
-    """(xd, xl, yd, yl, differ, more): lines and earlier lines under the same token that may match.
+    """(xd, xl, yd, yl, more): lines and earlier lines under the same token that may match.
 
-    Rows come sorted by (token, pair, d, at). Each looks one line further back at a time, to the first that differs by
-    no more than half of what a match may. That one is given out, and the first DEPTH that may match at all; ``more``
-    is 1 where others may lie beyond.
+    Each line looks one line further back at a time, to the first that differs by no more than half of what a match
+    may. That one is given out, and the first DEPTH that may match at all; ``more`` is 1 where others may lie beyond.
     """
-    names = ("token", "pair", "d", "at", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting, count = [], [], 0
-        for batch in batches:
-            waiting.append([batch.column(c).to_numpy() for c in names])
-            count += batch.num_rows
-            if count >= LOOK_ROWS:
-                held, found = _looked(held, waiting)
-                waiting, count = [], 0
-                yield found
-        if waiting:
-            yield _looked(held, waiting)[1]
-
-    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, differ long, more long")
+        for group, d, at, low, high in whole_groups(batches, ("group", "d", "at", "low", "high")):
+            begin, active, had = _begins(group), np.arange(len(group)), np.zeros(len(group), np.int64)
+            out = [np.zeros((3, 0), np.int64)]
+            lag = 1
+            while len(active := active[active - lag >= begin[active]]):
+                hit, differ, most = filtered(active, active - lag, at, low, high)
+                x = active[hit]
+                apart = (d[x] != d[x - lag]) | (at[x] >> 32 != at[x - lag] >> 32)
+                x, hit, sure = x[apart], hit[apart], (2 * differ <= most)[apart]
+                had[x] += 1
+                out.append(np.stack([x, x - lag, sure | (had[x] == DEPTH)])[:, sure | (had[x] <= DEPTH)])
+                stays = np.ones(len(active), bool)
+                stays[hit[sure]] = False
+                active = active[stays]
+                lag += 1
+            x, y, more = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (d[x], at[x] >> 32, d[y], at[y] >> 32, more)], names=["xd", "xl", "yd", "yl", "more"])
+
+    return rows.mapInArrow(run, "xd long, xl long, yd long, yl long, more long")
 
 
 def near_askers(rows: DataFrame) -> DataFrame:
-    """(token, pair, d, at, low, high, asks): of sorted rows, asking lines and earlier lines that may match them."""
-    names = ("token", "pair", "d", "at", "low", "high", "asks")
+    """(group, d, at, low, high, asks): asking lines and earlier lines under the same token that may match them."""
+    names = ("group", "d", "at", "low", "high", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting, count = [], [], 0
-        for batch in batches:
-            waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            count += batch.num_rows
-            if count >= LOOK_ROWS:
-                held, found = keep(held, waiting)
-                waiting, count = [], 0
-                yield found
-        if waiting:
-            yield keep(held, waiting)[1]
-
-    def keep(held: list[np.ndarray], waiting: list[list[np.ndarray]]) -> tuple[list[np.ndarray], pa.RecordBatch]:
-        columns = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
-        token, pair, d, at, low, high, asks = columns
-        begin = _groups(token, pair)
-        active = np.arange(len(held[0]) if held else 0, len(token))
-        active = active[asks[active].astype(bool)]
-        near = np.zeros(len(token), bool)
-        lag = 1
-        while len(active := active[active - lag >= begin[active]]):
-            x = active[filtered(active, active - lag, at, low, high)[0]]
-            near[x] = near[x - lag] = True
-            lag += 1
-        last = int(begin[-1])
-        some = np.flatnonzero(near)
-        return [c[last:] for c in columns], pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], names=list(names))
-
-    return rows.mapInArrow(run, "token long, pair long, d long, at long, low long, high long, asks boolean").distinct()
+        for columns in whole_groups(batches, names):
+            group, _, at, low, high, asks = columns
+            begin, near = _begins(group), np.zeros(len(group), bool)
+            active, lag = np.flatnonzero(asks), 1
+            while len(active := active[active - lag >= begin[active]]):
+                x = active[filtered(active, active - lag, at, low, high)[0]]
+                near[x] = near[x - lag] = True
+                lag += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in columns], names=list(names))
 
+    return rows.mapInArrow(run, "group long, d long, at long, low long, high long, asks boolean").distinct()
 
-def look_through(rows: DataFrame) -> DataFrame:
-    """(d, l): asking lines that match any earlier line under the same token, checked on the lines themselves.
 
-    Rows come sorted by (token, pair, d, at) with the line and whether it asks.
-    """
+def look_through(rows: DataFrame) -> DataFrame:
+    """(d, l): asking lines that match any earlier line under the same token, checked on the lines themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        at, low, high, ids, lines = [], [], [], [], []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for token, pair, d, a, lo, hi, line, asks in zip(*(batch.column(c).to_pylist() for c in ("token", "pair", "d", "at", "low", "high", "line", "asks")), strict=True):
-                if group != (token, pair):
-                    group = (token, pair)
-                    at, low, high, ids, lines = [], [], [], [], []
-                at.append(a)
-                low.append(lo)
-                high.append(hi)
-                ids.append((d, a >> 32))
-                lines.append(line.encode())
-                if asks and len(at) > 1:
-                    n = len(at) - 1
-                    hit, differ, _ = filtered(np.full(n, n), np.arange(n), np.array(at), np.array(low), np.array(high))
-                    words = set(lines[n].split())
-                    for k in hit[np.argsort(differ, kind="stable")].tolist():
-                        other = set(lines[k].split())
-                        if ids[k] != ids[n] and 100 * len(words & other) >= PERCENT * len(words | other):
-                            out.append(ids[n])
-                            break
+        for group, d, at, low, high, line, asks in whole_groups(batches, ("group", "d", "at", "low", "high", "line", "asks")):
+            begin, out = _begins(group), []
+            for x in np.flatnonzero(asks).tolist():
+                earlier = np.arange(begin[x], x)
+                hit, differ, _ = filtered(np.full(len(earlier), x), earlier, at, low, high)
+                words = set(line[x].encode().split())
+                for y in earlier[hit[np.argsort(differ, kind="stable")]].tolist():
+                    other = set(line[y].encode().split())
+                    if (d[x], at[x] >> 32) != (d[y], at[y] >> 32) and 100 * len(words & other) >= PERCENT * len(words | other):
+                        out.append((d[x], at[x] >> 32))
+                        break
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["d", "l"])
 
     return rows.mapInArrow(run, "d long, l long").distinct()
 
 
 def grouped(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Rows dealt by token and sorted; a token of many occurrences over pairs of its parts, each pair in one place."""
+    """Rows dealt and sorted by ``group``: their token, or a pair of parts of a token of many occurrences.
+
+    Each pair of rows of such a token is in one group, that of their parts.
+    """
     most = max(HOT, int(8 * counts.mean()))
     parts = {int(c): int(-(-2 * counts[c] // most)) for c in np.flatnonzero(counts > most)}
     cell = F.shiftrightunsigned(F.col("token"), HASH_BITS - 20).bitwiseAND(F.lit(CELLS - 1))
-    plain = tokens.withColumn("pair", F.lit(0).cast("long"))
+    dealt = tokens.withColumn("group", F.col("token"))
     if parts:
         known = F.create_map(*[F.lit(x) for item in parts.items() for x in item])
         n = F.coalesce(F.element_at(known, cell.cast("int")), F.lit(1))
         own = F.pmod(F.xxhash64("d", F.shiftright("at", 32)), n)
-        dealt = tokens.withColumn("_n", n).withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))))
-        plain = dealt.withColumn("pair", F.least("_own", "_with") * F.col("_n") + F.greatest("_own", "_with")).drop("_n", "_own", "_with")
-    return sorted_groups(plain)
+        spread = tokens.withColumn("_n", n).withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))))
+        pair = F.xxhash64("token", F.least("_own", "_with"), F.greatest("_own", "_with"))
+        dealt = spread.withColumn("group", F.when(F.col("_n") == 1, F.col("token")).otherwise(pair)).drop("_n", "_own", "_with")
+    return sorted_groups(dealt.drop("token"))
 
 
 def sorted_groups(rows: DataFrame) -> DataFrame:
-    return rows.repartition("token", "pair").sortWithinPartitions("token", "pair", "d", "at")
+    """One sort column of a number: Spark sorts it by radix."""
+    return rows.repartition("group").sortWithinPartitions("group")
 
 
 def _positions(d: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,37 +356,59 @@ def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(d, l, mark): later lines of the pairs that hold on the texts; ``mark`` is a hash of the line."""
+    """(d, l, mark): later lines of the pairs that hold on the texts; ``mark`` is a checksum of the line."""
     side = lambda s: texts.select(F.col("d").alias(s + "d"), F.col("l").alias(s + "l"), F.col("line").alias(s))
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
+        ok, mark = [], []
         for x, y in zip(strings(batch.column("x")), strings(batch.column("y")), strict=True):
+            a = x.encode()
+            mark.append(zlib.crc32(a))
             if x == y:
                 ok.append(True)
                 continue
-            a, b = set(x.encode().split()), set(y.encode().split())
+            a, b = set(a.split()), set(y.encode().split())
             ok.append(100 * len(a & b) >= PERCENT * len(a | b))
-        return batch.select(["xd", "xl", "x"]).filter(pa.array(ok, pa.bool_()))
+        return pa.RecordBatch.from_arrays([batch.column("xd"), batch.column("xl"), pa.array(mark, pa.int64())], names=["d", "l", "mark"]).filter(pa.array(ok, pa.bool_()))
 
     full = pairs.join(side("x"), ["xd", "xl"]).join(side("y"), ["yd", "yl"]).select("xd", "xl", "x", "y")
-    return arrow_map(full, check, "xd long, xl long, x string").select(F.col("xd").alias("d"), F.col("xl").alias("l"), F.xxhash64("x").alias("mark"))
+    return arrow_map(full, check, "d long, l long, mark long")
+
+
+def pairs_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs whose later line is among ``lines`` (d, l): by a filter of fixed size, then by a join."""
+    bits = pairs.sparkSession.sparkContext.broadcast(np.packbits(wanted_filter(lines)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted, batch.column("xd").to_numpy(), batch.column("xl").to_numpy())))
+
+    some = pairs.mapInArrow(run, pairs.schema)
+    return some.join(lines.select(F.col("d").alias("xd"), F.col("l").alias("xl")), ["xd", "xl"], "left_semi")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(d, l) of both lines of the pairs."""
+    return pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
 
 
 def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(d, l, mark) of the lines that go."""
+    """(d, l, mark) of the lines that go; some may come twice."""
     counts = token_counts(docs)
     grades = graded(counts)
-    pairs = look_back(grouped(listed(docs, grades, min_tokens), counts))
-    x = ["xd", "xl"]
-    found = materialise(pairs.groupBy(*x, "yd", "yl").agg(F.min("differ").alias("differ"), F.max("more").alias("more")))
-    texts = materialise(line_texts(docs, found.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(found.select("yd", "yl")).distinct()))
-    # One pair of each line first, of those that differ least; the others only for lines that are left.
-    best = found.groupBy(*x).agg(F.min(F.struct("differ", "yd", "yl")).alias("y")).select(*x, "y.yd", "y.yl")
-    gone = materialise(matches(best, texts))
-    left = found.join(gone.select(F.col("d").alias("xd"), F.col("l").alias("xl")), x, "left_anti")
-    gone = materialise(gone.unionByName(matches(left, texts)).distinct())
-    failed = materialise(left.where("more = 1").select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct().join(gone, ["d", "l"], "left_anti"))
+    pairs = materialise(look_back(grouped(listed(docs, grades, min_tokens), counts)))
+    # Any sure pair of a line first; all its pairs only if that fails or if it has none.
+    sure = lambda c: F.first(F.when(F.col("more") == 1, F.col(c)), ignorenulls=True).alias(c)
+    best = materialise(pairs.groupBy("xd", "xl").agg(sure("yd"), sure("yl")))
+    first = best.where("yd IS NOT NULL")
+    gone = materialise(matches(first, materialise(line_texts(docs, ends(first)))))
+    failed = materialise(best.select(F.col("xd").alias("d"), F.col("xl").alias("l")).join(gone, ["d", "l"], "left_anti"))
+    if failed.limit(1).count():
+        left = materialise(pairs_of(pairs, failed).groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more")))
+        texts = materialise(line_texts(docs, ends(left)))
+        gone = gone.unionByName(materialise(matches(left, texts).distinct()))
+        failed = materialise(left.where("more = 1").select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct().join(gone, ["d", "l"], "left_anti"))
     if failed.limit(1).count():
         # A look ended at lines that didn't match, with others beyond: these lines look through everything under their tokens.
         # The lists alone first tell what may match them, and only those lines are brought to be checked.
@@ -409,20 +420,35 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
         near = materialise(near_askers(grouped(asking, counts)).withColumn("l", F.shiftright("at", 32)))
         lines = line_texts(docs, near.select("d", "l").distinct())
         last = look_through(sorted_groups(near.join(lines, ["d", "l"]).drop("l"))).join(texts, ["d", "l"])
-        gone = gone.unionByName(last.select("d", "l", F.xxhash64("line").alias("mark")))
-    return gone.distinct()
+        gone = gone.unionByName(last.select("d", "l", F.crc32(F.col("line").cast("binary")).alias("mark")))
+    return gone
 
 
 def without_repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with the lines that match earlier ones removed from ``text``; ``_lines`` counts all and removed lines."""
-    gone = repeated_lines(docs, min_tokens).groupBy("d").agg(F.collect_list(F.struct("l", "mark")).alias("_gone"))
-    gone = gone.select("d", F.map_from_entries(F.array_distinct(F.transform("_gone", lambda g: F.struct(F.concat_ws(":", g["l"], g["mark"]), F.lit(True))))).alias("_gone"))
-    d = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
-    joined = docs.join(gone, d == gone["d"], "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    stays = F.filter(lines, lambda x, i: ~F.coalesce(F.element_at(F.col("_gone"), F.concat_ws(":", i.cast("long"), F.xxhash64(x))), F.lit(False)))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    columns = [kept.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    total, left = F.coalesce(F.size(lines), F.lit(0)), F.when(F.col("_gone").isNull(), F.coalesce(F.size(lines), F.lit(0))).otherwise(F.size(stays))
-    out = joined.select(*columns, F.struct(F.when(F.col("text").isNull(), 0).otherwise(total).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(total - left).alias("n_removed")).alias("_lines"))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    docs = docs.drop("_lines", "_gone")
+    gone = repeated_lines(docs, min_tokens).groupBy("d").agg(F.collect_set(F.struct("l", "mark")).alias("_gone"))
+    joined = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["d"], "left").select(*[docs[c] for c in docs.columns], "_gone")
+    count = pa.struct([("n_lines", pa.int32()), ("n_removed", pa.int32())])
+
+    def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, counts = [], []
+        for text, marks in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            lines = [] if text is None else text.split("\n")
+            if marks and lines:
+                known = {(m["l"], m["mark"]) for m in marks}
+                numbers = {m["l"] for m in marks}
+                kept = [x for i, x in enumerate(lines) if i not in numbers or (i, zlib.crc32(x.encode())) not in known]
+                counts.append({"n_lines": len(lines), "n_removed": len(lines) - len(kept)})
+                text = "\n".join(kept)
+            else:
+                counts.append({"n_lines": len(lines), "n_removed": 0})
+            texts.append(text)
+        new = {"text": pa.array(texts, pa.string())}
+        if "n_chars" in batch.schema.names:
+            new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+        names = [n for n in batch.schema.names if n != "_gone"]
+        return pa.RecordBatch.from_arrays([*(new.get(n, batch.column(n)) for n in names), pa.array(counts, count)], names=[*names, "_lines"])
+
+    schema = ", ".join(f"`{c}` {'long' if c == 'n_chars' else 'string' if c == 'text' else t}" for c, t in docs.dtypes)
+    return arrow_map(joined, rebuild, f"{schema}, _lines struct<n_lines:int,n_removed:int>")
