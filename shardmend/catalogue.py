@@ -174,7 +174,7 @@ def seeded_query(name: str, **params) -> None:
 
 for _name, _params in {
     "bitflip": {"rate": 200.0}, "byte_delete": {"count": 3, "length": 5}, "byte_insert": {"count": 2}, "fake_marker": {"count": 3}, "zero_run": {"length": 64}, "ransomware": {"kb": 1},
-    "stutter_read": {"cluster_kb": 1}, "dropped_sectors": {}, "tool_fill_pattern": {}, "flash_fault": {"mode": "burst", "page_kb": 2},
+    "ftp_stretch": {}, "base64_damage": {}, "chipoff_xor": {"page_kb": 1}, "stutter_read": {"cluster_kb": 1}, "dropped_sectors": {}, "tool_fill_pattern": {}, "flash_fault": {"mode": "burst", "page_kb": 2},
 }.items():
     seeded_query(_name, **_params)
 
@@ -198,6 +198,13 @@ donor_query("card_recuva_contiguous", lambda b, o: donors.recuva_contiguous(b, o
 donor_query("card_interleave", lambda b, o: donors.interleave(b, o, 20, 1, 1), "t AS (SELECT *, s + floor(floor((n - s) * 0.2::DOUBLE) / 1024)::BIGINT * 1024 AS k FROM q), u AS (SELECT *, ceil((n - k) / 1024.0)::BIGINT AS turns, greatest(ceil(m / 1024.0)::BIGINT, 1) AS lap FROM t), r AS (SELECT doc_id, substr(x, 1, 2 * k) || array_to_string(list_transform(range(turns), lambda i: substr(x, 2 * (k + i * 1024) + 1, 2048) || CASE WHEN i < turns - 1 THEN substr(y, 2 * (i % lap) * 1024 + 1, 2048) ELSE '' END), '') AS h FROM u)")
 
 
+@query("seeded_splice")
+def seeded_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = payloads(spark, sf_dir).withColumnRenamed("doc_id", "ord")
+    pairs = donors.with_donor(pool).withColumn("seed", F.col("ord"))
+    return seeded_steps.spliced(pairs, cluster_kb=1).select(F.col("ord").alias("doc_id"), F.length("bytes").alias("n_out"), digest().alias("digest"))
+
+
 @query("pool_rotation", "SELECT a.doc_id, k::INTEGER AS k, (a.doc_id + 1 + k) % (SELECT count(*) FROM documents) AS donor FROM documents a, (SELECT unnest(range(3)) AS k)")
 def pool_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return donors.pool_rotation(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord")), 3).select(F.col("ord").alias("doc_id"), "k", "donor")

@@ -6,6 +6,8 @@ that may be damaged, and Spark runs them over Arrow batches.
 
 from __future__ import annotations
 
+import base64
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -162,13 +164,104 @@ def flash_fault(data: bytes, g: Pcg32, mode: str = "erased", count: int = 2, pag
     return out.tobytes()
 
 
+@step
+def ftp_stretch(data: bytes, g: Pcg32, portion: float = 0.5, direction: str = "lf_to_crlf") -> bytes:
+    """Line ends of one random stretch of the scan rewritten as a text-mode transfer does."""
+    a, b = scan_range(data)
+    if b <= a:
+        return data
+    size = min(max(int((b - a) * min(max(portion, 0.02), 1.0) + 0.5), 1), b - a)
+    low = a + g.below(b - a - size + 1)
+    # One byte of context on each side tells what an LF follows and what a CR precedes.
+    if direction == "crlf_to_lf":
+        part = re.sub(rb"\r(?=\n)", b"", data[low : low + size + 1])
+        tail = data[low + size : low + size + 1]
+        return data[:low] + (part[: len(part) - len(tail)] if tail else part) + data[low + size :]
+    before = data[max(low - 1, 0) : low]
+    return data[:low] + re.sub(rb"(?<!\r)\n", b"\r\n", before + data[low : low + size])[len(re.sub(rb"(?<!\r)\n", b"\r\n", before)) :] + data[low + size :]
+
+
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@step
+def base64_damage(data: bytes, g: Pcg32, lines: int = 2, mode: str = "drop") -> bytes:
+    """A mail attachment that lost or garbled lines of 76 letters after its header, read by a lenient reader."""
+    whole = base64.b64encode(data)
+    rows = [bytearray(whole[i : i + 76]) for i in range(0, len(whole), 76)]
+    first = scan_range(data)[0] * 4 // 3 // 76 + 1
+    if first >= len(rows):
+        raise ValueError("too small to damage a line")
+    for i in sorted({first + g.below(len(rows) - first) for _ in range(min(max(lines, 1), 10_000))}, reverse=True):
+        if mode == "drop":
+            del rows[i]
+            continue
+        for _ in range(1 + g.below(8)):
+            j = g.below(len(rows[i]))
+            rows[i][j] = _LETTERS[g.below(64)]
+    letters = bytes(c for row in rows for c in row if c != 61)
+    # A single letter left over carries no byte.
+    letters = letters[: len(letters) - (len(letters) % 4 == 1)]
+    return base64.b64decode(letters + b"=" * (-len(letters) % 4))
+
+
+@step
+def chipoff_xor(data: bytes, g: Pcg32, seed: int = 0, key_len: int = 512, page_kb: int = 4, strength: float = 30, start: float = 40, protect_header: bool = True) -> bytes:
+    """Pages of a raw chip dump that are still scrambled with the controller's key, which has a generator of its own."""
+    first = body_start(data, protect_header)
+    first += int((len(data) - first) * min(max(start, 0.0), 100.0) / 100)
+    key = (Pcg32(0x5C4A3B1E ^ seed, 7).draw(key_len) & np.uint64(255)).astype(np.uint8)
+    out, page = np.frombuffer(data, np.uint8).copy(), page_kb * 1024
+    for at in range(first, len(out), page):
+        if g.unit() < strength / 100:
+            size = min(page, len(out) - at)
+            out[at : at + size] ^= np.resize(key, size)
+    return out.tobytes()
+
+
+def splice(data: bytes, g: Pcg32, other: bytes, at: float = 50, clusters: int = 4, cluster_kb: int = 8, mode: str = "replace") -> bytes:
+    """Clusters of another payload's scan put in, or over what is there, at a cluster-aligned place."""
+    size, want = cluster_kb * 1024, min(max(clusters, 1), 256) * cluster_kb * 1024
+    (da, db), (a, b) = scan_range(other), scan_range(data)
+    if db <= da:
+        raise ValueError("the other payload has no data")
+    low = da + g.one() % (db - da - want + 1) // size * size if db - da > want else da
+    piece = other[low : min(low + want, db)]
+    piece = (piece * (want // len(piece) + 1))[:want]
+    place = min(max((a + int((b - a) * at / 100)) // size * size, a), b)
+    return data[:place] + piece + data[place + (0 if mode == "insert" else len(piece)) :]
+
+
+def spliced(df: DataFrame, column: str = "bytes", other: str = "other", seed: str = "seed", **params) -> DataFrame:
+    """``df`` with clusters of the payload in ``other`` spliced in; what fails passes its input on."""
+
+    def one(b: bytes | None, o: bytes | None, s: int | None) -> bytes | None:
+        try:
+            return b if b is None or o is None else splice(b, Pcg32(s or 0), o, **params)
+        except ValueError:
+            return b
+
+    def run(batches):
+        for batch in batches:
+            done = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in (column, other, seed)), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(done, pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def seeded(df: DataFrame, name: str, column: str = "bytes", seed: str = "seed", stream: int = STEP_STREAM, **params) -> DataFrame:
-    """``df`` with ``column`` damaged by a seeded step; ``seed`` names a column. Null payloads stay null."""
+    """``df`` with ``column`` damaged by a seeded step; ``seed`` names a column. Null payloads stay null, and one that a step cannot be applied to stays as it is."""
     kernel = STEPS[name]
 
+    def one(b: bytes | None, s: int | None) -> bytes | None:
+        try:
+            return None if b is None else kernel(b, Pcg32(s or 0, stream), **params)
+        except ValueError:
+            return b
+
     def run(batches):
         for batch in batches:
-            done = [None if b is None else kernel(b, Pcg32(s or 0, stream), **params) for b, s in zip(batch.column(column).to_pylist(), batch.column(seed).to_pylist(), strict=True)]
+            done = [one(b, s) for b, s in zip(batch.column(column).to_pylist(), batch.column(seed).to_pylist(), strict=True)]
             i = batch.schema.get_field_index(column)
             yield batch.set_column(i, column, pa.array(done, pa.binary()))
 
