@@ -30,11 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later reads survive lost executors and repeat no work."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{cuts_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cuts_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has materialised; call it when the results that read from it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from batch to batch."""
 

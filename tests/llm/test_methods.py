@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from shardmend.llm import fingerprint, html, licenses, linededup, media, mixing, neardup, packing, quality
+from shardmend.llm import common, fingerprint, html, licenses, linededup, media, mixing, neardup, packing, quality
 from shardmend.llm.common import utf8
 
 VOCABULARY = [a + b for a in "ka lo mi ne ru sa to vi".split() for b in "b d f g l m n p r s t".split()]
@@ -210,6 +210,14 @@ def test_audio_round_trip_and_blocks(monkeypatch):
     assert cube.shape[1:] == (media.PATCH, media.MELS) and np.allclose(cube.reshape(-1, media.MELS)[: len(mels)], mels)
 
 
+def test_cuts_are_released(spark):
+    df = common.materialise(spark.range(3))
+    assert df.count() == 3
+    common.release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(common.cuts_folder(spark)).count()
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(10)
     texts = [prose(r, 40) + "\n" + prose(r, 30) for _ in range(40)]
