@@ -20,7 +20,7 @@ from shardmend.llm.common import n_words, ranked, unit_hash
 BUCKETS, BUDGET = 12, 16384
 EXACT, STEP = 4096, 1.001
 #: Rows of a bucket that are ranked in one task, about.
-SHARD_ROWS = 50_000
+SHARD_ROWS = 10_000
 SEED = "pack-1"
 
 
