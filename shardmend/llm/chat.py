@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shardmend.llm.common import materialise
+
 #: Turns of a conversation are numbered and summed in blocks of so many turn numbers, which are then put together.
 BLOCK = 256
 
@@ -43,7 +45,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, n_turns, n_copies) of the conversations that stay, and all prefixes."""
-    every = prefixes(turns)
+    every = materialise(prefixes(turns))
     whole = every.groupBy("conv_id").agg(F.max(F.struct("k", "a", "b")).alias("last")).select("conv_id", "last.k", "last.a", "last.b")
     distinct = whole.groupBy("k", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     ends = whole.select("conv_id", F.col("k").alias("n"))
