@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardmend.functions import card_fields
 from shardmend.functions.prng import Pcg32, batch_seed, repeat_seed
-from shardmend.operators import byte_steps, cards, coefficients, donors, seeded_steps
+from shardmend.operators import byte_steps, cards, coefficients, donors, lookups, seeded_steps
 from shardmend.plans import presets
 from shardmend.plans.recipe import Recipe, Repeat, Step, apply_recipe, parse_recipe, plan_keys
 from shardmend.sources import markers
@@ -291,6 +292,55 @@ def card_cluster_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.cluster_kinds(payloads(spark, sf_dir)).select("doc_id", "kind")
 
 
+@query("card_cluster_owner", f"WITH {SQL_CARD} SELECT card_id, cluster, file_no FROM old")
+def card_cluster_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which file holds each cluster of a fresh card, from first clusters and lengths alone."""
+    old = card_tables(spark, sf_dir)["old"]
+    files = old.groupBy("card_id", "file_no").agg(F.min("cluster").alias("low"), (F.max("cluster") + 1).alias("high"))
+    return lookups.interval_join(old.select("card_id", "cluster"), files, "card_id", "cluster", "low", "high", 16).select("card_id", "cluster", "file_no")
+
+
+@query("card_last_start", f"WITH {SQL_CARD}, s AS (SELECT card_id, first, file_no FROM fresh WHERE n > 0), e AS (SELECT card_id, max(cluster) AS last FROM old GROUP BY card_id), p AS (SELECT card_id, unnest(range(0, last + 1, 3)) AS cluster FROM e) SELECT p.card_id, p.cluster, (SELECT arg_max(s.file_no, s.first) FROM s WHERE s.card_id = p.card_id AND s.first <= p.cluster) AS file_no FROM p")
+def card_last_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last file that starts at or before every third cluster."""
+    old = card_tables(spark, sf_dir)["old"]
+    starts = old.where("pos = 0").select("card_id", "cluster", "file_no")
+    points = old.groupBy("card_id").agg(F.max("cluster").alias("last")).select("card_id", F.explode(F.expr("sequence(0L, last, 3L)")).alias("cluster"))
+    return lookups.last_before(points, starts, "card_id", "cluster", "file_no", 64)
+
+
+@query("pool_best_donor", """
+    WITH a AS (SELECT doc_id, coalesce(lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id), min(doc_id) OVER (PARTITION BY source, lang)) AS c,
+                      coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id), min(doc_id) OVER (PARTITION BY source)) AS b,
+                      coalesce(lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id), min(doc_id) OVER (PARTITION BY lang)) AS a,
+                      coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS z FROM documents)
+    SELECT doc_id, CASE WHEN c <> doc_id THEN c WHEN b <> doc_id THEN b WHEN a <> doc_id THEN a ELSE z END AS donor,
+           CASE WHEN c <> doc_id THEN 3 WHEN b <> doc_id THEN 2 WHEN a <> doc_id THEN 1 ELSE 0 END AS score FROM a
+""")
+def pool_best_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The donor that fits each document best, with its source for tables and its language for a frame."""
+    return lookups.best_donor(table(spark, sf_dir, "documents"), "doc_id", "source", "lang")
+
+
+@query("card_fields", """
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_custkey <= 64 THEN 2 WHEN o_custkey <= 256 THEN 4 WHEN o_custkey <= 512 THEN 8 WHEN o_custkey <= 1024 THEN 16 ELSE 32 END
+                   WHEN 1 THEN CASE WHEN o_custkey <= 4096 THEN 4 ELSE 32 END ELSE CASE WHEN o_custkey <= 32768 THEN 32 ELSE 128 END END AS cluster_kb,
+           rtrim(substr(upper(replace(replace(o_orderpriority, '.', ''), '/', '')), 1, 11)) AS label,
+           rpad(upper(split_part(o_orderpriority || '.jpg', '.', 1))[1:8], 8, ' ') || 'JPG' AS short_name,
+           ((s // 86400 // 365 + 20) * 512 + least(s // 86400 % 365 // 31 + 1, 12) * 32 + least(s // 86400 % 365 % 31 + 1, 28)) * 65536 + (s % 86400 // 3600) * 2048 + (s // 60 % 60) * 32 + s % 60 // 2 AS packed,
+           CASE WHEN (o_custkey % 1400 - 6) // 166 >= 0 AND o_custkey % 1400 >= 6 AND (o_custkey % 1400 - 6) // 166 < 8 AND (o_orderkey % 900 - 6) // 184 * 8 + (o_custkey % 1400 - 6) // 166 < 30 AND o_orderkey % 900 >= 6 THEN (o_orderkey % 900 - 6) // 184 * 8 + (o_custkey % 1400 - 6) // 166 ELSE -1 END AS cell
+    FROM (SELECT *, o_orderkey * 86399 AS s FROM orders)
+""")
+def card_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field rules of cards and sheets over the orders table."""
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    fs = F.element_at(F.array(*map(F.lit, ("fat16", "fat32", "exfat"))), (key % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", card_fields.default_cluster_kb(fs, other).alias("cluster_kb"), card_fields.volume_label(F.col("o_orderpriority")).alias("label"),
+        card_fields.short_name(F.concat("o_orderpriority", F.lit(".jpg"))).alias("short_name"), card_fields.packed_time(key * 86399).alias("packed"), card_fields.sheet_cell(F.lit(30), other % 1400, key % 900).alias("cell"),
+    )
+
+
 # --- Photos: synthetic files, their structure, marker-level edits ---------------------------------------------------
 
 
