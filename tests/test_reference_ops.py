@@ -180,5 +180,38 @@ def test_seeded_recipes_fuse_and_repeat(spark, payloads):
     assert all(apply_recipe(payloads, story(name, 1.0, 5), seed="ord").count() == len(PAYLOADS) for name in STORIES)
 
 
+def test_next_in_group_over_blocks(spark):
+    from shardmend.operators import lookups
+
+    r = random.Random(4)
+    rows = [(i, r.choice([None, "a", "b"])) for i in sorted(r.sample(range(1000), 60))]
+    got = {(x["g"], x["i"]): x["next"] for x in lookups.next_in_group(spark.createDataFrame(rows, "i long, g string"), ["g"], "i", block=50).collect()}
+    for g in (None, "a", "b"):
+        own = [i for i, x in rows if x == g]
+        assert all(got[(g, i)] == own[(k + 1) % len(own)] for k, i in enumerate(own))
+
+
+def test_interval_and_last_before(spark):
+    from shardmend.operators import lookups
+
+    points = spark.createDataFrame([(1, i) for i in range(0, 200, 7)], "k long, at long")
+    intervals = spark.createDataFrame([(1, 0, 30, "a"), (1, 30, 31, "b"), (1, 60, 150, "c"), (1, 80, 80, "none")], "k long, low long, high long, name string")
+    got = {r["at"]: r["name"] for r in lookups.interval_join(points, intervals, "k", "at", "low", "high", 16).collect()}
+    assert got == {i: "a" if i < 30 else "c" for i in range(0, 200, 7) if i < 30 or 60 <= i < 150}
+    marks = spark.createDataFrame([(1, 14, "x"), (1, 15, "y"), (1, 120, "z")], "k long, at long, v string")
+    got = {r["at"]: r["v"] for r in lookups.last_before(points, marks, "k", "at", "v", 32).collect()}
+    assert got == {i: None if i < 14 else "x" if i < 15 else "y" if i < 120 else "z" for i in range(0, 200, 7)}
+
+
+def test_card_fields(spark):
+    from shardmend.functions import card_fields
+
+    row = spark.range(1).select(
+        card_fields.volume_label(F.lit("my [card]/2024 é photos")).alias("label"), card_fields.short_name(F.lit("img.0001.jpeg")).alias("name"), card_fields.packed_time(F.lit(86400 * 40 + 3725)).alias("time")
+    ).first()
+    assert row["label"] == "MY CARD2024" and row["name"] == "IMG.0001JPE"
+    assert row["time"] == (20 << 9 | 2 << 5 | 10) << 16 | 1 << 11 | 2 << 5 | 2
+
+
 def test_catalogue_names():
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
