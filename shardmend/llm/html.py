@@ -29,6 +29,8 @@ VOID = "area base br col embed hr img input link meta param source track wbr".sp
 #: Elements that are boilerplate wherever they stand, and tokens of class, id or role that say so.
 OUTSIDE = "nav aside footer form menu dialog search".split()
 SIGNS = "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments comments-list comment-list consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar widget complementary contentinfo search".split()
+#: Signs that tell as any part of a token, as in "content-ad".
+PART_SIGNS = "ad ads advert advertisement banner breadcrumb comment comments cookie cookies newsletter popup promo sidebar sponsor sponsored".split()
 MAIN = "article main".split()
 # Frequent words of the languages that pages are in.
 STOP_WORDS = frozenset(
@@ -44,7 +46,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD_EDGE = re.compile(r"^\W+|\W+$")
 _KIND = {**dict.fromkeys(BLOCKS, 1), "br": 2, "a": 3}
-_SILENT, _VOID, _OUTSIDE, _SIGNS, _MAIN = map(frozenset, (SILENT, VOID, OUTSIDE, SIGNS, MAIN))
+_SILENT, _VOID, _OUTSIDE, _SIGNS, _PART_SIGNS, _MAIN = map(frozenset, (SILENT, VOID, OUTSIDE, SIGNS, PART_SIGNS, MAIN))
 
 
 class Block:
@@ -65,8 +67,11 @@ def outside_by_signs(attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and (any(x in _SIGNS or x.replace("_", "-") in _SIGNS for x in value.split()) or any(p in _SIGNS for x in value.split() for p in re.split("[-_]", x)[:1])):
-            return True
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                parts = re.split("[-_]+", token)
+                if token in _SIGNS or "-".join(parts) in _SIGNS or parts[0] in _SIGNS or not _PART_SIGNS.isdisjoint(parts):
+                    return True
     return False
 
 
