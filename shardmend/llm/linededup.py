@@ -34,6 +34,8 @@ HASH_BITS = 43
 #: Tokens with more occurrences are dealt over pairs of parts of about half as many rows.
 HOT = 1_000_000
 FILTER_BITS = 1 << 24
+#: Bits of a word's hash that tell cheaply whether it may be one of a few tokens.
+TOKEN_BITS = 24
 CHUNK = 1 << 19
 LOOK_ROWS = 1 << 16
 #: Unsure candidates that a line gives out under one token.
@@ -128,7 +130,7 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndar
             key = (grade[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))
             if bits is not None:
                 some = np.zeros(len(bounds), bool)
-                some[line[passes(bits, key.view(np.int64), np.zeros(len(key), np.int64))]] = True
+                some[line[bits[(h >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)]]] = True
                 key, line = key[some[line]], line[some[line]]
             key, line = distinct_tokens(key, line)
             if not len(key):
@@ -143,7 +145,7 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndar
             position = np.arange(len(group)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             token = key[first[group] + position]
             if bits is not None:
-                some = np.flatnonzero(passes(bits, token.view(np.int64), np.zeros(len(token), np.int64)))
+                some = np.flatnonzero(bits[_cells(token)])
                 group, position, token = group[some], position[some], token[some]
             of = line[first][group]
             at = (number[of] << 32) | (np.minimum(n[group], 65535) << 16) | np.minimum(position, 65535)
@@ -315,6 +317,15 @@ def _positions(d: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def _cells(token: np.ndarray) -> np.ndarray:
+    return (token.view(np.uint64) >> np.uint64(HASH_BITS - TOKEN_BITS) & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)
+
+
+def token_filter(tokens: DataFrame) -> np.ndarray:
+    """Which of the cells that words fall into hold any of the tokens."""
+    return _bits_of(tokens, lambda batch: [_cells(batch.column("token").to_numpy())], 1 << TOKEN_BITS)
+
+
 def passes(bits: np.ndarray, d: np.ndarray, line: np.ndarray) -> np.ndarray:
     p, q = _positions(d, line)
     return bits[p] & bits[q]
@@ -322,16 +333,21 @@ def passes(bits: np.ndarray, d: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 def wanted_filter(lines: DataFrame) -> np.ndarray:
     """A Bloom filter of fixed size over (d, l)."""
+    return _bits_of(lines, lambda batch: _positions(batch.column("d").to_numpy(), batch.column("l").to_numpy()), FILTER_BITS)
+
+
+def _bits_of(rows: DataFrame, places, size: int) -> np.ndarray:
+    """Bits set at the places of all rows, put together from a few tasks."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            for p in _positions(batch.column("d").to_numpy(), batch.column("l").to_numpy()):
+            for p in places(batch):
                 bits[p] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in lines.coalesce(4).mapInArrow(build, "bits binary").toLocalIterator():
+    out = np.zeros(size // 8, np.uint8)
+    for row in rows.coalesce(4).mapInArrow(build, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], np.uint8)
     return np.unpackbits(out).astype(bool)
 
@@ -439,7 +455,7 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
         # The lists alone first tell what may match them, and only those lines are brought to be checked.
         own = texts.join(failed, ["d", "l"], "left_semi").select(F.col("d").alias("doc_id"), F.col("line").alias("text"))
         tokens = materialise(listed(own, grades, min_tokens).select("token").distinct())
-        some = listed(docs, grades, min_tokens, wanted_filter(tokens.select(F.col("token").alias("d"), F.lit(0).cast("long").alias("l"))))
+        some = listed(docs, grades, min_tokens, token_filter(tokens))
         some = some.join(tokens, "token", "left_semi").withColumn("l", F.shiftright("at", 32))
         asking = some.join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
         near = materialise(near_askers(grouped(asking, counts)).withColumn("l", F.shiftright("at", 32)))
