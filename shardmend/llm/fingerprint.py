@@ -233,14 +233,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         data, starts = utf8(pa.array(texts, pa.large_string()))
         return [digest(h) for h in features(data, starts, rank)]
 
-    def work(rows: list[tuple], following: list[tuple]) -> dict:
-        """Rows (part, tail, doc_id, text) and what comes after each of them."""
-        pairs = [(r, f) for r, f in zip(rows, following, strict=True) if not r[1]]
+    def work(rows: list[tuple]) -> dict:
+        """Rows (part, tail, doc_id, text), each followed by the next; the last one only follows."""
+        at = [i for i, r in enumerate(rows[:-1]) if not r[1]]
+        pairs = [(rows[i], rows[i + 1]) for i in at]
         own = [r[3] for r, _ in pairs]
         edited = [t[: len(t) - len(t) // 3] + f[3][: len(t) // 3] for t, (_, f) in zip(own, pairs, strict=True)]
-        done = digests(own + edited + [f[3] for _, f in pairs])
-        n = len(pairs)
-        a, e, f = done[:n], done[n : 2 * n], done[2 * n :]
+        done = digests([r[3] for r in rows] + edited)
+        a, f, e = [done[i] for i in at], [done[i + 1] for i in at], done[len(rows) :]
         columns = {
             "doc_id": [r[2] for r, _ in pairs],
             "n_chars": pa.array([len(t) for t in own], pa.int64()),
@@ -260,8 +260,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             rows = list(zip(batch.column("part").to_pylist(), batch.column("tail").to_pylist(), batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True))
             rows = waiting + rows
             for s in range(0, len(rows) - 1, 256):
-                some = rows[s : min(s + 256, len(rows) - 1)]
-                columns = work(some, rows[s + 1 : s + 1 + len(some)])
+                columns = work(rows[s : s + 257])
                 columns["doc_id"] = pa.array(columns["doc_id"], schema)
                 yield pa.RecordBatch.from_pydict(columns)
             waiting = rows[-1:]
