@@ -14,9 +14,9 @@ def pool_rotation(payloads: DataFrame, places: int = 1) -> DataFrame:
 
     ``ord`` numbers the pool from 0 without gaps. A pool of one is its own donor.
     """
-    n = payloads.agg(F.count(F.lit(1)).alias("n"))
-    rows = payloads.select("ord").crossJoin(F.broadcast(n)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-    return rows.where((F.col("k") < F.col("n") - 1) | (F.col("n") == 1) & (F.col("k") == 0)).select("ord", "k", F.pmod(F.col("ord") + 1 + F.col("k"), F.col("n")).alias("donor"))
+    n = payloads.count()
+    rows = payloads.select("ord", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("k"))
+    return rows.where(F.col("k") < max(n - 1, 1)).select("ord", "k", F.pmod(F.col("ord") + 1 + F.col("k"), F.lit(max(n, 1))).alias("donor"))
 
 
 def with_donor(payloads: DataFrame, k: int = 0) -> DataFrame:
