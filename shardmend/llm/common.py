@@ -166,7 +166,7 @@ def shingle_hashes(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[n
     out = np.zeros(n, np.uint64)
     for i in range(k):
         moved = np.zeros(n, np.uint64)
-        moved[: n - i] = h[i:]
+        moved[: max(n - i, 0)] = h[i:]
         out = np.where(i < width, mix64(out * np.uint64(0x2545F4914F6CDD1D) + moved + np.uint64(i + 1)), out)
     return out[ok], row[ok]
 
