@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +43,10 @@ STOP_WORDS = frozenset(
 )
 LINKS, DENSE, SOME, LONG, SHORT = 0.5, 0.3, 0.15, 200, 70
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_START = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+#: Tags of a page whose quotes don't close are looked at so often; later ones end at their next bracket.
+UNCLOSED = 50
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD_EDGE = re.compile(r"^\W+|\W+$")
 _KIND = {**dict.fromkeys(BLOCKS, 1), "br": 2, "a": 3}
@@ -75,6 +79,30 @@ def outside_by_signs(attributes: str) -> bool:
     return False
 
 
+def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closes, name, attributes) of tags in order; comments and declarations have no name.
+
+    A tag ends at a bracket outside quotes, or where its quotes don't close at the next one. A comment that doesn't end
+    takes the rest; a tag that doesn't end is text.
+    """
+    at, failed = 0, 0
+    while m := _START.search(page, at):
+        if m.group(1):
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+        else:
+            rest = _REST.match(page, m.end()) if m.group(3) and failed < UNCLOSED else None
+            if rest is None:
+                failed += bool(m.group(3))
+                end = page.find(">", m.end())
+                if end < 0:
+                    return
+                at = end + 1
+            else:
+                at = rest.end()
+        yield m.start(), at, bool(m.group(2)), (m.group(3) or "").lower(), page[m.end() : at - 1] if m.group(3) else ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """Non-empty blocks of a page, in order."""
     out: list[Block] = []
@@ -92,18 +120,17 @@ def blocks_of(page: str) -> list[Block]:
         block = Block(outside, article)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not silent:
-            piece = page[at : m.start()]
+    for start, end, closes, name, attributes in markup(page):
+        if start > at and not silent:
+            piece = page[at:start]
             block.parts.append(piece)
             if not piece.isspace():
                 broken = False
                 if in_link:
                     block.links.append(piece)
-        at = m.end()
-        if m.group(2) is None:
+        at = end
+        if not name:
             continue
-        closes, name = bool(m.group(1)), m.group(2).lower()
         if silent:
             if not (closes and name == open_[-1][0]):
                 continue
@@ -124,7 +151,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if kind is None and name not in _SILENT:
             if not closes or not count.get(name):
-                if not closes and "=" in m.group(3) and outside_by_signs(m.group(3)):
+                if not closes and "=" in attributes and outside_by_signs(attributes):
                     cut()
                     open_.append((name, outside, article, silent))
                     count[name] = count.get(name, 0) + 1
@@ -144,6 +171,8 @@ def blocks_of(page: str) -> list[Block]:
                     cut()
                 block.outside, block.article = outside, article
             continue
+        if name in ("svg", "math") and attributes.endswith("/"):
+            continue
         open_.append((name, outside, article, silent))
         count[name] = count.get(name, 0) + 1
         if name in _SILENT:
@@ -152,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in _MAIN and not outside:
             articles += 1
             article = article or articles
-        if name in _OUTSIDE or name == "header" and not article or m.group(3) and outside_by_signs(m.group(3)):
+        if name in _OUTSIDE or name == "header" and not article or attributes and outside_by_signs(attributes):
             outside = True
         block.outside, block.article = outside, article
     if at < len(page) and not silent:
