@@ -15,7 +15,6 @@ remove each other's lines. An empty table gives no rows. Other columns are carri
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -36,10 +35,10 @@ HOT = 1_000_000
 FILTER_BITS = 1 << 24
 #: Bits of a word's hash that tell cheaply whether it may be one of a few tokens.
 TOKEN_BITS = 24
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 LOOK_ROWS = 1 << 16
 #: Unsure candidates that a line gives out under one token.
-DEPTH = 16
+DEPTH = 256
 #: Distance between the null doc_id and others.
 NULL_ID = -(1 << 63)
 
@@ -352,11 +351,8 @@ def _bits_of(rows: DataFrame, places, size: int) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def wanted_lines(docs: DataFrame, lines: DataFrame, keys: bool) -> DataFrame:
-    """(d, l, line) for the wanted (d, l), or (d, l, key, mark): a 64-bit hash of the line and its checksum.
-
-    A filter of fixed size drops most other lines before they are shuffled, a join the rest.
-    """
+def wanted_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(d, l, line) for the wanted (d, l): a filter of fixed size drops most others before they are shuffled, a join the rest."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted_filter(lines)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,28 +365,12 @@ def wanted_lines(docs: DataFrame, lines: DataFrame, keys: bool) -> DataFrame:
             some = np.flatnonzero(passes(wanted, d, number))
             of = np.repeat(np.arange(len(lines)), count)[some]
             text = [lines[i][k] for i, k in zip(of.tolist(), number[some].tolist(), strict=True)]
-            columns = {"d": pa.array(d[some]), "l": pa.array(number[some])}
-            if keys:
-                raw = [t.encode() for t in text]
-                columns["key"] = pa.array(np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=8).digest() for t in raw), np.int64))
-                columns["mark"] = pa.array(map(zlib.crc32, raw), pa.int64())
-            else:
-                columns["line"] = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(number[some]), pa.array(text, pa.string())], names=["d", "l", "line"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text")
-    found = rows.mapInArrow(split, "d long, l long, key long, mark long" if keys else "d long, l long, line string")
+    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text").mapInArrow(split, "d long, l long, line string")
     return found.join(lines, ["d", "l"], "left_semi").distinct()
 
 
-def equal_lines(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(d, l, mark): later lines of the pairs that equal the earlier ones."""
-    keys = materialise(wanted_lines(docs, ends(pairs), keys=True))
-    x = keys.select(F.col("d").alias("xd"), F.col("l").alias("xl"), "key", "mark")
-    y = keys.select(F.col("d").alias("yd"), F.col("l").alias("yl"), "key")
-    return pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl", "key"], "left_semi").select(F.col("xd").alias("d"), F.col("xl").alias("l"), "mark")
-
-
 def matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(d, l, mark): later lines of the pairs that hold on the texts; ``mark`` is a checksum of the line."""
     side = lambda s: texts.select(F.col("d").alias(s + "d"), F.col("l").alias(s + "l"), F.col("line").alias(s))
@@ -435,19 +415,16 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     grades = graded(counts)
     with batch_rows(docs.sparkSession, 16 * BATCH_ROWS):
         pairs = materialise(look_back(grouped(listed(docs, grades, min_tokens), counts)))
-    # Any sure pair of a line first: most are equal lines, which hashes show; the others are checked on their texts.
-    # All pairs of a line come only if that fails or if it has no sure one.
+    # Any sure pair of a line first; all its pairs only if that fails or if it has no sure one.
     sure = lambda c: F.first(F.when(F.col("more") == 1, F.col(c)), ignorenulls=True).alias(c)
     best = materialise(pairs.groupBy("xd", "xl").agg(sure("yd"), sure("yl")))
     first = best.where("yd IS NOT NULL")
-    gone = materialise(equal_lines(first, docs))
     line = [F.col("xd").alias("d"), F.col("xl").alias("l")]
-    rest = materialise(first.join(gone.select(F.col("d").alias("xd"), F.col("l").alias("xl")), ["xd", "xl"], "left_anti"))
-    gone = gone.unionByName(materialise(matches(rest, materialise(wanted_lines(docs, ends(rest), keys=False)))))
+    gone = materialise(matches(first, materialise(wanted_lines(docs, ends(first)))))
     failed = materialise(best.select(*line).join(gone, ["d", "l"], "left_anti"))
     if failed.limit(1).count():
         left = materialise(pairs_of(pairs, failed).groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more")))
-        texts = materialise(wanted_lines(docs, ends(left), keys=False))
+        texts = materialise(wanted_lines(docs, ends(left)))
         gone = gone.unionByName(materialise(matches(left, texts).distinct()))
         failed = materialise(left.where("more = 1").select(*line).distinct().join(gone, ["d", "l"], "left_anti"))
     if failed.limit(1).count():
@@ -459,7 +436,7 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
         some = some.join(tokens, "token", "left_semi").withColumn("l", F.shiftright("at", 32))
         asking = some.join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
         near = materialise(near_askers(grouped(asking, counts)).withColumn("l", F.shiftright("at", 32)))
-        lines = wanted_lines(docs, near.select("d", "l").distinct(), keys=False)
+        lines = wanted_lines(docs, near.select("d", "l").distinct())
         last = look_through(sorted_groups(near.join(lines, ["d", "l"]).drop("l"))).join(texts, ["d", "l"])
         gone = gone.unionByName(last.select("d", "l", F.crc32(F.col("line").cast("binary")).alias("mark")))
     return gone
