@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch, which is held in memory whole; Spark also ends a batch at 64 MB.
 BATCH_ROWS = 1024
+#: Bytes of text that are worked on at once: arrays of 8 bytes for each of them stay near the processor.
+BUFFER = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BATCH_ROWS, arrow_map, batch_rows, materialise, mix64, row_groups, strings, utf8, word_hashes
+from shardmend.llm.common import BATCH_ROWS, BUFFER, arrow_map, batch_rows, materialise, mix64, row_groups, strings, utf8, word_hashes
 
 PERCENT = 80
 MIN_TOKENS = 5
@@ -35,7 +35,6 @@ HOT = 1_000_000
 FILTER_BITS = 1 << 24
 #: Bits of a word's hash that tell cheaply whether it may be one of a few tokens.
 TOKEN_BITS = 24
-CHUNK = 1 << 17
 LOOK_ROWS = 1 << 16
 #: Unsure candidates that a line gives out under one token.
 DEPTH = 256
@@ -54,7 +53,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         total, cells, held = np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
             data, starts = utf8(batch.column(0))
-            for i, j in row_groups(starts, CHUNK):
+            for i, j in row_groups(starts, BUFFER):
                 h, _, _, _ = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 cells.append((h >> np.uint64(44)).astype(np.int64))
                 held += len(h)
@@ -122,7 +121,7 @@ def listed(docs: DataFrame, grades: np.ndarray, min_tokens: int, tokens: np.ndar
         grade = shared.value
         data, starts = utf8(batch.column("text"))
         ids = batch.column("d").to_numpy()
-        for i, j in row_groups(starts, CHUNK):
+        for i, j in row_groups(starts, BUFFER):
             part = data[starts[i] : starts[j]]
             bounds, row, number = line_starts(part, starts[i : j + 1] - starts[i])
             h, line, _, _ = word_hashes(part, bounds)

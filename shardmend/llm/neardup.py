@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import LOWER, arrow_map, materialise, mix64, row_groups, shingle_hashes, utf8, word_hashes
+from shardmend.llm.common import BUFFER, LOWER, arrow_map, materialise, mix64, row_groups, shingle_hashes, utf8, word_hashes
 
 M, BANDS, ROWS = 256, 42, 6
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
@@ -53,7 +53,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         rows = batch.num_rows
         n, a, b = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
         regs: list[bytes | None] = [None] * rows
-        for i, j in row_groups(starts, 1 << 20):
+        for i, j in row_groups(starts, BUFFER):
             h, row, _, _ = word_hashes(LOWER[data[starts[i] : starts[j]]], starts[i : j + 1] - starts[i])
             h, row = shingle_hashes(h, row, j - i, k)
             order = np.lexsort((h, row))
@@ -140,7 +140,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, starts = utf8(batch.column("text"))
         out = []
-        for i, j in row_groups(starts, 1 << 20):
+        for i, j in row_groups(starts, BUFFER):
             h, row, _, _ = word_hashes(LOWER[data[starts[i] : starts[j]]], starts[i : j + 1] - starts[i])
             h, row = shingle_hashes(h, row, j - i, k)
             cut = np.searchsorted(row, np.arange(j - i + 1))

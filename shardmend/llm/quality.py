@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import arrow_map, row_groups, utf8, word_hashes
+from shardmend.llm.common import BUFFER, arrow_map, row_groups, utf8, word_hashes
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -163,7 +163,7 @@ def feature_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, starts = utf8(batch.column("text"))
-        x = np.concatenate([features(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]) for i, j in row_groups(starts, 1 << 20)])
+        x = np.concatenate([features(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]) for i, j in row_groups(starts, BUFFER)])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.FixedSizeListArray.from_arrays(x.ravel(), len(NAMES)).cast(pa.list_(pa.float64()))], names=[*keep, "features"])
 
     return arrow_map(docs.select(*keep, "text"), compute, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "features array<double>"]))
@@ -185,7 +185,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, starts = utf8(batch.column("text"))
-        s = np.concatenate([model.score(features(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])) for i, j in row_groups(starts, 1 << 20)])
+        s = np.concatenate([model.score(features(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])) for i, j in row_groups(starts, BUFFER)])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s)], names=[*names, "_quality"])
 
     return arrow_map(docs, score, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_quality double"]))
