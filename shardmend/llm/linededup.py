@@ -37,7 +37,7 @@ FILTER_BITS = 1 << 24
 TOKEN_BITS = 24
 LOOK_ROWS = 1 << 16
 #: Unsure candidates that a line gives out under one token.
-DEPTH = 256
+DEPTH = 16
 #: Distance between the null doc_id and others.
 NULL_ID = -(1 << 63)
 
