@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match earlier ones; none is dropped, even if all its lines go."""
-    return linededup.without_repeated_lines(docs).drop("_lines")
+    return linededup.without_repeated_lines(docs, min_tokens=1).drop("_lines")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

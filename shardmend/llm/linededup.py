@@ -5,16 +5,19 @@ a line is listed under its first n - ceil(0.8 n) + 1 of them: two lines with Jac
 listed token. Under each token, lines in document order look back for the nearest earlier line that passes the length
 filter, the positional filter and a parity bitmap, which bounds the symmetric difference; none of them drops a match.
 Candidates are verified on the texts of the lines. A line goes if any earlier line matches it. Looks that failed are
-repeated by all earlier lines, so that the result is exact.
+repeated by all earlier lines, so that the result is exact. Lines of one to three distinct words match only lines of the
+same words: these are grouped by a digest of their words, and all but the first of a group go.
 
-Earlier means a smaller doc_id (null first), then a smaller line number. Lines of fewer than ``min_tokens`` distinct
-words stay: they say too little. Null texts stay null; empty lines and texts stay. Rows that repeat a doc_id are one
+Earlier means a smaller doc_id (null first), then a smaller line number. ``min_tokens`` is a floor that a caller may
+set: lines of fewer distinct words stay. The registered query and the pipeline set it to 1, so that no line with words
+is left out. Null texts stay null; empty lines and texts stay. Rows that repeat a doc_id are one
 document in this order: what is removed from one is removed from another where the line is the same, and they do not
 remove each other's lines. An empty table gives no rows. Other columns are carried along; ``n_chars`` is counted anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +30,10 @@ from shardmend.llm.common import BATCH_ROWS, BUFFER, arrow_map, batch_rows, mate
 
 PERCENT = 80
 MIN_TOKENS = 5
+#: Sets of fewer words match equal sets only, at this similarity; a set of four also matches one of five.
+SMALL = 4
+#: Lines of the same few words are dealt over so many parts.
+SMALL_PARTS = 16
 CELLS, PIECES = 1 << 20, 64
 #: A token is a grade of one byte and so many bits of a hash of the word.
 HASH_BITS = 43
@@ -408,8 +415,41 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
 
 
+def repeated_small(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """(d, l, mark) of lines of ``min_tokens`` to SMALL - 1 distinct words that are not the first with these words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, d, number, mark = [], [], [], []
+            for of, text in zip(batch.column("d").to_pylist(), strings(batch.column("text")), strict=True):
+                for k, line in enumerate(text.encode().split(b"\n")):
+                    # The first words tell of most lines that they have too many.
+                    if len(set(line.split(None, 2 * SMALL)[: 2 * SMALL])) >= SMALL:
+                        continue
+                    own = set(line.split())
+                    if min_tokens <= len(own) < SMALL and own:
+                        words.append(hashlib.sha256(b" ".join(sorted(own))).digest())
+                        d.append(of)
+                        number.append(k)
+                        mark.append(zlib.crc32(line))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(x, pa.int64()) for x in (d, number, mark))], names=["words", "d", "l", "mark"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text")
+    small = materialise(rows.mapInArrow(run, "words binary, d long, l long, mark long"))
+    first = small.groupBy("words").agg(F.min(F.struct("d", "l")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SMALL_PARTS - 1).cast("long"))))
+    dealt = small.withColumn("part", F.pmod(F.xxhash64("d", "l"), F.lit(SMALL_PARTS).cast("long")))
+    return dealt.join(first, ["words", "part"]).where("d <> first.d OR l <> first.l").select("d", "l", "mark")
+
+
 def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(d, l, mark) of the lines that go; some may come twice."""
+    large = repeated_large(docs, max(min_tokens, SMALL))
+    return large.unionByName(repeated_small(docs, min_tokens)) if min_tokens < SMALL else large
+
+
+def repeated_large(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """(d, l, mark) of the lines of ``min_tokens`` distinct words or more that go, by the join; some may come twice."""
     counts = token_counts(docs)
     grades = graded(counts)
     with batch_rows(docs.sparkSession, 16 * BATCH_ROWS):

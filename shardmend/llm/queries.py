@@ -30,7 +30,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    done = linededup.without_repeated_lines(table(spark, sf_dir, "documents"), min_tokens=1)
     return done.select("doc_id", "text", "n_chars", "_lines.n_lines", "_lines.n_removed")
 
 
