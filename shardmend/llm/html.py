@@ -5,7 +5,8 @@ footers, sidebars, forms, adverts, notices and comments are out), by link densit
 words; short blocks and those without a clear sign stay ambiguous. In the second pass an ambiguous block takes the label
 of its nearest decided neighbours: theirs if they agree, else the nearer one's. Where a page marks its article, only
 what is inside it can be main text, neighbours are looked for inside it, and an article without any decided block is
-main text whole.
+main text whole. Class, id and role never put a page, its body, an article or main outside, nor an id a heading. An element
+that only part of a class or role speaks against is out unless a block in it is dense, and the first article in it stays.
 
 Null html counts as empty and gives an empty text. Unclosed and stray tags are taken as they come. White space inside a
 block becomes one space, blocks are joined by a line end, and nothing is cut. Rows that repeat have equal results. An
@@ -33,6 +34,9 @@ SIGNS = "ad ads advert advertisement advertising banner breadcrumb breadcrumbs c
 #: Signs that tell as any part of a token, as in "content-ad".
 PART_SIGNS = "ad ads advert advertisement banner breadcrumb comment comments cookie cookies newsletter popup promo sidebar sponsor sponsored".split()
 MAIN = "article main".split()
+#: Elements that class, id and role never put outside, and headings, whose ids are often slugs of their text.
+UNSIGNED = "html body main article".split()
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 # Frequent words of the languages that pages are in.
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i if in into is it its more
@@ -50,7 +54,7 @@ UNCLOSED = 50
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD_EDGE = re.compile(r"^\W+|\W+$")
 _KIND = {**dict.fromkeys(BLOCKS, 1), "br": 2, "a": 3}
-_SILENT, _VOID, _OUTSIDE, _SIGNS, _PART_SIGNS, _MAIN = map(frozenset, (SILENT, VOID, OUTSIDE, SIGNS, PART_SIGNS, MAIN))
+_SILENT, _VOID, _OUTSIDE, _SIGNS, _PART_SIGNS, _MAIN, _UNSIGNED, _HEADINGS = map(frozenset, (SILENT, VOID, OUTSIDE, SIGNS, PART_SIGNS, MAIN, UNSIGNED, HEADINGS))
 
 
 class Block:
@@ -58,25 +62,28 @@ class Block:
 
     __slots__ = ("article", "links", "outside", "parts", "text")
 
-    def __init__(self, outside: bool, article: int):
+    def __init__(self, outside: int, article: int):
         self.parts: list[str] = []
         self.links: list[str] = []
         self.outside, self.article = outside, article
         self.text = ""
 
 
-def outside_by_signs(attributes: str) -> bool:
-    """Whether an element's attributes say that it is no main text."""
+def outside_by_signs(element: str, attributes: str) -> int:
+    """Whether an element's attributes say that it is no main text: 2 for sure, 1 by part of a class or role, else 0."""
+    found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role"):
+            return 2
+        if name in ("class", "id", "role") and element not in _UNSIGNED and not (name == "id" and element in _HEADINGS):
             for token in value.split():
                 parts = re.split("[-_]+", token)
-                if token in _SIGNS or "-".join(parts) in _SIGNS or parts[0] in _SIGNS or not _PART_SIGNS.isdisjoint(parts):
-                    return True
-    return False
+                if token in _SIGNS or "-".join(parts) in _SIGNS or parts[0] in _SIGNS:
+                    return 2
+                if name != "id" and not _PART_SIGNS.isdisjoint(parts):
+                    found = 1
+    return found
 
 
 def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -106,10 +113,10 @@ def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
 def blocks_of(page: str) -> list[Block]:
     """Non-empty blocks of a page, in order."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, int, bool]] = []  # name, outside, article, silent
+    open_: list[tuple[str, int, int, bool]] = []  # name, outside (-1, or the number of a doubted element), article, silent
     count: dict[str, int] = {}
-    outside, article, silent, in_link, articles, broken = False, 0, False, 0, 0, False
-    block = Block(False, 0)
+    outside, article, silent, in_link, articles, doubted, broken = 0, 0, False, 0, 0, 0, False
+    block = Block(0, 0)
 
     def cut() -> None:
         nonlocal block
@@ -151,11 +158,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if kind is None and name not in _SILENT:
             if not closes or not count.get(name):
-                if not closes and "=" in attributes and outside_by_signs(attributes):
+                if not closes and "=" in attributes and (sign := outside_by_signs(name, attributes)):
                     cut()
+                    doubted += 1
                     open_.append((name, outside, article, silent))
                     count[name] = count.get(name, 0) + 1
-                    outside = block.outside = True
+                    outside = block.outside = -1 if sign == 2 or outside < 0 else doubted
                 continue
         if kind or name in _SILENT:
             cut() if kind else None
@@ -178,11 +186,15 @@ def blocks_of(page: str) -> list[Block]:
         if name in _SILENT:
             silent = True
             continue
-        if name in _MAIN and not outside:
+        if name in _MAIN and (not outside or outside > 0 and not articles):
+            outside = 0
             articles += 1
             article = article or articles
-        if name in _OUTSIDE or name == "header" and not article or attributes and outside_by_signs(attributes):
-            outside = True
+        if name in _OUTSIDE or name == "header" and not article:
+            outside = -1
+        elif attributes and outside >= 0 and (sign := outside_by_signs(name, attributes)):
+            doubted += 1
+            outside = -1 if sign == 2 else doubted
         block.outside, block.article = outside, article
     if at < len(page) and not silent:
         block.parts.append(page[at:])
@@ -209,8 +221,19 @@ def first_label(block: Block, marked: bool) -> int:
     return -1
 
 
+def dense(block: Block) -> bool:
+    """Whether a block reads as running text by its length, links and stop words alone."""
+    links = len(" ".join(entities.unescape(" ".join(block.links)).split())) if block.links else 0
+    words = block.text.lower().split()
+    return len(block.text) >= SHORT and links <= LINKS * len(block.text) and sum((w if w.isalpha() else _WORD_EDGE.sub("", w)) in STOP_WORDS for w in words) >= DENSE * len(words)
+
+
 def labelled(blocks: list[Block]) -> list[int]:
-    """Labels of blocks after both passes."""
+    """Labels of blocks after both passes. A doubted element is out unless a block of it is dense."""
+    inside = {b.outside for b in blocks if b.outside > 0 and dense(b)}
+    for b in blocks:
+        if b.outside > 0:
+            b.outside = 0 if b.outside in inside else -1
     marked = any(b.article for b in blocks)
     first = [first_label(b, marked) for b in blocks]
     n = len(blocks)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from shardmend.llm import linededup, queries
+from shardmend.llm import html, linededup, queries
 
 
 def without_matches(docs):
@@ -35,3 +35,16 @@ def test_short_lines_by_brute_force(spark, tmp_path, monkeypatch):
     assert {x["doc_id"]: x["text"] for x in got} == expect
     stage = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {x["doc_id"]: x["text"] for x in stage.collect()} == expect
+
+
+PROSE = "This is the text of the page and it is about the river and the stones that are in it."
+
+
+def test_signs_do_not_drop_pages():
+    article = f'<article><h1 id="search-results">Title</h1><h2 id="comments-on-the-law">Law</h2><p>{PROSE}</p></article>'
+    whole = f"Title\nLaw\n{PROSE}"
+    for sign in ("no-sidebar", "has-sidebar", "right-sidebar"):
+        assert html.main_text(f'<html class="{sign}"><body class="{sign}">{article}</body></html>') == whole
+    assert html.main_text(f'<body><div class="content-with-sidebar">{article}<div>Links</div></div></body>') == whole
+    assert html.main_text(f'<body><div class="content-with-sidebar"><p>{PROSE}</p></div></body>') == PROSE
+    assert html.main_text(f'<body><p>{PROSE}</p><div class="content-ad">Buy now</div><div class="ad">{PROSE}</div></body>') == PROSE
