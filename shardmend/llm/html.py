@@ -48,13 +48,15 @@ STOP_WORDS = frozenset(
 LINKS, DENSE, SOME, LONG, SHORT = 0.5, 0.3, 0.15, 200, 70
 
 _START = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
-_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
-#: Tags of a page whose quotes don't close are looked at so often; later ones end at their next bracket.
-UNCLOSED = 50
+_STOP = re.compile(r""">|=\s*(["'])""")
+#: Elements whose content holds no tags, and what a head may hold.
+RAW = "script style textarea title iframe noembed noframes xmp".split()
+HEAD = "base basefont bgsound link meta noscript script style template title".split()
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD_EDGE = re.compile(r"^\W+|\W+$")
 _KIND = {**dict.fromkeys(BLOCKS, 1), "br": 2, "a": 3}
-_SILENT, _VOID, _OUTSIDE, _SIGNS, _PART_SIGNS, _MAIN, _UNSIGNED, _HEADINGS = map(frozenset, (SILENT, VOID, OUTSIDE, SIGNS, PART_SIGNS, MAIN, UNSIGNED, HEADINGS))
+_SILENT, _VOID, _OUTSIDE, _SIGNS, _PART_SIGNS, _MAIN, _UNSIGNED, _HEADINGS, _HEAD = map(frozenset, (SILENT, VOID, OUTSIDE, SIGNS, PART_SIGNS, MAIN, UNSIGNED, HEADINGS, HEAD))
 
 
 class Block:
@@ -89,25 +91,40 @@ def outside_by_signs(element: str, attributes: str) -> int:
 def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """(start, end, closes, name, attributes) of tags in order; comments and declarations have no name.
 
-    A tag ends at a bracket outside quotes, or where its quotes don't close at the next one. A comment that doesn't end
-    takes the rest; a tag that doesn't end is text.
+    A tag ends at a bracket outside quotes, which open after an equals sign only, or where that doesn't come at the next
+    one. A comment that doesn't end takes the rest, as does a raw element; a tag that doesn't end is text.
     """
-    at, failed = 0, 0
+    at, last, failed = 0, {}, set()
+
+    def tag_end(pos: int) -> int:
+        # Places outside quotes from where no bracket comes, and the last quote of each kind, are looked for once.
+        seen = []
+        while pos not in failed and (m := _STOP.search(page, pos)):
+            quote = m.group(1)
+            if not quote:
+                return m.end()
+            if quote not in last:
+                last[quote] = page.rfind(quote)
+            pos = page.find(quote, m.end()) + 1 if last[quote] >= m.end() else m.end()
+            seen.append(pos)
+        failed.update(seen)
+        return 0
+
     while m := _START.search(page, at):
+        name = (m.group(3) or "").lower()
         if m.group(1):
             end = page.find("-->", m.end())
             at = end + 3 if end >= 0 else len(page)
         else:
-            rest = _REST.match(page, m.end()) if m.group(3) and failed < UNCLOSED else None
-            if rest is None:
-                failed += bool(m.group(3))
-                end = page.find(">", m.end())
-                if end < 0:
-                    return
-                at = end + 1
-            else:
-                at = rest.end()
-        yield m.start(), at, bool(m.group(2)), (m.group(3) or "").lower(), page[m.end() : at - 1] if m.group(3) else ""
+            at = (name and tag_end(m.end())) or page.find(">", m.end()) + 1
+            if not at:
+                return
+        yield m.start(), at, bool(m.group(2)), name, page[m.end() : at - 1] if name else ""
+        if name in _RAW_END and not m.group(2) and (name == "script" or page[at - 2] != "/"):
+            end = _RAW_END[name].search(page, at)
+            if end is None and name != "script" and name != "style":
+                continue
+            at = end.start() if end else len(page)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -126,8 +143,16 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(block)
         block = Block(outside, article)
 
+    def end_head() -> None:
+        nonlocal outside, article, silent
+        last, outside, article, silent = open_.pop()
+        count[last] -= 1
+        block.outside, block.article = outside, article
+
     at = 0
     for start, end, closes, name, attributes in markup(page):
+        if silent and open_[-1][0] == "head" and (page[at:start].strip() or name and not closes and name not in _HEAD):
+            end_head()
         if start > at and not silent:
             piece = page[at:start]
             block.parts.append(piece)
@@ -139,6 +164,9 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         if silent:
+            if not closes and open_[-1][0] == "head" and name in _SILENT:
+                open_.append((name, outside, article, silent))
+                count[name] = count.get(name, 0) + 1
             if not (closes and name == open_[-1][0]):
                 continue
         kind = _KIND.get(name)
@@ -196,6 +224,8 @@ def blocks_of(page: str) -> list[Block]:
             doubted += 1
             outside = -1 if sign == 2 else doubted
         block.outside, block.article = outside, article
+    if silent and open_[-1][0] == "head" and page[at:].strip():
+        end_head()
     if at < len(page) and not silent:
         block.parts.append(page[at:])
     cut()

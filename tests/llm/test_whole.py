@@ -48,3 +48,14 @@ def test_signs_do_not_drop_pages():
     assert html.main_text(f'<body><div class="content-with-sidebar">{article}<div>Links</div></div></body>') == whole
     assert html.main_text(f'<body><div class="content-with-sidebar"><p>{PROSE}</p></div></body>') == PROSE
     assert html.main_text(f'<body><p>{PROSE}</p><div class="content-ad">Buy now</div><div class="ad">{PROSE}</div></body>') == PROSE
+
+
+def test_markup_loses_no_text():
+    after = "<p>Text after it.</p>"
+    assert html.main_text(f"<body><script>for(i=0;i<n.length;i++)f(i);</script>{after}<script>x</script></body>") == "Text after it."
+    assert html.main_text(f"<html><head><title>t</title><meta charset=utf-8><noscript><p>off</p></noscript><body>{after}") == "Text after it."
+    assert html.main_text(f"<head><title>t</title>{after}") == "Text after it."
+    assert html.main_text("<head><title>a <b</title>Bare text") == "Bare text"
+    assert html.main_text(f"<p>Before.</p><img alt=it's src=x>{after}<p>It's more.</p>") == "Before.\nText after it.\nIt's more."
+    assert html.main_text("<p>" + "<i don't>a</i> " * 60 + '<b title="x > y">end</b></p>') == " ".join(["a"] * 60 + ["end"])
+    assert html.main_text("<a x=\">\"" * 50_000) is not None
