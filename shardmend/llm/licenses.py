@@ -98,20 +98,20 @@ def notices(text: bytes) -> list[tuple[str, int, int, int, float]]:
             while at >= 0:
                 windows.append((max(0, at - offset - k - 1), at - offset + len(phrase) + k + 1))
                 at = text.find(seed, at + 1)
-        merged: list[list[int]] = []
-        for a, b in sorted(windows):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            # One character of context on each side, for the word ends.
-            for m in pattern.finditer(text, max(0, a - 1), min(len(text), b + 1)):
-                s, e = m.span()
-                while s < e and text[s] == 32:
-                    s += 1
-                edits = sum(m.fuzzy_counts)
-                found.append((label, s, e, edits, 1 - edits / len(phrase)))
+        # One character of context on each side, for the word ends. The best match of a window comes first, so what is left
+        # and right of it is searched again. Windows aren't merged, so that the work grows with their number only.
+        parts = [(max(0, a - 1), min(len(text), b + 1)) for a, b in set(windows)]
+        while parts:
+            a, b = parts.pop()
+            m = pattern.search(text, a, b)
+            if m is None or m.end() == m.start():
+                continue
+            s, e = m.span()
+            while s < e and text[s] == 32:
+                s += 1
+            edits = sum(m.fuzzy_counts)
+            found.append((label, s, e, edits, 1 - edits / len(phrase)))
+            parts += [(x, y) for x, y in ((a, m.start()), (m.end(), b)) if y - x >= len(phrase) - k]
     # Of what overlaps under one label, the best stays; taken spans of a label don't overlap, so neighbours tell.
     taken: dict[str, list[tuple[int, int]]] = {}
     best: list[tuple[str, int, int, int, float]] = []

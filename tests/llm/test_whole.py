@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from shardmend.llm import html, linededup, queries
+from shardmend.llm import html, licenses, linededup, queries
 
 
 def without_matches(docs):
@@ -59,3 +59,10 @@ def test_markup_loses_no_text():
     assert html.main_text(f"<p>Before.</p><img alt=it's src=x>{after}<p>It's more.</p>") == "Before.\nText after it.\nIt's more."
     assert html.main_text("<p>" + "<i don't>a</i> " * 60 + '<b title="x > y">end</b></p>') == " ".join(["a"] * 60 + ["end"])
     assert html.main_text("<a x=\">\"" * 50_000) is not None
+
+
+def test_notices_before_a_better_one_count():
+    text = "mozila public license or mozilla public license or mozilla publik license"
+    assert [(f["first_word"], f["last_word"], f["edits"]) for f in licenses.scan(text)[2]] == [(0, 2, 1), (4, 6, 0), (8, 10, 1)]
+    back_to_back = " ".join(["mozila public license", "mozilla public license"] * 20)
+    assert [(f["first_word"], f["edits"]) for f in licenses.scan(back_to_back)[2]] == [(3 * i, 1 - i % 2) for i in range(40)]
