@@ -48,6 +48,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from batch to batch."""
 

@@ -30,7 +30,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.without_repeated_lines(table(spark, sf_dir, "documents"), min_tokens=1)
+    done = linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "text", "n_chars", "_lines.n_lines", "_lines.n_removed")
 
 
@@ -67,5 +67,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_packing": packing.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_near_duplicates": neardup.ORACLE_SQL,
+    "op6_line_dedup": linededup.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
 }

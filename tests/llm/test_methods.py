@@ -140,9 +140,10 @@ def test_likelihood_finds_the_similarity():
         assert abs(est - shared / (shared + 2 * own)) < 0.1
 
 
-def test_line_dedup_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "HOT", 20)
-    monkeypatch.setattr(linededup, "LOOK_ROWS", 64)
+@pytest.mark.parametrize(("hot", "depth"), [(6, 16), (1000, 1), (10**6, 16)])
+def test_line_dedup_by_brute_force(spark, monkeypatch, hot, depth):
+    for name, value in {"HOT": hot, "OFTEN": 1, "LOOK_ROWS": 64, "WORDS_IN_BUCKET": 4000, "FLUSH": 500, "PACK": 20, "DEPTH": depth}.items():
+        monkeypatch.setattr(linededup, name, value)
     lines = family(9, groups=15, size=10)
     docs = {i: "\n".join(lines[i * 5 : i * 5 + 5]) for i in range(30)}
     seen, expect = [], {}
@@ -150,10 +151,9 @@ def test_line_dedup_by_brute_force(spark, monkeypatch):
         kept = []
         for line in text.split("\n"):
             own = set(line.split())
-            if len(own) < 5 or not any(100 * len(own & o) >= 80 * len(own | o) for o in seen):
+            if not any(100 * len(own & o) >= 80 * len(own | o) for o in seen):
                 kept.append(line)
-            if len(own) >= 5:
-                seen.append(own)
+            seen.append(own)
         expect[i] = "\n".join(kept)
     got = linededup.without_repeated_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == expect
