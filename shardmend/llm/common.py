@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,54 @@ BUFFER = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Rows of whole texts: the session keeps a smaller bound if it has one.
+    bound = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(bound, "0")) <= BATCH_ROWS:
+        spark.conf.set(bound, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share. Where none is set, a local session takes a temporary one; a cluster must name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder.rstrip("/")
+
+
+#: Cuts that the running operator has written.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose cuts are deleted when it returns, but for those that its result still reads."""
+
+    @wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        made: list[str] = []
+        outer = _MADE.get()
+        token = _MADE.set(made)
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            _MADE.reset(token)
+        read = "\n".join(out.inputFiles()) if made else ""
+        for path in made:
+            if path.rsplit("/", 1)[1] in read:
+                if outer is not None:
+                    outer.append(path)
+            else:
+                _delete(out.sparkSession, path)
+        return out
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -35,6 +79,8 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{cuts_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,8 +90,7 @@ def cuts_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete what this application has materialised; call it when the results that read from it are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, cuts_folder(spark))
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:
@@ -186,22 +231,29 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def id_key(doc_id: Column, text: Column) -> Column:
+    """What a row's draws depend on: its id, or its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))))
+
+
 def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts, of 52 bits: any engine can compute it."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], shard: Column, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], shard: Column, name: str = "rank", counted: DataFrame | None = None) -> DataFrame:
     """``df`` with each row's place from 0 within its group, without one task for a group.
 
     ``shard`` numbers parts of the order: all rows of a lower shard come before those of a higher one. Ranks are taken
-    within (group, shard); the sizes of the shards before are added, over a table with one row for each shard.
+    within (group, shard); the sizes of the shards before are added, over a table with one row for each shard. ``counted``
+    may name a cheaper table of the same rows to count them in.
     """
     from pyspark.sql import Window as W
 
+    counted = (df if counted is None else counted).withColumn("_shard", shard)
     df = df.withColumn("_shard", shard)
     inner = df.withColumn("_place", F.row_number().over(W.partitionBy(*group, "_shard").orderBy(*order)) - 1)
-    sizes = df.groupBy(*group, "_shard").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counted.groupBy(*group, "_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*group).orderBy("_shard")) - F.col("_n")).drop("_n")
     on = [inner[c].eqNullSafe(before[c]) for c in [*group, "_shard"]]
     joined = inner.join(before, on)

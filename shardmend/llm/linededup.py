@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, arrow_map, fresh_name, materialise, mix64, row_groups, strings, utf8, word_hashes
+from shardmend.llm.common import BUFFER, arrow_map, fresh_name, materialise, mix64, row_groups, strings, tidied, utf8, word_hashes
 
 PERCENT = 80
 #: Sets of fewer words match equal sets only, at this similarity; a set of four also matches one of five.
@@ -58,9 +58,9 @@ LOOK_ROWS = 1 << 16
 #: Distance between the null doc_id and others.
 NULL_ID = -(1 << 63)
 
-_LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("d", "<i8"), ("at", "<i8"), ("low", "<u8"), ("mark", "<u4"), ("size", "<u4")])
+_LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("d", "<i8"), ("at", "<i8"), ("low", "<u8"), ("high", "<u8"), ("mark", "<u4"), ("size", "<u4")])
 _GONE = np.dtype([("d", "<i8"), ("l", "<i8"), ("mark", "<i8")])
-_ENTRY = np.dtype([("group", "<u8"), ("d", "<i8"), ("at", "<i8"), ("low", "<u8")])
+_ENTRY = np.dtype([("group", "<u8"), ("d", "<i8"), ("at", "<i8"), ("low", "<u8"), ("high", "<u8")])
 _OFTEN = np.dtype([("token", "<i8"), ("n", "<i8")])
 LINES, TOLD, REMOVED = 0, 1, 2
 PACKED = "kind int, bucket int, data binary, tokens binary"
@@ -169,11 +169,12 @@ def lines_of(part: np.ndarray, starts: np.ndarray, ids: np.ndarray, grade: np.nd
         new = np.r_[True, (hh[1:] != hh[:-1]) | (ll[1:] != ll[:-1])]
         hh, ll = hh[new], ll[new]
         a[few], b[few] = set_hashes(hh, np.flatnonzero(np.r_[True, ll[1:] != ll[:-1]]))
-    low = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), first)
+    bit, upper = np.uint64(1) << (key & np.uint64(63)), (key & np.uint64(64)) > 0
+    low, high = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first) for side in (~upper, upper))
     kept = np.flatnonzero(n >= max(min_tokens, 1))
     of, n = of[kept], n[kept]
     out = np.empty(len(kept), _LINE)
-    out["a"], out["b"], out["low"], out["d"] = a[kept], b[kept], low[kept], ids[row[of]]
+    out["a"], out["b"], out["low"], out["high"], out["d"] = a[kept], b[kept], low[kept], high[kept], ids[row[of]]
     out["at"] = (number[of] << 32) | (np.minimum(n, 65535) << 16)
     out["size"] = size = np.where(n >= SMALL, n - (n * PERCENT + 99) // 100 + 1, 0)
     whole = memoryview(np.ascontiguousarray(part))
@@ -341,7 +342,7 @@ def entries_of(data: bytes, tokens: bytes) -> np.ndarray:
     lines, tokens = np.frombuffer(data, _LINE), np.frombuffer(tokens, np.uint64)
     of = np.repeat(np.arange(len(lines)), lines["size"])
     out = np.empty(len(tokens), _ENTRY)
-    out["group"], out["d"], out["low"] = tokens, lines["d"][of], lines["low"][of]
+    out["group"], out["d"], out["low"], out["high"] = tokens, lines["d"][of], lines["low"][of], lines["high"][of]
     out["at"] = lines["at"][of] | np.minimum(counted(lines["size"].astype(np.int64)), 65535)
     return out
 
@@ -376,11 +377,7 @@ def listed(found: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -
     return dealt(found.where(F.col("kind") == LINES).select("data", "tokens").mapInArrow(run, PACKED), buckets)
 
 
-def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).astype(np.int64)
-
-
-def filtered(x: np.ndarray, y: np.ndarray, at: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def filtered(x: np.ndarray, y: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which of the row pairs (x[i], y[i]) pass the length, positional and bitmap filters; bits that differ; the most that may."""
     ax, ay = at[x], at[y]
     nx, ny = (ax >> 16) & 65535, (ay >> 16) & 65535
@@ -391,7 +388,8 @@ def filtered(x: np.ndarray, y: np.ndarray, at: np.ndarray, low: np.ndarray) -> t
     long = np.maximum(nx, ny) == 65535
     pass_ = (np.minimum(nx - ix, ny - iy) + np.minimum(ix, iy) >= need) | long
     ok, need, total, long = ok[pass_], need[pass_], (nx + ny)[pass_], long[pass_]
-    differ, most = differing(low[x[ok]], low[y[ok]]), total - 2 * need
+    x, y, most = x[ok], y[ok], total - 2 * need
+    differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
     pass_ = (differ <= most) | long
     return ok[pass_], np.where(long, 65535, differ)[pass_], most[pass_]
 
@@ -426,12 +424,12 @@ def look_back(entries: DataFrame) -> DataFrame:
     """
 
     def pairs(e: np.ndarray) -> pa.RecordBatch:
-        group, d, at, low = (np.ascontiguousarray(e[c]) for c in ("group", "d", "at", "low"))
+        group, d, at, low, high = (np.ascontiguousarray(e[c]) for c in _ENTRY.names)
         begin, active, had = begins(group), np.arange(len(group)), np.zeros(len(group), np.int64)
         out, certain = [np.zeros((3, 0), np.int64)], np.zeros(len(group), bool)
         lag = 1
         while len(active := active[active - lag >= begin[active]]):
-            hit, differ, most = filtered(active, active - lag, at, low)
+            hit, differ, most = filtered(active, active - lag, at, low, high)
             x = active[hit]
             apart = (d[x] != d[x - lag]) | (at[x] >> 32 != at[x - lag] >> 32)
             x, hit, sure = x[apart], hit[apart], (2 * differ <= most)[apart]
@@ -493,34 +491,34 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> I
 
 
 def near_askers(rows: DataFrame) -> DataFrame:
-    """(group, d, at, low, asks): asking lines and earlier lines under the same token that may match them."""
-    names = ("group", "d", "at", "low", "asks")
+    """(group, d, at, low, high, asks): asking lines and earlier lines under the same token that may match them."""
+    names = ("group", "d", "at", "low", "high", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches, names):
-            group, _, at, low, asks = columns
-            low = low.view(np.uint64)
+            group, _, at, low, high, asks = columns
+            low, high = low.view(np.uint64), high.view(np.uint64)
             begin, near = begins(group), np.zeros(len(group), bool)
             active, lag = np.flatnonzero(asks), 1
             while len(active := active[active - lag >= begin[active]]):
-                x = active[filtered(active, active - lag, at, low)[0]]
+                x = active[filtered(active, active - lag, at, low, high)[0]]
                 near[x] = near[x - lag] = True
                 lag += 1
             yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in columns], names=list(names))
 
-    return rows.mapInArrow(run, "group long, d long, at long, low long, asks boolean").distinct()
+    return rows.mapInArrow(run, "group long, d long, at long, low long, high long, asks boolean").distinct()
 
 
 def look_through(rows: DataFrame) -> DataFrame:
     """(d, l): asking lines that match any earlier line under the same token, checked on the lines themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, d, at, low, line, asks in whole_groups(batches, ("group", "d", "at", "low", "line", "asks")):
-            low = low.view(np.uint64)
+        for group, d, at, low, high, line, asks in whole_groups(batches, ("group", "d", "at", "low", "high", "line", "asks")):
+            low, high = low.view(np.uint64), high.view(np.uint64)
             begin, out = begins(group), []
             for x in np.flatnonzero(asks).tolist():
                 earlier = np.arange(begin[x], x)
-                hit, differ, _ = filtered(np.full(len(earlier), x), earlier, at, low)
+                hit, differ, _ = filtered(np.full(len(earlier), x), earlier, at, low, high)
                 words = set(line[x].encode().split())
                 for y in earlier[hit[np.argsort(differ, kind="stable")]].tolist():
                     other = set(line[y].encode().split())
@@ -537,28 +535,28 @@ def sorted_groups(rows: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group")
 
 
-def entry_rows(found: DataFrame, keep, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(token, d, at, low) of the list entries that ``keep`` picks from arrays of token, d and line."""
+def entry_rows(found: DataFrame, keep) -> DataFrame:
+    """(token, d, at, low, high) of the list entries that ``keep`` picks from arrays of token, d and line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, tokens in zip(batch.column("data").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 e = entries_of(data, tokens)
                 e = e[keep(e["group"], e["d"], e["at"] >> 32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in _ENTRY.names], names=["token", "d", "at", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in _ENTRY.names], names=["token", "d", "at", "low", "high"])
 
-    return found.where(F.col("kind") == LINES).select("data", "tokens").mapInArrow(run, "token long, d long, at long, low long")
+    return found.where(F.col("kind") == LINES).select("data", "tokens").mapInArrow(run, "token long, d long, at long, low long, high long")
 
 
 def grouped(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows of (token, d, at, low, asks) with their group. Under a hot token a line that asks goes to all parts, another to its own."""
+    """Rows of (token, d, at, low, high, asks) with their group. Under a hot token a line that asks goes to all parts, another to its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, parts = hot
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, d, at, low = (batch.column(c).to_numpy() for c in ("token", "d", "at", "low"))
+            token, d, at, low, high = (batch.column(c).to_numpy() for c in ("token", "d", "at", "low", "high"))
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             row, group = np.arange(len(token)), token.view(np.uint64).copy()
             some, own = parts_of(group, d, at, hot)
@@ -571,9 +569,9 @@ def grouped(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 part, group = counted(times).astype(np.uint64), group[row]
                 all_ = np.flatnonzero(times[row] > 1)
                 group[all_] = part_group(token[row[all_]].view(np.uint64), part[all_])
-            yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), *(pa.array(c[row]) for c in (d, at, low, asks))], names=["group", "d", "at", "low", "asks"])
+            yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), *(pa.array(c[row]) for c in (d, at, low, high, asks))], names=["group", "d", "at", "low", "high", "asks"])
 
-    return sorted_groups(rows.select("token", "d", "at", "low", "asks").mapInArrow(run, "group long, d long, at long, low long, asks boolean"))
+    return sorted_groups(rows.select("token", "d", "at", "low", "high", "asks").mapInArrow(run, "group long, d long, at long, low long, high long, asks boolean"))
 
 
 def places_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -728,6 +726,7 @@ def asked(docs: DataFrame, found: DataFrame, failed: DataFrame, hot: tuple[np.nd
     return last.select("d", "l", F.crc32(F.col("line").cast("binary")).alias("mark"))
 
 
+@tidied
 def without_repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
     """``docs`` with the lines that match earlier ones removed from ``text``; ``_lines`` counts all and removed lines."""
     docs = docs.drop("_lines")
