@@ -4,9 +4,12 @@ The histogram of lengths over all documents goes through dynamic programming, wh
 the least padding. Inside each bucket, documents in hash order fill batches of a token budget; a batch holds as many
 rows as fit at the bucket's boundary, and one where a single row is longer than the budget.
 
-Null and empty texts have no tokens and go to the first bucket. Rows that repeat a doc_id are packed as they come. An
-empty table gives no rows. Lengths up to EXACT are counted one by one, longer ones in bins of a thousandth of their
-length whose upper end is the longest in them, so that the histogram stays small at any size of input.
+Every distinct length may be a boundary, so the plan is one of least padding. The histogram that reaches the driver has
+a row for each distinct length, of which there are no more than the longest text has words.
+
+Null and empty texts have no tokens and go to the first bucket. Very long texts are counted in place; one longer than
+the budget is a batch of its own. Rows without doc_id draw by their text; of equal draws the order is by doc_id, and that
+of rows that repeat it is free. An empty table gives no rows. Carried columns may have any names; ``_pack`` is made anew.
 """
 
 from __future__ import annotations
@@ -15,10 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import n_words, ranked, unit_hash
+from shardmend.llm.common import id_key, materialise, n_words, ranked, tidied, unit_hash
 
 BUCKETS, BUDGET = 12, 16384
-EXACT, STEP = 4096, 1.001
 #: Rows of a bucket that are ranked in one task, about.
 SHARD_ROWS = 10_000
 SEED = "pack-1"
@@ -56,45 +58,42 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarr
     return lengths[out[::-1]]
 
 
-def length_histogram(lengths: DataFrame) -> DataFrame:
-    """Rows of (length, count, tokens) from a column ``n_tokens``: bounded by EXACT and the bins above it."""
-    n = F.col("n_tokens")
-    bin_ = F.when(n <= EXACT, n).otherwise(EXACT + 1 + F.floor(F.log(n / F.lit(float(EXACT))) / F.lit(float(np.log(STEP)))))
-    return lengths.groupBy(bin_.alias("bin")).agg(F.max("n_tokens").alias("length"), F.count(F.lit(1)).alias("count"), F.sum("n_tokens").alias("tokens"))
-
-
+@tidied
 def packed(docs: DataFrame, carry: list[str], tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, seed: str = SEED) -> DataFrame:
     """``carry`` columns of ``docs`` with a column ``_pack`` of n_tokens, bucket, bucket_len, batch, slot and padding.
 
     ``tokens``: a column with each row's length; the number of words by default. A carried ``_pack`` is replaced.
+    Lengths and draws are written once; what counts them reads that table, and so does the result unless it carries texts.
     """
     carry = [c for c in carry if c != "_pack"]
     length = n_words(F.col("text")) if tokens is None else tokens.cast("long")
-    counted = sorted((r["length"], r["count"], r["tokens"]) for r in length_histogram(docs.select(length.alias("n_tokens"))).collect())
+    own = F.struct(length.alias("length"), F.col("doc_id").alias("id"), unit_hash(F.lit(seed), id_key(F.col("doc_id"), F.col("text"))).alias("u")).alias("own")
+    slim = [c for c in carry if c.lower() != "text"]
+    sized = materialise(docs.select(F.struct(*slim).alias("row"), own) if slim and len(slim) == len(carry) else docs.select(own))
+    rows = sized if "row" in sized.columns else docs.select(F.struct(*carry).alias("row"), own)
+    counted = sorted((r["length"], r["count"]) for r in sized.groupBy("own.length").count().collect())
     bounds, sizes = [0], [0]
     if counted:
-        lengths, counts, sums = (np.array(x, np.int64) for x in zip(*counted, strict=True))
-        bounds = optimal_boundaries(lengths, counts, sums, buckets).tolist()
+        lengths, counts = (np.array(x, np.int64) for x in zip(*counted, strict=True))
+        bounds = optimal_boundaries(lengths, counts, lengths * counts, buckets).tolist()
         at = np.searchsorted(lengths, bounds, "right")
         sizes = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(counts)])[at]])).tolist()
-    pick = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("_bucket") + 1)
-    rows = docs.select(*carry, length.alias("_length"), F.col("doc_id").alias("_id"), unit_hash(F.lit(seed), F.col("doc_id").cast("string")).alias("_u"))
-    bucket = sum((F.lit(int(b)) < F.col("_length")).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
-    rows = rows.withColumn("_bucket", bucket)
-    shard = F.floor(F.col("_u") * pick([n // SHARD_ROWS + 1 for n in sizes])).cast("int")
-    placed = ranked(rows, ["_bucket"], [F.col("_u"), F.col("_id")], shard, "_rank")
+    pick = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("bucket") + 1)
+    bucket = sum((F.lit(int(b)) < F.col("own.length")).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
+    shard = F.floor(F.col("own.u") * pick([n // SHARD_ROWS + 1 for n in sizes])).cast("int")
+    with_bucket = lambda df: df.withColumn("bucket", bucket)
+    placed = ranked(with_bucket(rows), ["bucket"], [F.col("own.u"), F.col("own.id")], shard, "place", with_bucket(sized.select("own")))
     per, bound = pick([max(1, budget // max(1, b)) for b in bounds]), pick(bounds)
     made = F.struct(
-        F.col("_length").alias("n_tokens"), F.col("_bucket").cast("int").alias("bucket"), bound.alias("bucket_len"), F.floor(F.col("_rank") / per).cast("long").alias("batch"),
-        (F.col("_rank") % per).cast("int").alias("slot"), (bound - F.col("_length")).alias("padding"),
+        F.col("own.length").alias("n_tokens"), F.col("bucket").cast("int").alias("bucket"), bound.alias("bucket_len"), F.floor(F.col("place") / per).cast("long").alias("batch"),
+        (F.col("place") % per).cast("int").alias("slot"), (bound - F.col("own.length")).alias("padding"),
     )
-    return placed.select(*carry, made.alias("_pack"))
+    return placed.select("row.*", made.alias("_pack"))
 
 
 ORACLE_SQL = rf"""
     WITH RECURSIVE sized AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
-         binned AS (SELECT n_tokens, CASE WHEN n_tokens <= {EXACT} THEN n_tokens ELSE {EXACT} + 1 + floor(ln(n_tokens / {EXACT}.0::DOUBLE) / ln({STEP}::DOUBLE)) END AS bin FROM sized),
-         hist AS (SELECT max(n_tokens) AS length, count(*)::BIGINT AS n, sum(n_tokens)::BIGINT AS t FROM binned GROUP BY bin),
+         hist AS (SELECT n_tokens AS length, count(*)::BIGINT AS n, sum(n_tokens)::BIGINT AS t FROM sized GROUP BY n_tokens),
          h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY length) AS j, length, sum(n) OVER (ORDER BY length)::BIGINT AS rows_to, sum(t) OVER (ORDER BY length)::BIGINT AS tokens_to FROM hist),
          dp AS (
             SELECT 1 AS k, j, length * rows_to - tokens_to AS cost, [length] AS bounds FROM h
