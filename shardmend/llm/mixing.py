@@ -4,7 +4,9 @@ Tokens are summed per source, each source gets a target share, and the target ov
 document is taken floor(rate) times, and once more when a number drawn from a hash of its id falls under the fraction.
 
 Null sources form one source, which sorts last. Null and empty texts have size 0: they are taken like the others and add
-no words. A source without words has rate 0. Rows that repeat a doc_id share one draw. An empty table gives no rows.
+no words. Very long texts are counted in place. A source without words has rate 0. Rows that repeat a doc_id share one
+draw, rows without one draw by their text. An empty table gives no rows. Columns are carried along under any names, but
+for ``_mix``, which the plan makes anew and the mix itself passes on.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import materialise, n_words, ranked, unit_hash
+from shardmend.llm.common import fresh_name, id_key, materialise, n_words, ranked, tidied, unit_hash
 
 #: Weights of the sources in order of code points, repeating.
 WEIGHTS = (3, 1, 2)
@@ -45,26 +47,30 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return sources.select("source", "source_size", F.least("most", share).alias("target"))
 
 
+@tidied
 def mixture(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """``docs`` with a column ``_mix`` (one of that name is replaced) of size, source_size, target, copies and taken."""
     sized = docs.select("source", n_words(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, budget, cap).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"))
+    targets = source_targets(sized, weights, budget, cap)
     docs = docs.drop("_mix")
-    joined = docs.join(targets, docs["source"].eqNullSafe(targets["_mix_source"]))
-    rate = F.when(F.col("_mix_size") > 0, F.col("_mix_target") / F.col("_mix_size")).otherwise(0.0)
-    extra = unit_hash(F.lit(seed), docs["doc_id"].cast("string")) < rate - F.floor(rate)
+    joined = docs.join(targets, docs["source"].eqNullSafe(targets["source"]))
+    whole, target = targets["source_size"], targets["target"]
+    rate = F.when(whole > 0, target / whole).otherwise(0.0)
+    extra = unit_hash(F.lit(seed), id_key(docs["doc_id"], docs["text"])) < rate - F.floor(rate)
     copies = (F.floor(rate) + extra.cast("int")).cast("long")
     size = n_words(docs["text"])
-    made = F.struct(size.alias("size"), F.col("_mix_size").alias("source_size"), F.col("_mix_target").alias("target"), copies.alias("copies"), (size * copies).alias("taken"))
+    made = F.struct(size.alias("size"), whole.alias("source_size"), target.alias("target"), copies.alias("copies"), (size * copies).alias("taken"))
     return joined.select(*[docs[c] for c in docs.columns], made.alias("_mix"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
-    own = docs.withColumnRenamed("_mix", "_mix_own")
+    kept = fresh_name(docs, "mix_own")
+    own = docs.withColumnRenamed("_mix", kept)
+    copy = fresh_name(own, "mix_copy")
     plan = mixture(own, seed).where("_mix.copies > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int"))).alias("_mix_copy")
-    return plan.select(*own.columns, copies).drop("_mix_copy").withColumnRenamed("_mix_own", "_mix")
+    copies = F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int"))).alias(copy)
+    return plan.select(*own.columns, copies).drop(copy).withColumnRenamed(kept, "_mix")
 
 
 ORACLE_SQL = r"""

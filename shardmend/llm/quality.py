@@ -7,8 +7,9 @@ way on coarser bins. A score is a sum of table entries at the text's bins throug
 
 Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1, and the model is fitted on at most SAMPLE of
 them, those of least hash. Null and empty texts have features of 0 and get a score like any other. Labels without
-quality are left out; where a doc_id has several, the lowest counts. Without labels every score is 0.5. Rows that repeat
-share a score. An empty table gives no rows.
+quality are left out; where a doc_id has several, the lowest counts; of texts that share a labelled doc_id the least is
+learned from. Without labels every score is 0.5. Rows that repeat share a score. Very long texts are read whole, in a
+buffer of their own. An empty table gives no rows. Other columns pass under any names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, arrow_map, row_groups, utf8, word_hashes
+from shardmend.llm.common import BUFFER, arrow_map, fresh_name, row_groups, utf8, word_hashes
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -174,21 +175,23 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "quality")
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    # Of rows that repeat a doc_id one counts, so that the sample stays within its bound.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = feature_rows(rows.select("doc_id", "quality", "text"), ["doc_id", "quality"]).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     x = found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
     return fit(x, found.column("quality").to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_quality``: the score of each text. Other columns pass unread."""
+def scored(docs: DataFrame, model: Model, name: str = "_quality") -> DataFrame:
+    """``docs`` with a column ``name``: the score of each text. Other columns pass unread."""
     names = docs.columns
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, starts = utf8(batch.column("text"))
         s = np.concatenate([model.score(features(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])) for i, j in row_groups(starts, BUFFER)])
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s)], names=[*names, "_quality"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s)], names=[*names, name])
 
-    return arrow_map(docs, score, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_quality double"]))
+    return arrow_map(docs, score, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{name}` double"]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,5 +201,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the model rejects."""
-    return scored(docs, learned(docs, labels)).where("_quality >= 0.5").drop("_quality")
+    """``docs`` without the rows that the model rejects, under their own columns."""
+    name = fresh_name(docs, "quality")
+    return scored(docs, learned(docs, labels), name).where(F.col(name) >= 0.5).drop(name)
