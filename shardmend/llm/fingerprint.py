@@ -8,7 +8,8 @@ as needed. Two digests are alike by the bits that their filters share beyond cha
 Null texts count as empty; an empty text has no features and an empty fingerprint. A text under 64 bytes is one window,
 filled up with zero bytes. Equal texts have equal fingerprints, and equal fingerprints a likeness of 1; an empty one and
 another have 0. Rows that repeat a doc_id follow each other in order of a hash of their text. A single row is its own
-next document. An empty table gives no rows. Texts are read in pieces, so long ones need no more working memory.
+next document. An empty table gives no rows. Other columns are ignored, whatever their names. Very long texts are read in
+pieces; a task holds rows of WORK_CHARS at once, or a single longer one with the next and its edit.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import materialise, mix64, row_groups, strings, utf8
+from shardmend.llm.common import materialise, mix64, row_groups, strings, tidied, utf8
 
 WINDOW, RUN, POPULAR = 64, 64, 16
 BITS, HASHES, PER_FILTER = 2048, 5, 160
@@ -30,7 +31,10 @@ GRADES = 1001
 #: Windows of less than this part of the highest entropy, in thousandths, come after all others.
 DULL = 100
 PIECE = 1 << 18
-PART_BYTES = 16 << 20
+#: Bytes of text in a part of the order: as many as give each core some parts, between these bounds.
+LEAST_PART, PART_BYTES, PARTS_A_CORE = 16 << 20, 256 << 20, 3
+#: Rows and characters that a task works on at once.
+WORK_ROWS, WORK_CHARS = 256, 4 << 20
 NULL_ID = -(1 << 63)
 
 _G = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * 1024).astype(np.int64)
@@ -85,24 +89,26 @@ def windows_of(at: np.ndarray) -> np.ndarray:
     return ok[: n - WINDOW + 1]
 
 
-def entropy_counts(docs: DataFrame) -> np.ndarray:
-    """How many windows of all documents have each entropy."""
+def entropy_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many windows of all documents have each entropy, and the bytes of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(GRADES, np.int64)
+        total = np.zeros(GRADES + 1, np.int64)
         for batch in batches:
-            for part, at, _, low, high in pieces(*utf8(batch.column(0))):
+            data, starts = utf8(batch.column(0))
+            total[GRADES] += len(data)
+            for part, at, _, low, high in pieces(data, starts):
                 ok = windows_of(at)
                 if len(low) == 1:
                     ok[: low[0]] = False
                     ok[high[0] :] = False
-                total += np.bincount(entropies(part)[ok], minlength=GRADES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GRADES)), pa.array(total)], names=["grade", "n"])
+                total[:GRADES] += np.bincount(entropies(part)[ok], minlength=GRADES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GRADES + 1)), pa.array(total)], names=["grade", "n"])
 
-    out = np.zeros(GRADES, np.int64)
+    out = np.zeros(GRADES + 1, np.int64)
     for row in docs.select("text").mapInArrow(count, "grade long, n long").groupBy("grade").agg(F.sum("n").alias("n")).collect():
         out[row["grade"]] = row["n"]
-    return out
+    return out[:GRADES], int(out[GRADES])
 
 
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
@@ -190,15 +196,15 @@ def text_of(filters: np.ndarray) -> str:
     return base64.b64encode(filters.tobytes()).decode()
 
 
-def in_order(docs: DataFrame) -> DataFrame:
+def in_order(docs: DataFrame, size: int) -> DataFrame:
     """(part, tail, d, h, doc_id, text): parts of the order by descending doc_id; ``tail`` marks the row after a part's last.
 
-    Parts are cut by ids alone. The highest id of each part also goes to the part before it, and the highest of all to
+    ``size``: bytes of all texts. Parts are cut by ids alone. The highest id of each part also goes to the part before it, and the highest of all to
     the last part, so that each row finds the next one in its own part.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    spread = materialise(rows.select("d").distinct().repartitionByRange(max(1, -(-size // PART_BYTES)), F.col("d").desc()).withColumn("p", F.spark_partition_id()))
+    room = min(PART_BYTES, max(LEAST_PART, size // (PARTS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)))
+    spread = materialise(rows.select("d").distinct().repartitionByRange(max(1, -(-size // room)), F.col("d").desc()).withColumn("p", F.spark_partition_id()))
     heads = np.array(sorted((r[0] for r in spread.groupBy("p").agg(F.max("d")).select("max(d)").collect()), reverse=True), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(heads)
 
@@ -212,7 +218,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         if len(head):
             out.append(((part[head] - 1) % len(heads), np.ones(len(head), bool), pa.array(head)))
         names = ["part", "tail", *batch.schema.names]
-        return [pa.RecordBatch.from_arrays([pa.array(p), pa.array(t), *(batch if take is None else batch.take(take)).columns], names=names) for p, t, take in out]
+        return [pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(t), *(batch if take is None else batch.take(take)).columns], names=names) for p, t, take in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,13 +226,15 @@ def in_order(docs: DataFrame) -> DataFrame:
                 yield from place(batch)
 
     types = dict(docs.dtypes)
-    placed = rows.mapInArrow(run, f"part long, tail boolean, d long, h long, doc_id {types['doc_id']}, text string")
-    return placed.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "tail", F.col("d").desc(), F.col("h").desc())
+    placed = rows.mapInArrow(run, f"part int, tail boolean, d long, h long, doc_id {types['doc_id']}, text string")
+    return placed.repartitionById(max(1, len(heads)), F.col("part")).sortWithinPartitions("part", "tail", F.col("d").desc(), F.col("h").desc())
 
 
+@tidied
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each document: digests of its text and of its edited text, and likenesses to that and to the next document."""
-    rank = rarity_ranks(entropy_counts(docs))
+    counts, size = entropy_counts(docs)
+    rank = rarity_ranks(counts)
     id_type = dict(docs.dtypes)["doc_id"]
 
     def digests(texts: list[str]) -> list[np.ndarray]:
@@ -258,12 +266,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             schema = batch.schema.field("doc_id").type
             rows = list(zip(batch.column("part").to_pylist(), batch.column("tail").to_pylist(), batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True))
-            rows = waiting + rows
-            for s in range(0, len(rows) - 1, 256):
-                columns = work(rows[s : s + 257])
+            rows, s = waiting + rows, 0
+            while s < len(rows) - 1:
+                e, chars = s + 1, len(rows[s][3])
+                while e < len(rows) - 1 and e - s < WORK_ROWS and chars + len(rows[e][3]) <= WORK_CHARS:
+                    chars += len(rows[e][3])
+                    e += 1
+                columns = work(rows[s : e + 1])
                 columns["doc_id"] = pa.array(columns["doc_id"], schema)
                 yield pa.RecordBatch.from_pydict(columns)
+                s = e
             waiting = rows[-1:]
 
     out = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).select("part", "tail", "doc_id", "text").mapInArrow(run, out)
+    return in_order(docs, size).select("part", "tail", "doc_id", "text").mapInArrow(run, out)
