@@ -11,8 +11,9 @@ What is then still in different components of one bucket is compared in blocks o
 verified there; only links leave a block. Links inside a component cannot change the result and are skipped.
 
 Null and empty texts have no shingles and are linked with nothing. A text with fewer words than a shingle is one
-shingle. Rows without doc_id are kept and linked with nothing. Rows that repeat a doc_id with the same text share one
-decision. An empty table gives no rows.
+shingle; a very long one is sketched in steps of 1,024 shingles and verified on its full set. Rows without doc_id are kept
+and linked with nothing. Rows that repeat a doc_id with the same text share one decision. An empty table gives no rows.
+Other columns may have any names; ``deduplicated`` carries them along.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, LOWER, arrow_map, materialise, mix64, row_groups, shingle_hashes, utf8, word_hashes
+from shardmend.llm.common import BUFFER, LOWER, arrow_map, fresh_name, materialise, mix64, row_groups, shingle_hashes, tidied, utf8, word_hashes
 
 M, BANDS, ROWS = 256, 42, 6
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
@@ -220,9 +221,12 @@ def blocks_of_buckets(members: DataFrame, labels: DataFrame, rows: DataFrame) ->
     full = sized.select("bucket", name.alias("block"), F.when(large, F.col("comp")).alias("whole"), "cid", "comp").join(rows, "cid")
     own = [c for c in full.columns if c not in ("bucket", "block", "whole")]
     blocks = materialise(full.groupBy("bucket", "block").agg(F.first("whole").alias("whole"), F.collect_list(F.struct(*own)).alias("rows")))
-    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("whole").alias("whole2"), F.col("rows").alias("rows2"))
-    met = blocks.join(other, "bucket").where((F.col("block") <= F.col("block2")) & (F.col("whole").isNull() | F.col("whole2").isNull() | (F.col("whole") != F.col("whole2"))))
-    return met.select("bucket", "rows", "rows2")
+    # Pairs of names first: the rows then meet under (bucket, block), so that a bucket of many blocks is no single task.
+    names = blocks.select("bucket", "block", "whole")
+    other = names.select("bucket", F.col("block").alias("block2"), F.col("whole").alias("whole2"))
+    met = names.join(other, "bucket").where((F.col("block") <= F.col("block2")) & (F.col("whole").isNull() | F.col("whole2").isNull() | (F.col("whole") != F.col("whole2")))).select("bucket", "block", "block2")
+    second = blocks.select("bucket", F.col("block").alias("block2"), F.col("rows").alias("rows2"))
+    return met.join(blocks.select("bucket", "block", "rows"), ["bucket", "block"]).join(second, ["bucket", "block2"]).select("bucket", "rows", "rows2")
 
 
 def close_rows(bucket: int, x: pa.StructArray, y: pa.StructArray) -> Iterator[tuple[int, np.ndarray]]:
@@ -279,6 +283,7 @@ def rest_of_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, s
     return arrow_map(blocks_of_buckets(involved, labels, materialise(some)), link, "x long, y long").distinct()
 
 
+@tidied
 def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``, by shingles of ``k`` words."""
     found = materialise(sketches(docs, k))
@@ -305,8 +310,9 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, k: int = 5) -> DataFrame:
     """``docs`` without the rows that are not the first of their component."""
-    gone = near_duplicates(docs, k).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = near_duplicates(docs, k).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 ORACLE_SQL = r"""
