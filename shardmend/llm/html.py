@@ -2,15 +2,16 @@
 
 Markup is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, headers,
 footers, sidebars, forms, adverts, notices and comments are out), by link density, by length and by the density of stop
-words; short blocks and those without a clear sign stay ambiguous. In the second pass an ambiguous block takes the label
-of its nearest decided neighbours: theirs if they agree, else the nearer one's. Where a page marks its article, only
-what is inside it can be main text, neighbours are looked for inside it, and an article without any decided block is
-main text whole. Class, id and role never put a page, its body, an article or main outside, nor an id a heading. An element
+words; short blocks and those without a clear sign stay ambiguous, in a marked article as elsewhere. In the second pass
+an ambiguous block takes the label of its nearest decided neighbours: theirs if they agree, else the nearer one's. Where
+a page marks its article, what stands around it is out and neighbours are looked for inside it; where no block decides,
+all that is left is main text. Class, id and role never put a page, its body, an article or main outside, nor an id a heading. An element
 that only part of a class or role speaks against is out unless a block in it is dense, and the first article in it stays.
 
-Null html counts as empty and gives an empty text. Unclosed and stray tags are taken as they come. White space inside a
-block becomes one space, blocks are joined by a line end, and nothing is cut. Rows that repeat have equal results. An
-empty table gives no rows.
+Null html counts as empty and gives an empty text. Unclosed and stray tags are taken as they come; a select or button
+that isn't closed ends at the next block. Very long pages are read whole, in time that grows with their length. White
+space inside a block becomes one space, blocks are joined by a line end, and nothing is cut. Rows that repeat have equal
+results. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ HEAD = "base basefont bgsound link meta noscript script style template title".sp
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD_EDGE = re.compile(r"^\W+|\W+$")
+#: Blocks that a select may hold.
+OPTIONS = frozenset(("option", "optgroup", "hr", "legend"))
 _KIND = {**dict.fromkeys(BLOCKS, 1), "br": 2, "a": 3}
 _SILENT, _VOID, _OUTSIDE, _SIGNS, _PART_SIGNS, _MAIN, _UNSIGNED, _HEADINGS, _HEAD = map(frozenset, (SILENT, VOID, OUTSIDE, SIGNS, PART_SIGNS, MAIN, UNSIGNED, HEADINGS, HEAD))
 
@@ -143,7 +146,7 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(block)
         block = Block(outside, article)
 
-    def end_head() -> None:
+    def end_silence() -> None:
         nonlocal outside, article, silent
         last, outside, article, silent = open_.pop()
         count[last] -= 1
@@ -152,7 +155,7 @@ def blocks_of(page: str) -> list[Block]:
     at = 0
     for start, end, closes, name, attributes in markup(page):
         if silent and open_[-1][0] == "head" and (page[at:start].strip() or name and not closes and name not in _HEAD):
-            end_head()
+            end_silence()
         if start > at and not silent:
             piece = page[at:start]
             block.parts.append(piece)
@@ -163,6 +166,8 @@ def blocks_of(page: str) -> list[Block]:
         at = end
         if not name:
             continue
+        if silent and not closes and open_[-1][0] in ("select", "button") and name in _KIND and _KIND[name] == 1 and name not in OPTIONS:
+            end_silence()
         if silent:
             if not closes and open_[-1][0] == "head" and name in _SILENT:
                 open_.append((name, outside, article, silent))
@@ -225,7 +230,7 @@ def blocks_of(page: str) -> list[Block]:
             outside = -1 if sign == 2 else doubted
         block.outside, block.article = outside, article
     if silent and open_[-1][0] == "head" and page[at:].strip():
-        end_head()
+        end_silence()
     if at < len(page) and not silent:
         block.parts.append(page[at:])
     cut()
@@ -246,9 +251,7 @@ def first_label(block: Block, marked: bool) -> int:
         return -1
     words = block.text.lower().split()
     stops = sum((w if w.isalpha() else _WORD_EDGE.sub("", w)) in STOP_WORDS for w in words)
-    if stops >= DENSE * len(words) or size >= LONG and (stops >= SOME * len(words) or block.article):
-        return 1
-    return -1
+    return 1 if stops >= DENSE * len(words) or size >= LONG and stops >= SOME * len(words) else -1
 
 
 def dense(block: Block) -> bool:

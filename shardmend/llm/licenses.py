@@ -6,9 +6,9 @@ length: it is split into one piece more than it may have edits, so that one piec
 occurrence. Pieces found exactly locate candidates, and the ``regex`` library's bounded-error matching verifies the
 edits there and reports the span.
 
-Null text counts as empty and has no words and no labels. Longest texts are read once for each piece. Rows that repeat
-a doc_id have equal results. Of overlapping finds of one label, the one with fewest edits, then the first, counts. An
-empty table gives no rows.
+Null text counts as empty and has no words and no labels. Very long texts are read whole, once for each piece, and their
+windows one by one. Rows that repeat a doc_id have equal results. Of overlapping finds of one label, the one with fewest
+edits, then the first, counts. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

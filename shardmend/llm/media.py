@@ -5,7 +5,8 @@ resampling, overlapped log-mel frames and hysteresis segmentation. The frames ar
 and kept as an Arrow IPC stream with a fixed-shape tensor column and the time span of each patch.
 
 Null text counts as empty; an empty payload is padded to one unit of 64 zero bytes. Long payloads are read in blocks,
-so that working memory does not grow with them. Equal payloads give equal bytes and features.
+so that working memory does not grow with them. Rows that repeat a text have equal payloads, bytes and features. An empty
+table gives no rows. Columns are carried along under any names, but for those that a function makes, which it replaces.
 """
 
 from __future__ import annotations
