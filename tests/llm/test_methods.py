@@ -61,6 +61,8 @@ def test_long_text_in_pieces_equals_whole(monkeypatch):
 
 def test_neighbours_follow_descending_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "PART_BYTES", 500)
+    monkeypatch.setattr(fingerprint, "LEAST_PART", 500)
+    monkeypatch.setattr(fingerprint, "WORK_CHARS", 400)
     texts = {i * 3: prose(random.Random(i), 30 + i) for i in range(40)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     import hashlib
