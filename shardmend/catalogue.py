@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardmend import sql_draws
 from shardmend.functions import card_fields
 from shardmend.functions.prng import Pcg32, batch_seed, repeat_seed
 from shardmend.operators import byte_steps, cards, coefficients, donors, lookups, seeded_steps
 from shardmend.plans import presets
-from shardmend.plans.recipe import Recipe, Repeat, Step, apply_recipe, parse_recipe, plan_keys
+from shardmend.functions.hashes import payload_hash
+from shardmend.plans.recipe import Recipe, Repeat, Step, apply_recipe, parse_recipe, plan_keys, write_recipe
 from shardmend.sources import markers
 from shardmend.sources.files import payload_kind
 
@@ -115,19 +118,47 @@ def recipe_patch_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "stale", F.when(F.col("stale"), F.col("bytes")).otherwise(byte_steps.byte_patch(F.col("bytes"), 2, "FFFF")).alias("bytes")).select("doc_id", "stale", digest().alias("digest"))
 
 
-@query("recipe_plan_keys")
+def _sql_hash(text: str) -> str:
+    """The two-part hash of a text in SQL; both halves travel in one number."""
+    a = "(xor((h // 4294967296)::UBIGINT, c::UBIGINT)::UHUGEINT * 16777619::UHUGEINT % 4294967296::UHUGEINT)"
+    b = "(xor((h % 4294967296)::UBIGINT, c::UBIGINT)::UHUGEINT * 1540483477::UHUGEINT % 4294967296::UHUGEINT)::UBIGINT"
+    fold = f"list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::UHUGEINT), lambda h, c: {a} * 4294967296::UHUGEINT + xor({b}, {b} >> 15::UBIGINT)::UHUGEINT, 2166136261::UHUGEINT * 4294967296::UHUGEINT + {0x01000193 ^ 0x5BD1E995}::UHUGEINT)"
+    return f"(SELECT lower(to_base((z // 4294967296)::BIGINT, 36)) || lower(to_base((z % 4294967296)::BIGINT, 36)) FROM (SELECT {fold} AS z))"
+
+
+_FIRST_KEY, _LAST_KEY = '|Struncate:5:{"percent":60}', "|Sbyte_swap16:0:{}"
+
+
+@query("recipe_plan_keys", f"WITH a AS (SELECT doc_id, {_sql_hash(f"'src:' || source || doc_id || '{_FIRST_KEY}'")} AS k FROM documents), b AS (SELECT doc_id, k, {_sql_hash(f"k || '{_LAST_KEY}'")} AS m FROM a) SELECT doc_id, unnest([0, 1, 2]) AS node, unnest([k, k, m]) AS key FROM b")
 def recipe_plan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the prefixes of a recipe: a disabled step keeps the key before it."""
-    recipe = Recipe([Step("truncate", {"percent": 60}), Step("seven_bit", enabled=False), Step("byte_swap16")])
-    rows = [(i, k) for i, k in enumerate(plan_keys(recipe))]
-    return spark.createDataFrame(rows, "node int, key string")
+    """Keys of the results of each prefix of a recipe on every document: a disabled step keeps the key before it."""
+    recipe = Recipe([Step("truncate", {"percent": 60}, 5), Step("seven_bit", enabled=False), Step("byte_swap16")])
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(plan_keys(recipe, F.concat("source", F.col("doc_id").cast("string")))).alias("node", "key"))
+
+
+_NESTED = """{"format": "some-recipe", "version": 1, "engine": "1", "steps": [
+    {"type": "repeat", "times": 2, "seed": 9, "children": [{"type": "step", "id": "truncate", "params": {"percent": 90}, "seed": 1}, {"type": "step", "id": 7, "params": {}}]},
+    {"type": "patch", "baseHash": "BASE", "patches": [{"offset": 1, "bytes": [222, 173]}, {"offset": 3, "bytes": [1]}, {"bytes": [1]}]},
+    {"type": "step", "id": "not_made_yet", "params": {}, "seed": 3}, {"type": "note"}, {"type": "step", "id": "truncate", "params": {"byte": 5}, "enabled": false}]}"""
+
+
+@query("recipe_nested", f"WITH {SQL_PAYLOAD}, r AS (SELECT doc_id, n, CAST(floor(CAST(floor(n * 90.0::DOUBLE / 100) AS BIGINT) * 90.0::DOUBLE / 100) AS BIGINT) AS c, hx FROM p), s AS (SELECT doc_id, substr(hx, 1, 2 * c) AS h FROM r), t AS (SELECT doc_id, CASE WHEN len(h) >= 8 AND h = (SELECT h FROM s WHERE len(h) >= 8 ORDER BY doc_id LIMIT 1) THEN substr(h, 1, 2) || 'DEAD01' || substr(h, 9) ELSE h END AS h FROM s) SELECT doc_id, len(h) // 2 AS n_out, md5(h) AS digest FROM t")
+def recipe_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe with a repeat, a patch made for one version of one payload, a step that isn't known and one that is off."""
+    docs = payloads(spark, sf_dir)
+    cut = apply_recipe(docs, Recipe(parse_recipe(_NESTED).nodes[:1])).where("length(bytes) >= 4")
+    base = cut.orderBy("doc_id").limit(1).select(payload_hash(F.col("bytes")).alias("h")).first()
+    recipe = parse_recipe(_NESTED.replace("BASE", base["h"] if base else ""))
+    recipe = parse_recipe(write_recipe(recipe))
+    return apply_recipe(docs, recipe).select("doc_id", F.length("bytes").cast("long").alias("n_out"), digest().alias("digest"))
 
 
-@query("recipe_steps_animation", f"WITH {SQL_PAYLOAD}, s AS (SELECT doc_id, hx, n FROM p) SELECT doc_id, k AS n_steps, md5(CASE k WHEN 0 THEN hx WHEN 1 THEN substr(hx, 1, 2 * {_cut(60)}) ELSE substr(hx, 1, 16) || substr('DEADBEEF', 1, 2 * greatest(least(4, {_cut(60)} - 8), 0)) || substr(substr(hx, 1, 2 * {_cut(60)}), 2 * least(8 + greatest(least(4, {_cut(60)} - 8), 0), {_cut(60)}) + 1) END) AS digest FROM s, (SELECT unnest([0, 1, 2]) AS k) WHERE {_cut(60)} >= 8")
+@query("recipe_steps_animation", f"WITH {SQL_PAYLOAD}, s AS (SELECT doc_id, hx, n FROM p) SELECT doc_id, k AS n_steps, md5(CASE k WHEN 0 THEN hx WHEN 1 THEN substr(hx, 1, 2 * {_cut(60)}) ELSE substr(hx, 1, least(16, 2 * {_cut(60)})) || substr('DEADBEEF', 1, 2 * greatest(least(4, {_cut(60)} - 8), 0)) || substr(substr(hx, 1, 2 * {_cut(60)}), 2 * least(8 + greatest(least(4, {_cut(60)} - 8), 0), {_cut(60)}) + 1) END) AS digest FROM s, (SELECT unnest([0, 1, 2]) AS k)")
 def recipe_steps_animation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix of a recipe on every payload, from none of its steps to all."""
     recipe = Recipe([Step("truncate", {"percent": 60}), Step("byte_patch", {"at": 8, "hexed": "DEADBEEF"})])
-    docs = payloads(spark, sf_dir).where((F.length("bytes") * 60.0 / 100).cast("int") >= 8)
+    docs = payloads(spark, sf_dir)
     frames = [apply_recipe(docs, Recipe(recipe.nodes[:k])).select("doc_id", F.lit(k).alias("n_steps"), digest().alias("digest")) for k in range(len(recipe.nodes) + 1)]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
@@ -162,15 +193,17 @@ def pcg32_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed"), F.posexplode(draw("doc_id")).alias("draw", "value"))
 
 
-# --- Seeded damage: no SQL twin; tests hold invariants and hand vectors ---------------------------------------------
+# --- Seeded damage ----------------------------------------------------------------------------------------------------
 
+SEEDED_TWINS = sql_draws.twins()
 
-def seeded_query(name: str, **params) -> None:
+
+def seeded_query(name: str, step: str | None = None, **params) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = payloads(spark, sf_dir).withColumn("seed", F.col("doc_id")).withColumn("n_in", F.length("bytes"))
-        return seeded_steps.seeded(docs, name, **params).select("doc_id", "n_in", F.length("bytes").alias("n_out"), digest().alias("digest"))
+        return seeded_steps.seeded(docs, step or name, **params).select("doc_id", "n_in", F.length("bytes").alias("n_out"), digest().alias("digest"))
 
-    query(f"seeded_{name}")(run)
+    query(f"seeded_{name}", SEEDED_TWINS.get(name))(run)
 
 
 for _name, _params in {
@@ -178,6 +211,7 @@ for _name, _params in {
     "ftp_stretch": {}, "base64_damage": {}, "chipoff_xor": {"page_kb": 1}, "stutter_read": {"cluster_kb": 1}, "dropped_sectors": {}, "tool_fill_pattern": {}, "flash_fault": {"mode": "burst", "page_kb": 2},
 }.items():
     seeded_query(_name, **_params)
+seeded_query("flash_zero", "flash_fault", mode="zero", page_kb=2)
 
 
 # --- Donors ---------------------------------------------------------------------------------------------------------
@@ -214,6 +248,17 @@ def pool_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Cards: documents as files on cards of 64, the last 16 written after every other of the rest was deleted --------
 
 CLUSTER = 512
+
+
+def set_checkpoints(spark: SparkSession) -> None:
+    """The shared folder for checkpoints. Where none is set, a local session takes a temporary one; a cluster must name it."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
+
+
 SQL_CARD = f"""
     files AS (SELECT doc_id // 64 AS card_id, doc_id % 64 AS file_no, octet_length(encode(text)) AS size FROM documents),
     sized AS (SELECT *, (size + {CLUSTER} - 1) // {CLUSTER} AS n FROM files),
@@ -256,8 +301,7 @@ def card_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("card_fat_chains", f"WITH {SQL_CARD}, h AS (SELECT card_id, file_no, min(cluster) FILTER (pos = 0) AS head FROM live GROUP BY 1, 2) SELECT card_id, head, pos, cluster FROM live JOIN h USING (card_id, file_no)")
 def card_fat_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    set_checkpoints(spark)
     live = card_tables(spark, sf_dir)["live"]
     return cards.follow_chains(cards.fat(live), live.where("pos = 0").select("card_id", F.col("cluster").alias("head")))
 
@@ -300,12 +344,12 @@ def card_cluster_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.interval_join(old.select("card_id", "cluster"), files, "card_id", "cluster", "low", "high", 16).select("card_id", "cluster", "file_no")
 
 
-@query("card_last_start", f"WITH {SQL_CARD}, s AS (SELECT card_id, first, file_no FROM fresh WHERE n > 0), e AS (SELECT card_id, max(cluster) AS last FROM old GROUP BY card_id), p AS (SELECT card_id, unnest(range(0, last + 1, 3)) AS cluster FROM e) SELECT p.card_id, p.cluster, (SELECT arg_max(s.file_no, s.first) FROM s WHERE s.card_id = p.card_id AND s.first <= p.cluster) AS file_no FROM p")
+@query("card_last_start", f"WITH {SQL_CARD}, s AS (SELECT card_id, first, file_no FROM fresh WHERE n > 0), e AS (SELECT card_id, max(cluster) AS last FROM old GROUP BY card_id), p AS (SELECT card_id, unnest(range(0, last + 1)) AS cluster FROM e) SELECT p.card_id, p.cluster, last_value(s.file_no IGNORE NULLS) OVER (PARTITION BY p.card_id ORDER BY p.cluster) AS file_no FROM p LEFT JOIN s ON s.card_id = p.card_id AND s.first = p.cluster")
 def card_last_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last file that starts at or before every third cluster."""
+    """The last file that starts at or before each cluster."""
     old = card_tables(spark, sf_dir)["old"]
     starts = old.where("pos = 0").select("card_id", "cluster", "file_no")
-    points = old.groupBy("card_id").agg(F.max("cluster").alias("last")).select("card_id", F.explode(F.expr("sequence(0L, last, 3L)")).alias("cluster"))
+    points = old.groupBy("card_id").agg(F.max("cluster").alias("last")).select("card_id", F.explode(F.expr("sequence(0L, last)")).alias("cluster"))
     return lookups.last_before(points, starts, "card_id", "cluster", "file_no", 64)
 
 
@@ -344,64 +388,15 @@ def card_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Photos: synthetic files, their structure, marker-level edits ---------------------------------------------------
 
 
-def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic JPEG file of 600 to 2500 bytes for each document: (photo_id, bytes)."""
+def noise_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic JPEG file of 600 to 2500 bytes of seeded noise for each document: (photo_id, bytes)."""
     make = F.pandas_udf(lambda s: s.map(lambda i: markers.fake_photo(int(i), 600 + int(i) % 1900)), T.BinaryType())
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo_id"), make("doc_id").alias("bytes"))
 
 
-@query("photo_segments", "SELECT doc_id AS photo_id, s.n::INTEGER AS seq, s.name AS name FROM documents, (SELECT unnest([0, 1, 2, 3, 4]) AS n, unnest(['SOI', 'DQT', 'SOF0', 'SOS', 'EOI']) AS name) s")
-def photo_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markers.segment_table(photos(spark, sf_dir)).select("photo_id", "seq", "name")
-
-
-@query("photo_sof_dims", "SELECT doc_id AS photo_id, 'FFC00011080010002003012200021100031100' AS frame FROM documents")
-def photo_sof_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The width in each frame header, at its place from the segment table, made 16 larger."""
-    all_photos = photos(spark, sf_dir)
-    frame = markers.segment_table(all_photos).where("name = 'SOF0'").select("photo_id", F.col("offset").alias("at"))
-    joined = all_photos.join(frame, "photo_id")
-    width = F.conv(F.hex(F.substring("bytes", F.col("at") + 8, F.lit(2))), 16, 10).cast("int") + 16
-    changed = F.overlay("bytes", F.unhex(F.lpad(F.hex(width), 4, "0")), F.col("at") + 8, F.lit(2))
-    return joined.select("photo_id", F.hex(F.substring(changed, F.col("at") + 1, F.lit(19))).alias("frame"))
-
-
-@query("photo_header_graft", "SELECT doc_id AS photo_id, (doc_id + 1) % (SELECT count(*) FROM documents) AS donor, true AS same_header FROM documents")
-def photo_header_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies under the header of the next photo of the same camera: the best donor has equal tables."""
-    pool = photos(spark, sf_dir)
-    scans = markers.segment_table(pool).where("name = 'SOS'").select("photo_id", F.col("end").alias("body"))
-    parts = pool.join(scans, "photo_id").select(F.col("photo_id").alias("ord"), F.expr("substring(bytes, 1, body)").alias("header"), F.expr("substring(bytes, body + 1)").alias("rest"))
-    turn = donors.pool_rotation(parts.select("ord"), 1)
-    donor = parts.select(F.col("ord").alias("donor"), F.col("header").alias("other"))
-    joined = parts.join(turn, "ord").join(donor, "donor")
-    return joined.select(F.col("ord").alias("photo_id"), "donor", (F.substring(F.concat("other", "rest"), F.lit(1), F.length("header")) == F.col("header")).alias("same_header"))
-
-
-@query("photo_cbcr_swap", "SELECT doc_id AS photo_id, 'FFC0001108001000100301220003110002110' || '0' AS frame FROM documents")
-def photo_cbcr_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second and third component of each frame change names, so that their colours change places."""
-    all_photos = photos(spark, sf_dir)
-    frame = markers.segment_table(all_photos).where("name = 'SOF0'").select("photo_id", F.col("offset").alias("at"))
-    joined = all_photos.join(frame, "photo_id")
-    second, third = F.substring("bytes", F.col("at") + 14, F.lit(1)), F.substring("bytes", F.col("at") + 17, F.lit(1))
-    changed = F.overlay(F.overlay("bytes", third, F.col("at") + 14, F.lit(1)), second, F.col("at") + 17, F.lit(1))
-    return joined.select("photo_id", F.hex(F.substring(changed, F.col("at") + 1, F.lit(19))).alias("frame"))
-
-
-@query("photo_qtable_scale", "SELECT doc_id AS photo_id, array_to_string(list_transform(range(1, 65), lambda v: least(greatest(floor(v * 2.5 + 0.5)::INTEGER, 1), 255)), ',') AS qtable FROM documents")
-def photo_qtable_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantisation values times 2.5, rounded half up and kept in a byte."""
-    all_photos = photos(spark, sf_dir)
-    tables = markers.segment_table(all_photos).where("name = 'DQT'").select("photo_id", (F.col("start") + 1).alias("at"))
-    pairs = F.regexp_extract_all(F.hex(F.substring("bytes", F.col("at") + 1, F.lit(64))), F.lit("(..)"), F.lit(1))
-    scaled = F.transform(pairs, lambda p: F.least(F.greatest(F.floor(F.conv(p, 16, 10).cast("int") * F.lit(2.5) + 0.5).cast("int"), F.lit(1)), F.lit(255)))
-    return all_photos.join(tables, "photo_id").select("photo_id", F.concat_ws(",", scaled.cast("array<string>")).alias("qtable"))
-
-
 def photo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos one after another on cards of 64, cut into clusters: (card_id, cluster, file_no, bytes)."""
-    files = photos(spark, sf_dir).select(F.floor(F.col("photo_id") / 64).alias("card_id"), (F.col("photo_id") % 64).alias("file_no"), F.length("bytes").cast("long").alias("size"), "bytes")
+    files = noise_photos(spark, sf_dir).select(F.floor(F.col("photo_id") / 64).alias("card_id"), (F.col("photo_id") % 64).alias("file_no"), F.length("bytes").cast("long").alias("size"), "bytes")
     chain = cards.allocate_fresh(files.drop("bytes"), CLUSTER)
     return chain.join(files.drop("size"), ["card_id", "file_no"]).select("card_id", "cluster", "file_no", F.expr(f"substring(bytes, pos * {CLUSTER} + 1, {CLUSTER})").alias("bytes"))
 
@@ -428,19 +423,27 @@ def card_carve_and_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("preset_stories")
 def preset_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every story at half its worst on every payload, seeds counted up over the batch."""
-    docs = payloads(spark, sf_dir)
-    out = [apply_recipe(docs, presets.story(name, 0.5, 7), seed="doc_id").select("doc_id", F.lit(name).alias("story"), F.length("bytes").alias("n_out"), digest().alias("digest")) for name in presets.STORIES]
+    docs = donors.with_donor(payloads(spark, sf_dir).withColumnRenamed("doc_id", "ord")).withColumnRenamed("ord", "doc_id")
+    out = [apply_recipe(docs, presets.story(name, 0.5, 7), seed="doc_id", other="other").select("doc_id", F.lit(name).alias("story"), F.length("bytes").alias("n_out"), digest().alias("digest")) for name in presets.STORIES]
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
     return whole
 
 
-@query("payload_kinds", "SELECT doc_id, 'unknown' AS kind FROM documents UNION ALL SELECT doc_id, 'photo' FROM documents")
+KINDS = {"avi": "52494646102700004156492020", "photo": "FFD8FFE000104A46494600", "project": "504B030414000000", "": "00"}
+
+
+@query("payload_kinds", """
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'avi' WHEN 1 THEN 'photo' WHEN 2 THEN 'project' ELSE CASE doc_id % 5 WHEN 0 THEN 'recipe' WHEN 1 THEN 'photo' WHEN 2 THEN 'photo' ELSE 'unknown' END END AS kind FROM documents
+""")
 def payload_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = payloads(spark, sf_dir).withColumn("path", F.lit("a.bin"))
-    made = photos(spark, sf_dir).select(F.col("photo_id").alias("doc_id"), "bytes", F.lit("b.dat").alias("path"))
-    return docs.unionByName(made).select("doc_id", payload_kind(F.col("path"), F.col("bytes")).alias("kind"))
+    """Documents under heads and names of several kinds: magic bytes count first, then the extension."""
+    i = F.col("doc_id")
+    head = F.element_at(F.array(*map(F.lit, KINDS.values())), (i % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("a.json", "B.JPG", "c.webp", "d.txt", "e"))), (i % 5 + 1).cast("int"))
+    made = payloads(spark, sf_dir).select("doc_id", F.concat(F.unhex(head), F.coalesce("bytes", F.unhex(F.lit("")))).alias("bytes"), name.alias("path"))
+    return made.select("doc_id", payload_kind(F.col("path"), F.col("bytes")).alias("kind"))
 
 
 # --- Coefficient blocks: the first 64 numbers of each embedding, in thousandths --------------------------------------

@@ -18,6 +18,7 @@ class Pcg32:
     """A PCG32 generator whose draws come many at a time: states are powers of the multiplier, so they need no loop."""
 
     def __init__(self, seed: int, stream: int = STEP_STREAM):
+        self.seed = seed
         self.inc = (stream << 1 | 1) & _M64
         self.state = ((self.inc + seed) * MULTIPLIER + self.inc) & _M64
 
@@ -37,7 +38,10 @@ class Pcg32:
         return (x >> turn | x << (np.uint64(32) - turn)) & np.uint64(0xFFFFFFFF)
 
     def one(self) -> int:
-        return int(self.draw(1)[0])
+        old = self.state
+        self.state = (old * MULTIPLIER + self.inc) & _M64
+        x, turn = (old >> 18 ^ old) >> 27 & 0xFFFFFFFF, old >> 59
+        return (x >> turn | x << (-turn & 31)) & 0xFFFFFFFF
 
     def below(self, n: int) -> int:
         """Uniform in [0, n): draws of the incomplete lowest range are thrown away."""
@@ -74,9 +78,13 @@ def batch_seed(seed: Column, i: Column) -> Column:
     return (seed + i).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def turn_seed(child: int, group: int, turn: int) -> int:
-    """``repeat_seed`` for plain numbers, where a recipe is unrolled."""
-    h = (child ^ group * GROUP_FACTOR ^ (turn + 1) * ROUND_FACTOR) & 0xFFFFFFFF
+def mix32_int(h: int) -> int:
+    """``mix32`` of a plain number."""
     for shift, factor in ((16, MIX_A), (15, MIX_B)):
         h = (h ^ h >> shift) * factor & 0xFFFFFFFF
     return h ^ h >> 16
+
+
+def turn_seed(child: int, group: int, turn: int) -> int:
+    """``repeat_seed`` for plain numbers, where a recipe is unrolled."""
+    return mix32_int((child ^ group * GROUP_FACTOR ^ (turn + 1) * ROUND_FACTOR) & 0xFFFFFFFF)

@@ -66,16 +66,17 @@ def follow_chains(table: DataFrame, heads: DataFrame) -> DataFrame:
 
     ``heads``: (card_id, head). Each round knows where 2^r steps lead, and the positions reached so far double.
     """
-    reached = heads.select("card_id", "head", F.lit(0).cast("long").alias("pos"), F.col("head").alias("cluster"))
-    jump = table.where("next IS NOT NULL").select("card_id", "cluster", "next")
+    reached = heads.select("card_id", "head", F.lit(0).cast("long").alias("pos"), F.col("head").alias("cluster")).checkpoint()
+    jump = table.where("next IS NOT NULL").select("card_id", "cluster", "next").checkpoint()
     length = 1
     while length <= MAX_CLUSTERS:
         more = reached.join(jump, ["card_id", "cluster"]).select("card_id", "head", (F.col("pos") + length).alias("pos"), F.col("next").alias("cluster"))
+        # The jumps of the next round come from these alone: without a cut, every round would plan all before it twice.
         more = more.join(reached.select("card_id", "head", "cluster"), ["card_id", "head", "cluster"], "left_anti").checkpoint()
         if more.isEmpty():
             break
-        reached = reached.unionByName(more).checkpoint()
-        jump = jump.join(jump.select("card_id", F.col("cluster").alias("next"), F.col("next").alias("beyond")), ["card_id", "next"]).select("card_id", "cluster", F.col("beyond").alias("next"))
+        reached = reached.unionByName(more)
+        jump = jump.join(jump.select("card_id", F.col("cluster").alias("next"), F.col("next").alias("beyond")), ["card_id", "next"]).select("card_id", "cluster", F.col("beyond").alias("next")).checkpoint()
         length *= 2
     return reached
 
@@ -97,6 +98,48 @@ def overwritten(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(victims, ["card_id", "cluster"]).groupBy("card_id", "file_no", "victim").agg(F.count(F.lit(1)).alias("clusters"))
 
 
+def undelete_skipping(deleted: DataFrame, now: DataFrame, last: DataFrame, cluster: int) -> DataFrame:
+    """(card_id, file_no, pos, cluster): deleted files from their first cluster on, past clusters that others use by now.
+
+    ``deleted``: (card_id, file_no, size, first). ``last``: (card_id, last), the end of each card. The free clusters of a
+    card are numbered, a file begins at the number of the first free one from its start on, and its n-th cluster is found
+    by an equi-join on numbers.
+    """
+    every = last.select("card_id", F.explode(F.sequence(F.lit(FIRST_CLUSTER).cast("long"), F.col("last").cast("long"))).alias("cluster"))
+    free = every.join(now.select("card_id", "cluster"), ["card_id", "cluster"], "left_anti")
+    marks = deleted.where("size > 0").select("card_id", "file_no", "size", F.col("first").alias("cluster"), F.lit(0).alias("kind"))
+    both = free.select("card_id", "cluster", F.lit(1).alias("kind")).unionByName(marks, allowMissingColumns=True)
+    order = W.partitionBy("card_id").orderBy("cluster", "kind").rowsBetween(W.unboundedPreceding, 0)
+    counted = both.withColumn("k", F.sum("kind").over(order))
+    need = counted.where("kind = 0").select("card_id", "file_no", F.col("k").alias("before"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / cluster) - 1).cast("int"))).alias("pos"))
+    need = need.select("card_id", "file_no", "pos", (F.col("before") + F.col("pos") + 1).alias("k"))
+    return need.join(counted.where("kind = 1").select("card_id", "k", "cluster"), ["card_id", "k"]).select("card_id", "file_no", "pos", "cluster")
+
+
+def read_chains(chains: DataFrame, stored: DataFrame, sizes: DataFrame, names: list[str]) -> DataFrame:
+    """(names.., bytes): the bytes along chains (names.., card_id, pos, cluster), cut to the size in ``sizes`` (names.., size).
+
+    ``stored``: (card_id, cluster, bytes). A file is one row and so bounded by its size.
+    """
+    parts = chains.join(stored, ["card_id", "cluster"]).groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
+    whole = F.unhex(F.array_join(F.transform("parts", lambda r: F.hex(r["bytes"])), ""))
+    return parts.join(sizes, names).select(*names, whole.alias("bytes"), "size").select(*names, F.substring("bytes", F.lit(1), F.col("size").cast("int")).alias("bytes"))
+
+
+def best_overlap(wanted: DataFrame, found: DataFrame, share: int = 4) -> DataFrame:
+    """(card_id, file_no, other, hits): for each file the recovered one that holds most of its clusters.
+
+    One of ``share`` of the wanted clusters must be hit at least; of equal hits the lowest number counts. ``wanted`` and
+    ``found``: (card_id, file_no, cluster). Hits are counted by an equi-join on clusters, so nothing meets that shares none.
+    """
+    size = wanted.groupBy("card_id", "file_no").agg(F.count(F.lit(1)).alias("size"))
+    other = found.select("card_id", "cluster", F.col("file_no").alias("other"))
+    hits = wanted.join(other, ["card_id", "cluster"]).groupBy("card_id", "file_no", "other").agg(F.count(F.lit(1)).alias("hits"))
+    enough = hits.join(size, ["card_id", "file_no"]).where(F.col("hits") * share >= F.col("size"))
+    best = enough.groupBy("card_id", "file_no").agg(F.max(F.struct("hits", (-F.col("other")).alias("less"))).alias("b"))
+    return best.select("card_id", "file_no", (-F.col("b.less")).alias("other"), "b.hits")
+
+
 def undelete_contiguous(deleted: DataFrame, now: DataFrame, cluster: int) -> DataFrame:
     """(card_id, file_no, clusters, intact): deleted files read as one run from their first cluster, and how much is still theirs.
 

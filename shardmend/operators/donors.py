@@ -6,22 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardmend.functions.payload import head, tail
+from shardmend.operators.lookups import next_in_group, numbered
 from shardmend.sources.markers import HEADER_GUESS
 
 
 def pool_rotation(payloads: DataFrame, places: int = 1) -> DataFrame:
     """(ord, k, donor): for each payload its first ``places`` donors, the others in order from the next one on, wrapping.
 
-    ``ord`` numbers the pool from 0 without gaps. A pool of one is its own donor.
+    ``ord`` orders the pool and may have gaps. A pool of one is its own donor.
     """
-    n = payloads.count()
-    rows = payloads.select("ord", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("k"))
-    return rows.where(F.col("k") < max(n - 1, 1)).select("ord", "k", F.pmod(F.col("ord") + 1 + F.col("k"), F.lit(max(n, 1))).alias("donor"))
+    pool = numbered(payloads.select("ord"), "ord", "no")
+    size = pool.agg(F.count(F.lit(1)).alias("size"))
+    rows = pool.join(F.broadcast(size)).select("ord", "no", "size", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("k"))
+    rows = rows.where(F.col("k") < F.greatest(F.col("size") - 1, F.lit(1))).select("ord", "k", F.pmod(F.col("no") + 1 + F.col("k"), F.col("size")).alias("no"))
+    return rows.join(pool.select("no", F.col("ord").alias("donor")), "no").select("ord", "k", "donor")
 
 
 def with_donor(payloads: DataFrame, k: int = 0) -> DataFrame:
     """``payloads`` (ord, bytes) with the bytes of their k-th donor as ``other``."""
-    turn = pool_rotation(payloads, k + 1).where(F.col("k") == k).select("ord", "donor")
+    if k == 0:
+        turn = next_in_group(payloads.withColumn("_all", F.lit(0)), ["_all"], "ord").select("ord", F.col("next").alias("donor"))
+    else:
+        turn = pool_rotation(payloads, k + 1).where(F.col("k") == k).select("ord", "donor")
     donors = payloads.select(F.col("ord").alias("donor"), F.col("bytes").alias("other"))
     return payloads.join(turn, "ord").join(donors, "donor").drop("donor")
 

@@ -28,6 +28,15 @@ def last_before(points: DataFrame, marks: DataFrame, key: str, at: str, value: s
     return seen.where("_kind = 1").join(before, [key, "_block"]).select(key, at, F.coalesce("_seen", "_before").alias(value))
 
 
+def numbered(rows: DataFrame, place: str, name: str, block: int = 10_000) -> DataFrame:
+    """``rows`` with their number from 0 in order of ``place``, an integer without repeats; places are dealt in blocks."""
+    dealt = rows.withColumn("_block", F.floor(F.col(place) / block))
+    sizes = dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_block").orderBy(place)) - 1
+    return dealt.withColumn("_inside", inside).join(before, "_block").select(*rows.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
 def next_in_group(rows: DataFrame, group: list[str], place: str, block: int = 10_000) -> DataFrame:
     """(group.., place, next): the next row of the same group in order of place, the first again after the last.
 

@@ -7,8 +7,10 @@ that may be damaged, and Spark runs them over Arrow batches.
 from __future__ import annotations
 
 import base64
+import inspect
 import re
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,9 @@ from shardmend.functions.prng import STEP_STREAM, Pcg32
 from shardmend.sources.markers import body_start, scan_range
 
 STEPS: dict[str, Callable] = {}
+#: Other names of steps, and of parameters, that recipes may use.
+ALIASES = {"ransomware_partial": "ransomware"}
+PARAMETERS = {"hex": "hexed", "sectors": "sectors_each"}
 
 
 def step(f: Callable) -> Callable:
@@ -25,6 +30,36 @@ def step(f: Callable) -> Callable:
     return f
 
 
+@cache
+def _takes(kernel: Callable) -> dict[str, object]:
+    return {n: p.default for n, p in list(inspect.signature(kernel).parameters.items())[2:]}
+
+
+def takes_other(name: str) -> bool:
+    """Whether a step needs another payload."""
+    return "other" in _takes(STEPS[ALIASES.get(name, name)])
+
+
+def run_step(name: str, data: bytes, g: Pcg32, params: dict, other: bytes | None = None) -> bytes:
+    """One step. Parameters that it doesn't know are ignored, and a payload that it cannot be applied to stays as it is."""
+    kernel = STEPS.get(ALIASES.get(name, name))
+    if kernel is None:
+        return data
+    takes, given = _takes(kernel), {}
+    try:
+        for k, v in params.items():
+            k = PARAMETERS.get(k, k)
+            if k in takes and k != "other":
+                given[k] = type(takes[k])(v) if isinstance(takes[k], (int, float)) and not isinstance(takes[k], bool) else v
+        if "other" in takes:
+            if other is None:
+                return data
+            given["other"] = other
+        return kernel(data, g, **given)
+    except (ValueError, IndexError, TypeError, ZeroDivisionError):
+        return data
+
+
 def cut(data: bytes, start: float, end: float) -> tuple[int, int]:
     """The part of the scan between two percentages."""
     a, b = scan_range(data)
@@ -44,8 +79,10 @@ def bitflip(data: bytes, g: Pcg32, rate: float = 3.0, start: float = 0, end: flo
     expect = (b - a) * rate / 102400
     n = int(expect) + (g.unit() < expect - int(expect))
     out = bytearray(data)
-    for p in places(g, a, b, max(n, 1) if rate > 0 else n):
-        out[p] ^= 1 << g.below(8)
+    at = places(g, a, b, max(n, 1) if rate > 0 else n)
+    # Eight divides the range of a draw, so that none is thrown away.
+    for p, bit in zip(at, (g.draw(len(at)) & np.uint64(7)).tolist(), strict=True):
+        out[p] ^= 1 << bit
     return bytes(out)
 
 
@@ -61,9 +98,10 @@ def byte_delete(data: bytes, g: Pcg32, count: int = 1, length: int = 1, start: f
 @step
 def byte_insert(data: bytes, g: Pcg32, count: int = 1, length: int = 4, hexed: str = "", start: float = 20, end: float = 80) -> bytes:
     """Given or random bytes put in at random places; those of the last place are drawn first."""
-    out = bytearray(data)
+    out, digits = bytearray(data), re.sub("[^0-9A-Fa-f]", "", hexed)
+    given = bytes.fromhex(digits[: len(digits) // 2 * 2])[: 1 << 16]
     for p in reversed(places(g, *cut(data, start, end), min(max(count, 1), 1000))):
-        out[p:p] = bytes.fromhex(hexed)[: 1 << 16] if hexed else (g.draw(min(max(length, 1), 1 << 16)) & np.uint64(255)).astype(np.uint8).tobytes()
+        out[p:p] = given if given else (g.draw(min(max(length, 1), 1 << 16)) & np.uint64(255)).astype(np.uint8).tobytes()
     return bytes(out)
 
 
@@ -84,7 +122,7 @@ def zero_run(data: bytes, g: Pcg32, count: int = 3, length: int = 4096, start: f
     a, b = cut(data, start, end)
     out = np.frombuffer(data, np.uint8).copy()
     for p in places(g, a, b, min(max(count, 1), 100)):
-        out[p : min(p + length, b)] = 0
+        out[p : min(p + min(max(length, 1), 1 << 20), b)] = 0
     return out.tobytes()
 
 
@@ -136,7 +174,7 @@ def tool_fill_pattern(data: bytes, g: Pcg32, tool: str = "text", count: int = 3,
         return data
     for _ in range(min(max(count, 1), 64)):
         k = first + g.below(n) * 512
-        size = min(sectors_each * 512, len(out) - k)
+        size = min(min(max(sectors_each, 1), 64) * 512, len(out) - k)
         out[k : k + size] = (fill * (size // len(fill) + 1))[:size]
     return bytes(out)
 
@@ -144,7 +182,7 @@ def tool_fill_pattern(data: bytes, g: Pcg32, tool: str = "text", count: int = 3,
 @step
 def flash_fault(data: bytes, g: Pcg32, mode: str = "erased", count: int = 2, page_kb: int = 8, protect_header: bool = True) -> bytes:
     """Flash pages that are erased, zero, overwritten by a burst of noise, or have a bit stuck at one."""
-    first, page = body_start(data, protect_header), page_kb * 1024
+    first, page = body_start(data, protect_header), min(max(page_kb, 2), 16) * 1024
     out = np.frombuffer(data, np.uint8).copy()
     if (n := sectors(data, first, page)) < 1:
         return data
@@ -206,62 +244,56 @@ def base64_damage(data: bytes, g: Pcg32, lines: int = 2, mode: str = "drop") ->
 
 
 @step
-def chipoff_xor(data: bytes, g: Pcg32, seed: int = 0, key_len: int = 512, page_kb: int = 4, strength: float = 30, start: float = 40, protect_header: bool = True) -> bytes:
-    """Pages of a raw chip dump that are still scrambled with the controller's key, which has a generator of its own."""
+def chipoff_xor(data: bytes, g: Pcg32, key_len: int = 512, page_kb: int = 4, strength: float = 30, start: float = 40, shuffle: bool = False, protect_header: bool = True) -> bytes:
+    """Pages of a raw chip dump that are still scrambled with the controller's key, which has a generator of its own.
+
+    With ``shuffle``, the first two whole pages of some blocks of four change places, as under a wrong map of the chip.
+    """
     first = body_start(data, protect_header)
     first += int((len(data) - first) * min(max(start, 0.0), 100.0) / 100)
-    key = (Pcg32(0x5C4A3B1E ^ seed, 7).draw(key_len) & np.uint64(255)).astype(np.uint8)
-    out, page = np.frombuffer(data, np.uint8).copy(), page_kb * 1024
-    for at in range(first, len(out), page):
-        if g.unit() < strength / 100:
+    key_len = min(max(key_len, 1), 4096)
+    key = (Pcg32(0x5C4A3B1E ^ g.seed, 7).draw(key_len) & np.uint64(255)).astype(np.uint8)
+    out, page, share = np.frombuffer(data, np.uint8).copy(), min(max(page_kb, 2), 16) * 1024, min(max(strength, 0.0), 100.0) / 100
+    starts = range(first, len(out), page)
+    for at in starts:
+        if g.unit() < share:
             size = min(page, len(out) - at)
             out[at : at + size] ^= np.resize(key, size)
+    if shuffle and len(starts) > 2:
+        for at in starts[:-1:4]:
+            if g.unit() < max(share, 0.2) and at + 2 * page <= len(out):
+                out[at : at + 2 * page] = np.roll(out[at : at + 2 * page], page)
     return out.tobytes()
 
 
-def splice(data: bytes, g: Pcg32, other: bytes, at: float = 50, clusters: int = 4, cluster_kb: int = 8, mode: str = "replace") -> bytes:
+@step
+def splice(data: bytes, g: Pcg32, other: bytes, at: float = 50.0, clusters: int = 4, cluster_kb: int = 8, mode: str = "replace") -> bytes:
     """Clusters of another payload's scan put in, or over what is there, at a cluster-aligned place."""
-    size, want = cluster_kb * 1024, min(max(clusters, 1), 256) * cluster_kb * 1024
+    size = min(max(cluster_kb, 1), 64) * 1024
+    want = min(max(clusters, 1), 256) * size
     (da, db), (a, b) = scan_range(other), scan_range(data)
     if db <= da:
         raise ValueError("the other payload has no data")
     low = da + g.one() % (db - da - want + 1) // size * size if db - da > want else da
     piece = other[low : min(low + want, db)]
     piece = (piece * (want // len(piece) + 1))[:want]
-    place = min(max((a + int((b - a) * at / 100)) // size * size, a), b)
+    place = min(max((a + int((b - a) * min(max(at, 0.0), 100.0) / 100)) // size * size, a), b)
     return data[:place] + piece + data[place + (0 if mode == "insert" else len(piece)) :]
 
 
 def spliced(df: DataFrame, column: str = "bytes", other: str = "other", seed: str = "seed", **params) -> DataFrame:
     """``df`` with clusters of the payload in ``other`` spliced in; what fails passes its input on."""
+    return seeded(df, "splice", column, seed, other=other, **params)
 
-    def one(b: bytes | None, o: bytes | None, s: int | None) -> bytes | None:
-        try:
-            return b if b is None or o is None else splice(b, Pcg32(s or 0), o, **params)
-        except ValueError:
-            return b
-
-    def run(batches):
-        for batch in batches:
-            done = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in (column, other, seed)), strict=True)]
-            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(done, pa.binary()))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def seeded(df: DataFrame, name: str, column: str = "bytes", seed: str = "seed", stream: int = STEP_STREAM, **params) -> DataFrame:
-    """``df`` with ``column`` damaged by a seeded step; ``seed`` names a column. Null payloads stay null, and one that a step cannot be applied to stays as it is."""
-    kernel = STEPS[name]
 
-    def one(b: bytes | None, s: int | None) -> bytes | None:
-        try:
-            return None if b is None else kernel(b, Pcg32(s or 0, stream), **params)
-        except ValueError:
-            return b
+def seeded(df: DataFrame, name: str, column: str = "bytes", seed: str = "seed", stream: int = STEP_STREAM, other: str | None = None, **params) -> DataFrame:
+    """``df`` with ``column`` damaged by a step; ``seed`` and ``other`` name columns. Null payloads stay null, and one that a step cannot be applied to stays as it is."""
 
     def run(batches):
         for batch in batches:
-            done = [one(b, s) for b, s in zip(batch.column(column).to_pylist(), batch.column(seed).to_pylist(), strict=True)]
+            donors = batch.column(other).to_pylist() if other else [None] * batch.num_rows
+            rows = zip(batch.column(column).to_pylist(), batch.column(seed).to_pylist(), donors, strict=True)
+            done = [None if b is None else run_step(name, b, Pcg32(s or 0, stream), params, o) for b, s, o in rows]
             i = batch.schema.get_field_index(column)
             yield batch.set_column(i, column, pa.array(done, pa.binary()))
 

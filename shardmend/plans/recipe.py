@@ -1,19 +1,29 @@
-"""Recipes: ordered steps that compile to one chain of column expressions."""
+"""Recipes: ordered steps that compile to one chain of column expressions.
+
+A recipe is JSON with a list of nodes: steps, groups of steps that repeat, and patches, which hold for payloads of one
+hash. Nodes of ``{"type": "step" | "repeat" | "patch", ..}`` and the shorter ``{"id": ..}`` and ``{"repeat": n, "steps"}``
+are read; what is neither is left out.
+"""
 
 from __future__ import annotations
 
-import hashlib
+import inspect
 import json
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardmend.functions.hashes import has_hash, text_hash
 from shardmend.functions.prng import Pcg32, turn_seed
-from shardmend.operators.byte_steps import STEPS
+from shardmend.operators import marker_steps  # noqa: F401  (adds its steps)
+from shardmend.operators.byte_steps import STEPS, byte_patch
+from shardmend.operators.seeded_steps import ALIASES, run_step, takes_other
 from shardmend.operators.seeded_steps import STEPS as SEEDED
 
+MOST_TURNS = 500
+
 
 @dataclass
 class Step:
@@ -31,58 +41,99 @@ class Repeat:
     seed: int = 0
 
 
+@dataclass
+class Patch:
+    """Bytes at offsets, for payloads whose hash is ``base``; others pass as they are."""
+
+    base: str
+    patches: list[tuple[int, bytes]]
+    enabled: bool = True
+
+
 @dataclass
 class Recipe:
-    nodes: list[Step | Repeat]
+    nodes: list[Step | Repeat | Patch]
+    engine: str = ""
+    source: str | None = None
+
+
+def seeded_name(step: Step) -> str | None:
+    """The kernel that a step runs, if it isn't a column expression. A text-mode transfer of a part of the file is one."""
+    name = ALIASES.get(step.id, step.id)
+    if name == "ftp_ascii" and "portion" in step.params:
+        return "ftp_stretch"
+    return name if name in SEEDED and name not in STEPS else None
 
 
-def apply_recipe(df: DataFrame, recipe: Recipe, column: str = "bytes", seed: str | None = None) -> DataFrame:
+def needs_other(recipe: Recipe) -> bool:
+    """Whether any step of a recipe takes another payload."""
+    return any(isinstance(s, Step) and (name := seeded_name(s)) is not None and takes_other(name) for s in unrolled(recipe))
+
+
+def apply_recipe(df: DataFrame, recipe: Recipe, column: str = "bytes", seed: str | None = None, other: str | None = None) -> DataFrame:
     """``df`` with ``column`` run through the recipe.
 
-    Steps without seeds become projections. Neighbouring seeded steps are fused, so that a payload goes to Python and
-    back once for all of them; ``seed`` names a column that is added to their seeds, as for the payloads of a batch.
-    A kernel that fails passes its input on.
+    Steps without seeds and patches become projections. Neighbouring seeded steps are fused, so that a payload goes to
+    Python and back once for all of them; ``seed`` names a column that is added to their seeds, as for the payloads of a
+    batch, and ``other`` one with the payload that donor steps take. Steps that fail or aren't known pass their input on.
     """
-    waiting: list[Step] = []
-    for step in unrolled(recipe):
-        if step.id in SEEDED:
-            waiting.append(step)
-            continue
-        df = _fused(df, waiting, column, seed)
+    waiting: list[tuple[str, Step]] = []
+    for node in unrolled(recipe):
+        if isinstance(node, Step):
+            name = seeded_name(node)
+            if name is not None:
+                waiting.append((name, node))
+                continue
+            if node.id not in STEPS:
+                continue
+        df = _fused(df, waiting, column, seed, other)
         waiting = []
-        df = df.withColumn(column, STEPS[step.id](F.col(column), **step.params))
-    return _fused(df, waiting, column, seed)
+        df = df.withColumn(column, patched(F.col(column), node) if isinstance(node, Patch) else _native(F.col(column), node))
+    return _fused(df, waiting, column, seed, other)
+
+
+def _native(b: Column, step: Step) -> Column:
+    names = list(inspect.signature(STEPS[step.id]).parameters)[1:]
+    params = {("hexed" if k == "hex" else k): v for k, v in step.params.items()}
+    return STEPS[step.id](b, **{k: v for k, v in params.items() if k in names})
+
 
+def patched(b: Column, patch: Patch) -> Column:
+    """A payload with the patch's bytes if its hash is the patch's base; offsets past its end are ignored."""
+    out = b
+    for at, data in patch.patches:
+        data, at = data[max(0, -at) :], max(0, at)
+        out = byte_patch(out, at, data.hex())
+    return F.when(has_hash(b, F.lit(patch.base)), out).otherwise(b)
 
-def _fused(df: DataFrame, steps: list[Step], column: str, seed: str | None) -> DataFrame:
+
+def _fused(df: DataFrame, steps: list[tuple[str, Step]], column: str, seed: str | None, other: str | None) -> DataFrame:
     if not steps:
         return df
-    steps = list(steps)
-
-    def one(data: bytes, add: int) -> bytes:
-        for step in steps:
-            try:
-                data = SEEDED[step.id](data, Pcg32((step.seed + add) & 0xFFFFFFFF), **step.params)
-            except (ValueError, IndexError):
-                continue
-        return data
+    steps = [(name, s.seed, dict(s.params)) for name, s in steps]
 
     def run(batches):
         for batch in batches:
             adds = batch.column(seed).to_pylist() if seed else [0] * batch.num_rows
-            done = [None if b is None else one(b, a or 0) for b, a in zip(batch.column(column).to_pylist(), adds, strict=True)]
+            donors = batch.column(other).to_pylist() if other else [None] * batch.num_rows
+            done = []
+            for data, add, donor in zip(batch.column(column).to_pylist(), adds, donors, strict=True):
+                if data is not None:
+                    for name, own, params in steps:
+                        data = run_step(name, data, Pcg32((own + (add or 0)) & 0xFFFFFFFF), params, donor)
+                done.append(data)
             yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(done, pa.binary()))
 
     return df.mapInArrow(run, df.schema)
 
 
-def unrolled(recipe: Recipe) -> list[Step]:
-    """Enabled steps in order, with repeats written out; each turn of a repeat has seeds of its own."""
-    out: list[Step] = []
+def unrolled(recipe: Recipe) -> list[Step | Patch]:
+    """Enabled nodes in order, with repeats written out; each turn of a repeat has seeds of its own."""
+    out: list[Step | Patch] = []
     for node in recipe.nodes:
         if not node.enabled:
             continue
-        if isinstance(node, Step):
+        if not isinstance(node, Repeat):
             out.append(node)
             continue
         for turn in range(node.times):
@@ -90,30 +141,79 @@ def unrolled(recipe: Recipe) -> list[Step]:
     return out
 
 
+def _whole(x: object, else_: int = 0) -> int:
+    try:
+        return int(float(x))  # type: ignore[arg-type]
+    except (TypeError, ValueError, OverflowError):
+        return else_
+
+
+def _step(x: object) -> Step | None:
+    if not isinstance(x, dict) or not isinstance(x.get("id"), str) or not isinstance(x.get("params", {}), dict):
+        return None
+    return Step(x["id"], dict(x.get("params") or {}), _whole(x.get("seed")) & 0xFFFFFFFF, x.get("enabled") is not False)
+
+
+def _node(x: object) -> Step | Repeat | Patch | None:
+    if not isinstance(x, dict):
+        return None
+    on, seed = x.get("enabled") is not False, _whole(x.get("seed")) & 0xFFFFFFFF
+    children = x.get("children") if x.get("type") == "repeat" else x.get("steps") if "repeat" in x else None
+    if isinstance(children, list):
+        times = x.get("times") if x.get("type") == "repeat" else x["repeat"]
+        return Repeat([s for s in map(_step, children) if s is not None], min(MOST_TURNS, max(1, _whole(times))), on, seed)
+    if x.get("type") == "patch" and isinstance(x.get("patches"), list):
+        good = [p for p in x["patches"] if isinstance(p, dict) and isinstance(p.get("offset"), (int, float)) and isinstance(p.get("bytes"), list)]
+        return Patch(str(x.get("baseHash") or ""), [(int(p["offset"]), bytes(_whole(v) & 255 for v in p["bytes"])) for p in good], on)
+    return _step(x) if x.get("type", "step") == "step" else None
+
+
 def parse_recipe(text: str) -> Recipe:
-    """A recipe from JSON: ``{"steps": [{"id", "params", "seed", "enabled"} | {"repeat", "steps"}]}``."""
-    def step(x: dict) -> Step:
-        return Step(str(x["id"]), dict(x.get("params") or {}), int(x.get("seed", 0)) & 0xFFFFFFFF, bool(x.get("enabled", True)))
+    """A recipe from JSON; a document that names a format must name that of a recipe."""
+    found = json.loads(text)
+    if not isinstance(found, dict) or not isinstance(found.get("steps"), list) or not str(found.get("format", "-recipe")).endswith("-recipe"):
+        raise ValueError("this is no recipe")
+    source = found.get("source")
+    return Recipe([n for n in map(_node, found["steps"]) if n is not None], str(found.get("engine") or ""), source if isinstance(source, str) else None)
+
+
+def _written(node: Step | Repeat | Patch) -> dict:
+    if isinstance(node, Step):
+        return {"type": "step", "id": node.id, "params": node.params, "seed": node.seed, "enabled": node.enabled}
+    if isinstance(node, Repeat):
+        return {"type": "repeat", "times": node.times, "seed": node.seed, "enabled": node.enabled, "children": [_written(s) for s in node.steps]}
+    return {"type": "patch", "enabled": node.enabled, "baseHash": node.base, "patches": [{"offset": at, "bytes": list(data)} for at, data in node.patches]}
+
+
+def write_recipe(recipe: Recipe, format_: str = "shardmend-recipe") -> str:
+    """A recipe as JSON that ``parse_recipe`` reads."""
+    out = {"format": format_, "version": 1, "engine": recipe.engine, "steps": [_written(n) for n in recipe.nodes]}
+    return json.dumps(out | ({"source": recipe.source} if recipe.source else {}), ensure_ascii=False)
+
+
+def stable_json(value: object) -> str:
+    """JSON without spaces and with sorted keys."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
 
-    nodes: list[Step | Repeat] = []
-    for x in json.loads(text).get("steps", []):
-        if "repeat" in x:
-            nodes.append(Repeat([step(y) for y in x.get("steps", [])], min(500, max(1, int(x["repeat"]))), bool(x.get("enabled", True)), int(x.get("seed", 0)) & 0xFFFFFFFF))
-        else:
-            nodes.append(step(x))
-    return Recipe(nodes)
+def signature(node: Step | Repeat | Patch) -> str:
+    """What tells a node's work: equal signatures do the same."""
+    if isinstance(node, Step):
+        return f"S{node.id}:{node.seed}:{stable_json(node.params)}"
+    if isinstance(node, Repeat):
+        return f"R{node.times}:{node.seed}:" + ";".join(signature(s) for s in node.steps if s.enabled)
+    return f"P{node.base}:" + stable_json([{"offset": at, "bytes": list(data)} for at, data in node.patches])
 
 
-def plan_keys(recipe: Recipe, source: str = "") -> list[str]:
-    """A key for the result after each node: equal keys mean equal results, so a written prefix can be read again.
+def plan_keys(recipe: Recipe, source: Column, pool: str = "") -> Column:
+    """An array of keys for the results after each node of a payload whose own key is ``source``.
 
-    A disabled node, and a repeat with nothing to do, keep the key before them.
+    Equal keys mean equal results, so that what is written for a prefix can be read again. A node that is off, and a
+    repeat with nothing to do, keep the key before them; a node that takes other payloads also depends on ``pool``.
     """
-    keys, key = [], hashlib.sha256(source.encode()).hexdigest()
+    keys, key = [], F.concat(F.lit("src:"), source)
     for node in recipe.nodes:
-        steps = unrolled(Recipe([node]))
-        if steps:
-            said = json.dumps([[s.id, s.params, s.seed] for s in steps], sort_keys=True)
-            key = hashlib.sha256(f"{key}{said}".encode()).hexdigest()
+        if node.enabled and not (isinstance(node, Repeat) and (node.times < 1 or not any(s.enabled for s in node.steps))):
+            key = text_hash(F.concat(key, F.lit("|" + signature(node) + (f"|pool:{pool}" if needs_other(Recipe([node])) else ""))))
         keys.append(key)
-    return keys
+    return F.array(*keys)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 
 SOI, EOI, SOS, DQT, DHT, DRI, SOF0 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xC0
 # Names of the markers that files are made of.
-NAMES = {0xD8: "SOI", 0xD9: "EOI", 0xDA: "SOS", 0xDB: "DQT", 0xC4: "DHT", 0xDD: "DRI", 0xFE: "COM", 0xC0: "SOF0", 0xC1: "SOF1", 0xC2: "SOF2", 0xC9: "SOF9", 0xCA: "SOF10"}
-NAMES |= {0xE0 + i: f"APP{i}" for i in range(16)} | {0xD0 + i: f"RST{i}" for i in range(8)}
+NAMES = {0x01: "TEM", 0xFE: "COM"} | {0xC0 + i: f"SOF{i}" for i in range(16)} | {0xD0 + i: "RST" for i in range(8)} | {0xE0 + i: f"APP{i}" for i in range(16)}
+NAMES |= {0xC4: "DHT", 0xC8: "JPG", 0xCC: "DAC", 0xD8: "SOI", 0xD9: "EOI", 0xDA: "SOS", 0xDB: "DQT", 0xDC: "DNL", 0xDD: "DRI", 0xDE: "DHP", 0xDF: "EXP"}
+FRAMES = frozenset(0xC0 + i for i in range(16)) - {0xC4, 0xC8, 0xCC}
 #: Headers up to the first scan are about this long where a payload has none.
 HEADER_GUESS = 624
 SEGMENT_SCHEMA = "seq int, offset int, marker int, name string, length int, start int, end int, truncated boolean, scan_end int"
@@ -31,40 +32,61 @@ def scan_end(data: bytes, at: int) -> int:
 
 
 def segments(data: bytes) -> Iterator[dict]:
-    """Segments of a JPEG file from its first SOI on, as far as they can be told; bytes between them are skipped."""
-    at, seq = data.find(b"\xff\xd8"), 0
-    while 0 <= at < len(data) - 1:
+    """Segments of a JPEG file: bytes that are no known marker are skipped, as are fill bytes; a file ends at its end marker.
+
+    ``length`` counts the marker and its length field too, and is cut to what the payload holds.
+    """
+    at, seq, size = data.find(b"\xff"), 0, len(data)
+    while 0 <= at < size - 1:
         code = data[at + 1]
+        if code not in NAMES:
+            at = data.find(b"\xff", at + 1)
+            continue
         alone = code in (SOI, EOI, 1) or 0xD0 <= code <= 0xD7
-        length = 0 if alone else int.from_bytes(data[at + 2 : at + 4]) if at + 4 <= len(data) else 0
-        end = at + 2 + length
-        row = {"seq": seq, "offset": at, "marker": code, "name": NAMES.get(code, f"{code:02X}"), "length": length, "start": at + (2 if alone else 4), "end": min(end, len(data)), "truncated": end > len(data) or not alone and length < 2, "scan_end": None}
-        if code == SOS and not row["truncated"]:
-            row["scan_end"] = end = scan_end(data, end)
-        yield row
-        seq += 1
-        if code == EOI or row["truncated"]:
+        declared = 0 if alone else max(2, int.from_bytes(data[at + 2 : at + 4])) if at + 3 < size else 2
+        end = min(at + 2 + declared, size)
+        yield {
+            "seq": seq, "offset": at, "marker": code, "name": NAMES[code], "length": end - at, "start": end if alone else min(at + 4, size), "end": end,
+            "truncated": at + 2 + declared > size, "scan_end": (scan := scan_end(data, end)) if code == SOS else None,
+        }
+        if code == EOI:
             return
-        at = data.find(b"\xff", end)
-        while 0 <= at < len(data) - 1 and data[at + 1] in (0, 0xFF):
-            at = data.find(b"\xff", at + 1)
+        seq += 1
+        at = data.find(b"\xff", scan if code == SOS else end)
 
 
 def scan_range(data: bytes) -> tuple[int, int]:
     """Bytes of entropy-coded data, from the first scan to the end of the last; without one, all that follows the headers."""
     found = list(segments(data))
-    scans = [s for s in found if s["scan_end"] is not None]
+    scans = [s for s in found if s["marker"] == SOS]
     if scans:
-        return scans[0]["end"], scans[-1]["scan_end"]
-    return (found[-1]["end"] if found else 0), len(data)
+        low, high = scans[0]["end"], scans[-1]["scan_end"]
+        return low, high if high > low else len(data)
+    return max((s["offset"] + s["length"] for s in found if s["marker"] != EOI), default=0), len(data)
+
+
+def scan_start(data: bytes) -> int | None:
+    """Where the first scan begins, if nothing but segments comes before it."""
+    if data[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        if data[at + 1] == 0xFF:
+            at += 1
+            continue
+        end = at + 2 + int.from_bytes(data[at + 2 : at + 4])
+        if data[at + 1] == SOS:
+            return min(end, len(data))
+        at = end
+    return None
 
 
 def body_start(data: bytes, protect: bool = True) -> int:
     """Where damage may begin if headers are spared."""
     if not protect:
         return 0
-    scan = next((s for s in segments(data) if s["scan_end"] is not None), None)
-    return scan["end"] if scan else min(len(data), HEADER_GUESS)
+    start = scan_start(data)
+    return min(len(data), HEADER_GUESS) if start is None else start
 
 
 def segment_table(photos: DataFrame, key: str = "photo_id", column: str = "bytes") -> DataFrame:

@@ -33,11 +33,20 @@ def recording_rate(n_frames, seconds):
 
 
 def keep_latest(stream: DataFrame, key: str, version: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Write the latest version of each key of every batch to ``sink``, partitioned by batch; readers take the highest batch of a key."""
+    """Write the latest version of each key of every batch to ``sink``, by batch; ``latest`` reads what holds over all of them."""
 
     def newest(batch: DataFrame, epoch: int) -> None:
-        others = [c for c in batch.columns if c != key]
-        best = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.col(version)).alias("row"))
-        best.select(key, "row.*").withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        newest_of(batch, key, version).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(newest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_of(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the highest version of each key."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(version)).alias("row")).select(key, "row.*")
+
+
+def latest(spark: SparkSession, sink: str, key: str, version: str) -> DataFrame:
+    """The highest version of each key over all batches: an older one that arrives later never wins."""
+    return newest_of(spark.read.parquet(sink).drop("epoch"), key, version)

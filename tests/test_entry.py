@@ -15,6 +15,15 @@ def test_entry_without_the_optional_modules(tmp_path):
     assert said.returncode == 0, said.stderr
 
 
+def test_entry_with_an_emptied_folder(tmp_path):
+    shutil.copytree(f"{ROOT}/shardmend", f"{tmp_path}/shardmend", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    os.makedirs(f"{tmp_path}/shardmend/llm/__pycache__")
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{ROOT}/{name}", tmp_path) if os.path.exists(f"{ROOT}/{name}") else None
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'recipe_chain' in e.queries() and 'pipeline' not in e.queries()"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
