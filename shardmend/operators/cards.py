@@ -7,6 +7,9 @@ then files are deleted, and generation 1 is written into what is free from the s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -162,18 +165,77 @@ def dense_image(clusters: DataFrame, cards: DataFrame) -> DataFrame:
 def carved(clusters: DataFrame) -> DataFrame:
     """(card_id, first, clusters, complete, bytes): files carved from stored clusters (card_id, cluster, bytes).
 
-    A file begins at a cluster that starts with a photo header and runs over the clusters that follow it, up to the next
-    header, a blank, or the end marker of its scan, where it is cut. A running count of such starts numbers the files.
+    A file begins at a cluster that starts with the header of a photo or a clip and runs over the clusters that follow
+    it, up to the next header or a blank. A photo is cut at the end marker of its scan, a clip at the size that its
+    header tells. A running count of such starts numbers the files.
     """
     order = W.partitionBy("card_id").orderBy("cluster")
-    header = F.hex(F.substring("bytes", 1, 3)) == "FFD8FF"
+    magic = F.hex(F.substring("bytes", 1, 12))
+    clip = magic.startswith("52494646") & (F.substring(magic, 17, 8) == "41564920")
+    header = magic.startswith("FFD8FF") | clip
     fresh = header | (F.col("cluster") - F.coalesce(F.lag("cluster").over(order), F.col("cluster")) > 1)
-    numbered = clusters.withColumn("_head", header).withColumn("_no", F.sum(fresh.cast("int")).over(order))
-    files = numbered.groupBy("card_id", "_no").agg(F.min("cluster").alias("first"), F.count(F.lit(1)).alias("clusters"), F.min_by("_head", "cluster").alias("_head"), F.sort_array(F.collect_list(F.struct("cluster", "bytes"))).alias("_rows"))
+    numbered = clusters.withColumn("_head", header).withColumn("_clip", clip).withColumn("_no", F.sum(fresh.cast("int")).over(order))
+    files = numbered.groupBy("card_id", "_no").agg(
+        F.min("cluster").alias("first"), F.count(F.lit(1)).alias("clusters"), F.min_by("_head", "cluster").alias("_head"), F.min_by("_clip", "cluster").alias("_clip"),
+        F.sort_array(F.collect_list(F.struct("cluster", "bytes"))).alias("_rows"),
+    )
     whole = F.unhex(F.array_join(F.transform("_rows", lambda r: F.hex(r["bytes"])), ""))
     cut = F.pandas_udf(lambda s: s.map(lambda b: markers.photo_end(bytes(b))), "int")
-    ends = files.where("_head").select("card_id", "first", "clusters", whole.alias("bytes")).withColumn("_end", cut("bytes"))
-    return ends.select("card_id", "first", "clusters", F.col("_end").isNotNull().alias("complete"), F.when(F.col("_end").isNull(), F.col("bytes")).otherwise(F.expr("substring(bytes, 1, _end)")).alias("bytes"))
+    told = F.conv(F.hex(F.encode(F.reverse(F.decode(F.substring("bytes", 5, 4), "ISO-8859-1")), "ISO-8859-1")), 16, 10).cast("long") + 8
+    found = files.where("_head").select("card_id", "first", "clusters", "_clip", whole.alias("bytes"))
+    ends = found.where("NOT _clip").withColumn("_end", cut("bytes").cast("long")).unionByName(found.where("_clip").withColumn("_end", F.when(told <= F.length("bytes"), told)))
+    return ends.select("card_id", "first", "clusters", F.col("_end").isNotNull().alias("complete"), F.when(F.col("_end").isNull(), F.col("bytes")).otherwise(F.expr("substring(bytes, 1, int(_end))")).alias("bytes"))
+
+
+def body_pieces(data: bytes, least: int) -> Iterator[tuple[int, bytes]]:
+    """(place, piece): a run of headerless bodies cut after every end marker, past a leftover scan header; short pieces are left out."""
+    at = data.find(b"\xff\xda", 0, 512)
+    low = at + 2 + int.from_bytes(data[at + 2 : at + 4]) if at >= 0 else 0
+    while low < len(data):
+        end = data.find(b"\xff\xd9", low)
+        high = end + 2 if end >= 0 else len(data)
+        if high - low >= least:
+            yield low, data[low:high]
+        low = high
+
+
+def rebuilt(runs: DataFrame, headers: DataFrame, min_bytes: int = 256 * 1024, piece_bytes: int = 128 * 1024) -> DataFrame:
+    """(card_id, first, place, bytes): runs of unclaimed bodies (card_id, first, bytes), cut at end markers, each piece under its card's longest header.
+
+    Runs under ``min_bytes`` and pieces under ``piece_bytes`` are left out; markers that would end a piece early become harmless.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column("bytes").to_pylist()):
+                found = list(body_pieces(data, piece_bytes))
+                take = batch.take(pa.array([i] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([take.column("card_id"), take.column("first"), pa.array([p for p, _ in found], pa.int64()), pa.array([markers.neutralised(b) for _, b in found], pa.binary())], names=["card_id", "first", "place", "bytes"])
+
+    kinds = dict(runs.dtypes)
+    pieces = runs.where(F.length("bytes") >= min_bytes).select("card_id", "first", "bytes").mapInArrow(run, f"card_id {kinds['card_id']}, first {kinds['first']}, place long, bytes binary")
+    best = headers.groupBy("card_id").agg(F.max(F.struct(F.length("header").alias("n"), "header"))["header"].alias("header"))
+    return pieces.join(best, "card_id").select("card_id", "first", "place", F.concat("header", "bytes").alias("bytes"))
+
+
+def embedded_photos(payloads: DataFrame, key: str, least: int = 1024, most: int = 160 * 1024) -> DataFrame:
+    """(key, offset, bytes): photos of ``least`` to ``most`` bytes anywhere inside payloads, as small ones lie in others' headers."""
+
+    def found(data: bytes) -> Iterator[tuple[int, bytes]]:
+        at = data.find(b"\xff\xd8\xff")
+        while at >= 0:
+            end = markers.photo_end(data[at : at + most])
+            if end is not None and least <= end < most:
+                yield at, data[at : at + end]
+            at = data.find(b"\xff\xd8\xff", at + (end or 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *f) for i, b in enumerate(batch.column(1).to_pylist()) for f in found(b or b"")]
+            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[key, "offset", "bytes"])
+
+    return payloads.select(key, "bytes").mapInArrow(run, f"{key} {dict(payloads.dtypes)[key]}, offset long, bytes binary")
 
 
 def grafted(pieces: DataFrame, donors: DataFrame) -> DataFrame:
@@ -185,13 +247,19 @@ def grafted(pieces: DataFrame, donors: DataFrame) -> DataFrame:
     return pieces.join(best, "card_id").select("card_id", "first", F.concat("header", "bytes").alias("bytes"))
 
 
+# How files begin, in hex: photos, clips, caches of thumbnails, side files.
+HEADERS = ("FFD8FF", "52494646", "D0CF11E0", "00051607")
+
+
 def cluster_kinds(data: DataFrame, column: str = "bytes") -> DataFrame:
-    """``data`` with ``kind``: empty, header, body or other, by its first bytes and the shares of zero and FF bytes."""
-    hexed = F.hex(column)
-    n = F.greatest(F.length(column), F.lit(1))
+    """``data`` with ``kind``: empty, header, body or other, by its first bytes, the markers in it and its share of zeros."""
+    hexed, size = F.hex(column), F.length(column)
     pairs = F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1))
-    zeros = F.size(F.filter(pairs, lambda p: p == "00"))
-    stray = F.size(F.regexp_extract_all(F.array_join(pairs, " "), F.lit("(FF (?!00|D[0-7])..)"), F.lit(1)))
-    some = F.exists(pairs, lambda p: p == "FF")
-    kind = F.when(zeros == F.length(column), "empty").when(hexed.startswith("FFD8FF"), "header").when((stray <= 2) & some & (zeros * 4 < n), "body").otherwise("other")
+    zeros, full = F.size(F.filter(pairs, lambda p: p == "00")), F.size(F.filter(pairs, lambda p: p == "FF"))
+    stray = F.size(F.regexp_extract_all(F.array_join(pairs, " "), F.lit("(FF (?!00|D[0-79]|FF)..)"), F.lit(1)))
+    known = F.lit(False)
+    for h in HEADERS:
+        known = known | (hexed.startswith(h) & (size >= 4))
+    ff_first = F.size(F.filter(F.slice(pairs, 1, F.greatest(size - 1, F.lit(1))), lambda p: p == "FF"))
+    kind = F.when((zeros == size) | (full == size), "empty").when(known, "header").when((stray <= 2) & (ff_first > 0) & (zeros < F.floor(size / 4)), "body").otherwise("other")
     return data.withColumn("kind", kind)

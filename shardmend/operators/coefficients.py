@@ -47,3 +47,57 @@ def upper_median(values: Column) -> Column:
     """The upper of the two middle values, not their mean."""
     ordered = F.array_sort(values)
     return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+
+
+def dc_offset(blocks: DataFrame, component: int = 2, amount: int = 60, at: float = 50.0, interval: int = 0) -> DataFrame:
+    """``blocks`` (photo, comp, mcu, q0, dc) with ``dc`` moved from a share of the photo on, up to the next restart.
+
+    ``amount`` is in levels, so it is divided by the first quantiser; ``interval`` is the number of units between
+    restarts, 0 for none. The units of a photo are counted by a join on its aggregate.
+    """
+    amount = min(max(amount, -4096), 4096)
+    total = blocks.groupBy("photo").agg((F.max("mcu") + 1).alias("_total"))
+    start = F.least(F.floor(F.col("_total") * F.lit(min(max(at, 0.0), 100.0)) / 100).cast("long"), F.col("_total") - 1)
+    end = (F.floor(start / interval) + 1) * interval if interval else F.col("_total")
+    delta = rounded(F.lit(float(amount * 8)) / F.greatest("q0", F.lit(1)))
+    moved = F.least(F.greatest(F.col("dc") + delta, F.lit(-32767)), F.lit(32767))
+    inside = (F.col("comp") == component) & (F.col("mcu") >= start) & (F.col("mcu") < end)
+    return blocks.join(total, "photo").withColumn("dc", F.when(inside, moved).otherwise(F.col("dc")).cast("int")).select(*blocks.columns)
+
+
+def rounded(x: Column) -> Column:
+    """Halves away from zero, as a whole number."""
+    return (F.signum(x) * F.floor(F.abs(x) + 0.5)).cast("long")
+
+
+def row_corrections(medians: Column, threshold: int, strength: float = 1.0) -> Column:
+    """What each row of blocks is off by, from the median steps to the row above: rows are mended from the top down.
+
+    A step counts if it reaches the threshold once the row above is mended; ``medians`` is the array of one photo's rows.
+    """
+
+    def step(done: Column, median: Column) -> Column:
+        off = median + F.when(F.size(done) > 0, F.element_at(done, -1)).otherwise(F.lit(0).cast("long"))
+        return F.concat(done, F.array(F.when(F.abs(off) < threshold, F.lit(0).cast("long")).otherwise(rounded(off * F.lit(float(strength))))))
+
+    return F.aggregate(medians, F.array().cast("array<bigint>"), step)
+
+
+def repaired(blocks: DataFrame, q0: int = 16, strength: float = 1.0) -> DataFrame:
+    """``blocks`` (photo, by, bx, dc) with the levels of each row of blocks brought to those of the row above.
+
+    Rows of a photo are bounded, so their medians are one array; blocks meet what is above them by an equi-join.
+    """
+    above = blocks.select("photo", (F.col("by") + 1).alias("by"), "bx", F.col("dc").alias("_above"))
+    steps = blocks.join(above, ["photo", "by", "bx"]).groupBy("photo", "by").agg(upper_median(F.collect_list((F.col("dc") - F.col("_above")).cast("long"))).alias("median"))
+    ordered = steps.groupBy("photo").agg(F.sort_array(F.collect_list(F.struct("by", "median"))).alias("rows"))
+    fixed = row_corrections(F.transform("rows", lambda r: r["median"]), max(96 // max(q0, 1), 2), strength)
+    off = ordered.select("photo", F.explode(F.arrays_zip(F.transform("rows", lambda r: r["by"]).alias("by"), fixed.alias("off"))).alias("r")).select("photo", "r.by", "r.off")
+    level = F.least(F.greatest(F.col("dc") - F.coalesce("off", F.lit(0).cast("long")), F.lit(-2047)), F.lit(2047))
+    return blocks.join(off, ["photo", "by"], "left").withColumn("dc", F.when(F.col("off").isNull() | (F.col("off") == 0), F.col("dc")).otherwise(level).cast("int")).select(*blocks.columns)
+
+
+def painted(coef: Column, weight: Column, mode: str = "zero") -> Column:
+    """Coefficients under a brush of weight 0 to 1: faded out, or kept to their first one."""
+    faded = lambda v: (v * (F.lit(1.0) - weight)).cast("int")
+    return F.transform(coef, lambda v, i: F.when(F.lit(mode == "flat") & (i == 0), v).otherwise(faded(v)))

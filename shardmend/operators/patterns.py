@@ -55,3 +55,18 @@ def seeded_sample(rows: DataFrame, seed: str, size: str, k: int) -> DataFrame:
 def as_map(rows: DataFrame, key: list[str], name: str, value: Column) -> DataFrame:
     """(key.., entries): a map of names to values for each group of few names."""
     return rows.groupBy(*key, name).agg(value.alias("_v")).groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "_v")))).alias("entries"))
+
+
+def differences(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows`` with ``n``, ``total`` and ``changed``: bytes that both payloads have, the sum of their absolute differences, how many differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True):
+                n = min(len(x or b""), len(y or b""))
+                d = np.abs(np.frombuffer((x or b"")[:n], np.uint8).astype(np.int64) - np.frombuffer((y or b"")[:n], np.uint8))
+                found.append((n, int(d.sum()), int((d > 0).sum())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[i] for f in found], pa.int64()) for i in range(3))], names=[*batch.schema.names, "n", "total", "changed"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "n long, total long, changed long"]))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardmend.catalogue import CLUSTER, SQL_CARD, card_tables, digest, payloads, query, set_checkpoints, table
-from shardmend.operators import cards, patterns
+from shardmend.catalogue import CLUSTER, SQL_CARD, SQL_PAYLOAD, card_tables, digest, payloads, query, set_checkpoints, table
+from shardmend.operators import cards, coefficients, patterns
+from shardmend.plans.recipe import Recipe, Step, apply_recipe, generation
 
 
 def stored_clusters(spark: SparkSession, sf_dir: str, live: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def card_largest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.top_of(card_tables(spark, sf_dir)["files"], ["card_id"], [F.col("size").desc(), F.col("file_no")], 3)
 
 
-@query("byte_histogram", "WITH b AS (SELECT upper(hex(encode(text))) AS hx FROM documents), s AS (SELECT unnest(list_transform(range(len(hx) // 2), lambda k: substr(hx, (2 * k + 1)::BIGINT, 2))) AS x FROM b) SELECT ('0x' || x)::INTEGER AS symbol, count(*) AS n FROM s GROUP BY x")
+@query("byte_histogram", "WITH b AS (SELECT upper(hex(encode(text))) AS hx FROM documents), s AS (SELECT unnest(regexp_extract_all(hx, '..')) AS x FROM b) SELECT ('0x' || x)::INTEGER AS symbol, count(*) AS n FROM s GROUP BY x")
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each byte occurs over all payloads."""
     return patterns.symbol_counts(payloads(spark, sf_dir))
@@ -95,3 +96,77 @@ def nation_orders_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t("orders").select("o_custkey").join(named, F.col("o_custkey") == F.col("c_custkey"))
     maps = patterns.as_map(rows, ["region"], "nation", F.count(F.lit(1)))
     return maps.select("region", F.array_join(F.transform(F.map_entries("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("orders"))
+
+
+# --- Coefficients in long form: every number of each embedding is the level of a block, in rows of eight -------------
+
+LEVELS = "l AS (SELECT vec_id, k // 8 AS row_no, k % 8 AS bx, round(embedding[k + 1]::DOUBLE * 100)::INTEGER + CASE WHEN k // 8 >= 3 THEN 40 ELSE 0 END AS dc FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings))"
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, by, bx, dc): from the fourth row of blocks on, all is 40 brighter."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
+    by = F.floor(F.col("k") / 8)
+    return rows.select("vec_id", by.alias("by"), (F.col("k") % 8).cast("long").alias("bx"), (F.round(F.col("v").cast("double") * 100).cast("int") + F.when(by >= 3, 40).otherwise(0)).alias("dc"))
+
+
+@query("block_repaired", f"""
+    WITH RECURSIVE {LEVELS}, d AS (SELECT a.vec_id, a.row_no, list_sort(list((a.dc - b.dc)::BIGINT)) AS s FROM l a JOIN l b ON b.vec_id = a.vec_id AND b.row_no = a.row_no - 1 AND b.bx = a.bx GROUP BY 1, 2),
+         m AS (SELECT vec_id, row_no, s[len(s) // 2 + 1] AS m FROM d),
+         c(vec_id, row_no, off) AS (SELECT vec_id, 0::BIGINT, 0::BIGINT FROM embeddings UNION ALL SELECT c.vec_id, c.row_no + 1, CASE WHEN abs(m.m + c.off) < 6 THEN 0 ELSE m.m + c.off END FROM c JOIN m ON m.vec_id = c.vec_id AND m.row_no = c.row_no + 1)
+    SELECT l.vec_id, l.row_no, l.bx, CASE WHEN off = 0 THEN dc ELSE least(greatest(dc - off, -2047), 2047) END::INTEGER AS dc FROM l JOIN c ON c.vec_id = l.vec_id AND c.row_no = l.row_no
+""")
+def block_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels brought to those of the row above, from the top down."""
+    return coefficients.repaired(levels(spark, sf_dir).withColumnRenamed("vec_id", "photo")).withColumnRenamed("photo", "vec_id").withColumnRenamed("by", "row_no")
+
+
+@query("block_dc_offset", f"""
+    WITH {LEVELS}, n AS (SELECT *, row_no * 8 + bx AS mcu, max(row_no * 8 + bx) OVER (PARTITION BY vec_id) + 1 AS total FROM l), s AS (SELECT *, least(total // 2, total - 1) AS start FROM n)
+    SELECT vec_id, mcu, CASE WHEN mcu >= start AND mcu < (start // 12 + 1) * 12 THEN dc + 40 ELSE dc END::INTEGER AS dc FROM s
+""")
+def block_dc_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tint of 60 levels from the middle of each photo to the next restart, under a first quantiser of 12."""
+    rows = levels(spark, sf_dir).select(F.col("vec_id").alias("photo"), F.lit(2).alias("comp"), (F.col("by") * 8 + F.col("bx")).alias("mcu"), F.lit(12).alias("q0"), "dc")
+    return coefficients.dc_offset(rows, interval=12).select(F.col("photo").alias("vec_id"), "mcu", "dc")
+
+
+@query("block_painted", "WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda v: round(v::DOUBLE * 1000)::INTEGER) AS coef FROM embeddings) SELECT vec_id, array_to_string(list_transform(coef, lambda v: trunc(v * (1.0::DOUBLE - (label % 5) / 4.0::DOUBLE))::INTEGER), ',') AS coef FROM b")
+def block_painted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numbers of each embedding under a brush whose weight depends on its label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: F.round(v.cast("double") * 1000).cast("int")).alias("coef"))
+    return rows.select("vec_id", F.concat_ws(",", coefficients.painted(F.col("coef"), F.col("label") % 5 / F.lit(4.0)).cast("array<string>")).alias("coef"))
+
+
+# --- Animations ----------------------------------------------------------------------------------------------------
+
+
+@query("recipe_generations", f"WITH {SQL_PAYLOAD}, g AS (SELECT doc_id, hx, n, floor(n * 90.0::DOUBLE / 100)::BIGINT AS a FROM p), h AS (SELECT *, floor(a * 90.0::DOUBLE / 100)::BIGINT AS b FROM g) SELECT doc_id, unnest([0, 1, 2]) AS generation, md5(unnest([hx, substr(hx, 1, 2 * a), substr(hx, 1, 2 * b)])) AS digest FROM h")
+def recipe_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe over its own results: each payload as it is, once and twice saved."""
+    docs = payloads(spark, sf_dir)
+    recipe, out = Recipe([Step("truncate", {"percent": 90}, 1)]), docs.select("doc_id", F.lit(0).alias("generation"), digest().alias("digest"))
+    for k in (1, 2):
+        docs = apply_recipe(docs, generation(recipe, k))
+        out = out.unionByName(docs.select("doc_id", F.lit(k).alias("generation"), digest().alias("digest")))
+    return out
+
+
+@query("recipe_seeded_generations")
+def recipe_seeded_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations of flipped bits, each with seeds of its own."""
+    docs, out = payloads(spark, sf_dir), []
+    for k in (1, 2, 3):
+        docs = apply_recipe(docs, generation(Recipe([Step("bitflip", {"rate": 50.0}, 1)]), k), seed="doc_id")
+        out.append(docs.select("doc_id", F.lit(k).alias("generation"), digest().alias("digest")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("payload_difference", f"WITH {SQL_PAYLOAD}, b AS (SELECT doc_id, n, least(256, n - n // 2) AS m, list_transform(range(n // 2, n // 2 + least(256, n - n // 2)), lambda k: ('0x' || substr(hx, (2 * k + 1)::BIGINT, 2))::BIGINT) AS v FROM p) SELECT doc_id, n, coalesce(list_sum(v), 0)::BIGINT AS total, CASE WHEN n > 0 THEN round(coalesce(list_sum(v), 0) / n, 9) END AS mean, len(list_filter(v, lambda x: x <> 0)) AS changed FROM b WHERE n IS NOT NULL")
+def payload_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far zero fill moves each payload: the sum and mean of absolute differences, and the bytes that changed."""
+    docs = payloads(spark, sf_dir).where("bytes IS NOT NULL")
+    from shardmend.operators.byte_steps import zero_fill
+
+    both = docs.select("doc_id", "bytes", zero_fill(F.col("bytes"), 50, 256).alias("after"))
+    return patterns.differences(both, "bytes", "after").select("doc_id", "n", "total", F.when(F.col("n") > 0, F.round(F.col("total") / F.col("n"), 9)).alias("mean"), "changed")

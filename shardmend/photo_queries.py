@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardmend import sql_draws
-from shardmend.catalogue import digest, query, table
-from shardmend.operators import donors, marker_steps
+from shardmend.catalogue import CLUSTER, digest, query, table
+from shardmend.operators import cards, donors, marker_steps
 from shardmend.operators.seeded_steps import seeded
 from shardmend.sources import markers
 
@@ -152,3 +152,83 @@ def photo_scan_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_photos = photos(spark, sf_dir).withColumn("n_bytes", F.length("bytes"))
     found = markers.segment_table(all_photos).groupBy("photo_id").agg(F.sum(F.col("scan_end") - F.col("end")).alias("n_scan"), F.count("scan_end").alias("scans"), (F.max((F.col("name") == "EOI").cast("int")) == 0).alias("cut_short"))
     return all_photos.select("photo_id", "n_bytes").join(found, "photo_id").select("photo_id", "n_bytes", "n_scan", "scans", "cut_short")
+
+
+# --- Files on cards: photos and clips one after another, each from a new cluster on ----------------------------------
+
+#: The file of each document in SQL: every ninth is a clip of its text. ``body`` ends where the file does, ``rest`` lies behind it.
+SQL_FILES = f"""{SQL_PHOTO},
+    fi AS (SELECT ph.doc_id, ph.doc_id // 64 AS card_id, ph.doc_id % 9 = 4 AS clip, n,
+                  CASE WHEN ph.doc_id % 9 = 4 THEN '52494646' || printf('%02X', (n + 4) & 255) || printf('%02X', ((n + 4) >> 8) & 255) || printf('%02X', ((n + 4) >> 16) & 255) || '00' || '41564920' || hx ELSE {HEAD} || dht || sos || scan || sos2 || scan2 || eoi END AS body,
+                  CASE WHEN ph.doc_id % 9 = 4 THEN '' ELSE ghost END AS rest, ph.doc_id % 9 = 4 OR eoi <> '' AS complete FROM ph JOIN t ON t.doc_id = ph.doc_id),
+    pl AS (SELECT *, (len(body) + len(rest)) // 2 AS size, 2 + coalesce(sum((len(body) + len(rest) + {2 * CLUSTER - 1}) // {2 * CLUSTER}) OVER (PARTITION BY card_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM fi)"""
+
+
+def card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card_id, file_no, size, bytes): photos, and a clip for every ninth document."""
+    text = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    size = F.lpad(F.hex((F.length("text") + 4).cast("long")), 8, "0")
+    turned = F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)])
+    clips = text.where("doc_id % 9 = 4").select("doc_id", F.concat(F.unhex(F.concat(F.lit("52494646"), turned, F.lit("41564920"))), "text").alias("bytes"))
+    rest = photos(spark, sf_dir).where("photo_id % 9 <> 4").withColumnRenamed("photo_id", "doc_id")
+    return clips.unionByName(rest).select(F.floor(F.col("doc_id") / 64).alias("card_id"), (F.col("doc_id") % 64).alias("file_no"), F.length("bytes").cast("long").alias("size"), "bytes")
+
+
+def file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card_id, cluster, file_no, bytes) of all files."""
+    files = card_files(spark, sf_dir)
+    chain = cards.allocate_fresh(files.drop("bytes"), CLUSTER)
+    return chain.join(files.drop("size"), ["card_id", "file_no"]).select("card_id", "cluster", "file_no", F.substring("bytes", (F.col("pos") * CLUSTER + 1).cast("int"), F.lit(CLUSTER)).alias("bytes"))
+
+
+@query("card_carve_files", f"""
+    WITH {SQL_FILES}
+    SELECT card_id, first, complete, md5(body) AS digest FROM pl
+    UNION ALL SELECT card_id, first + len(body) // {2 * CLUSTER}, false, md5(rest) FROM pl WHERE rest <> '' AND len(body) % {2 * CLUSTER} = 0
+""")
+def card_carve_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos and clips carved from the clusters of each card, by their headers alone."""
+    return cards.carved(file_clusters(spark, sf_dir).drop("file_no")).select("card_id", "first", "complete", digest().alias("digest"))
+
+
+@query("card_file_cluster_kinds", f"""
+    WITH {SQL_FILES}, c AS (SELECT card_id, first + k AS cluster, regexp_extract_all(substr(body || rest, (k * {2 * CLUSTER} + 1)::BIGINT, {2 * CLUSTER}), '..') AS b FROM (SELECT *, unnest(range((size + {CLUSTER - 1}) // {CLUSTER})) AS k FROM pl)),
+         s AS (SELECT *, len(list_filter(b, lambda x: x = '00')) AS zeros, len(list_filter(b, lambda x: x = 'FF')) AS full_, list_filter(range(1, len(b)), lambda k: b[k] = 'FF') AS marks FROM c)
+    SELECT card_id, cluster, CASE WHEN zeros = len(b) OR full_ = len(b) THEN 'empty' WHEN len(b) >= 4 AND (array_to_string(b[1:3], '') = 'FFD8FF' OR array_to_string(b[1:4], '') = '52494646') THEN 'header'
+           WHEN len(list_filter(marks, lambda k: b[k + 1] NOT IN ('00', 'D0', 'D1', 'D2', 'D3', 'D4', 'D5', 'D6', 'D7', 'D9', 'FF'))) <= 2 AND len(marks) > 0 AND zeros < len(b) // 4 THEN 'body' ELSE 'other' END AS kind FROM s
+""")
+def card_file_cluster_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each cluster of the cards looks like by itself."""
+    return cards.cluster_kinds(file_clusters(spark, sf_dir)).select("card_id", "cluster", "kind")
+
+
+@query("card_rebuild", f"""
+    WITH {SQL_PHOTO}, b AS (SELECT doc_id // 64 AS card_id, string_agg(scan || eoi, '' ORDER BY doc_id) AS run, max(exif || note || icc || noise || dqt || dht) AS head FROM ph WHERE NOT passes AND NOT strips GROUP BY 1),
+         s AS (SELECT card_id, head, string_split(run, 'FFD9') AS s FROM b WHERE len(run) >= 2000),
+         p AS (SELECT card_id, head, unnest(range(1, len(s) + 1)) AS k, s FROM s),
+         q AS (SELECT card_id, s[k] || CASE WHEN k < len(s) THEN 'FFD9' ELSE '' END AS piece, (len(array_to_string(s[1:k - 1], 'FFD9')) + CASE WHEN k > 1 THEN 4 ELSE 0 END) // 2 AS place FROM p)
+    SELECT card_id, place, md5('FFD8FFDA' || piece) AS digest FROM q WHERE len(piece) >= 400
+""")
+def card_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of baseline photos in one run on each card, cut at end markers and put under a header."""
+    pool = photos(spark, sf_dir).where("photo_id % 2 = 0 AND photo_id % 4 <> 2")
+    segments = markers.segment_table(pool).where("name = 'SOS'").select("photo_id", "end")
+    size = F.length("bytes") - F.col("end")
+    # What follows the end marker (a second picture) is no part of the body.
+    trailing = F.when((F.col("photo_id") % 7 != 0) & (F.col("photo_id") % 11 == 0), 5).otherwise(0)
+    bodies = pool.join(segments, "photo_id").select(F.floor(F.col("photo_id") / 64).alias("card_id"), "photo_id", F.substring("bytes", F.col("end") + 1, size - trailing).alias("body"))
+    runs = bodies.groupBy("card_id").agg(F.min("photo_id").alias("first"), F.sort_array(F.collect_list(F.struct("photo_id", "body"))).alias("rows"))
+    runs = runs.select("card_id", "first", F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["body"])), "")).alias("bytes"))
+    headers = runs.select("card_id", F.unhex(F.lit("FFD8FFDA")).alias("header"))
+    return cards.rebuilt(runs, headers, 1000, 200).select("card_id", "place", digest().alias("digest"))
+
+
+@query("photo_embedded", f"""
+    WITH {SQL_PHOTO}, w AS (SELECT ph.doc_id, n, {HEAD} || dht || sos || scan || sos2 || scan2 || eoi AS photo, eoi FROM ph JOIN t ON t.doc_id = ph.doc_id)
+    SELECT doc_id AS photo_id, n AS "offset", len(photo) // 2 AS size, md5(photo) AS digest FROM w WHERE eoi <> '' AND len(photo) // 2 BETWEEN 256 AND 163839
+""")
+def photo_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small photos found inside payloads: here each lies behind its document's text."""
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    both = photos(spark, sf_dir).join(text, "photo_id").select("photo_id", F.concat("text", "bytes").alias("bytes"))
+    return cards.embedded_photos(both, "photo_id", least=256).select("photo_id", "offset", F.length("bytes").cast("long").alias("size"), digest().alias("digest"))

@@ -141,6 +141,12 @@ def unrolled(recipe: Recipe) -> list[Step | Patch]:
     return out
 
 
+def generation(recipe: Recipe, k: int) -> Recipe:
+    """The recipe for the k-th time that a payload goes through it: k is added to its seeds."""
+    moved = lambda n: n if isinstance(n, Patch) else replace(n, seed=(n.seed + k) & 0xFFFFFFFF)
+    return replace(recipe, nodes=[replace(moved(n), steps=[moved(s) for s in n.steps]) if isinstance(n, Repeat) else moved(n) for n in recipe.nodes])
+
+
 def _whole(x: object, else_: int = 0) -> int:
     try:
         return int(float(x))  # type: ignore[arg-type]
