@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardmend.plans.recipe import Recipe, apply_recipe
+
 DEFAULT_FPS = 15.0
 
 
@@ -78,3 +80,8 @@ def clips_of_frames(frames: DataFrame, width: int, height: int) -> DataFrame:
     mux = F.udf(lambda rows, fps: muxed([bytes(r["bytes"]) for r in rows], fps, width, height), "binary")
     ordered = frames.groupBy("clip_id").agg(F.first("fps").alias("fps"), F.sort_array(F.collect_list(F.struct("idx", "bytes"))).alias("rows"))
     return ordered.select("clip_id", F.size("rows").alias("n_frames"), mux("rows", "fps").alias("bytes"))
+
+
+def framewise(whole: DataFrame, recipe: Recipe) -> DataFrame:
+    """(clip_id, idx, fps, bytes): the frames of clips (clip_id, bytes), each through a recipe whose seeds grow with the frame's number."""
+    return apply_recipe(clip_frames(whole), recipe, seed="idx")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shardmend.plans.recipe import Recipe, apply_recipe
+from shardmend.operators.byte_steps import STEPS
+from shardmend.plans.recipe import Recipe, Step, apply_recipe, seeded_name
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,8 +19,18 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def live_recipe(stream: DataFrame, recipe: Recipe) -> DataFrame:
-    """A stream of (.., bytes) through the steps of a recipe; stateless, so it scales with the batches."""
-    return apply_recipe(stream, recipe)
+    """A stream of (.., bytes) through the steps of a recipe that keep up; stateless, so it scales with the batches."""
+    return apply_recipe(stream, cheap_part(recipe))
+
+
+def keeps_up(step: Step) -> bool:
+    """Whether a step is cheap enough for a live stream: it works on bytes or segments alone."""
+    return step.id in STEPS or seeded_name(step) is not None
+
+
+def cheap_part(recipe: Recipe) -> Recipe:
+    """A recipe with only the steps that keep up."""
+    return Recipe([n for n in recipe.nodes if not isinstance(n, Step) or keeps_up(n)], recipe.engine, recipe.source)
 
 
 def frames_per_second(stream: DataFrame, late: str = "2 seconds") -> DataFrame:
