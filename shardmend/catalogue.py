@@ -233,7 +233,11 @@ donor_query("card_recuva_contiguous", lambda b, o: donors.recuva_contiguous(b, o
 donor_query("card_interleave", lambda b, o: donors.interleave(b, o, 20, 1, 1), "t AS (SELECT *, s + floor(floor((n - s) * 0.2::DOUBLE) / 1024)::BIGINT * 1024 AS k FROM q), u AS (SELECT *, ceil((n - k) / 1024.0)::BIGINT AS turns, greatest(ceil(m / 1024.0)::BIGINT, 1) AS lap FROM t), r AS (SELECT doc_id, substr(x, 1, 2 * k) || array_to_string(list_transform(range(turns), lambda i: substr(x, 2 * (k + i * 1024) + 1, 2048) || CASE WHEN i < turns - 1 THEN substr(y, 2 * (i % lap) * 1024 + 1, 2048) ELSE '' END), '') AS h FROM u)")
 
 
-@query("seeded_splice")
+_splice_low = "CASE WHEN m > 4096 THEN v[1] % (m - 4095) // 1024 * 1024 ELSE 0 END"
+_splice_piece = "substr(repeat(substr(y, 2 * low + 1, 8192), ceil(4096.0 / greatest(1, least(4096, m - low)))::BIGINT), 1, 8192)"
+
+
+@query("seeded_splice", f"WITH RECURSIVE {SQL_POOL}, {sql_draws.draws('g', 'p', '1')}, q AS (SELECT *, {_splice_low} AS low, least(floor(n * 0.5::DOUBLE)::BIGINT // 1024 * 1024, n) AS place FROM p JOIN g USING (doc_id)), r AS (SELECT doc_id, CASE WHEN m = 0 THEN x ELSE substr(x, 1, 2 * place) || {_splice_piece} || substr(x, 2 * place + 8193) END AS h FROM q) SELECT doc_id, (len(h) // 2)::INTEGER AS n_out, md5(h) AS digest FROM r")
 def seeded_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = payloads(spark, sf_dir).withColumnRenamed("doc_id", "ord")
     pairs = donors.with_donor(pool).withColumn("seed", F.col("ord"))
