@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-import corpus_pipeline
 from shardmend.llm import common, fingerprint, html, licenses, linededup, media, mixing, neardup, packing, quality
 from shardmend.llm.common import utf8
 
@@ -218,24 +217,3 @@ def test_cuts_are_released(spark):
     common.release(spark)
     with pytest.raises(Exception):
         spark.read.parquet(common.cuts_folder(spark)).count()
-
-
-def test_pipeline_stages(spark, tmp_path):
-    r = random.Random(10)
-    texts = [prose(r, 40) + "\n" + prose(r, 30) for _ in range(40)]
-    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
-    rows += [(100, texts[0], "en", "s0", 1), (101, edited(r, texts[1].replace("\n", " "), 0.01), "en", "s1", 1), (102, "", "en", "s1", 0), (103, None, None, None, None)]
-    rows += [(200 + i, " ".join(w + "$$$" for w in prose(r, 40).split()), "en", "s2", 1) for i in range(30)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 200), 0) for i, *_ in rows if i not in (102, 103)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    columns, kept = docs.columns, {}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(tmp_path))
-        kept[name] = {x["doc_id"]: x["text"] for x in docs.collect()}
-        assert name == "packing" or docs.columns == columns
-    assert not any(i >= 200 for i in kept["quality classifier"]) and set(range(40)) <= set(kept["quality classifier"])
-    assert kept["line dedup"][100] == "" and kept["line dedup"][5] == texts[5]
-    assert set(kept["near-dedup"]) == set(kept["line dedup"]) - {101} or set(kept["near-dedup"]) == set(kept["line dedup"])
-    assert set(kept["packing"]) == set(kept["mixing"]) <= set(kept["near-dedup"])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
