@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, arrow_map, fresh_name, materialise, mix64, row_groups, strings, tidied, utf8, word_hashes
+from shardmend.llm.common import BUFFER, arrow_map, batch_bytes, fresh_name, lean, materialise, mix64, row_groups, strings, tidied, utf8, word_hashes
 
 PERCENT = 80
 #: Sets of fewer words match equal sets only, at this similarity; a set of four also matches one of five.
@@ -45,7 +45,9 @@ HASH_BITS = 43
 #: Words of the corpus for each bucket of lines or list entries, and the most partitions that buckets are dealt over.
 WORDS_IN_BUCKET, MOST_PARTITIONS = 2_000_000, 20_000
 #: List entries that a task holds before it hands them out, and lines in a packed row.
-FLUSH, PACK = 1 << 20, 1 << 15
+FLUSH, PACK = 1 << 18, 1 << 13
+#: Bytes of packed rows that travel to a task's function at once.
+BATCH_BYTES = 8 << 20
 #: A token with more list entries is dealt over parts of about half as many; a bucket that holds a token less often than OFTEN doesn't count it.
 HOT, OFTEN = 1_000_000, 4
 #: Bits of a word's hash that tell cheaply whether it may be one of a few tokens.
@@ -91,7 +93,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
                 h, _, _, _ = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 cells.append((h >> np.uint64(44)).astype(np.int64))
                 held += len(h)
-                if held > 4 * CELLS:
+                if held > CELLS:
                     total += np.bincount(np.concatenate(cells), minlength=CELLS)
                     cells, held = [], 0
         if cells:
@@ -107,7 +109,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 
     kind = "piece int, counts binary"
     out = np.zeros((PIECES, size), np.int64)
-    for row in docs.select("text").mapInArrow(count, kind).repartition("piece").mapInArrow(add, kind).toLocalIterator():
+    for row in docs.select("text").mapInArrow(lean(count), kind).repartition("piece").mapInArrow(add, kind).toLocalIterator():
         out[row["piece"]] += np.frombuffer(row["counts"], np.int64)
     return out.ravel()
 
@@ -297,7 +299,7 @@ def classes(docs: DataFrame, counts: np.ndarray, min_tokens: int, buckets: int)
             if len(often):
                 yield packed_rows([(TOLD, bucket, often.tobytes(), None)])
 
-    return dealt(ids_and_texts(docs).mapInArrow(read, PACKED), buckets).mapInArrow(merge, PACKED)
+    return dealt(ids_and_texts(docs).mapInArrow(lean(read), PACKED), buckets).mapInArrow(lean(merge), PACKED)
 
 
 def unpacked(rows: DataFrame, kind: int, dtype: np.dtype) -> DataFrame:
@@ -353,6 +355,7 @@ def listed(found: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         e = np.concatenate(held)
+        held.clear()
         some, group = parts_of(e["group"], e["d"], e["at"], shared.value)
         e["group"][some] = group
         bucket = bucket_of(e["group"], buckets)
@@ -370,11 +373,11 @@ def listed(found: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield from send(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from send(held)
 
-    return dealt(found.where(F.col("kind") == LINES).select("data", "tokens").mapInArrow(run, PACKED), buckets)
+    return dealt(found.where(F.col("kind") == LINES).select("data", "tokens").mapInArrow(lean(run), PACKED), buckets)
 
 
 def filtered(x: np.ndarray, y: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -455,7 +458,7 @@ def look_back(entries: DataFrame) -> DataFrame:
             rest = e[~(e["group"] >> np.uint64(63)).astype(bool)]
             yield pairs(np.concatenate([single[np.lexsort((single["at"], single["d"], single["group"]))], shared_groups(rest)]))
 
-    return entries.mapInArrow(run, "xd long, xl long, yd long, yl long, more long")
+    return entries.mapInArrow(lean(run), "xd long, xl long, yd long, yl long, more long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -622,7 +625,7 @@ def _bits_of(rows: DataFrame, places, size: int) -> np.ndarray:
 
     kind = "piece int, bits binary"
     out = np.zeros((PIECES, piece), np.uint8)
-    for row in rows.mapInArrow(build, kind).repartition("piece").mapInArrow(unite, kind).toLocalIterator():
+    for row in rows.mapInArrow(lean(build), kind).repartition("piece").mapInArrow(unite, kind).toLocalIterator():
         out[row["piece"]] |= np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
@@ -645,7 +648,7 @@ def wanted_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
             text = [whole[s:e].decode() for s, e in zip(bounds[some].tolist(), stop.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(number[some]), pa.array(text, pa.string())], names=["d", "l", "line"])
 
-    found = ids_and_texts(docs).mapInArrow(split, "d long, l long, line string")
+    found = ids_and_texts(docs).mapInArrow(lean(split), "d long, l long, line string")
     return found.join(lines, ["d", "l"], "left_semi").distinct()
 
 
@@ -680,10 +683,12 @@ def repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
     """(d, l, mark) of the lines that go; some may come twice."""
     counts = token_counts(docs)
     buckets = int(-(-counts.sum() // WORDS_IN_BUCKET)) or 1
-    found = materialise(classes(docs, counts, min_tokens, buckets))
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        found = materialise(classes(docs, counts, min_tokens, buckets))
     gone = unpacked(found, REMOVED, _GONE)
     hot = hot_tokens(found)
-    pairs = materialise(look_back(listed(found, hot, buckets)))
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        pairs = materialise(look_back(listed(found, hot, buckets)))
     # Any sure pair of a line first; all its pairs only if that fails or if it has no sure one.
     sure = lambda c: F.first(F.when(F.col("more") == 1, F.col(c)), ignorenulls=True).alias(c)
     best = materialise(pairs.groupBy("xd", "xl").agg(sure("yd"), sure("yl"), F.max("more").alias("more")))
