@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
@@ -94,6 +94,16 @@ def release(spark: SparkSession) -> None:
     _delete(spark, cuts_folder(spark))
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions take it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fields(names: Iterable[str]) -> list[Column]:
+    """Columns of any names, which they keep."""
+    return [F.col(quoted(c)).alias(c) for c in names]
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have in any case."""
     taken, name = {c.lower() for c in df.columns}, f"_{stem}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardmend.llm import chat, fingerprint, html, licenses, linededup, media, mixing, neardup, packing, quality
+from shardmend.llm import bestfit, chat, fingerprint, html, importance, infill, licenses, linededup, media, mixing, neardup, packing, quality
 from shardmend.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
+    "op11_best_fit": op11_best_fit,
+    "op12_importance": op12_importance,
+    "op13_infill": op13_infill,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -69,4 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": neardup.ORACLE_SQL,
     "op6_line_dedup": linededup.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
+    "op12_importance": importance.ORACLE_SQL,
+    "op13_infill": infill.ORACLE_SQL,
 }
