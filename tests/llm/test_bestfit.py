@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -27,10 +28,27 @@ def test_parts_of_texts_give_the_ids_of_the_whole():
     words = ["the", "don't", "é", "x y", "12", "...", "\n", "\t", "  ", " ", "　", "日本語のテキスト", "a" * 70, "<|endoftext|>", "🙂", "\x1f", " ", "I'll", "-", "​"]
     texts = ["", " ", "  ", "x", "  x", "x  ", "　 x", " 　x", "a  　x", "a \n x", "<|endoftext|>", "a  <|endoftext|> b"]
     texts += ["".join(r.choice(words) + r.choice(["", " ", "  ", " "]) for _ in range(r.randrange(60))) for _ in range(600)]
-    ids_of = bestfit.PartIds(own)
-    assert [x.tolist() for x in ids_of.texts(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
-    ids_of.forget()
-    assert [x.tolist() for t in texts for x in ids_of.texts([t])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encode = bestfit.encoder(f.read())
+    expect = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    for step in (1, 7, 1 << 20):
+        assert [bestfit.ids_of(t, encode, step).tolist() for t in texts] == expect
+
+
+def test_ranks_give_the_ids_of_the_tokenizer():
+    """Every entry of the vocabulary as a text, all words of the sample documents, and a tokenizer that isn't done by ranks."""
+    own = tokenizer()
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    encode = bestfit.encoder(text)
+    assert bestfit.byte_ranks(text) is not None
+    texts = [own.decode([i], skip_special_tokens=False) for i in range(50257)]
+    for row in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        texts += {" " + x for x in (row or "").split(" ")}
+    assert [encode(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = f.read()
+    assert bestfit.byte_ranks(words) is None and bestfit.encoder(words)("two words") == Tokenizer.from_str(words).encode("two words", add_special_tokens=False).ids
 
 
 def one_by_one(lengths, capacity):
