@@ -6,8 +6,9 @@ its cuts from the list; the parts are then slices of bytes.
 
 Entries are named by SHA-256 and length; a second hash must agree among all rows of an entry, and what is restored from
 an output must have the hash that the document's own text had, or the job stops. A text is shuffled once for each task
-that reads it, without its copies. Texts with very many rows are held in several parts: their names are at most
-HOT_NAMES, as each has more than a share of all rows, and go to every task.
+that reads it, without its copies, and meets the list of its documents, ids and draws alone. Texts with very many rows
+are held in several parts: their names are at most HOT_NAMES, as each has more than a share of all rows, and go to every
+task; the list of any other text has that share at most.
 
 A null text is like an empty one, whose form is plain. Very long texts are one entry each and are cut like others. Rows
 without doc_id draw by their text; rows that repeat an id have the same draws. Equal cuts leave the middle empty. An
@@ -27,7 +28,7 @@ from shardmend.llm.common import fields, give_back, id_key, materialise, tidied
 SEED, PLAIN_FROM, SPM_BELOW = "1", 90, 20
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Rows of a text from which on it is held in parts of so many; as a share of all rows, one in HOT_NAMES at least.
-HOT_ROWS, HOT_NAMES = 512, 10_000
+HOT_ROWS, HOT_NAMES = 512, 100_000
 #: Bits between two samples of the boundaries' upper parts.
 SAMPLE = 1024
 
@@ -103,15 +104,20 @@ def infilled(docs: DataFrame, carry: list[str], seed: str = SEED) -> DataFrame:
     named = docs.select(text.alias("text"), *name)
     key = ["name", "size"]
 
-    def index(texts: DataFrame, *more: str) -> DataFrame:
+    def joined(texts: DataFrame, own: DataFrame, *more: str) -> DataFrame:
+        """Texts, one row for each, with the list of their documents: what is made of a text from here on is made once."""
         agreed = F.min(F.xxhash64("text")) == F.max(F.xxhash64("text"))
-        one = texts.groupBy(*key, *more).agg(F.first("text").alias("text"), F.assert_true(agreed, "texts of one name differ").alias("same"))
-        return one.where("same IS NULL").withColumn("index", boundaries(F.col("text").cast("binary")))
-
-    cold = index(named.join(hot, key, "left_anti")).drop("same").join(rows.join(hot, key, "left_anti"), key)
-    many = index(named.join(hot, key), "parts").drop("same").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = rows.join(hot, key).withColumn("part", F.pmod(F.xxhash64("h", "row"), F.col("parts")).cast("int")).drop("parts")
-    met = cold.unionByName(many.join(dealt, [*key, "part"]).drop("part"))
+        one = texts.groupBy(*key, *more).agg(F.first("text").alias("text"), F.assert_true(agreed, "texts of one name differ").alias("same")).where("same IS NULL").drop("same")
+        if more:
+            one = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        on = [*key, *(["part"] if more else [])]
+        lists = own.groupBy(*on).agg(F.collect_list(F.struct("row", "h")).alias("rows"))
+        return one.join(lists, on).select("name", "text", "rows")
+
+    dealt = rows.join(hot, key).withColumn("part", F.pmod(F.xxhash64("h", "row"), F.col("parts")).cast("int"))
+    cold = joined(named.join(hot, key, "left_anti"), rows.join(hot, key, "left_anti"))
+    index = cold.unionByName(joined(named.join(hot, key), dealt, "parts")).withColumn("index", boundaries(F.col("text").cast("binary")))
+    met = index.withColumn("own", F.explode("rows")).select("own.row", "own.h", "name", "text", "index")
 
     n = F.char_length("text")
     first, second = (F.pmod(F.col("h")[i], n + 1).cast("int") for i in (0, 1))
