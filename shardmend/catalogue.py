@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -263,6 +264,12 @@ def set_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
 
 
+def shared_run(spark: SparkSession) -> str:
+    """A folder of its own for what a query writes on the way, beside the shared checkpoints."""
+    set_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+
+
 SQL_CARD = f"""
     files AS (SELECT doc_id // 64 AS card_id, doc_id % 64 AS file_no, octet_length(encode(text)) AS size FROM documents),
     sized AS (SELECT *, (size + {CLUSTER} - 1) // {CLUSTER} AS n FROM files),

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardmend.catalogue import digest, payloads, query, set_checkpoints, table
+from shardmend.catalogue import digest, payloads, query, shared_run, table
 from shardmend.photo_queries import SQL_PHOTO, WHOLE, photos
 from shardmend.plans.recipe import Recipe, Step
 from shardmend.sources import clips
-from shardmend.streaming import live
+from shardmend.streaming import live, versions
 
 
 @query("clip_round_trip", f"WITH {SQL_PHOTO} SELECT doc_id // 8 AS clip_id, (row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) - 1)::INTEGER AS idx, md5({WHOLE}) AS digest FROM ph")
@@ -34,16 +32,10 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def run_folder(spark: SparkSession) -> str:
-    """A folder of its own for a stream's sink and checkpoint, beside the shared checkpoints."""
-    set_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/live-{uuid.uuid4().hex}"
-
-
 @query("live_event_counts", "SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS second, count(*) AS frames FROM events GROUP BY date_trunc('second', ts) HAVING date_trunc('second', min(ts)) + INTERVAL 1 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 2 SECOND")
 def live_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per second by event time, given out once the watermark has passed them."""
-    folder = run_folder(spark)
+    folder = shared_run(spark)
     counts = live.frames_per_second(events_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts")))
     counts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("second timestamp, frames long").parquet(f"{folder}/out").select(F.date_format("second", "yyyy-MM-dd HH:mm:ss").alias("second"), "frames")
@@ -52,8 +44,29 @@ def live_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("live_latest_event", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def live_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user: late ones of lower number never win."""
-    folder = run_folder(spark)
+    folder = shared_run(spark)
     rows = events_stream(spark, sf_dir).select("user_id", "event_id", "event_type")
     live.keep_latest(rows, "user_id", "event_id", f"{folder}/out", f"{folder}/at").awaitTermination()
     return live.latest(spark, f"{folder}/out", "user_id", "event_id").select("user_id", "event_id", "event_type")
 
+
+
+PARTS = 4
+
+
+@query("live_advancing_frames", f"""
+    WITH e AS (SELECT event_id, user_id, event_type, (event_id * 7) % {PARTS} AS part FROM events),
+         m AS (SELECT user_id, part, max(event_id) AS newest FROM e GROUP BY ALL),
+         b AS (SELECT user_id, part, max(newest) OVER (PARTITION BY user_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)
+    SELECT e.event_id, e.user_id, e.event_type, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS frame FROM e JOIN b ON b.user_id = e.user_id AND b.part = e.part WHERE before IS NULL OR event_id > before
+""")
+def live_advancing_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive in four files, mixed up: those that advance their user, with the user's running number of such."""
+    folder = shared_run(spark)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for part in range(PARTS):
+        events.where((F.col("event_id") * 7) % PARTS == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    done = versions.advancing(stream, "user_id", "event_id")
+    done.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{folder}/out")

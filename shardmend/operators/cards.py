@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -64,26 +64,44 @@ def fat(chain: DataFrame) -> DataFrame:
     return chain.select("card_id", "cluster", F.lead("cluster").over(W.partitionBy("card_id", "file_no").orderBy("pos")).alias("next"))
 
 
-def follow_chains(table: DataFrame, heads: DataFrame) -> DataFrame:
+class Jumps:
+    """Where 1, 2, 4, .. steps along a table (card_id, cluster, next) lead, each made when it is asked for and kept."""
+
+    def __init__(self, table: DataFrame):
+        self.made = [table.where("next IS NOT NULL").select("card_id", "cluster", "next").checkpoint()]
+
+    def __getitem__(self, k: int) -> DataFrame:
+        while len(self.made) <= k:
+            last = self.made[-1]
+            beyond = last.select("card_id", F.col("cluster").alias("next"), F.col("next").alias("beyond"))
+            self.made.append(last.join(beyond, ["card_id", "next"]).select("card_id", "cluster", F.col("beyond").alias("next")).checkpoint())
+        return self.made[k]
+
+
+def follow_chains(table: DataFrame, heads: DataFrame, jumps: Jumps | None = None) -> DataFrame:
     """(card_id, head, pos, cluster): clusters reachable from each head, by jumps that double; loops end by the size of a card.
 
-    ``heads``: (card_id, head). Each round knows where 2^r steps lead, and the positions reached so far double.
+    ``heads``: (card_id, head). Each round knows where 2^r steps lead, and the positions reached so far double. Calls that
+    follow one table may share its ``jumps``.
     """
+    jumps = jumps or Jumps(table)
     reached = heads.select("card_id", "head", F.lit(0).cast("long").alias("pos"), F.col("head").alias("cluster")).checkpoint()
-    jump = table.where("next IS NOT NULL").select("card_id", "cluster", "next").checkpoint()
-    length = 1
-    while length <= MAX_CLUSTERS:
-        more = reached.join(jump, ["card_id", "cluster"]).select("card_id", "head", (F.col("pos") + length).alias("pos"), F.col("next").alias("cluster"))
-        # The jumps of the next round come from these alone: without a cut, every round would plan all before it twice.
+    k = 0
+    while 1 << k <= MAX_CLUSTERS:
+        more = reached.join(jumps[k], ["card_id", "cluster"]).select("card_id", "head", (F.col("pos") + (1 << k)).alias("pos"), F.col("next").alias("cluster"))
         more = more.join(reached.select("card_id", "head", "cluster"), ["card_id", "head", "cluster"], "left_anti").checkpoint()
         if more.isEmpty():
             break
         reached = reached.unionByName(more)
-        jump = jump.join(jump.select("card_id", F.col("cluster").alias("next"), F.col("next").alias("beyond")), ["card_id", "next"]).select("card_id", "cluster", F.col("beyond").alias("next")).checkpoint()
-        length *= 2
+        k += 1
     return reached
 
 
+def in_order(column: str, place: str) -> Column:
+    """Binaries of a group end to end, by their places."""
+    return F.expr(f"listagg({column}) WITHIN GROUP (ORDER BY {place})")
+
+
 def unclaimed(clusters: DataFrame, claimed: DataFrame) -> DataFrame:
     """Clusters that no recovered file holds."""
     return clusters.join(claimed.select("card_id", "cluster"), ["card_id", "cluster"], "left_anti")
@@ -119,14 +137,17 @@ def undelete_skipping(deleted: DataFrame, now: DataFrame, last: DataFrame, clust
     return need.join(counted.where("kind = 1").select("card_id", "k", "cluster"), ["card_id", "k"]).select("card_id", "file_no", "pos", "cluster")
 
 
-def read_chains(chains: DataFrame, stored: DataFrame, sizes: DataFrame, names: list[str]) -> DataFrame:
+def read_chains(chains: DataFrame, stored: DataFrame, sizes: DataFrame, names: list[str], cluster: int) -> DataFrame:
     """(names.., bytes): the bytes along chains (names.., card_id, pos, cluster), cut to the size in ``sizes`` (names.., size).
 
-    ``stored``: (card_id, cluster, bytes). A file is one row and so bounded by its size.
+    ``stored``: (card_id, cluster, bytes); clusters that are shorter or missing read as zeros to their end. A file is one
+    row and so bounded by its size.
     """
-    parts = chains.join(stored, ["card_id", "cluster"]).groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
-    whole = F.unhex(F.array_join(F.transform("parts", lambda r: F.hex(r["bytes"])), ""))
-    return parts.join(sizes, names).select(*names, whole.alias("bytes"), "size").select(*names, F.substring("bytes", F.lit(1), F.col("size").cast("int")).alias("bytes"))
+    blank = F.unhex(F.repeat(F.lit("00"), F.lit(cluster) - F.coalesce(F.length("bytes"), F.lit(0))))
+    full = F.when(F.length("bytes") >= cluster, F.col("bytes")).otherwise(F.concat(F.coalesce("bytes", F.unhex(F.lit(""))), blank))
+    parts = chains.join(stored.select("card_id", "cluster", "bytes"), ["card_id", "cluster"], "left").withColumn("bytes", full)
+    whole = parts.groupBy(*names).agg(in_order("bytes", "pos").alias("bytes"))
+    return whole.join(sizes, names).select(*names, F.substring("bytes", F.lit(1), F.col("size").cast("int")).alias("bytes"))
 
 
 def best_overlap(wanted: DataFrame, found: DataFrame, share: int = 4) -> DataFrame:
@@ -177,12 +198,11 @@ def carved(clusters: DataFrame) -> DataFrame:
     numbered = clusters.withColumn("_head", header).withColumn("_clip", clip).withColumn("_no", F.sum(fresh.cast("int")).over(order))
     files = numbered.groupBy("card_id", "_no").agg(
         F.min("cluster").alias("first"), F.count(F.lit(1)).alias("clusters"), F.min_by("_head", "cluster").alias("_head"), F.min_by("_clip", "cluster").alias("_clip"),
-        F.sort_array(F.collect_list(F.struct("cluster", "bytes"))).alias("_rows"),
+        in_order("bytes", "cluster").alias("bytes"),
     )
-    whole = F.unhex(F.array_join(F.transform("_rows", lambda r: F.hex(r["bytes"])), ""))
     cut = F.pandas_udf(lambda s: s.map(lambda b: markers.photo_end(bytes(b))), "int")
     told = F.conv(F.hex(F.encode(F.reverse(F.decode(F.substring("bytes", 5, 4), "ISO-8859-1")), "ISO-8859-1")), 16, 10).cast("long") + 8
-    found = files.where("_head").select("card_id", "first", "clusters", "_clip", whole.alias("bytes"))
+    found = files.where("_head").select("card_id", "first", "clusters", "_clip", "bytes")
     ends = found.where("NOT _clip").withColumn("_end", cut("bytes").cast("long")).unionByName(found.where("_clip").withColumn("_end", F.when(told <= F.length("bytes"), told)))
     return ends.select("card_id", "first", "clusters", F.col("_end").isNotNull().alias("complete"), F.when(F.col("_end").isNull(), F.col("bytes")).otherwise(F.expr("substring(bytes, 1, int(_end))")).alias("bytes"))
 

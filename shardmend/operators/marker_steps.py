@@ -13,7 +13,7 @@ import numpy as np
 
 from shardmend.functions.prng import Pcg32
 from shardmend.operators.seeded_steps import step
-from shardmend.sources.markers import DHT, DRI, EOI, FRAMES, SOI, SOS, neutralised, segments
+from shardmend.sources.markers import DHT, DRI, EOI, FRAMES, SOI, SOS, STANDARD_TABLES, neutralised, segments, with_standard_tables
 
 APP0, APP1, APP2, APP13, APP14, COM, PROGRESSIVE = 0xE0, 0xE1, 0xE2, 0xED, 0xEE, 0xFE, 0xC2
 EXIF = b"Exif\0\0"
@@ -61,23 +61,22 @@ def icc_loss(data: bytes, g: Pcg32, mode: str = "strip") -> bytes:
 
 
 @step
-def mjpeg_no_dht(data: bytes, g: Pcg32, mode: str = "none", tables: str = "") -> bytes:
-    """Without Huffman tables, as in frames of a clip; ``tables`` holds those to put before the scan, in hex."""
+def mjpeg_no_dht(data: bytes, g: Pcg32, mode: str = "insert_std", tables: str = "") -> bytes:
+    """Without Huffman tables of its own, as in frames of a clip: ``none``, or the standard ones, or ``tables``, in hex, before the scan."""
     bare = without(data, lambda m, p: m == DHT)
     if mode == "none":
         return bare
+    if not tables:
+        return with_standard_tables(bare)
     at = first_of(bare, SOS)["offset"]
     return bare[:at] + segment(DHT, bytes.fromhex(tables)) + bare[at:]
 
 
 @step
 def huffman_swap(data: bytes, g: Pcg32, other: bytes, source: str = "photo") -> bytes:
-    """The Huffman tables of another photo, just before the first scan, in place of its own."""
-    if source != "photo":
-        raise ValueError("standard tables are not kept here")
-    tables = b"".join(other[s["offset"] : s["offset"] + s["length"]] for s in segments(other) if s["marker"] == DHT)
-    if not tables:
-        raise ValueError("the other photo has no tables")
+    """The Huffman tables of another photo, or the standard ones, just before the first scan, in place of its own."""
+    tables = b"" if source == "standard" else b"".join(other[s["offset"] : s["offset"] + s["length"]] for s in segments(other) if s["marker"] == DHT)
+    tables = tables or segment(DHT, STANDARD_TABLES)
     bare = without(data, lambda m, p: m == DHT)
     at = first_of(bare, SOS)["offset"]
     return bare[:at] + tables + bare[at:]

@@ -42,22 +42,33 @@ def takes_other(name: str) -> bool:
 
 def run_step(name: str, data: bytes, g: Pcg32, params: dict, other: bytes | None = None) -> bytes:
     """One step. Parameters that it doesn't know are ignored, and a payload that it cannot be applied to stays as it is."""
+    return try_step(name, data, g, params, other)[0]
+
+
+def try_step(name: str, data: bytes, g: Pcg32, params: dict, other: bytes | None = None) -> tuple[bytes, str | None]:
+    """What a step makes, and why it could not be applied; then the payload is what it was.
+
+    A step refuses a payload by ValueError, or by reaching past its end. Anything else is a fault of the step and is raised.
+    """
     kernel = STEPS.get(ALIASES.get(name, name))
     if kernel is None:
-        return data
+        return data, f'step "{name}" is not available yet'
     takes, given = _takes(kernel), {}
-    try:
-        for k, v in params.items():
-            k = PARAMETERS.get(k, k)
-            if k in takes and k != "other":
+    for k, v in params.items():
+        k = PARAMETERS.get(k, k)
+        if k in takes and k != "other":
+            try:
                 given[k] = type(takes[k])(v) if isinstance(takes[k], (int, float)) and not isinstance(takes[k], bool) else v
-        if "other" in takes:
-            if other is None:
-                return data
-            given["other"] = other
-        return kernel(data, g, **given)
-    except (ValueError, IndexError, TypeError, ZeroDivisionError):
-        return data
+            except (TypeError, ValueError):
+                return data, f"parameter {k} can't be {v!r}"
+    if "other" in takes:
+        if other is None:
+            return data, "no other payload to take from"
+        given["other"] = other
+    try:
+        return kernel(data, g, **given), None
+    except (ValueError, IndexError) as refused:
+        return data, str(refused)
 
 
 def cut(data: bytes, start: float, end: float) -> tuple[int, int]:

@@ -23,7 +23,7 @@ def card_read_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = card_tables(spark, sf_dir)
     heads = t["live"].where("pos = 0").select("card_id", F.col("cluster").alias("head"), "file_no")
     chains = cards.follow_chains(cards.fat(t["live"]), heads.select("card_id", "head")).join(heads, ["card_id", "head"])
-    whole = cards.read_chains(chains.select("card_id", "file_no", "pos", "cluster"), stored_clusters(spark, sf_dir, t["live"]), t["files"], ["card_id", "file_no"])
+    whole = cards.read_chains(chains.select("card_id", "file_no", "pos", "cluster"), stored_clusters(spark, sf_dir, t["live"]), t["files"], ["card_id", "file_no"], CLUSTER)
     return whole.select("card_id", "file_no", F.length("bytes").cast("long").alias("size"), digest().alias("digest"))
 
 

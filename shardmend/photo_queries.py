@@ -29,8 +29,8 @@ def _hex2(n: Column, width: int = 2) -> Column:
     return F.lpad(F.hex(n.cast("long")), width, "0")
 
 
-def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(photo_id, bytes): a JPEG file for each document."""
+def photos(spark: SparkSession, sf_dir: str, whole: bool = False, bare: int = 0) -> DataFrame:
+    """(photo_id, bytes): a JPEG file for each document; all of them ended, alone and without noise if ``whole``, the last of ``bare`` without Huffman tables."""
     i, hx = F.col("doc_id"), F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     n = F.length(hx) / 2
     at = [F.floor(n * k / 4).cast("int") for k in range(5)]
@@ -39,11 +39,11 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     passes, strips = i % 2 == 1, i % 4 == 2
     body = F.when(passes, F.concat(F.lit(FIRST_SCAN), q[0], q[1], F.lit(SECOND_SCAN), q[2], q[3])).when(strips, F.concat(F.lit(SCAN), q[0], F.lit("FFD0"), q[1], F.lit("FFD1"), q[2], F.lit("FFD2"), q[3])).otherwise(F.concat(F.lit(SCAN), *q))
     whole = F.concat(
-        F.lit("FFD8"), some(3, 0, F.concat(F.lit(EXIF_A), _hex2(i % 8 + 1), F.lit(EXIF_B))), some(5, 0, F.lit(NOTE)), some(4, 1, F.lit(PROFILE)), some(13, 0, F.lit(NOISE)),
+        F.lit("FFD8"), some(3, 0, F.concat(F.lit(EXIF_A), _hex2(i % 8 + 1), F.lit(EXIF_B))), some(5, 0, F.lit(NOTE)), some(4, 1, F.lit(PROFILE)), F.lit("") if whole else some(13, 0, F.lit(NOISE)),
         F.lit("FFDB004300"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: _hex2((i + k) % 255 + 1)), ""),
         F.when(passes, "FFC2").otherwise("FFC0"), F.lit("001108"), _hex2(i % 50 + 16, 4), _hex2(i % 70 + 16, 4), F.lit(COMPONENTS),
-        F.when(strips, RESTARTS).otherwise(""), F.lit(TABLE), _hex2(i % 256), body,
-        F.when(i % 7 == 0, "").otherwise("FFD9"), F.when((i % 7 != 0) & (i % 11 == 0), GHOST).otherwise(""),
+        F.when(strips, RESTARTS).otherwise(""), F.when(i % bare == bare - 1, "").otherwise(F.concat(F.lit(TABLE), _hex2(i % 256))) if bare else F.concat(F.lit(TABLE), _hex2(i % 256)), body,
+        F.lit("FFD9") if whole else F.when(i % 7 == 0, "").otherwise("FFD9"), F.lit("") if whole else F.when((i % 7 != 0) & (i % 11 == 0), GHOST).otherwise(""),
     )
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo_id"), F.unhex(whole).alias("bytes"))
 
@@ -85,7 +85,10 @@ photo_query("photo_sof_size", "sof_dims", WHOLE.replace("high || wide", "printf(
 photo_query("photo_cbcr_swap", "cbcr_swap", WHOLE.replace(COMPONENTS, "03012200031101021101"))
 photo_query("photo_strip_exif", "strip_exif", WHOLE.replace("exif || note || ", ""))
 photo_query("photo_icc_loss", "icc_loss", WHOLE.replace("icc || ", ""))
-photo_query("photo_no_dht", "mjpeg_no_dht", f"{HEAD} || {BODY}")
+photo_query("photo_no_dht", "mjpeg_no_dht", f"{HEAD} || {BODY}", mode="none")
+_STANDARD = f"'FFC4{len(markers.STANDARD_TABLES) + 2:04X}{markers.STANDARD_TABLES.hex().upper()}'"
+photo_query("photo_standard_dht", "mjpeg_no_dht", f"{HEAD} || {_STANDARD} || {BODY}")
+photo_query("photo_huffman_standard", "huffman_swap", f"{HEAD} || {_STANDARD} || {BODY}", PAIRED, "pa", source="standard")
 photo_query("photo_color_matrix", "color_matrix", WHOLE.replace("'FFD8' ||", "'FFD8FFEE000E41646F6265006400000000' || '00' ||"), mode="adobe_flag_flip")
 photo_query("photo_progressive_cut", "progressive_cut", f"CASE WHEN passes THEN {HEAD} || dht || sos || scan || 'FFD9' ELSE {WHOLE} END", scans=1)
 photo_query("photo_progressive_drop_dc", "progressive_drop_dc", f"CASE WHEN passes THEN {HEAD} || dht || sos2 || scan2 || eoi || ghost ELSE {WHOLE} END")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from shardmend.functions.prng import mix32_int
 from shardmend.plans.recipe import Recipe, Step
+from shardmend.plans.step_catalogue import clamped
 
 
 def between(a: float, b: float, bad: float) -> float:
@@ -61,5 +62,5 @@ STORIES: dict[str, Callable[[float, int], list[tuple[int, str, dict]]]] = {
 
 
 def story(name: str, bad: float, seed: int) -> Recipe:
-    """The recipe of a story; each step has a seed of its own, made from the story's."""
-    return Recipe([Step(id_, params, seed_for(seed, i)) for i, id_, params in STORIES[name](min(max(bad, 0.0), 1.0), seed)])
+    """The recipe of a story, clamped to what its steps take; each step has a seed of its own, made from the story's."""
+    return Recipe([clamped(Step(id_, params, seed_for(seed, i))) for i, id_, params in STORIES[name](min(max(bad, 0.0), 1.0), seed)])

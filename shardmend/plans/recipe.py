@@ -88,11 +88,11 @@ def apply_recipe(df: DataFrame, recipe: Recipe, column: str = "bytes", seed: str
                 continue
         df = _fused(df, waiting, column, seed, other)
         waiting = []
-        df = df.withColumn(column, patched(F.col(column), node) if isinstance(node, Patch) else _native(F.col(column), node))
+        df = df.withColumn(column, patched(F.col(column), node) if isinstance(node, Patch) else native_step(F.col(column), node))
     return _fused(df, waiting, column, seed, other)
 
 
-def _native(b: Column, step: Step) -> Column:
+def native_step(b: Column, step: Step) -> Column:
     names = list(inspect.signature(STEPS[step.id]).parameters)[1:]
     params = {("hexed" if k == "hex" else k): v for k, v in step.params.items()}
     return STEPS[step.id](b, **{k: v for k, v in params.items() if k in names})

@@ -110,6 +110,68 @@ def photo_end(data: bytes) -> int | None:
     return last[0]["end"] if last and last[0]["marker"] == EOI else None
 
 
+def strict_end(data: bytes) -> int | None:
+    """Where a photo ends, if nothing but segments and scans comes before its end marker."""
+    at = 2
+    if data[:2] != b"\xff\xd8" or len(data) < 4:
+        return None
+    while at + 4 <= len(data):
+        scanned = data[at] != 0xFF
+        while not scanned and at + 4 <= len(data) and data[at] == 0xFF:
+            code = data[at + 1]
+            if code == EOI:
+                return at + 2
+            at += 1 if code == 0xFF else 2 + int.from_bytes(data[at + 2 : at + 4])
+            scanned = code == SOS
+        at = scan_end(data, at)
+        if at + 1 >= len(data):
+            return None
+        if data[at + 1] == EOI:
+            return at + 2
+    return None
+
+
+def has_tables(data: bytes) -> bool:
+    """Whether Huffman tables come before the first scan."""
+    for s in segments(data):
+        if s["marker"] in (DHT, SOS):
+            return s["marker"] == DHT
+    return False
+
+
+def _values(first: str, most: int = 10) -> bytes:
+    """The symbols of a table of standard codes: those of short codes, then the rest in order."""
+    short = bytes.fromhex(first)
+    every = {0x00, 0xF0} | {16 * run + size for run in range(16) for size in range(1, most + 1)}
+    return short + bytes(sorted(every - set(short)))
+
+
+# Standard Huffman tables of the JPEG standard (ITU T.81, K.3): class and number, codes of each length, symbols.
+STANDARD_TABLES = b"".join(
+    (
+        bytes.fromhex("00 00010501010101010100000000000000") + bytes(range(12)),
+        bytes.fromhex("10 0002010303020403050504040000017D")
+        + _values("01020300041105122131410613516107227114328191A1082342B1C11552D1F02433627282"),
+        bytes.fromhex("01 00030101010101010101010000000000") + bytes(range(12)),
+        bytes.fromhex("11 00020102040403040705040400010277")
+        + _values("0001020311040521310612415107617113223281081442 91A1B1C109233352F0156272D10A162434E125F1"),
+    )
+)
+
+
+def with_standard_tables(data: bytes) -> bytes:
+    """A photo with the standard tables before its first scan, where it has none of its own."""
+    at = None
+    for s in segments(data):
+        if s["marker"] == DHT:
+            return data
+        if s["marker"] == SOS and at is None:
+            at = s["offset"]
+    if at is None:
+        return data
+    return data[:at] + b"\xff\xc4" + (len(STANDARD_TABLES) + 2).to_bytes(2) + STANDARD_TABLES + data[at:]
+
+
 def neutralised(data: bytes) -> bytes:
     """Every FF that starts a marker other than a restart becomes FE; the last three bytes stay."""
     b = np.frombuffer(data, np.uint8).copy()
