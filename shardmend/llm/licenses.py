@@ -3,11 +3,11 @@
 A text is lower-cased in A-Z and cut into words of digits, letters a-z and anything beyond ASCII; words are joined by
 one space. Base phrases are found where their words stand consecutively. A notice may differ by EDIT_SHARE of its
 length: it is split into one piece more than it may have edits, so that one piece at least stands unchanged in any
-occurrence. Pieces found exactly locate candidates, and the ``regex`` library's bounded-error matching verifies the
-edits there and reports the span.
+occurrence. Pieces found exactly locate candidates, the stretches of whole words around them, and the ``regex``
+library's bounded-error matching verifies the edits of each stretch.
 
 Null text counts as empty and has no words and no labels. Very long texts are read whole, once for each piece, and their
-windows one by one. Rows that repeat a doc_id have equal results. Of overlapping finds of one label, the one with fewest
+stretches one by one. Rows that repeat a doc_id have equal results. Of overlapping finds of one label, the one with fewest
 edits, then the first, counts. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
@@ -64,8 +64,7 @@ def _plans() -> list[tuple[str, str, int, regex.Pattern, list[tuple[int, bytes]]
     out = []
     for phrase, label in NOTICES.items():
         k = len(phrase) // CHARS_PER_EDIT
-        # Whole words only: a notice starts and ends where a word does.
-        out.append((phrase, label, k, regex.compile(rb"(?b)(?<![^ ])(?:" + phrase.encode() + rb"){e<=" + str(k).encode() + rb"}(?![^ ])"), pieces(phrase)))
+        out.append((phrase, label, k, regex.compile(rb"(?b)(?:" + phrase.encode() + rb"){e<=" + str(k).encode() + rb"}"), pieces(phrase)))
     return out
 
 
@@ -88,30 +87,35 @@ def places(text: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+def word_starts(text: bytes, low: int, high: int) -> list[int]:
+    """Places from ``low`` to ``high`` where a word starts."""
+    return [p for p in range(max(low, 0), min(high, len(text) - 1) + 1) if text[p] != 32 and (p == 0 or text[p - 1] == 32)]
+
+
+def word_ends(text: bytes, low: int, high: int) -> list[int]:
+    """Places from ``low`` to ``high`` where a word has just ended."""
+    return [p for p in range(max(low, 1), min(high, len(text)) + 1) if text[p - 1] != 32 and (p == len(text) or text[p] == 32)]
+
+
 def notices(text: bytes) -> list[tuple[str, int, int, int, float]]:
     """(label, start, end, edits, similarity) of notices in words joined by spaces."""
     found: list[tuple[str, int, int, int, float]] = []
     for phrase, label, k, pattern, seeds in PLANS:
-        windows: list[tuple[int, int]] = []
+        # Whole words only. What stands before a seed has its length give or take the edits, and so has what stands behind
+        # it: a few starts and ends of words around each seed are all stretches that there are.
+        spans: set[tuple[int, int]] = set()
         for offset, seed in seeds:
-            at = text.find(seed)
+            at, rest = text.find(seed), len(phrase) - offset
             while at >= 0:
-                windows.append((max(0, at - offset - k - 1), at - offset + len(phrase) + k + 1))
+                ends = word_ends(text, at + rest - k, at + rest + k)
+                if ends:
+                    spans.update((s, e) for s in word_starts(text, at - offset - k, at - offset + k) for e in ends if abs(e - s - len(phrase)) <= k)
                 at = text.find(seed, at + 1)
-        # One character of context on each side, for the word ends. The best match of a window comes first, so what is left
-        # and right of it is searched again. Windows aren't merged, so that the work grows with their number only.
-        parts = [(max(0, a - 1), min(len(text), b + 1)) for a, b in set(windows)]
-        while parts:
-            a, b = parts.pop()
-            m = pattern.search(text, a, b)
-            if m is None or m.end() == m.start():
-                continue
-            s, e = m.span()
-            while s < e and text[s] == 32:
-                s += 1
-            edits = sum(m.fuzzy_counts)
-            found.append((label, s, e, edits, 1 - edits / len(phrase)))
-            parts += [(x, y) for x, y in ((a, m.start()), (m.end(), b)) if y - x >= len(phrase) - k]
+        for s, e in spans:
+            m = pattern.fullmatch(text, s, e)
+            if m is not None:
+                edits = sum(m.fuzzy_counts)
+                found.append((label, s, e, edits, 1 - edits / len(phrase)))
     # Of what overlaps under one label, the best stays; taken spans of a label don't overlap, so neighbours tell.
     taken: dict[str, list[tuple[int, int]]] = {}
     best: list[tuple[str, int, int, int, float]] = []
