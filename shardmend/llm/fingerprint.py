@@ -8,7 +8,7 @@ as needed. Two digests are alike by the bits that their filters share beyond cha
 Null texts count as empty; an empty text has no features and an empty fingerprint. A text under 64 bytes is one window,
 filled up with zero bytes. Equal texts have equal fingerprints, and equal fingerprints a likeness of 1; an empty one and
 another have 0. Rows that repeat a doc_id follow each other in order of a hash of their text. A single row is its own
-next document. An empty table gives no rows. Other columns are ignored, whatever their names. Very long texts are read in
+next document. An empty table gives no rows. Other columns are ignored, whatever their names. Ids must be whole numbers. Very long texts are read in
 pieces; a task holds rows of WORK_CHARS at once, or a single longer one with the next and its edit.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import materialise, mix64, row_groups, strings, tidied, utf8
+from shardmend.llm.common import materialise, mix64, row_groups, strings, tidied, utf8, whole_id
 
 WINDOW, RUN, POPULAR = 64, 64, 16
 BITS, HASHES, PER_FILTER = 2048, 5, 160
@@ -120,30 +120,43 @@ def rarity_ranks(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
+def popularity(part: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """In how many runs each window of a buffer is the leftmost of best rank."""
+    ok = windows_of(at)
+    key = np.full(len(part) + RUN, np.iinfo(np.int64).max)
+    key[: len(ok)][ok] = (rank[entropies(part)[ok]] << 32) | np.flatnonzero(ok)
+    width, least = 1, key
+    while width < RUN:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    count = np.maximum(np.diff(at) - WINDOW + 1, 0)  # windows of each row
+    runs = np.where(count > 0, np.maximum(count - RUN + 1, 1), 0)
+    first = np.repeat(at[:-1], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    # A row of few windows has one run, which may not reach into the next row.
+    short = np.flatnonzero((count > 0) & (count < RUN))
+    winner = least[first] & 0xFFFFFFFF
+    place = np.cumsum(runs) - runs
+    for r in short.tolist():
+        winner[place[r]] = at[r] + int(np.argmin(key[at[r] : at[r] + count[r]]))
+    return np.bincount(winner, minlength=len(part))
+
+
 def features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
     """Feature hashes of each row, in order, each once."""
     found: list[list[np.ndarray]] = [[] for _ in range(len(starts) - 1)]
+    # How far the windows of a row get is known from all its parts; rows in several are gone through for that first.
+    farthest: dict[int, int] = {}
+    for part, at, rows, low, high in pieces(data, starts):
+        if len(rows) == 1 and high[0] - low[0] < np.diff(starts)[rows[0]]:
+            got = popularity(part, at, rank)[low[0] : high[0]]
+            farthest[int(rows[0])] = max(farthest.get(int(rows[0]), 0), int(got.max(initial=0)))
     for part, at, rows, low, high in pieces(data, starts):
-        ok = windows_of(at)
-        key = np.full(len(part) + RUN, np.iinfo(np.int64).max)
-        key[: len(ok)][ok] = (rank[entropies(part)[ok]] << 32) | np.flatnonzero(ok)
-        width, least = 1, key
-        while width < RUN:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        count = np.maximum(np.diff(at) - WINDOW + 1, 0)  # windows of each row
-        runs = np.where(count > 0, np.maximum(count - RUN + 1, 1), 0)
-        first = np.repeat(at[:-1], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-        # A row of few windows has one run, which may not reach into the next row.
-        short = np.flatnonzero((count > 0) & (count < RUN))
-        winner = least[first] & 0xFFFFFFFF
-        place = np.cumsum(runs) - runs
-        for r in short.tolist():
-            winner[place[r]] = at[r] + int(np.argmin(key[at[r] : at[r] + count[r]]))
-        popular = np.bincount(winner, minlength=len(part))
-        of = np.repeat(np.arange(len(runs)), np.diff(at))
-        highest = np.zeros(len(runs), np.int64)
+        popular = popularity(part, at, rank)
+        of = np.repeat(np.arange(len(rows)), np.diff(at))
+        highest = np.zeros(len(rows), np.int64)
         np.maximum.at(highest, of[popular > 0], popular[popular > 0])
+        if len(rows) == 1 and int(rows[0]) in farthest:
+            highest[0] = farthest[int(rows[0])]
         chosen = np.flatnonzero((popular > 0) & (popular >= np.minimum(POPULAR, highest[of])))
         r = of[chosen]
         inside = (chosen - at[r] >= low[r]) & (chosen - at[r] < high[r])
@@ -202,7 +215,7 @@ def in_order(docs: DataFrame, size: int) -> DataFrame:
     ``size``: bytes of all texts. Parts are cut by ids alone. The highest id of each part also goes to the part before it, and the highest of all to
     the last part, so that each row finds the next one in its own part.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "doc_id", "text")
+    rows = docs.select(F.coalesce(whole_id(docs), F.lit(NULL_ID)).alias("d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "doc_id", "text")
     room = min(PART_BYTES, max(LEAST_PART, size // (PARTS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)))
     spread = materialise(rows.select("d").distinct().repartitionByRange(max(1, -(-size // room)), F.col("d").desc()).withColumn("p", F.spark_partition_id()))
     heads = np.array(sorted((r[0] for r in spread.groupBy("p").agg(F.max("d")).select("max(d)").collect()), reverse=True), np.int64)
