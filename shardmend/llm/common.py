@@ -104,6 +104,14 @@ def fields(names: Iterable[str]) -> list[Column]:
     return [F.col(quoted(c)).alias(c) for c in names]
 
 
+def whole_id(docs: DataFrame) -> Column:
+    """doc_id as a 64-bit number, for operators that order or link by it; ids of other kinds are refused."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"doc_id must be a whole number here, not {kind}: number the rows first")
+    return docs["doc_id"].cast("long")
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have in any case."""
     taken, name = {c.lower() for c in df.columns}, f"_{stem}"
@@ -145,14 +153,16 @@ def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function from batch to batch."""
+    """``mapInArrow`` of a function from batch to batch. Columns may have any names; Spark itself takes none with a dot here."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield f(batch)
+                yield f(batch.rename_columns(names))
 
-    return df.mapInArrow(lean(run), schema)
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))]) if any(c in name for name in names for c in ".`") else df
+    return plain.mapInArrow(lean(run), schema)
 
 
 @contextmanager

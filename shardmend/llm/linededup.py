@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, arrow_map, batch_bytes, fresh_name, lean, materialise, mix64, row_groups, strings, tidied, utf8, word_hashes
+from shardmend.llm.common import BUFFER, arrow_map, batch_bytes, fresh_name, lean, materialise, quoted, mix64, row_groups, strings, tidied, utf8, word_hashes, whole_id
 
 PERCENT = 80
 #: Sets of fewer words match equal sets only, at this similarity; a set of four also matches one of five.
@@ -75,7 +75,7 @@ def packed_rows(rows: list[tuple[int, int, bytes, bytes | None]]) -> pa.RecordBa
 
 
 def ids_and_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text")
+    return docs.select(F.coalesce(whole_id(docs), F.lit(NULL_ID)).alias("d"), "text")
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
@@ -737,7 +737,7 @@ def without_repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
     docs = docs.drop("_lines")
     name = fresh_name(docs, "gone")
     gone = repeated_lines(docs, min_tokens).groupBy("d").agg(F.collect_set(F.struct("l", "mark")).alias(name))
-    joined = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["d"], "left").select(*[docs[c] for c in docs.columns], name)
+    joined = docs.join(gone, F.coalesce(whole_id(docs), F.lit(NULL_ID)) == gone["d"], "left").select(*[docs[quoted(c)] for c in docs.columns], name)
     count = pa.struct([("n_lines", pa.int32()), ("n_removed", pa.int32())])
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -759,7 +759,7 @@ def without_repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
         names = [n for n in batch.schema.names if n != name]
         return pa.RecordBatch.from_arrays([*(made.get(n, batch.column(n)) for n in names), counts], names=[*names, "_lines"])
 
-    schema = ", ".join(f"`{c}` {'long' if c == 'n_chars' else 'string' if c == 'text' else t}" for c, t in docs.dtypes)
+    schema = ", ".join(f"{quoted(c)} {'long' if c == 'n_chars' else 'string' if c == 'text' else t}" for c, t in docs.dtypes)
     return arrow_map(joined, rebuild, f"{schema}, _lines struct<n_lines:int,n_removed:int>")
 
 

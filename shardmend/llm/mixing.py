@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import fresh_name, id_key, materialise, n_words, ranked, tidied, unit_hash
+from shardmend.llm.common import fields, fresh_name, id_key, materialise, n_words, quoted, ranked, tidied, unit_hash
 
 #: Weights of the sources in order of code points, repeating.
 WEIGHTS = (3, 1, 2)
@@ -60,7 +60,7 @@ def mixture(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHT
     copies = (F.floor(rate) + extra.cast("int")).cast("long")
     size = n_words(docs["text"])
     made = F.struct(size.alias("size"), whole.alias("source_size"), target.alias("target"), copies.alias("copies"), (size * copies).alias("taken"))
-    return joined.select(*[docs[c] for c in docs.columns], made.alias("_mix"))
+    return joined.select(*[docs[quoted(c)] for c in docs.columns], made.alias("_mix"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -70,7 +70,7 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     copy = fresh_name(own, "mix_copy")
     plan = mixture(own, seed).where("_mix.copies > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int"))).alias(copy)
-    return plan.select(*own.columns, copies).drop(copy).withColumnRenamed(kept, "_mix")
+    return plan.select(*fields(own.columns), copies).drop(copy).withColumnRenamed(kept, "_mix")
 
 
 ORACLE_SQL = r"""

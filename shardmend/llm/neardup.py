@@ -11,7 +11,7 @@ What is then still in different components of one bucket is compared in blocks o
 verified there; only links leave a block. Links inside a component cannot change the result and are skipped.
 
 Null and empty texts have no shingles and are linked with nothing. A text with fewer words than a shingle is one
-shingle; a very long one is sketched in steps of 1,024 shingles and verified on its full set. Rows without doc_id are kept
+shingle; a very long one is sketched in steps of 1,024 shingles and verified on its full set. Ids must be whole numbers; rows without doc_id are kept
 and linked with nothing. Rows that repeat a doc_id with the same text share one decision. An empty table gives no rows.
 Other columns may have any names; ``deduplicated`` carries them along.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, LOWER, arrow_map, fresh_name, materialise, mix64, row_groups, shingle_hashes, tidied, utf8, word_hashes
+from shardmend.llm.common import BUFFER, LOWER, arrow_map, fresh_name, materialise, mix64, row_groups, shingle_hashes, tidied, utf8, whole_id, word_hashes
 
 M, BANDS, ROWS = 256, 42, 6
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 regs[r] = x.tobytes()
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(regs, pa.binary())], names=["doc_id", "n", "a", "b", "regs"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sketch, "doc_id long, n long, a long, b long, regs binary")
+    return arrow_map(docs.select(whole_id(docs).alias("doc_id"), "text"), sketch, "doc_id long, n long, a long, b long, regs binary")
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     members = materialise(bands.join(leaders, "bucket"))
     pairs = members.select(F.explode(F.array("first", "drawn")).alias("x"), F.col("cid").alias("y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     passed = materialise(estimated(pairs, classes))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members.select("cid").distinct(), "cid", "left_semi")
+    wanted = docs.select(whole_id(docs).alias("cid"), "text").join(members.select("cid").distinct(), "cid", "left_semi")
     sets = materialise(full_sets(wanted, k).dropDuplicates(["cid"]))
     best = passed.groupBy("y").agg(F.max(F.struct("est", "x"))["x"].alias("x")).select("x", "y")
     labels = components(materialise(verified(best, sets)))
@@ -312,7 +312,7 @@ def deduplicated(docs: DataFrame, k: int = 5) -> DataFrame:
     """``docs`` without the rows that are not the first of their component."""
     name = fresh_name(docs, "gone")
     gone = near_duplicates(docs, k).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    return docs.join(gone, whole_id(docs) == gone[name], "left_anti")
 
 
 ORACLE_SQL = r"""

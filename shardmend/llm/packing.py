@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import id_key, materialise, n_words, ranked, tidied, unit_hash
+from shardmend.llm.common import fields, id_key, materialise, n_words, ranked, tidied, unit_hash
 
 BUCKETS, BUDGET = 12, 16384
 #: Rows of a bucket that are ranked in one task, about.
@@ -69,8 +69,8 @@ def packed(docs: DataFrame, carry: list[str], tokens: Column | None = None, buck
     length = n_words(F.col("text")) if tokens is None else tokens.cast("long")
     own = F.struct(length.alias("length"), F.col("doc_id").alias("id"), unit_hash(F.lit(seed), id_key(F.col("doc_id"), F.col("text"))).alias("u")).alias("own")
     slim = [c for c in carry if c.lower() != "text"]
-    sized = materialise(docs.select(F.struct(*slim).alias("row"), own) if slim and len(slim) == len(carry) else docs.select(own))
-    rows = sized if "row" in sized.columns else docs.select(F.struct(*carry).alias("row"), own)
+    sized = materialise(docs.select(F.struct(*fields(slim)).alias("row"), own) if slim and len(slim) == len(carry) else docs.select(own))
+    rows = sized if "row" in sized.columns else docs.select(F.struct(*fields(carry)).alias("row"), own)
     counted = sorted((r["length"], r["count"]) for r in sized.groupBy("own.length").count().collect())
     bounds, sizes = [0], [0]
     if counted:

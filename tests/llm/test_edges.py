@@ -31,7 +31,7 @@ ROWS = [
     (9, "one", "en", "b"),
     (10, "\n\n" + prose(3, 20) + "\n" + prose(3, 20), None, "b"),
 ]
-CLASHES = "size target taken rank regs n cid bucket batch features d l sure token part tail _mix score wav payload copies bound".split()
+CLASHES = "size target taken rank regs n cid bucket batch features d l sure token part tail _mix score wav payload copies bound p.q".split()
 
 
 @pytest.fixture(scope="module")

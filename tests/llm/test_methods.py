@@ -58,6 +58,19 @@ def test_long_text_in_pieces_equals_whole(monkeypatch):
     assert (fingerprint.features(*data, rank)[0] == whole).all()
 
 
+def test_dull_stretches_of_a_long_text(monkeypatch):
+    """A piece of spaces alone has no feature of its own where the rest of its text has popular windows; dull texts have."""
+    r = random.Random(41)
+    text = prose(r, 400) + " " * 20_000 + prose(r, 300) + "ab" * 9000
+    texts = [text, " " * 30_000, "x" * 9_000 + "y" * 9_000, "short one"]
+    rank = fingerprint.rarity_ranks(np.arange(fingerprint.GRADES)[::-1])
+    data = utf8(pa.array(texts))
+    whole = fingerprint.features(*data, rank)
+    monkeypatch.setattr(fingerprint, "PIECE", 4096)
+    for h, w in zip(fingerprint.features(*data, rank), whole, strict=True):
+        assert h.tolist() == w.tolist() and len(w)
+
+
 def test_neighbours_follow_descending_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "PART_BYTES", 500)
     monkeypatch.setattr(fingerprint, "LEAST_PART", 500)

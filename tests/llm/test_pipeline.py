@@ -36,7 +36,7 @@ def plain_lines(rows):
     return out
 
 
-def plain_near(rows, k=5):
+def plain_near(rows, k=2):
     sets = []
     for _, t, *_ in rows:
         w = (t or "").lower().split()

@@ -116,19 +116,24 @@ def least_edits(phrase, words):
 def test_notices_by_edit_distance():
     r = random.Random(22)
     phrases = list(licenses.NOTICES)
-    for _ in range(60):
+    for turn in range(1000):
         phrase = r.choice(phrases)
         text = list(phrase)
         for _ in range(r.randrange(6)):
             k = r.randrange(len(text))
             text[k : k + 1] = r.choice(["", r.choice("aeinrst"), text[k] + r.choice("aeinrst")])
-        words = f"{prose(r, 3)} {''.join(text)} {prose(r, 3)}".lower()
+        glue = r.choice(["", r.choice(["x", "abc", "0xabcdef", "s of"])]) if turn % 2 else ""
+        words = f"{prose(r, 3)} {''.join(text)}{glue} {prose(r, 3)}".lower() if turn % 3 else f"{prose(r, 2)}{' ' if glue else ''}{''.join(text)}{glue}".lower()
         words = " ".join(re.findall(r"[0-9a-z]+", words))
         found = {f["label"] for f in licenses.scan(words)[2]}
         expect = {label for p, label in licenses.NOTICES.items() if least_edits(p, words) <= len(p) // licenses.CHARS_PER_EDIT}
         assert found == expect, words
 
 
+def test_glued_words_do_not_hide_a_notice():
+    assert {f["label"] for f in licenses.scan("licensed uder the apache license version 2 0xabcdef")[2]} == {"apache-2.0"}
+
+
 def test_base_phrases_by_words(spark):
     r = random.Random(23)
     pool = "cc by general public license all rights reserved Licenſe é CC".split()
@@ -160,6 +165,102 @@ def test_densities_decide(monkeypatch):
     assert "More" in html.main_text(bare)
 
 
+def probe(text):
+    return html.main_text(f"<body>{text}</body>")
+
+
+LONGER = " ".join([PROSE] * 4)
+
+
+def test_wrappers_of_the_whole_text_stay_and_those_beside_it_go():
+    for sign in ('class="related-content"', 'id="tags"', 'class="header-image-layout"', 'class="menu-open"', 'class="social-wrapper"', 'role="search"'):
+        assert probe(f"<div {sign}><p>{LONGER}</p><p>Short.</p></div>") == f"{LONGER}\nShort."
+        assert probe(f"<div><p>{LONGER}</p></div><div {sign}><p>Beside: {LONGER}</p></div>") == LONGER
+        assert probe(f"<article><p>Brief.</p></article><div {sign}><p>{LONGER}</p></div>") == "Brief."
+    assert probe(f'<form id="aspnetForm"><article><p>{LONGER}</p></article><p>Menu</p></form>') == LONGER
+    assert probe(f"<form><p>{LONGER}</p></form>") == LONGER and probe(f"<p>{LONGER}</p><form><p>Join: {LONGER}</p></form>") == LONGER
+    assert probe(f'<div class="menu"><div hidden>{LONGER}</div><p>{LONGER}</p></div>') == LONGER
+    assert probe(f'<p>{LONGER}</p><div class="wide"><nav>{LONGER}</nav></div>') == LONGER
+
+
+def test_comment_articles_go():
+    for inside in (f'<article><p>{LONGER}</p><article class="comment"><p>Me: {LONGER}</p></article></article>', f'<article><p>{LONGER}</p></article><article class="comment-body"><p>Me: {LONGER}</p></article>'):
+        assert probe(inside) == LONGER
+    assert probe(f'<article class="has-sidebar"><p>{LONGER}</p></article>') == LONGER
+
+
+def test_languages_without_a_list():
+    latin = " ".join(["lorem ipsum dolor sit amet consectetur adipiscing elit"] * 6)
+    chinese = "这是一个很长的段落没有空格" * 30
+    for text in (latin, chinese):
+        assert probe(f"<div><p>{text}</p></div><div>{LINKS}</div>") == text
+    assert probe(f"<div><p>{LONGER}</p></div><div>{latin}</div><div>{LINKS}</div>") == LONGER + "\n" + latin
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        for tag in ("title", "textarea", "xmp", "style"):
+            probe(f"<{tag}>x " * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def plain_second(first, decided):
+    out = []
+    for i, x in enumerate(first):
+        near = sorted((abs(i - j), first[j]) for j in range(len(first)) if decided[j])
+        left = [(i - j, first[j]) for j in range(i) if decided[j]][-1:]
+        right = [(j - i, first[j]) for j in range(i + 1, len(first)) if decided[j]][:1]
+        if x >= 0:
+            out.append(x)
+        elif not near:
+            out.append(1)
+        elif not left or not right:
+            out.append((left or right)[0][1])
+        else:
+            out.append(max(v for d, v in left + right if d == min(left[0][0], right[0][0])))
+    return out
+
+
+def plain_first(text, links, known):
+    words = [w.strip("".join(set(w) - set("".join(c for c in w if c.isalnum() or c == "_")))) for w in text.lower().split()]
+    stops = sum(w in html.STOP_WORDS for w in words)
+    if links > 0.5 * len(text) or "©" in text and len(text) < 200:
+        return 0
+    if len(text) < 70:
+        return -1
+    if not known:
+        return 1 if len(text) >= 200 else -1
+    return 1 if stops >= 0.3 * len(words) or len(text) >= 200 and stops >= 0.15 * len(words) else -1
+
+
+def test_both_passes_by_brute_force():
+    """Random pages of unmarked blocks: labels from the rules as written down, neighbours looked for one by one."""
+    r = random.Random(61)
+    seen = set()
+    for turn in range(400):
+        pool = ["the", "of", "and", "river", "stone", "amber", "copper"] if turn % 4 else ["flumen", "saxum", "aes", "ventus"]
+        blocks = []
+        for _ in range(r.randrange(1, 14)):
+            text = " ".join(r.choice(pool) for _ in range(r.choice([1, 3, 14, 20, 60])))
+            linked = " ".join(r.choice(pool) for _ in range(r.choice([0, 0, 0, 2, 30])))
+            blocks.append((text, linked, "© 2020 " if r.random() < 0.1 else ""))
+        page = "".join(f"<div>{c}{t}{f' <a href=x>{k}</a>' if k else ''}</div>" for t, k, c in blocks)
+        texts = [(" ".join(f"{c}{t} {k}".split()), len(k)) for t, k, c in blocks]
+        running = [t for t, k in texts if len(t) >= 70 and k <= 0.5 * len(t)]
+        words = [w for t in running for w in t.split()]
+        known = sum(w in html.STOP_WORDS for w in words) >= 0.05 * len(words)
+        first = [plain_first(t, k, known) for t, k in texts]
+        labels = plain_second(first, [x >= 0 for x in first])
+        assert html.main_text(page) == "\n".join(t for (t, _), x in zip(texts, labels, strict=True) if x)
+        seen |= {(known, f, x) for f, x in zip(first, labels, strict=True)}
+    assert len(seen) == 8  # each rule decides somewhere, in both kinds of pages
+
+
 def test_unclosed_controls_lose_no_text():
     assert html.main_text(f"<body><select><option>a<option>b<p>{PROSE}</p><button>go<div>{PROSE}</div>") == f"{PROSE}\n{PROSE}"
 
