@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shardmend.llm import linededup, mixing, neardup, packing, quality
-from shardmend.llm.common import materialise, table, tidied
+from shardmend.llm.common import fields, materialise, table, tidied
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of lowest id; rows without id or words all stay.
 
-    Five words to a shingle and a similarity of 0.8 are what a stage on word shingles takes here. One changed word then
-    touches five shingles, so a copy with a changed word in every fifty or so is below it; ``op4_near_duplicates``, whose
-    contract asks for two words, catches more. All links at this threshold are found (tests compare with brute force).
+    Links are those of ``op4_near_duplicates``, whose contract sets two words to a shingle and a similarity of 0.8: one
+    changed word then touches two shingles, and copies with a changed word in every twenty or so are still caught.
     """
-    return neardup.deduplicated(docs, k=5)
+    return neardup.deduplicated(docs, k=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their bucket, batch and slot; rows without words go to the first bucket."""
-    return packing.packed(docs, docs.columns).select(*docs.columns, "_pack.*")
+    return packing.packed(docs, docs.columns).select(*fields(docs.columns), "_pack.*")
 
 
 STAGES = [
