@@ -6,14 +6,19 @@ What a step cannot be applied to, it refuses with ValueError, and the payload st
 
 from __future__ import annotations
 
+import hashlib
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from shardmend.functions.prng import Pcg32
+from shardmend.operators.coefficients import zigzag
 from shardmend.operators.seeded_steps import step
-from shardmend.sources.markers import DHT, DRI, EOI, FRAMES, SOI, SOS, STANDARD_TABLES, neutralised, segments, with_standard_tables
+from shardmend.sources import exif
+from shardmend.sources.markers import DHT, DQT, DRI, EOI, FRAMES, SOI, SOS, STANDARD_TABLES, neutralised, segments, with_standard_tables
 
 APP0, APP1, APP2, APP13, APP14, COM, PROGRESSIVE = 0xE0, 0xE1, 0xE2, 0xED, 0xEE, 0xFE, 0xC2
 EXIF = b"Exif\0\0"
@@ -45,11 +50,33 @@ def segment(marker: int, payload: bytes) -> bytes:
 
 
 @step
-def strip_exif(data: bytes, g: Pcg32, mode: str = "all") -> bytes:
-    """Without Exif, comments, editor notes and what else APP2 holds besides a colour profile."""
-    if mode != "all":
-        raise ValueError("only whole blocks are removed")
-    return without(data, lambda m, p: m in (APP1, APP13, COM) or m == APP2 and not p.startswith(b"ICC_PROFILE"))
+def strip_exif(data: bytes, g: Pcg32, mode: str = "private") -> bytes:
+    """Without what tells a person, a device or a place; or, if ``all``, without Exif, comments, editor notes and what else APP2 holds besides a colour profile.
+
+    The rest of the Exif block is written anew. A block that can't be read goes whole, as do other kinds of notes.
+    """
+    if mode == "all":
+        return without(data, lambda m, p: m in (APP1, APP13, COM) or m == APP2 and not p.startswith(b"ICC_PROFILE"))
+    block = exif_block(data)
+    if block is not None:
+        tree = exif.parsed(data[block["start"] : block["end"]])
+        if tree is not None:
+            tree.gps = []
+            tree.main = [e for e in tree.main if e.tag not in exif.PRIVATE]
+            tree.exif = [e for e in tree.exif if e.tag not in exif.PRIVATE]
+        data = with_exif(data, None if tree is None else exif.written(tree))
+    return without(data, lambda m, p: m == APP1 and not p.startswith(EXIF) or m == APP13)
+
+
+def with_exif(data: bytes, payload: bytes | None) -> bytes:
+    """``data`` with another Exif block, or without one; a new block comes behind the start, and a JFIF header there."""
+    new, block = b"" if payload is None else segment(APP1, payload), exif_block(data)
+    if block is not None:
+        return data[: block["offset"]] + new + data[block["offset"] + block["length"] :]
+    at = 2 if data[:2] == b"\xff\xd8" else 0
+    first = next((s for s in segments(data) if s["offset"] == at and s["marker"] == APP0), None)
+    at = first["end"] if first else at
+    return data[:at] + new + data[at:]
 
 
 @step
@@ -288,18 +315,12 @@ def exif_entries(data: bytes) -> list[dict]:
 
 @step
 def exif_orientation(data: bytes, g: Pcg32, value: int = 6) -> bytes:
-    """Another rotation in the Exif block, a wrong one for values that mean nothing; files without a block get one."""
+    """Another rotation in the Exif block, a wrong one for values that mean nothing. The block is written anew; files without one get one."""
     value = value if 1 <= value <= 8 else 0x5A5A
-    for e in exif_entries(data):
-        if e["tag"] == ORIENTATION and e["kind"] == 3:
-            return data[: e["place"]] + struct.pack(e["order"] + "H", value) + data[e["place"] + 2 :]
-    if exif_block(data) is not None:
-        raise ValueError("the Exif block has no rotation")
-    block = EXIF + b"II" + struct.pack("<HIHHHIHHI", 42, 8, 1, ORIENTATION, 3, 1, value, 0, 0)
-    at = 2 if data[:2] == b"\xff\xd8" else 0
-    first = next((s for s in segments(data) if s["offset"] == at and s["marker"] == APP0), None)
-    at = first["end"] if first else at
-    return data[:at] + segment(APP1, block) + data[at:]
+    block = exif_block(data)
+    tree = (exif.parsed(data[block["start"] : block["end"]]) if block else None) or exif.Tree()
+    tree.main = sorted([e for e in tree.main if e.tag != ORIENTATION] + [exif.Entry(ORIENTATION, 3, 1, struct.pack(tree.order + "H", value))], key=lambda e: e.tag)
+    return with_exif(data, exif.written(tree))
 
 
 @step
@@ -323,3 +344,123 @@ def exif_corrupt(data: bytes, g: Pcg32, rate: float = 0.05) -> bytes:
             struct.pack_into(order + "I", out, after, 8)
     return bytes(out)
 
+
+
+# Quantisation tables of the JPEG standard (ITU T.81, K.1 and K.2) by rows.
+LUMA = [
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
+]
+CHROMA = [17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, *[99] * 38]
+
+
+def quality_table(number: int, quality: int) -> list[int]:
+    """The standard table of a number at a quality of 1 to 100, in the order of files."""
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    natural, place = LUMA if number == 0 else CHROMA, zigzag()
+    return [min(max((natural[k] * scale + 50) // 100, 1), 255) for k in sorted(range(64), key=place.__getitem__)]
+
+
+def quantisation(data: bytes) -> list[tuple[int, int, list[int]]]:
+    """(precision, number, values in the order of files) of all quantisation tables; values that are cut off count as 1."""
+    out = []
+    for s in segments(data):
+        at, payload = 0, data[s["start"] : s["end"]]
+        while s["marker"] == DQT and at < len(payload):
+            wide, width = payload[at] >> 4, 2 if payload[at] >> 4 else 1
+            body = payload[at + 1 : at + 1 + 64 * width]
+            values = [int.from_bytes(body[k : k + width]) if k + width <= len(body) else 1 for k in range(0, 64 * width, width)]
+            out.append((wide, payload[at] & 15, values))
+            at += 1 + 64 * width
+    return out
+
+
+@step
+def qtable_decode_swap(data: bytes, g: Pcg32, mode: str = "scale", factor: float = 2.0, quality: int = 10) -> bytes:
+    """Other quantisation tables in the header, while the data stays: scaled ones, the first two swapped, or those of a quality.
+
+    The first segment of tables takes all of them; later ones go.
+    """
+    tables = quantisation(data)
+    if not tables:
+        raise ValueError("no quantisation tables found")
+    if mode == "swap":
+        place = {number: k for k, (_, number, _) in reversed(list(enumerate(tables)))}
+        if 0 in place and 1 in place:
+            (a, b), own = (place[0], place[1]), [t[2] for t in tables]
+            own[a], own[b] = own[b], own[a]
+            tables = [(w, n, v) for (w, n, _), v in zip(tables, own, strict=True)]
+    elif mode == "table":
+        tables = [(w, n, quality_table(n, min(max(quality, 1), 100))) for w, n, _ in tables]
+    else:
+        factor = min(max(factor, 0.01), 100.0)
+        tables = [(w, n, [int(min(max(float(int(v * factor + 0.5)), 1), 65535 if w else 255)) for v in values]) for w, n, values in tables]
+    payload = b"".join(bytes([w << 4 | n]) + b"".join(v.to_bytes(2) if w else bytes([v & 255]) for v in values) for w, n, values in tables)
+    out, at, new = [], 0, segment(DQT, payload)
+    for s in segments(data):
+        if s["marker"] == DQT:
+            out += [data[at : s["offset"]], new]
+            at, new = s["offset"] + s["length"], b""
+    return b"".join(out) + data[at:]
+
+
+def plausible_frame(data: bytes, at: int) -> int:
+    """The area that a frame header at a place tells, if it is one of 8 bits whose length fits its components; else 0."""
+    if at + 10 >= len(data) or data[at + 1] not in (0xC0, 0xC1, 0xC2) or data[at + 4] != 8:
+        return 0
+    (length,), (high, wide), n = struct.unpack_from(">H", data, at + 2), struct.unpack_from(">HH", data, at + 5), data[at + 9]
+    return high * wide if n in (1, 3, 4) and length == 8 + 3 * n else 0
+
+
+@step
+def repair_header(data: bytes, g: Pcg32) -> bytes:
+    """A file whose headers the walk doesn't find, from the largest plausible frame in it on, with the tables up to 4 KB before it.
+
+    As when a wrong length makes a note swallow them; the largest frame, so that a small picture in a note loses.
+    """
+    if any(s["marker"] in FRAMES for s in segments(data)):
+        raise ValueError("the header is whole")
+    best, area, at = -1, 0, data.find(b"\xff", 2)
+    while at >= 0:
+        if (here := plausible_frame(data, at)) > area:
+            best, area = at, here
+        at = data.find(b"\xff", at + 1)
+    if best < 0:
+        raise ValueError("no frame header in the file")
+    start = best
+    at = data.find(b"\xff\xdb", max(best - 4096, 0), best)
+    while at >= 0:
+        length = int.from_bytes(data[at + 2 : at + 4])
+        if length >= 67 and (length - 2) % 65 == 0 and at + 2 + length <= best + 2:
+            start = at
+            break
+        at = data.find(b"\xff\xdb", at + 1, best)
+    return b"\xff\xd8" + data[start:]
+
+
+def signature_table(photos: DataFrame, key: str = "photo_id", column: str = "bytes") -> DataFrame:
+    """(key, frame, tables): what tells the camera's mode of a photo, as hashes: its frame header, and its quantisation and Huffman tables.
+
+    Photos without a frame before their scan have nulls.
+    """
+    kind = dict(photos.dtypes)[key]
+
+    def look(data: bytes | None) -> tuple[str | None, str | None]:
+        frame, tables = None, hashlib.sha256()
+        for wanted in (DQT, DHT):
+            tables.update(b"|")
+            for s in segments(data or b""):
+                if s["marker"] == SOS:
+                    break
+                if s["marker"] == wanted:
+                    tables.update(data[s["start"] : s["end"]])
+                if s["marker"] in FRAMES and frame is None:
+                    frame = hashlib.sha256(data[s["start"] : s["end"]]).hexdigest()
+        return frame, tables.hexdigest() if frame else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [look(b) for b in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], names=[key, "frame", "tables"])
+
+    return photos.select(key, column).mapInArrow(run, f"{key} {kind}, frame string, tables string")

@@ -83,7 +83,7 @@ def photo_query(name: str, step: str, hexed: str, more: str = "", of: str = "ph"
 photo_query("photo_sof_dims", "sof_dims", WHOLE.replace("wide ||", "printf('%04X', doc_id % 70 + 32) ||"))
 photo_query("photo_sof_size", "sof_dims", WHOLE.replace("high || wide", "printf('%04X', doc_id % 50 + 11) || '0280'"), width=640, height_delta=-5)
 photo_query("photo_cbcr_swap", "cbcr_swap", WHOLE.replace(COMPONENTS, "03012200031101021101"))
-photo_query("photo_strip_exif", "strip_exif", WHOLE.replace("exif || note || ", ""))
+photo_query("photo_strip_exif", "strip_exif", WHOLE.replace("exif || note || ", ""), mode="all")
 photo_query("photo_icc_loss", "icc_loss", WHOLE.replace("icc || ", ""))
 photo_query("photo_no_dht", "mjpeg_no_dht", f"{HEAD} || {BODY}", mode="none")
 _STANDARD = f"'FFC4{len(markers.STANDARD_TABLES) + 2:04X}{markers.STANDARD_TABLES.hex().upper()}'"
