@@ -101,3 +101,29 @@ def painted(coef: Column, weight: Column, mode: str = "zero") -> Column:
     """Coefficients under a brush of weight 0 to 1: faded out, or kept to their first one."""
     faded = lambda v: (v * (F.lit(1.0) - weight)).cast("int")
     return F.transform(coef, lambda v, i: F.when(F.lit(mode == "flat") & (i == 0), v).otherwise(faded(v)))
+
+
+def mask_weight(mask: dict, strength: Column | float, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The weight of a place (x, y) of a grid under a painted mask {w, h, data} of 0 to 255, whose own grid is laid over the whole.
+
+    Each place takes the mask's cell that it falls into. A mask that isn't whole covers everything.
+    """
+    w, h, data = int(mask.get("w") or 0), int(mask.get("h") or 0), mask.get("data") or []
+    if w <= 0 or h <= 0 or len(data) < w * h:
+        return F.lit(1.0) * strength
+    cell = F.least(F.floor(y * h / F.greatest(height, F.lit(1))), F.lit(h - 1)) * w + F.least(F.floor(x * w / F.greatest(width, F.lit(1))), F.lit(w - 1))
+    return F.element_at(F.array(*[F.lit(float(min(max(int(v), 0), 255))) for v in data[: w * h]]), (cell + 1).cast("int")) / 255.0 * strength
+
+
+def brushed(coef: Column, weight: Column, mode: str = "zero") -> Column:
+    """Coefficients of a block under a brush: detail dropped from the finest on, ``boost``ed, or rounded to ``harsh`` steps; the first one stays."""
+    most = lambda v: F.least(F.greatest(v, F.lit(-32767)), F.lit(32767)).cast("int")
+    if mode in ("boost", "harsh"):
+        f = F.lit(1.0) + weight * (3.0 if mode == "boost" else 15.0)
+        change = (lambda v: rounded(v * f)) if mode == "boost" else (lambda v: rounded(rounded(v / f) * f))
+        done = F.transform(coef, lambda v, i: F.when(i == 0, v).otherwise(most(change(v))))
+    else:
+        keep = F.least(F.greatest(rounded(F.lit(64.0) - weight * 63.0), F.lit(1)), F.lit(64))
+        order = F.array(*map(F.lit, zigzag()))
+        done = F.transform(coef, lambda v, i: F.when(F.element_at(order, i + 1) < keep, v).otherwise(F.lit(0)))
+    return F.when(weight > 0, done).otherwise(coef)
