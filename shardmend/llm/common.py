@@ -58,7 +58,7 @@ def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             out = f(*args, **kwargs)
         finally:
             _MADE.reset(token)
-        read = "\n".join(out.inputFiles()) if made else ""
+        read = _folders(out) if made else ""
         for path in made:
             if path.rsplit("/", 1)[1] in read:
                 if outer is not None:
@@ -70,6 +70,16 @@ def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def _folders(df: DataFrame) -> str:
+    """The folders that a plan reads, however many files are in them."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves().iterator(), []
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            out.append(leaf.relation().location().rootPaths().mkString("\n"))
+    return "\n".join(out)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -112,6 +122,18 @@ def whole_id(docs: DataFrame) -> Column:
     return docs["doc_id"].cast("long")
 
 
+def with_own_ids(docs: DataFrame, name: str, base: int) -> DataFrame:
+    """``docs`` with a column ``name``: doc_id as a number, and for rows without one a number of their own from ``base`` on.
+
+    Rows without an id are written once, if there are any, so that their numbers hold however often they are read.
+    """
+    lone = docs.where("doc_id IS NULL")
+    if lone.isEmpty():
+        return docs.withColumn(name, whole_id(docs))
+    numbered = materialise(lone.withColumn(name, F.monotonically_increasing_id() + base))
+    return docs.where("doc_id IS NOT NULL").withColumn(name, whole_id(docs)).unionByName(numbered)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have in any case."""
     taken, name = {c.lower() for c in df.columns}, f"_{stem}"

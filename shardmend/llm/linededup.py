@@ -13,7 +13,8 @@ Lines and list entries travel packed, a row for each bucket of hashes that a tas
 about WORDS_IN_BUCKET words at any size of input. A token listed by more than HOT lines is dealt over parts, where each
 line looks back in its own part only; those that find nothing there ask in all parts.
 
-Earlier means a smaller doc_id (null first), then a smaller line number. ``min_tokens`` is a floor that a caller may
+Earlier means a smaller doc_id, then a smaller line number; rows without doc_id come before all others, each by itself and
+in any order. ``min_tokens`` is a floor that a caller may
 set: lines of fewer distinct words stay. By default no line with words is left out. Null texts stay null; empty lines
 and texts stay. Rows that repeat a doc_id are one document in this order: what is removed from one is removed from
 another where the line is the same, and they do not remove each other's lines of the same number. Very long texts are
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, arrow_map, batch_bytes, fresh_name, lean, materialise, quoted, mix64, row_groups, strings, tidied, utf8, word_hashes, whole_id
+from shardmend.llm.common import BUFFER, arrow_map, batch_bytes, fresh_name, lean, materialise, quoted, mix64, row_groups, strings, tidied, utf8, word_hashes, whole_id, with_own_ids
 
 PERCENT = 80
 #: Sets of fewer words match equal sets only, at this similarity; a set of four also matches one of five.
@@ -735,9 +736,10 @@ def asked(docs: DataFrame, found: DataFrame, failed: DataFrame, hot: tuple[np.nd
 def without_repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
     """``docs`` with the lines that match earlier ones removed from ``text``; ``_lines`` counts all and removed lines."""
     docs = docs.drop("_lines")
-    name = fresh_name(docs, "gone")
-    gone = repeated_lines(docs, min_tokens).groupBy("d").agg(F.collect_set(F.struct("l", "mark")).alias(name))
-    joined = docs.join(gone, F.coalesce(whole_id(docs), F.lit(NULL_ID)) == gone["d"], "left").select(*[docs[quoted(c)] for c in docs.columns], name)
+    name, own, columns = fresh_name(docs, "gone"), fresh_name(docs, "own"), docs.columns
+    docs = with_own_ids(docs, own, NULL_ID)
+    gone = repeated_lines(docs.select(F.col(own).alias("doc_id"), "text"), min_tokens).groupBy("d").agg(F.collect_set(F.struct("l", "mark")).alias(name))
+    joined = docs.join(gone, docs[own] == gone["d"], "left").select(*[docs[quoted(c)] for c in columns], name)
     count = pa.struct([("n_lines", pa.int32()), ("n_removed", pa.int32())])
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -759,7 +761,7 @@ def without_repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
         names = [n for n in batch.schema.names if n != name]
         return pa.RecordBatch.from_arrays([*(made.get(n, batch.column(n)) for n in names), counts], names=[*names, "_lines"])
 
-    schema = ", ".join(f"{quoted(c)} {'long' if c == 'n_chars' else 'string' if c == 'text' else t}" for c, t in docs.dtypes)
+    schema = ", ".join(f"{quoted(c)} {'long' if c == 'n_chars' else 'string' if c == 'text' else t}" for c, t in docs.dtypes if c != own)
     return arrow_map(joined, rebuild, f"{schema}, _lines struct<n_lines:int,n_removed:int>")
 
 

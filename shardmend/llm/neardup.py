@@ -11,8 +11,8 @@ What is then still in different components of one bucket is compared in blocks o
 verified there; only links leave a block. Links inside a component cannot change the result and are skipped.
 
 Null and empty texts have no shingles and are linked with nothing. A text with fewer words than a shingle is one
-shingle; a very long one is sketched in steps of 1,024 shingles and verified on its full set. Ids must be whole numbers; rows without doc_id are kept
-and linked with nothing. Rows that repeat a doc_id with the same text share one decision. An empty table gives no rows.
+shingle; a very long one is sketched in steps of 1,024 shingles and verified on its full set. Ids must be whole numbers; ``near_duplicates`` keeps rows
+without doc_id and links them with nothing, ``deduplicated`` gives each a number of its own. Rows that repeat a doc_id with the same text share one decision. An empty table gives no rows.
 Other columns may have any names; ``deduplicated`` carries them along.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardmend.llm.common import BUFFER, LOWER, arrow_map, fresh_name, materialise, mix64, row_groups, shingle_hashes, tidied, utf8, whole_id, word_hashes
+from shardmend.llm.common import BUFFER, LOWER, arrow_map, fresh_name, materialise, mix64, row_groups, shingle_hashes, tidied, utf8, whole_id, with_own_ids, word_hashes
 
 M, BANDS, ROWS = 256, 42, 6
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
@@ -308,11 +308,13 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+@tidied
 def deduplicated(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``docs`` without the rows that are not the first of their component."""
-    name = fresh_name(docs, "gone")
-    gone = near_duplicates(docs, k).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, whole_id(docs) == gone[name], "left_anti")
+    """``docs`` without the rows that are not the first of their component; rows without doc_id come after those with one, in any order."""
+    own, name = fresh_name(docs, "own"), fresh_name(docs, "gone")
+    docs = with_own_ids(docs, own, 1 << 62)
+    gone = near_duplicates(docs.select(F.col(own).alias("doc_id"), "text"), k).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[own] == gone[name], "left_anti").drop(own)
 
 
 ORACLE_SQL = r"""

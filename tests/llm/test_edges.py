@@ -99,6 +99,25 @@ def test_near_duplicates(docs):
     assert by_row(neardup.near_duplicates(docs.limit(0), 2)) == []
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    text = prose(5, 40)
+    rows = [(None, text), (None, text), (None, prose(6, 40)), (3, text), (None, None), (4, prose(7, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    kept = [(x["doc_id"], x["text"]) for x in neardup.deduplicated(docs, 2).collect()]
+    assert sorted(kept, key=str) == sorted([(3, text), (None, rows[2][1]), (None, None), (4, rows[5][1])], key=str)
+    lines = [(x["doc_id"], x["text"]) for x in linededup.without_repeated_lines(docs).collect()]
+    assert sorted(lines, key=str) == sorted([(None, text), (None, ""), (None, rows[2][1]), (3, ""), (None, None), (4, rows[5][1])], key=str)
+    alone = docs.where("doc_id IS NULL")
+    assert neardup.deduplicated(alone, 2).count() == 3 and linededup.without_repeated_lines(alone).where("text = ''").count() == 1
+
+
+def test_ids_must_be_numbers_where_they_order_or_link(spark):
+    named = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    for run in (fingerprint.fingerprints, lambda d: neardup.near_duplicates(d, 2), neardup.deduplicated, linededup.without_repeated_lines):
+        with pytest.raises(ValueError, match="doc_id must be a whole number"):
+            run(named)
+
+
 def test_quality(docs, labels):
     rows = by_row(quality.quality_scores(docs, labels))
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
