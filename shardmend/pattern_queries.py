@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardmend import sql_draws
 from shardmend.catalogue import CLUSTER, SQL_CARD, SQL_PAYLOAD, card_tables, digest, payloads, query, set_checkpoints, table
 from shardmend.operators import cards, coefficients, patterns
 from shardmend.plans.recipe import Recipe, Step, apply_recipe, generation
@@ -81,7 +82,12 @@ def blurred_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.box_blur(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "quantity"], "quantity", 1).select("l_orderkey", "l_linenumber", "blurred")
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"""
+    WITH RECURSIVE p AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n FROM documents), {sql_draws.draws("g", "p", "greatest(n - 1, 1)")},
+         o AS (SELECT p.doc_id, n, list_reduce(list_prepend(range(n), list_transform(range(n - 1, 0, -1), lambda i: [i, v[n - i] % (i + 1)])),
+                      lambda o, e: list_transform(range(1, len(o) + 1), lambda k: CASE k WHEN e[1] + 1 THEN o[e[2] + 1] WHEN e[2] + 1 THEN o[e[1] + 1] ELSE o[k] END)) AS o FROM p JOIN g ON g.doc_id = p.doc_id)
+    SELECT doc_id, n::INTEGER AS size, unnest(range(least(n, 3)))::INTEGER AS draw, unnest(o[1:3])::INTEGER AS line FROM o
+""")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lines of each document without repeats, by a shuffle seeded with its id."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seed"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("size"))

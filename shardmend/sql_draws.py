@@ -91,4 +91,21 @@ def twins() -> dict[str, str]:
     q = draws("g", "p", "1")
     size = "least(greatest(floor(n * 0.5::DOUBLE + 0.5)::BIGINT, 1), n)"
     out["ftp_stretch"] = digest(f"{q}, e AS (SELECT doc_id, n, hx, v, {size} AS size FROM p JOIN g USING (doc_id)), s AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE v[1] % (n - size + 1) END AS low FROM e)", by_byte(f"CASE WHEN {OWN} = '0A' AND k >= low AND k < low + size AND (k = 0 OR substr(hx, (2 * k - 1)::BIGINT, 2) <> '0D') THEN '0D0A' ELSE {OWN} END"), "s")
+    q = draws("g", "p", "2")
+    lines = "(len(e) + 75) // 76"
+    out["base64_damage"] = digest(
+        f"{q}, e AS (SELECT p.doc_id, n, hx, v, to_base64(unhex(hx)) AS e FROM p JOIN g ON g.doc_id = p.doc_id), s AS (SELECT *, {lines} AS m, CASE WHEN {lines} > 1 THEN list_transform(v, lambda x: 1 + x % ({lines} - 1)) ELSE [] END AS s FROM e),"
+        " t AS (SELECT *, replace(array_to_string(list_transform(list_filter(range(m), lambda i: NOT list_contains(s, i)), lambda i: substr(e, 76 * i + 1, 76)), ''), '=', '') AS t FROM s), u AS (SELECT *, substr(t, 1, len(t) - CASE WHEN len(t) % 4 = 1 THEN 1 ELSE 0 END) AS u FROM t)",
+        "CASE WHEN m < 2 THEN hx ELSE upper(hex(from_base64(u || repeat('=', ((4 - len(u) % 4) % 4)::BIGINT)))) END", "u",
+    )
+    # Two pages: the number of one, the length and place of its burst, the bytes; an empty page takes no more draws.
+    q = draws("g", "p", "CASE WHEN n - least(n, 624) < 2048 THEN 1 ELSE 1156 END")
+    steps, last = f"{q}, b0 AS (SELECT p.doc_id, n, hx, v, hx AS h, 1::BIGINT AS j, least(n, 624) AS a, (n - least(n, 624)) // 2048 AS c FROM p JOIN g ON g.doc_id = p.doc_id)", "b0"
+    for i in range(2):
+        steps += f""", k{i} AS (SELECT *, a + v[j] % (c + 1) * 2048 AS k, least(2048, n - (a + v[j] % (c + 1) * 2048)) AS size FROM {last}),
+            m{i} AS (SELECT *, CASE WHEN c > 0 AND size > 0 THEN least(v[j + 1] % 512 + 64, size) ELSE 0 END AS m FROM k{i}),
+            b{i + 1} AS (SELECT doc_id, n, hx, v, CASE WHEN m = 0 THEN h ELSE substr(h, 1, 2 * (k + v[j + 2] % (size - m + 1))) || array_to_string(list_transform(v[j + 3:j + 2 + m], lambda x: format('{{:02X}}', x & 255)), '') || substr(h, 2 * (k + v[j + 2] % (size - m + 1) + m) + 1) END AS h,
+                          j + CASE WHEN m > 0 THEN 3 + m ELSE 1 END AS j, a, c FROM m{i})"""
+        last = f"b{i + 1}"
+    out["flash_fault"] = digest(steps, "h", last)
     return out
