@@ -399,38 +399,6 @@ def card_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Photos: synthetic files, their structure, marker-level edits ---------------------------------------------------
 
 
-def noise_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic JPEG file of 600 to 2500 bytes of seeded noise for each document: (photo_id, bytes)."""
-    make = F.pandas_udf(lambda s: s.map(lambda i: markers.fake_photo(int(i), 600 + int(i) % 1900)), T.BinaryType())
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo_id"), make("doc_id").alias("bytes"))
-
-
-def photo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos one after another on cards of 64, cut into clusters: (card_id, cluster, file_no, bytes)."""
-    files = noise_photos(spark, sf_dir).select(F.floor(F.col("photo_id") / 64).alias("card_id"), (F.col("photo_id") % 64).alias("file_no"), F.length("bytes").cast("long").alias("size"), "bytes")
-    chain = cards.allocate_fresh(files.drop("bytes"), CLUSTER)
-    return chain.join(files.drop("size"), ["card_id", "file_no"]).select("card_id", "cluster", "file_no", F.expr(f"substring(bytes, pos * {CLUSTER} + 1, {CLUSTER})").alias("bytes"))
-
-
-@query("card_carve")
-def card_carve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cards.carved(photo_clusters(spark, sf_dir).drop("file_no")).select("card_id", "first", "clusters", "complete", digest().alias("digest"))
-
-
-@query("card_carve_and_graft")
-def card_carve_and_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Carving after every third photo lost its first cluster: headless bodies go under a header of their card."""
-    stored = photo_clusters(spark, sf_dir)
-    first = stored.groupBy("card_id", "file_no").agg(F.min("cluster").alias("cluster"))
-    left = stored.join(first.where("file_no % 3 = 0").select("card_id", "cluster"), ["card_id", "cluster"], "left_anti")
-    found = cards.carved(left.drop("file_no"))
-    bodies = left.where("file_no % 3 = 0").groupBy("card_id", "file_no").agg(F.min("cluster").alias("first"), F.sort_array(F.collect_list(F.struct("cluster", "bytes"))).alias("rows"))
-    pieces = bodies.select("card_id", "first", F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["bytes"])), "")).alias("bytes"))
-    headers = found.where("complete").select("card_id", F.substring("bytes", 1, 104).alias("header"))
-    grafts = cards.grafted(pieces, headers).select("card_id", "first", F.lit(True).alias("graft"), digest().alias("digest"))
-    return found.select("card_id", "first", F.lit(False).alias("graft"), digest().alias("digest")).unionByName(grafts)
-
-
 @query("preset_stories")
 def preset_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every story at half its worst on every payload, seeds counted up over the batch."""

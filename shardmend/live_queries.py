@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardmend.catalogue import digest, payloads, query, shared_run, table
+from shardmend import sql_draws
+from shardmend.catalogue import digest, query, shared_run, table
 from shardmend.photo_queries import SQL_PHOTO, WHOLE, photos
 from shardmend.plans.recipe import Recipe, Step
 from shardmend.sources import clips
@@ -19,12 +20,20 @@ def clip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.clip_frames(clips.clips_of_frames(frames, 16, 16)).select("clip_id", "idx", digest().alias("digest"))
 
 
-@query("clip_frame_recipe", "SELECT doc_id AS clip_id, 0 AS idx, md5(upper(hex(array_slice(encode(text), 1, floor(octet_length(encode(text)) * 60.0::DOUBLE / 100)::BIGINT)))) AS digest FROM documents WHERE octet_length(encode(text)) > 0")
+_COVERED = sql_draws.by_byte("CASE WHEN k < 1024 THEN format('{:02X}', xor(('0x' || substr(hx, (2 * k + 1)::BIGINT, 2))::BIGINT, (v[k // 4 + 1] >> (8 * (k % 4))) & 255)) ELSE " + sql_draws.OWN + " END")
+
+
+@query("clip_frame_recipe", f"""
+    WITH RECURSIVE {SQL_PHOTO}, p AS (SELECT doc_id, doc_id // 8 AS clip_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) - 1 AS idx, {WHOLE} AS hx, len({WHOLE}) // 2 AS n FROM ph),
+         {sql_draws.draws("g", "p", "greatest(1, (least(n, 1024) + 3) // 4)", seed="7 + idx")}, c AS (SELECT clip_id, idx, {_COVERED} AS h FROM p JOIN g USING (doc_id))
+    SELECT clip_id, idx::INTEGER AS idx, md5(substr(h, 1, 2 * floor(len(h) // 2 * 60.0::DOUBLE / 100)::BIGINT)) AS digest FROM c
+""")
 def clip_frame_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recipe on each frame of a clip, seeds counted up over its frames: here clips of one frame, cut short."""
-    frames = payloads(spark, sf_dir).where("length(bytes) > 0").select(F.col("doc_id").alias("clip_id"), F.lit(0).alias("idx"), F.lit(10.0).alias("fps"), "bytes")
+    """A recipe on each frame of clips of eight, its seeds counted up over the frames: covered by a key stream, then cut short."""
+    frames = photos(spark, sf_dir).select(F.floor(F.col("photo_id") / 8).alias("clip_id"), (F.col("photo_id") % 8).cast("int").alias("idx"), F.lit(10.0).alias("fps"), "bytes")
     whole = clips.clips_of_frames(frames, 16, 16)
-    return clips.framewise(whole, Recipe([Step("truncate", {"percent": 60})])).select("clip_id", "idx", digest().alias("digest"))
+    recipe = Recipe([Step("ransomware", {"kb": 1}, 7), Step("truncate", {"percent": 60})])
+    return clips.framewise(whole, recipe).select("clip_id", "idx", digest().alias("digest"))
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,12 @@ def file_clusters(files: DataFrame, cluster: int) -> DataFrame:
     return files.where(n > 0).select("card_id", "file_no", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
 
 
+def cut_up(data: Column, cluster: int) -> Column:
+    """A payload that isn't empty as an array of its clusters; the last may be shorter."""
+    n = F.floor((F.length(data) - 1) / cluster).cast("int")
+    return F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(data, k * cluster + 1, F.lit(cluster)))
+
+
 def allocate_fresh(files: DataFrame, cluster: int) -> DataFrame:
     """(card_id, file_no, pos, cluster): files one after another on an empty card."""
     n = F.ceil(F.col("size") / cluster)

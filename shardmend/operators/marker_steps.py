@@ -231,6 +231,13 @@ def header_of(data: bytes, keep_exif: bool) -> bytes:
     return b"\xff\xd8" + b"".join(data[s["offset"] : s["offset"] + s["length"]] for s in kept)
 
 
+def bare_header(data: bytes) -> bytes:
+    """All segments up to the first scan's header, without application notes but for the flag that tells how colours are stored."""
+    scan = first_of(data, SOS)["offset"]
+    kept = [s for s in segments(data) if s["offset"] <= scan and s["marker"] != SOI and not (APP0 <= s["marker"] <= APP0 + 15 and s["marker"] != APP14)]
+    return b"\xff\xd8" + b"".join(data[s["offset"] : s["offset"] + s["length"]] for s in kept)
+
+
 def plausible_scan(data: bytes, at: int) -> bool:
     """Whether a scan header at a place is as long as its number of components asks."""
     if at + 5 > len(data) or data[at : at + 2] != b"\xff\xda":

@@ -12,9 +12,9 @@ from shardmend.plans.recipe import Recipe, Step, apply_recipe, generation
 
 
 def stored_clusters(spark: SparkSession, sf_dir: str, live: DataFrame) -> DataFrame:
-    """(card_id, cluster, bytes) of live files."""
-    docs = payloads(spark, sf_dir).select(F.floor(F.col("doc_id") / 64).alias("card_id"), (F.col("doc_id") % 64).alias("file_no"), "bytes")
-    return live.join(docs, ["card_id", "file_no"]).select("card_id", "cluster", F.substring("bytes", (F.col("pos") * CLUSTER + 1).cast("int"), F.lit(CLUSTER)).alias("bytes"))
+    """(card_id, cluster, bytes) of live files, which are cut before they meet their clusters."""
+    docs = payloads(spark, sf_dir).where("length(bytes) > 0").select(F.floor(F.col("doc_id") / 64).alias("card_id"), (F.col("doc_id") % 64).alias("file_no"), F.posexplode(cards.cut_up(F.col("bytes"), CLUSTER)).alias("pos", "bytes"))
+    return live.join(docs, ["card_id", "file_no", "pos"]).select("card_id", "cluster", "bytes")
 
 
 @query("card_read_fat", "SELECT doc_id // 64 AS card_id, doc_id % 64 AS file_no, octet_length(encode(text)) AS size, md5(upper(hex(encode(text)))) AS digest FROM documents WHERE octet_length(encode(text)) > 0 AND (doc_id % 64 >= 48 OR doc_id IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) AS r FROM documents WHERE doc_id % 64 < 48) WHERE r % 2 = 0))")

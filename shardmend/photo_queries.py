@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardmend import sql_draws
-from shardmend.catalogue import CLUSTER, digest, query, table
+from shardmend.catalogue import CLUSTER, digest, query, set_checkpoints, table
 from shardmend.operators import cards, donors, marker_steps
 from shardmend.operators.seeded_steps import seeded
 from shardmend.sources import markers
@@ -181,7 +181,8 @@ def file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(card_id, cluster, file_no, bytes) of all files."""
     files = card_files(spark, sf_dir)
     chain = cards.allocate_fresh(files.drop("bytes"), CLUSTER)
-    return chain.join(files.drop("size"), ["card_id", "file_no"]).select("card_id", "cluster", "file_no", F.substring("bytes", (F.col("pos") * CLUSTER + 1).cast("int"), F.lit(CLUSTER)).alias("bytes"))
+    cut = files.select("card_id", "file_no", F.posexplode(cards.cut_up(F.col("bytes"), CLUSTER)).alias("pos", "bytes"))
+    return chain.join(cut, ["card_id", "file_no", "pos"]).select("card_id", "cluster", "file_no", "bytes")
 
 
 @query("card_carve_files", f"""
@@ -194,6 +195,45 @@ def card_carve_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.carved(file_clusters(spark, sf_dir).drop("file_no")).select("card_id", "first", "complete", digest().alias("digest"))
 
 
+@query("card_carve", f"""
+    WITH {SQL_FILES}, a AS (SELECT *, rest <> '' AND len(body) % {2 * CLUSTER} = 0 AS apart FROM pl)
+    SELECT card_id, first, ((len(body) + CASE WHEN apart THEN 0 ELSE len(rest) END + {2 * CLUSTER - 1}) // {2 * CLUSTER})::BIGINT AS clusters, complete FROM a
+    UNION ALL SELECT card_id, first + len(body) // {2 * CLUSTER}, 1, false FROM a WHERE apart
+""")
+def card_carve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many clusters each carved file runs over, what follows its end marker in them included."""
+    return cards.carved(file_clusters(spark, sf_dir).drop("file_no")).select("card_id", "first", "clusters", "complete")
+
+
+@query("card_carve_and_graft", f"""
+    WITH {SQL_FILES}, h AS (SELECT ph.doc_id, 'FFD8' || note || dqt || {FRAME} || dri || dht || sos AS header FROM ph),
+         d AS (SELECT card_id, header FROM (SELECT card_id, header, row_number() OVER (PARTITION BY card_id ORDER BY len(body) DESC, header DESC) AS r FROM pl JOIN h USING (doc_id) WHERE NOT clip AND complete AND doc_id % 64 % 3 <> 0) WHERE r = 1),
+         o AS (SELECT card_id, first + 1 AS first, substr(CASE WHEN rest <> '' AND len(body) % {2 * CLUSTER} = 0 THEN body ELSE body || rest END, {2 * CLUSTER + 1}) AS piece FROM pl WHERE NOT clip AND doc_id % 64 % 3 = 0)
+    SELECT card_id, first, len(header || piece) // 2 AS size, md5(header || piece) AS digest FROM o JOIN d USING (card_id) WHERE piece <> ''
+""")
+def card_carve_and_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third photo lost its first cluster: runs that no carved file claims go under the header of their card's largest whole photo."""
+    set_checkpoints(spark)
+    stored = file_clusters(spark, sf_dir)
+    first = stored.groupBy("card_id", "file_no").agg(F.min_by(F.struct("cluster", F.hex(F.substring("bytes", 1, 2)).alias("head")), "cluster").alias("f"))
+    lost = first.where("file_no % 3 = 0 AND f.head = 'FFD8'").select("card_id", "f.cluster")
+    left = stored.join(lost, ["card_id", "cluster"], "left_anti").drop("file_no").checkpoint()
+    found = cards.carved(left).checkpoint()
+    claimed = found.select("card_id", F.explode(F.sequence("first", F.col("first") + F.col("clusters") - 1)).alias("cluster"))
+    runs = cards.islands(cards.unclaimed(left.select("card_id", "cluster"), claimed)).select("card_id", "first", F.explode(F.sequence("first", "last")).alias("cluster"))
+    pieces = runs.join(left, ["card_id", "cluster"]).groupBy("card_id", "first").agg(cards.in_order("bytes", "cluster").alias("bytes"))
+    whole = found.where("complete").where(F.hex(F.substring("bytes", 1, 2)) == "FFD8")
+
+    def headers(batches):
+        for batch in batches:
+            made = [marker_steps.bare_header(b) for b in batch.column("bytes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("card_id"), batch.column("n"), pa.array(made, pa.binary())], names=["card_id", "n", "header"])
+
+    every = whole.select("card_id", F.length("bytes").alias("n"), "bytes").mapInArrow(headers, "card_id long, n int, header binary")
+    best = every.groupBy("card_id").agg(F.max(F.struct("n", "header"))["header"].alias("header"))
+    return cards.grafted(pieces, best).select("card_id", "first", F.length("bytes").cast("long").alias("size"), digest().alias("digest"))
+
+
 @query("card_file_cluster_kinds", f"""
     WITH {SQL_FILES}, c AS (SELECT card_id, first + k AS cluster, regexp_extract_all(substr(body || rest, (k * {2 * CLUSTER} + 1)::BIGINT, {2 * CLUSTER}), '..') AS b FROM (SELECT *, unnest(range((size + {CLUSTER - 1}) // {CLUSTER})) AS k FROM pl)),
          s AS (SELECT *, len(list_filter(b, lambda x: x = '00')) AS zeros, len(list_filter(b, lambda x: x = 'FF')) AS full_, list_filter(range(1, len(b)), lambda k: b[k] = 'FF') AS marks FROM c)

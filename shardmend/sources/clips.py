@@ -53,11 +53,12 @@ def muxed(frames: list[bytes], fps: float, width: int, height: int) -> bytes:
     main = struct.pack("<14I", round(1e6 / fps), 0, 0, 0x10, len(frames), 0, 1, most, width, height, 0, 0, 0, 0)
     stream = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, 1000, round(fps * 1000), 0, len(frames), most, 0xFFFFFFFF, 0, 0, 0, width, height)
     form = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
-    movie, index, at = b"", b"", 4
+    pieces, places, at = [], [], 4
     for frame in frames:
-        piece = chunk(b"00dc", frame)
-        index += struct.pack("<4sIII", b"00dc", 0x10, at, len(frame))
-        movie, at = movie + piece, at + len(piece)
+        pieces.append(chunk(b"00dc", frame))
+        places.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(frame)))
+        at += len(pieces[-1])
+    movie, index = b"".join(pieces), b"".join(places)
     body = b"AVI " + group(b"hdrl", chunk(b"avih", main) + group(b"strl", chunk(b"strh", stream) + chunk(b"strf", form))) + group(b"movi", movie) + chunk(b"idx1", index)
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
@@ -77,9 +78,14 @@ def clip_frames(clips: DataFrame) -> DataFrame:
 
 def clips_of_frames(frames: DataFrame, width: int, height: int) -> DataFrame:
     """(clip_id, n_frames, bytes) from (clip_id, idx, fps, bytes); a clip is one file and so one row."""
-    mux = F.udf(lambda rows, fps: muxed([bytes(r["bytes"]) for r in rows], fps, width, height), "binary")
-    ordered = frames.groupBy("clip_id").agg(F.first("fps").alias("fps"), F.sort_array(F.collect_list(F.struct("idx", "bytes"))).alias("rows"))
-    return ordered.select("clip_id", F.size("rows").alias("n_frames"), mux("rows", "fps").alias("bytes"))
+    kind = dict(frames.dtypes)["clip_id"]
+
+    def mux(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        whole = muxed(rows.column("bytes").to_pylist(), rows.column("fps")[0].as_py(), width, height)
+        return pa.table({"clip_id": rows.column("clip_id").slice(0, 1), "n_frames": pa.array([rows.num_rows], pa.int32()), "bytes": pa.array([whole], pa.binary())})
+
+    return frames.select("clip_id", "idx", "fps", "bytes").groupBy("clip_id").applyInArrow(mux, f"clip_id {kind}, n_frames int, bytes binary")
 
 
 def framewise(whole: DataFrame, recipe: Recipe) -> DataFrame:
