@@ -157,6 +157,17 @@ def photo_scan_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_photos.select("photo_id", "n_bytes").join(found, "photo_id").select("photo_id", "n_bytes", "n_scan", "scans", "cut_short")
 
 
+@query("photo_inspection", f"""
+    WITH {SQL_PHOTO}, w AS (SELECT ph.*, len({WHOLE}) // 2 AS size, len({HEAD} || dht || sos || scan || sos2 || scan2) // 2 AS tail FROM ph)
+    SELECT doc_id AS photo_id, size, (doc_id % 70 + 16)::INTEGER AS width, (doc_id % 50 + 16)::INTEGER AS height, CASE WHEN passes THEN 194 ELSE 192 END AS sof, passes AS progressive, 3 AS components, 16 AS mcu_width, 16 AS mcu_height,
+           ((doc_id % 70 + 31) // 16)::INTEGER AS mcu_cols, ((doc_id % 50 + 31) // 16)::INTEGER AS mcu_rows, CASE WHEN strips THEN 5 ELSE 0 END AS restart_interval, CASE WHEN passes THEN 2 ELSE 1 END AS scans,
+           CASE WHEN ghost <> '' THEN 5 ELSE 0 END::BIGINT AS trailing_bytes, CASE WHEN noise <> '' THEN 3 ELSE 0 END::BIGINT AS garbage_bytes, CASE WHEN eoi <> '' THEN tail END AS eoi_offset FROM w
+""")
+def photo_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of each photo tell, and how many of its bytes belong to nothing or come behind its end."""
+    return markers.frame_table(photos(spark, sf_dir))
+
+
 # --- Files on cards: photos and clips one after another, each from a new cluster on ----------------------------------
 
 #: The file of each document in SQL: every ninth is a clip of its text. ``body`` ends where the file does, ``rest`` lies behind it.

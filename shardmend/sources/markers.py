@@ -104,6 +104,48 @@ def segment_table(photos: DataFrame, key: str = "photo_id", column: str = "bytes
     return photos.select(key, column).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"`{x.split()[0]}` {x.split()[1]}" for x in SEGMENT_SCHEMA.split(", ")))
 
 
+FRAME_SCHEMA = "size long, width int, height int, sof int, progressive boolean, components int, mcu_width int, mcu_height int, mcu_cols int, mcu_rows int, restart_interval int, scans int, trailing_bytes long, garbage_bytes long, eoi_offset long"
+
+
+def inspected(data: bytes) -> tuple:
+    """What the headers of a photo tell, and what of it is no part of a segment, in the order of FRAME_SCHEMA.
+
+    Bytes between segments are garbage but for fill bytes; those behind the end marker are trailing. A photo without a
+    frame has nulls for it.
+    """
+    found, size = list(segments(data)), len(data)
+    frame = next((s for s in found if s["marker"] in FRAMES), None)
+    told: tuple = (None,) * 9
+    if frame is not None:
+        payload = data[frame["start"] : frame["end"]]
+        high, wide = int.from_bytes(payload[1:3]), int.from_bytes(payload[3:5])
+        parts = [payload[b : b + 3] for b in range(6, 6 + 3 * min(payload[5] if len(payload) > 5 else 0, 4), 3)]
+        factors = [(min(max(p[1] >> 4, 1), 4), min(max(p[1] & 15, 1), 4)) for p in parts if len(p) == 3]
+        x, y = (8, 8) if len(factors) == 1 else (8 * max((f[0] for f in factors), default=1), 8 * max((f[1] for f in factors), default=1))
+        told = wide, high, frame["marker"], frame["marker"] in (0xC2, 0xC6, 0xCA, 0xCE), len(factors), x, y, max(-(-wide // x), 1), max(-(-high // y), 1)
+    ended = bool(found) and found[-1]["marker"] == EOI
+    garbage, at = 0, 0
+    for low, high in [*((s["offset"], s["scan_end"] or s["end"]) for s in found), *([] if ended else [(size - 1, size)])]:
+        gap = data[at : low + 1]
+        garbage += max(low - at, 0) - sum(gap[k] == 0xFF == gap[k + 1] for k in range(max(low - at, 0)))
+        at = max(at, high)
+    restart = next((int.from_bytes(data[s["start"] : s["start"] + 2]) for s in found if s["marker"] == DRI), 0)
+    return size, *told, restart, sum(s["marker"] == SOS for s in found), size - found[-1]["end"] if ended else 0, garbage, found[-1]["offset"] if ended else None
+
+
+def frame_table(photos: DataFrame, key: str = "photo_id", column: str = "bytes") -> DataFrame:
+    """One row of FRAME_SCHEMA for each payload; null payloads are like empty ones."""
+    fields = [x.split() for x in FRAME_SCHEMA.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [inspected(b or b"") for b in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(fields))], names=[key, *(n for n, _ in fields)])
+
+    return photos.select(key, column).mapInArrow(run, f"{key} {dict(photos.dtypes)[key]}, {FRAME_SCHEMA}")
+
+
 def photo_end(data: bytes) -> int | None:
     """Where a photo ends, after the end marker that follows its scans; None if it is cut short."""
     last = list(segments(data))[-1:]

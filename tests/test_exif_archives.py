@@ -136,3 +136,14 @@ def test_masks_by_hand(spark):
     assert run(0.0, "zero") == run(0.0, "boost") == [100, -7, 5] + [3] * 61
     assert run(1.0, "zero") == [100] + [0] * 63 and run(1.0, "boost") == [100, -28, 20] + [12] * 61
     assert run(1.0, "harsh")[:3] == [100, 0, 0] and run(0.1, "harsh")[1:3] == [-8, 5]
+
+
+def test_inspection_by_hand():
+    fill = bytes.fromhex("FFD8FFFFFFFE000301FFD9")
+    assert markers.inspected(fill)[-5:] == (0, 0, 0, 0, 9)
+    odd = bytes.fromhex("0012FFD8FFFE00040102FFD90909")
+    assert markers.inspected(odd)[-5:] == (0, 0, 2, 2, 10) and markers.inspected(odd)[1] is None
+    assert markers.inspected(b"") == (0, *[None] * 9, 0, 0, 0, 0, None)
+    assert markers.inspected(bytes.fromhex("FFD8FF05ABCD"))[-2:] == (3, None)
+    photo = markers.fake_photo(1, 300)
+    assert markers.inspected(photo)[1:10] == (16, 16, 192, False, 3, 16, 16, 1, 1)
