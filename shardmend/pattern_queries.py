@@ -158,7 +158,10 @@ def recipe_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("recipe_seeded_generations")
+_ONCE = [sql_draws.flipped(f"x{k}", "p" if k == 1 else f"x{k - 1}", 50.0, f"doc_id + 1 + {k}") for k in (1, 2, 3)]
+
+
+@query("recipe_seeded_generations", f"WITH RECURSIVE {sql_draws.PAYLOAD}, {', '.join(_ONCE)} " + " UNION ALL ".join(f"SELECT doc_id, {k} AS generation, md5(hx) AS digest FROM x{k}" for k in (1, 2, 3)))
 def recipe_seeded_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three generations of flipped bits, each with seeds of its own."""
     docs, out = payloads(spark, sf_dir), []

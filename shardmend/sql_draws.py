@@ -42,6 +42,18 @@ def sorted_places(count: int, low: str, high: str) -> str:
     return f"CASE WHEN {high} > {low} THEN list_sort(list_transform(v[1:{count}], lambda x: {low} + x % ({high} - {low}))) ELSE [] END"
 
 
+def flipped(name: str, rows: str, rate: float, seed: str) -> str:
+    """CTEs that end in ``name``: (doc_id, n, hx) of ``rows`` with about ``rate`` flipped bits in 100 KB, at least one."""
+    q = draws(f"{name}_v", f"{name}_e", "CASE WHEN n = 0 THEN 1 ELSE 3 + 2 * floor(want) END", seed=seed)
+    bits = "xor(('0x' || bx[k + 1])::BIGINT, list_reduce(list_transform(list_filter(t, lambda y: y // 256 = k), lambda y: y % 256), lambda c, d: xor(c, d)))"
+    changed = by_byte(f"CASE WHEN list_contains(s, k) THEN format('{{:02X}}', {bits}) ELSE bx[k + 1] END")
+    return f"""{name}_e AS MATERIALIZED (SELECT doc_id, n, hx, n * {float(rate)}::DOUBLE / 102400 AS want FROM {rows}), {q},
+        {name}_f AS (SELECT e.doc_id, n, hx, v, greatest(1, floor(want)::BIGINT + CASE WHEN v[1] / 4294967296.0::DOUBLE < want - floor(want) THEN 1 ELSE 0 END) AS m FROM {name}_e e JOIN {name}_v ON {name}_v.doc_id = e.doc_id),
+        {name}_s AS (SELECT *, CASE WHEN n > 0 THEN list_sort(list_transform(v[2:m + 1], lambda x: x % n)) ELSE [] END AS s FROM {name}_f),
+        {name}_t AS MATERIALIZED (SELECT *, regexp_extract_all(hx, '..') AS bx, list_transform(range(1, len(s) + 1), lambda j: s[j] * 256 + (1::BIGINT << (v[1 + m + j] % 8))) AS t FROM {name}_s),
+        {name} AS MATERIALIZED (SELECT doc_id, n, {changed} AS hx FROM {name}_t)"""
+
+
 def twins() -> dict[str, str]:
     """SQL of the seeded queries, by step. Draws that a uniform range throws away are rarer than one in a million and left out."""
     out = {}
