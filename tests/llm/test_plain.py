@@ -97,20 +97,18 @@ def test_quality_on_held_out_labels(spark):
 
 
 def least_edits(phrase, words):
-    """Fewest edits of a phrase against any stretch of whole words."""
-    starts = [m.start() for m in re.finditer(r"\S+", words)]
+    """Fewest edits of a phrase against any stretch of whole words: a stretch may begin at any word for nothing."""
+    starts = {m.start() for m in re.finditer(r"\S+", words)}
     ends = [m.end() for m in re.finditer(r"\S+", words)]
-    best = len(phrase)
-    for s in starts:
-        row = list(range(len(phrase) + 1))
-        for j, c in enumerate(words[s : s + 2 * len(phrase)], 1):
-            new = [j]
-            for i, p in enumerate(phrase, 1):
-                new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (p != c)))
-            row = new
-            if s + j in ends:
-                best = min(best, row[-1])
-    return best
+    before = []
+    for j in range(len(words) + 1):
+        before.append(0 if j in starts else before[-1] + 1 if before else len(phrase))
+    for i, p in enumerate(phrase, 1):
+        row = [before[0] + 1]
+        for j, c in enumerate(words, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (p != c)))
+        before = row
+    return min((before[e] for e in ends), default=len(phrase))
 
 
 def test_notices_by_edit_distance():
