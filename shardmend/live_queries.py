@@ -60,6 +60,17 @@ def live_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("clip_recording_rate", """
+    WITH r AS (SELECT user_id, count(*) AS frames, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS seconds FROM events GROUP BY user_id)
+    SELECT user_id, frames, least(greatest(floor(frames / greatest(seconds, 0.5::DOUBLE) + 0.5), 1), 30)::INTEGER AS rate FROM r
+""")
+def clip_recording_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate at which each user's events would play as a recording: as fast as they came, within what a clip may have."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    taken = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), ((F.max(at) - F.min(at)) / F.lit(1e6)).alias("seconds"))
+    return taken.select("user_id", "frames", live.recording_rate(F.col("frames"), F.col("seconds")).alias("rate"))
+
+
 PARTS = 4
 
 

@@ -189,6 +189,19 @@ def dense_image(clusters: DataFrame, cards: DataFrame) -> DataFrame:
     return every.join(clusters.select("card_id", "cluster", F.lit("used").alias("state")), ["card_id", "cluster"], "left").withColumn("state", F.coalesce("state", F.lit("blank")))
 
 
+def image_parts(stored: DataFrame, cards: DataFrame, cluster: int, per_part: int) -> DataFrame:
+    """(card_id, part, bytes): the raw image of each card's clusters in parts of ``per_part`` clusters; laid end to end they are the image.
+
+    ``stored``: (card_id, cluster, bytes). ``cards``: (card_id, last). Clusters that aren't stored, or are shorter, are zeros.
+    """
+    every = cards.select("card_id", F.explode(F.sequence(F.lit(FIRST_CLUSTER).cast("long"), F.col("last").cast("long"))).alias("cluster"))
+    held = every.join(stored.select("card_id", "cluster", "bytes"), ["card_id", "cluster"], "left")
+    data = F.coalesce("bytes", F.unhex(F.lit("")))
+    full = F.concat(data, F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(cluster) - F.length(data), F.lit(0)))))
+    placed = held.select("card_id", "cluster", F.floor((F.col("cluster") - FIRST_CLUSTER) / per_part).alias("part"), full.alias("bytes"))
+    return placed.groupBy("card_id", "part").agg(in_order("bytes", "cluster").alias("bytes"))
+
+
 def carved(clusters: DataFrame) -> DataFrame:
     """(card_id, first, clusters, complete, bytes): files carved from stored clusters (card_id, cluster, bytes).
 

@@ -28,6 +28,22 @@ def card_read_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("card_id", "file_no", F.length("bytes").cast("long").alias("size"), digest().alias("digest"))
 
 
+PER_PART = 64
+
+
+@query("card_image", f"""
+    WITH {SQL_CARD}, e AS (SELECT card_id, max(cluster) AS last FROM live GROUP BY card_id), a AS (SELECT card_id, unnest(range(2, last + 1)) AS cluster FROM e),
+         h AS (SELECT doc_id // 64 AS card_id, doc_id % 64 AS file_no, upper(hex(encode(text))) AS hx FROM documents),
+         c AS (SELECT live.card_id, cluster, substr(hx, (pos * {2 * CLUSTER} + 1)::BIGINT, {2 * CLUSTER}) AS data FROM live JOIN h ON h.card_id = live.card_id AND h.file_no = live.file_no)
+    SELECT a.card_id, (a.cluster - 2) // {PER_PART} AS part, md5(string_agg(rpad(coalesce(data, ''), {2 * CLUSTER}, '0'), '' ORDER BY a.cluster)) AS digest FROM a LEFT JOIN c ON c.card_id = a.card_id AND c.cluster = a.cluster GROUP BY 1, 2
+""")
+def card_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw image of each card, in parts: clusters of live files where they lie, zeros elsewhere."""
+    live = card_tables(spark, sf_dir)["live"]
+    ends = live.groupBy("card_id").agg(F.max("cluster").alias("last"))
+    return cards.image_parts(stored_clusters(spark, sf_dir, live), ends, CLUSTER, PER_PART).select("card_id", "part", digest().alias("digest"))
+
+
 @query("card_undelete_skipping", f"""
     WITH {SQL_CARD}, l AS (SELECT card_id, max(cluster) AS last FROM (SELECT card_id, cluster FROM old UNION ALL SELECT card_id, cluster FROM live) GROUP BY card_id),
          a AS (SELECT card_id, unnest(range(2, last + 1)) AS cluster FROM l),
