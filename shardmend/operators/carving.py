@@ -26,6 +26,8 @@ from shardmend.sources import markers
 SECTOR, MOST = 512, 48 << 20
 #: A small photo: its window, its least and most bytes, and the most where it begins with a cluster.
 WINDOW, LEAST_SMALL, MOST_SMALL, MOST_SIDE = 256 << 10, 1 << 10, 160 << 10, 64 << 10
+# What is said of a carved file.
+WHOLE, OPEN, CLIP = "complete: header to end marker", "no end marker found: stopped at the next file header", "AVI carved by RIFF size (assumed contiguous)"
 _PHOTO, _END = b"\xff\xd8\xff", b"\xff\xd9"
 _KNOWN = tuple(bytes.fromhex(h) for h in cards.HEADERS)
 
@@ -187,11 +189,11 @@ def carve_files(stored: DataFrame, cards_end: DataFrame, cluster: int, most: int
     held = F.floor((tail - 1) / cluster) + cards.FIRST_CLUSTER - F.col("cluster") + 1
     # The last cluster of a file off the grid may also hold the start of the next one.
     used = F.when(F.col("sector") == 0, held).otherwise(F.greatest(held - 1, F.lit(1)))
-    note = F.when(F.col("end").isNotNull(), "complete: header to end marker").otherwise("no end marker found: stopped at the next file header")
+    note = F.when(F.col("end").isNotNull(), WHOLE).otherwise(OPEN)
     as_photo = found.select("card_id", "cluster", "start", tail.alias("end"), held.alias("clusters"), used.alias("used"), note.alias("note"), F.lit("jpg").alias("kind"))
     size = F.least("clip", F.lit(most))
     n = F.greatest(F.ceil(size / cluster), F.lit(1))
-    as_clip = starts.where("clip IS NOT NULL").select("card_id", "cluster", "start", F.least(F.col("start") + size, "card_end").alias("end"), F.least(n, F.col("last") - F.col("cluster") + 1).alias("clusters"), n.alias("used"), F.lit("AVI carved by RIFF size (assumed contiguous)").alias("note"), F.lit("avi").alias("kind"))
+    as_clip = starts.where("clip IS NOT NULL").select("card_id", "cluster", "start", F.least(F.col("start") + size, "card_end").alias("end"), F.least(n, F.col("last") - F.col("cluster") + 1).alias("clusters"), n.alias("used"), F.lit(CLIP).alias("note"), F.lit("avi").alias("kind"))
     spans = as_photo.unionByName(as_clip).withColumn("at", F.col("cluster").cast("long")).withColumn("behind", (F.col("cluster") + F.col("used")).cast("long"))
     chosen = leftmost(spans.checkpoint())
     data = span_bytes(chosen.select("card_id", "start", F.col("start").alias("begin"), "end"), stored, cluster, ["card_id", "start"])
@@ -199,6 +201,7 @@ def carve_files(stored: DataFrame, cards_end: DataFrame, cluster: int, most: int
     return chosen.join(data, ["card_id", "start"]).select("card_id", name.alias("name"), "start", (F.col("end") - F.col("start")).alias("size"), F.col("cluster").alias("first"), F.col("clusters").cast("long").alias("clusters"), "note", "bytes")
 
 
+# What is said of a small photo.
 SMALL_NOTES = {
     "movie": "MJPEG movie frame (no Huffman tables; standard ones inserted)",
     "cache": "thumbnail from a Windows Thumbs.db cache",

@@ -103,6 +103,7 @@ def walk(volumes: DataFrame, table: DataFrame, stored: DataFrame, depth: int = D
     return found
 
 
+# What is said of a file by the way that it was read.
 NOTES = {
     "chain": "read through the FAT chain",
     "kept": "undeleted along the FAT chain exFAT kept",
