@@ -210,43 +210,79 @@ SMALL_NOTES = {
 }
 
 
-def small_photos(stored: DataFrame, cluster: int, data_start: int = 0) -> DataFrame:
-    """(card_id, name, start, size, note, bytes): small photos anywhere in ``stored`` clusters, across their edges too.
+def blocks_of(stored: DataFrame, cluster: int, size: int, before: int, behind: int) -> DataFrame:
+    """(card_id, block, at, bytes): clusters dealt to blocks of ``size`` bytes, a multiple of theirs, each with up to ``before`` bytes ahead of it and ``behind`` after it.
 
-    A start reads a window of its own, joined from the clusters that it covers. A photo is small if it ends within the
-    limits; one that begins with a cluster is a file beside another, and must be smaller. Of spans that overlap the
-    leftmost counts. A photo without Huffman tables gets the standard ones.
+    ``at`` is the place in the block, below 0 ahead of it. Bytes of a block are there once, those near its edges once more
+    for each neighbour that reads them.
     """
-    facts = places(stored, cluster)
-    base = ((F.col("cluster") - cards.FIRST_CLUSTER) * cluster).alias("base")
-    starts = facts.select("card_id", base, F.explode("photos").alias("at")).select("card_id", (F.col("base") + F.col("at")).alias("start"))
-    reach = starts.select("card_id", "start", F.greatest(F.col("start") - 12, F.lit(0)).alias("begin"), (F.col("start") + WINDOW).alias("end"))
-    windows = span_bytes(reach, stored, cluster, ["card_id", "start"])
-    kind = dict(stored.dtypes)["card_id"]
+    base = (F.col("cluster") - cards.FIRST_CLUSTER) * cluster
+    low, high = F.floor((base - behind) / size), F.floor((base + cluster + before - 1) / size)
+    dealt = stored.withColumn("block", F.explode(F.sequence(F.greatest(low, F.lit(0)), high))).withColumn("at", (base - F.col("block") * size).cast("int"))
+    # Of a neighbour's clusters no more than what is read of them.
+    skip = F.when(F.col("at") < -before, -F.col("at") - before).otherwise(0)
+    take = F.least(F.lit(cluster), F.lit(size + behind) - F.col("at")) - skip
+    return dealt.where(take > 0).select("card_id", "block", (F.col("at") + skip).alias("at"), F.expr("bytes").substr(skip + 1, take).alias("bytes"))
+
 
-    def look(start: int, data: bytes) -> tuple | None:
-        skip = min(start, 12)
-        before, data = data[:skip], data[skip:]
-        end = markers.strict_end(data)
-        grid = start % cluster == 0
+def small_spans(stored: DataFrame, cluster: int) -> DataFrame:
+    """(card_id, start, n, kind) of every small photo in ``stored`` clusters, those inside others too.
+
+    Starts of a block read one buffer of it and of a window behind it, so bytes move about once however many starts they hold.
+    """
+    size, kind = -(-4 * WINDOW // cluster) * cluster, dict(stored.dtypes)["card_id"]
+
+    def end_of(buffer: bytes, at: int) -> int | None:
+        """As ``strict_end`` of the window at a start; most photos end in its first bytes, and nothing in those tells more."""
+        n = 1 << 13
+        while n < WINDOW:
+            end = markers.strict_end(buffer[at : at + n])
+            if end is not None and end <= n - 4:
+                return end
+            n *= 4
+        return markers.strict_end(buffer[at : at + WINDOW])
+
+    def look(buffer: bytes, at: int, start: int) -> tuple | None:
+        end, grid = end_of(buffer, at), start % cluster == 0
         if end is None or not LEAST_SMALL <= end < MOST_SMALL or grid and end >= MOST_SIDE:
             return None
-        photo = data[:end]
+        before = buffer[at - min(start, 12) : at]
         cached = len(before) == 12 and before[:4] == b"\x0c\0\0\0" and int.from_bytes(before[8:], "little") == end
-        bare = not markers.has_tables(photo)
-        return start, end, "movie" if bare else "cache" if cached else "side" if grid else "exif", markers.with_standard_tables(photo) if bare else photo
+        return start, end, "movie" if not markers.has_tables(buffer[at : at + end]) else "cache" if cached else "side" if grid else "exif"
+
+    def run(rows: pa.Table) -> pa.Table:
+        buffer = bytearray(12 + size + WINDOW)
+        for at, data in zip(rows.column("at").to_pylist(), rows.column("bytes").to_pylist(), strict=True):
+            buffer[12 + at : 12 + at + len(data or b"")] = data or b""
+        whole, base = bytes(buffer), rows.column("block")[0].as_py() * size
+        starts = _every(whole[12 : 12 + size + 2], _PHOTO, size)
+        found = [x for s in starts if (x := look(whole, 12 + s, base + s))]
+        whose = rows.column("card_id").combine_chunks().take(pa.array([0] * len(found), pa.int64()))
+        return pa.table({"card_id": whose} | {n: pa.array([f[k] for f in found], t) for k, (n, t) in enumerate((("start", pa.int64()), ("n", pa.int64()), ("kind", pa.string())))})
+
+    dealt = blocks_of(stored.select("card_id", F.col("cluster").cast("long").alias("cluster"), F.substring("bytes", 1, cluster).alias("bytes")), cluster, size, 12, WINDOW)
+    return dealt.groupBy("card_id", "block").applyInArrow(run, f"card_id {kind}, start long, n long, kind string")
+
+
+def small_photos(stored: DataFrame, cluster: int, data_start: int = 0) -> DataFrame:
+    """(card_id, name, start, size, note, bytes): small photos anywhere in ``stored`` clusters, across their edges too.
+
+    A photo is small if it ends within the limits; one that begins with a cluster is a file beside another, and must be
+    smaller. Of spans that overlap the leftmost counts, and bytes are joined for those alone. A photo without Huffman
+    tables gets the standard ones.
+    """
+    spans = small_spans(stored, cluster).withColumn("at", F.col("start")).withColumn("behind", F.col("start") + F.col("n")).checkpoint()
+    chosen = leftmost(spans)
+    data = span_bytes(chosen.select("card_id", "start", F.col("start").alias("begin"), F.col("behind").alias("end")), stored, cluster, ["card_id", "start"])
+    card = dict(stored.dtypes)["card_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, *x) for i, (s, d) in enumerate(zip(batch.column("start").to_pylist(), batch.column("bytes").to_pylist(), strict=True)) if (x := look(s, d))]
-            whose = batch.column("card_id").take(pa.array([f[0] for f in found], pa.int64()))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([whose, *(pa.array([f[k] for f in found], t) for k, t in enumerate(types, 1))], names=["card_id", "start", "n", "kind", "bytes"])
+            photos = [markers.with_standard_tables(b) if k == "movie" else b for b, k in zip(batch.column("bytes").to_pylist(), batch.column("kind").to_pylist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index("bytes"), "bytes", pa.array(photos, pa.binary()))
 
-    found = windows.select("card_id", "start", "bytes").mapInArrow(run, f"card_id {kind}, start long, n long, kind string, bytes binary")
-    spans = found.withColumn("at", F.col("start")).withColumn("behind", F.col("start") + F.col("n")).checkpoint()
-    chosen = leftmost(spans)
+    found = chosen.select("card_id", "start", "kind").join(data, ["card_id", "start"]).select("card_id", "start", "kind", "bytes").mapInArrow(run, f"card_id {card}, start long, kind string, bytes binary")
     place = F.col("start") + data_start
     name = F.concat(F.lit("t"), F.lpad(F.floor(place / SECTOR).cast("string"), 7, "0"), F.lit("_"), F.lpad((place % SECTOR).cast("string"), 4, "0"), F.lit(".jpg"))
     note = F.create_map(*[F.lit(x) for pair in SMALL_NOTES.items() for x in pair])[F.col("kind")]
-    return chosen.select("card_id", name.alias("name"), "start", F.length("bytes").cast("long").alias("size"), note.alias("note"), "bytes")
+    return found.select("card_id", name.alias("name"), "start", F.length("bytes").cast("long").alias("size"), note.alias("note"), "bytes")

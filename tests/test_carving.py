@@ -142,6 +142,30 @@ def test_small_photos_by_a_plain_search(spark):
         assert x["note"] == carving.SMALL_NOTES["movie"] and bytes(x["bytes"]).count(markers.STANDARD_TABLES) == 1
 
 
+def test_small_photos_move_their_bytes_once(spark, monkeypatch):
+    """Photos across edges of blocks and ghosts without an end: what is joined is no more than the card, however many starts it has."""
+    r, cb, asked, joined = random.Random(33), 1024, [], carving.span_bytes
+    monkeypatch.setattr(carving, "WINDOW", 8192)
+    monkeypatch.setattr(carving, "MOST_SMALL", 6000)
+    monkeypatch.setattr(carving, "span_bytes", lambda spans, *rest: asked.append(spans) or joined(spans, *rest))
+    image = b""
+    while len(image) < 5 * 32768:
+        cache = r.random() < 0.3
+        inner = photo(r, r.randrange(900, 5000))
+        image += bytes(r.randrange(1, 250) for _ in range(r.randrange(300))) + (b"\x0c" + bytes(7) + len(inner).to_bytes(4, "little") if cache else b"") + inner + b"\xff\xd8\xff\xfe" * r.randrange(6)
+    image += bytes(-len(image) % cb)
+    stored = spark.createDataFrame(cut(image, 7, cb), "card_id long, cluster long, bytes binary").repartition(3)
+    got = {x["start"]: bytes(x["bytes"]) for x in carving.small_photos(stored, cb).collect()}
+    assert sum(x["end"] - x["begin"] for spans in asked for x in spans.collect()) <= len(image)
+    expect, at = [], 0
+    while (at := image.find(b"\xff\xd8\xff", at)) >= 0:
+        end = markers.strict_end(image[at : at + 8192])
+        if end is not None and 1024 <= end < 6000:
+            expect.append((at, markers.with_standard_tables(image[at : at + end])))
+        at += end if expect and expect[-1][0] == at else 1
+    assert sorted(got.items()) == expect and len({s // 32768 for s in got}) > 3
+
+
 def set_of(name, folder, first, size, contiguous=False, gone=False):
     """A set of entries of a long name."""
     used = 0 if gone else 0x80
