@@ -153,13 +153,14 @@ def span_bytes(spans: DataFrame, stored: DataFrame, cluster: int, names: list[st
     return whole.join(sizes.select(*names, "skip"), names).select(*names, F.expr("substring(bytes, skip + 1)").alias("bytes"))
 
 
-def carve_files(stored: DataFrame, cards_end: DataFrame, cluster: int, most: int = MOST, data_start: int = 0) -> DataFrame:
+def carve_files(stored: DataFrame, cards_end: DataFrame, cluster: int, most: int = MOST, data_start: int = 0, past_starts: bool = False) -> DataFrame:
     """(card_id, name, start, size, first, clusters, note, bytes): photos and clips carved out of ``stored`` clusters.
 
     A file starts where a cluster does, or at the first sector in it that starts a photo. A photo is read block by block
     of a cluster's size up to the end marker behind its scan header, or to a block that is blank or starts a known file,
     or ``most`` bytes; a clip takes the size that its header tells. ``cards_end``: (card_id, last). Names tell the sector
-    on a card whose clusters begin at byte ``data_start``.
+    on a card whose clusters begin at byte ``data_start``. With ``past_starts``, for cards whose files have blanks between
+    them, only a blank stops a photo, and what begins before it is part of it.
     """
     facts = places(stored, cluster).checkpoint()
     base = (F.col("cluster") - cards.FIRST_CLUSTER) * cluster
@@ -176,7 +177,8 @@ def carve_files(stored: DataFrame, cards_end: DataFrame, cluster: int, most: int
     behind = rows.select("card_id", (F.col("cluster") - 1).alias("cluster"), F.col("lead").alias("next_lead"))
     rows = rows.join(behind, ["card_id", "cluster"], "left").join(photos.select("card_id", "sector").distinct(), "card_id")
     blank = (F.coalesce("trail", F.lit(cluster)) + F.col("sector") >= cluster) & (F.coalesce("next_lead", F.lit(cluster)) >= F.col("sector"))
-    stops = rows.where(blank | F.coalesce(F.array_contains("known", F.col("sector")), F.lit(False))).select("card_id", "sector", F.col("cluster").alias("from"))
+    starts_file = F.coalesce(F.array_contains("known", F.col("sector")), F.lit(False))
+    stops = rows.where(blank if past_starts else blank | starts_file).select("card_id", "sector", F.col("cluster").alias("from"))
     bounded = next_from(photos.withColumn("from", F.col("cluster") + 1), stops, ["card_id", "sector"], "from", "stop_cluster")
     blocks = F.least(F.coalesce(F.col("stop_cluster") - F.col("cluster"), F.lit(cards.MAX_CLUSTERS)), F.lit(-(-most // cluster)))
     bounded = bounded.withColumn("stop", F.least(F.col("start") + blocks * cluster, "card_end")).drop("from", "stop_cluster").checkpoint()
@@ -188,7 +190,8 @@ def carve_files(stored: DataFrame, cards_end: DataFrame, cluster: int, most: int
     tail = F.coalesce("end", "stop")
     held = F.floor((tail - 1) / cluster) + cards.FIRST_CLUSTER - F.col("cluster") + 1
     # The last cluster of a file off the grid may also hold the start of the next one.
-    used = F.when(F.col("sector") == 0, held).otherwise(F.greatest(held - 1, F.lit(1)))
+    on_to_blank = F.col("end").isNull() if past_starts else F.lit(False)
+    used = F.when((F.col("sector") == 0) | on_to_blank, held).otherwise(F.greatest(held - 1, F.lit(1)))
     note = F.when(F.col("end").isNotNull(), WHOLE).otherwise(OPEN)
     as_photo = found.select("card_id", "cluster", "start", tail.alias("end"), held.alias("clusters"), used.alias("used"), note.alias("note"), F.lit("jpg").alias("kind"))
     size = F.least("clip", F.lit(most))

@@ -234,3 +234,20 @@ def test_standard_tables_are_whole():
         at += 17 + len(symbols)
     assert at == len(data)
     assert markers.with_standard_tables(b"no photo") == b"no photo"
+
+
+def test_open_photos_read_past_second_pictures_to_the_blank(spark, tmp_path):
+    """Photos with noise in their header and a second picture at a sector or block behind them, against the SQL twin."""
+    import duckdb
+
+    from shardmend import carving_queries, catalogue, photo_queries
+
+    for i in (143, 286, 572, 144):
+        spark.createDataFrame([(i, "")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/empty/documents.parquet")
+    sizes = {r["photo_id"]: len(r["bytes"]) - (5 if r["photo_id"] != 144 else 0) for r in photo_queries.photos(spark, f"{tmp_path}/empty").collect()}
+    rows = [(i, "a" * ((-n - 512 * (i % 4)) % 2048 + more)) for (i, n), more in zip(sorted(sizes.items()), (4096, 2048, 512, 2048), strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/full/documents.parquet")
+    got = carving_queries.card_carve_sectors(spark, f"{tmp_path}/full").collect()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/full/documents.parquet/*.parquet')")
+        assert sorted(map(tuple, got)) == sorted(db.execute(catalogue.ORACLE_SQL["card_carve_sectors"]).fetchall())
