@@ -21,7 +21,20 @@ from shardmend.sources import markers
 from shardmend.sources.files import payload_kind
 
 
+#: Rows and bytes at which an Arrow batch ends. A Python task holds a batch, what is made of it and their copies at once.
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches small enough for whole payloads, whatever a table holds; a session keeps smaller bounds."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        bound = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(bound).rstrip("b")) <= most:
+            spark.conf.set(bound, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

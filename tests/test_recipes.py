@@ -133,3 +133,21 @@ def test_scrambled_pages_change_places():
     data = bytes(1000) + b"".join(bytes([i]) * 2048 for i in range(1, 9))
     out = seeded_steps.chipoff_xor(data, Pcg32(3), strength=0, start=0, shuffle=True, protect_header=False, page_kb=2)
     assert len(out) == len(data) and sorted(out) == sorted(data)
+
+
+def test_batches_of_payloads_are_bounded(spark, tmp_path):
+    """Python tasks hold no more than a bounded batch, by rows and by bytes, whatever a table holds."""
+    import pyarrow as pa
+
+    from shardmend import catalogue
+
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    spark.range(3000).selectExpr("id AS doc_id", "repeat('x', IF(id % 100 = 0, 500000, 10)) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    found = catalogue.payloads(spark, str(tmp_path)).mapInArrow(seen, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 3000 and max(r["n"] for r in found) <= 512 and max(r["size"] for r in found) < 3_000_000
