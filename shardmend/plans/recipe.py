@@ -217,9 +217,13 @@ def plan_keys(recipe: Recipe, source: Column, pool: str = "") -> Column:
     Equal keys mean equal results, so that what is written for a prefix can be read again. A node that is off, and a
     repeat with nothing to do, keep the key before them; a node that takes other payloads also depends on ``pool``.
     """
-    keys, key = [], F.concat(F.lit("src:"), source)
+    signs: list[Column] = []
     for node in recipe.nodes:
-        if node.enabled and not (isinstance(node, Repeat) and (node.times < 1 or not any(s.enabled for s in node.steps))):
-            key = text_hash(F.concat(key, F.lit("|" + signature(node) + (f"|pool:{pool}" if needs_other(Recipe([node])) else ""))))
-        keys.append(key)
-    return F.array(*keys)
+        works = node.enabled and not (isinstance(node, Repeat) and (node.times < 1 or not any(s.enabled for s in node.steps)))
+        signs.append(F.lit("|" + signature(node) + (f"|pool:{pool}" if needs_other(Recipe([node])) else "") if works else None).cast("string"))
+    if not signs:
+        return F.array()
+    # Each key is made once, of the one before it.
+    last = lambda keys: F.element_at(keys, -1)
+    step = lambda keys, sign: F.concat(keys, F.array(F.when(sign.isNull(), last(keys)).otherwise(text_hash(F.concat(last(keys), sign)))))
+    return F.slice(F.aggregate(F.array(*signs), F.array(F.concat(F.lit("src:"), source)), step), 2, len(signs))

@@ -151,3 +151,13 @@ def test_batches_of_payloads_are_bounded(spark, tmp_path):
 
     found = catalogue.payloads(spark, str(tmp_path)).mapInArrow(seen, "n long, size long").collect()
     assert sum(r["n"] for r in found) == 3000 and max(r["n"] for r in found) <= 512 and max(r["size"] for r in found) < 3_000_000
+
+
+def test_prefix_keys_are_made_of_the_key_before(spark):
+    """Each key is made once: the plan grows with the nodes, not with their square."""
+    from pyspark.sql import functions as F
+
+    from shardmend.plans.recipe import Recipe, Step, plan_keys
+
+    size = lambda n: len(spark.range(1).select(plan_keys(Recipe([Step("truncate", {"percent": k}) for k in range(n)]), F.lit("a")))._jdf.queryExecution().analyzed().toString())
+    assert size(24) < 6 * size(6)
