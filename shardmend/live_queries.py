@@ -81,12 +81,12 @@ PARTS = 4
     SELECT e.event_id, e.user_id, e.event_type, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS frame FROM e JOIN b ON b.user_id = e.user_id AND b.part = e.part WHERE before IS NULL OR event_id > before
 """)
 def live_advancing_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that arrive in four files, mixed up: those that advance their user, with the user's running number of such."""
+    """Events that arrive in four parts, mixed up: those that advance their user, with the user's running number of such."""
     folder = shared_run(spark)
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in/*")
     for part in range(PARTS):
-        events.where((F.col("event_id") * 7) % PARTS == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    done = versions.advancing(stream, "user_id", "event_id")
-    done.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(done.schema).parquet(f"{folder}/out")
+        # All that has come since the last trigger is one batch, in as many files as it takes.
+        events.where((F.col("event_id") * 7) % PARTS == part).write.parquet(f"{folder}/in/part{part}")
+        versions.keep_advancing(stream, "user_id", "event_id", f"{folder}/out", f"{folder}/at").awaitTermination()
+    return spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in events.dtypes)}, frame long").parquet(f"{folder}/out/rows").select(*events.columns, "frame")

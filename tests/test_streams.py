@@ -38,3 +38,24 @@ def test_seeds_count_up_by_frame(spark, tmp_path):
     plain = spark.createDataFrame([(v, photos[v], 10 + i) for i, v in enumerate((0, 2, 3))], "v long, bytes binary, seed long")
     expect = {r["v"]: r["bytes"] for r in apply_recipe(plain, Recipe(recipe.nodes[:1]), seed="seed").select("v", F.col("bytes")).collect()}
     assert {r["v"]: r["bytes"] for r in got} == expect
+
+
+def test_what_advances_is_kept_by_batch(spark, tmp_path):
+    """Batches of one run each, against a plain walk: late rows, repeats, null keys and versions, keys that come once."""
+    import random
+
+    from shardmend.streaming import versions
+
+    r, newest, expect = random.Random(5), {}, []
+    stream = spark.readStream.schema("k string, v long").parquet(f"{tmp_path}/in/*")
+    for part in range(3):
+        rows = [(r.choice(["a", "b", "c", None, f"n{part}"]), r.choice([None, *range(30)])) for _ in range(25)]
+        spark.createDataFrame(rows, "k string, v long").repartition(3).write.parquet(f"{tmp_path}/in/part{part}")
+        versions.keep_advancing(stream, "k", "v", f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
+        seen = dict(newest)
+        for k, v in sorted({x for x in rows if x[1] is not None}, key=lambda x: x[1]):
+            if v > seen.get(k, (-1, 0))[0]:
+                newest[k] = v, newest.get(k, (-1, 0))[1] + 1
+                expect.append((k, v, newest[k][1]))
+    got = [(x["k"], x["v"], x["frame"]) for x in spark.read.parquet(f"{tmp_path}/out/rows").collect()]
+    assert sorted(got, key=str) == sorted(expect, key=str) and len(expect) > 10
