@@ -25,7 +25,7 @@ carried along under any name, but for ``_lines``, which is made anew; ``n_chars`
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,8 @@ HOT, OFTEN = 1_000_000, 4
 TOKEN_BITS = 24
 #: Bits of the filter over lines: so many for each, between two sizes; a full one only lets more lines through to a join.
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+#: Rows that the driver sets bits for by itself, 16 bytes each; of more, tasks do.
+FEW_ROWS = 1 << 17
 #: Unsure candidates that a line gives out under one token.
 DEPTH = 16
 LOOK_ROWS = 1 << 16
@@ -103,8 +105,8 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 
 
 PIECE_ROWS = "piece int, task int, data binary"
-#: Tasks whose pieces one task puts together, and how often that is done: enough for a quarter of a million tasks and more.
-FAN, ROUNDS = 64, 3
+#: Tasks whose pieces one task puts together at first; what these give is put together by piece.
+FAN = 64
 
 
 def piece_rows(found: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -114,9 +116,9 @@ def piece_rows(found: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 
 def put_together(rows: DataFrame, join: np.ufunc, kind: type, size: int) -> np.ndarray:
-    """The array of all tasks from the pieces (piece, task, data) of each, joined by groups of tasks, then by groups of groups.
+    """The array of all tasks from the pieces (piece, task, data) of each, joined by groups of tasks, then by piece.
 
-    One task reads FAN pieces in a round at most, whatever the number of tasks; the driver gets a few arrays.
+    A task holds one array for each piece that it joins, however many tasks gave one; the driver gets each piece once.
     """
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +127,15 @@ def put_together(rows: DataFrame, join: np.ufunc, kind: type, size: int) -> np.n
             for p, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(x, kind)
                 found[p, t] = join(found[p, t], x) if (p, t) in found else x
-        columns = [pa.array([p for p, _ in found], pa.int32()), pa.array([t // FAN for _, t in found], pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["piece", "task", "data"])
+        if found:
+            columns = [pa.array([p for p, _ in found], pa.int32()), pa.array([0] * len(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "task", "data"])
 
-    for _ in range(ROUNDS):
+    for _ in range(2):
         rows = rows.repartition("piece", "task").mapInArrow(unite, PIECE_ROWS)
     out = np.zeros((PIECES, size), kind)
-    for row in rows.toLocalIterator():
+    # All at once: an iterator over partitions would run a job for each of them.
+    for row in rows.collect():
         out[row["piece"]] = join(out[row["piece"]], np.frombuffer(row["data"], kind))
     return out.ravel()
 
@@ -605,8 +609,9 @@ def places_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def filter_over(lines: DataFrame, d: str = "d", line: str = "l") -> np.ndarray:
     """A Bloom filter over places of lines, of a size by their number."""
-    size = min(max(LEAST_BITS, 1 << int(BITS_A_LINE * lines.count()).bit_length()), MOST_BITS)
-    return _bits_of(lines.select(d, line), lambda batch: places_of(line_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()), size), size)
+    n = lines.count()
+    size = min(max(LEAST_BITS, 1 << int(BITS_A_LINE * n).bit_length()), MOST_BITS)
+    return _bits_of(lines.select(d, line), n, lambda batch: places_of(line_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()), size), size)
 
 
 def passes(bits: np.ndarray, d: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -620,25 +625,32 @@ def token_cells(token: np.ndarray) -> np.ndarray:
     return (token >> np.uint64(HASH_BITS - TOKEN_BITS) & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)
 
 
-def _bits_of(rows: DataFrame, places, size: int) -> np.ndarray:
-    """Packed bits set at the places of all rows. Every task sets its own, and pieces are put together in tasks."""
+def _bits_of(rows: DataFrame, n: int, places, size: int) -> np.ndarray:
+    """Packed bits set at the places of all ``n`` rows. Every task sets its own, and pieces are put together in tasks; the driver does so with a few rows."""
     piece = size // 8 // PIECES
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def set_bits(batches: Iterable[pa.RecordBatch]) -> np.ndarray | None:
         bits = None
         for batch in batches:
             if batch.num_rows:
                 bits = np.zeros(size // 8, np.uint8) if bits is None else bits
                 for p in places(batch):
                     np.bitwise_or.at(bits, p >> 3, np.uint8(128) >> (p & 7).astype(np.uint8))
+        return bits
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = set_bits(batches)
         if bits is not None:
             yield piece_rows({p: x for p, x in enumerate(bits.reshape(PIECES, piece)) if x.any()})
 
+    if n <= FEW_ROWS:
+        bits = set_bits(rows.toArrow().to_batches())
+        return np.zeros(size // 8, np.uint8) if bits is None else bits
     return put_together(rows.mapInArrow(lean(build), PIECE_ROWS), np.bitwise_or, np.uint8, piece)
 
 
 def wanted_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(d, l, line) for the wanted (d, l): a filter drops most others before they are shuffled, a join the rest."""
+    """(d, l, line) for the wanted (d, l), which may repeat: a filter drops most others before they are shuffled, a join the rest."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_over(lines))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -682,8 +694,8 @@ def pairs_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    """(d, l) of both lines of the pairs."""
-    return pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
+    """(d, l) of both lines of the pairs, as often as they are in one."""
+    return pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl"))
 
 
 def repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
@@ -701,12 +713,12 @@ def repeated_lines(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
     best = materialise(pairs.groupBy("xd", "xl").agg(sure("yd"), sure("yl"), F.max("more").alias("more")))
     line = [F.col("xd").alias("d"), F.col("xl").alias("l")]
     first = best.where("yd IS NOT NULL").drop("more")
-    held = materialise(matches(first, wanted_lines(docs, materialise(ends(first)))))
+    held = materialise(matches(first, wanted_lines(docs, ends(first))))
     gone = gone.unionByName(held)
     failed = materialise(best.select(*line, "more").join(held, ["d", "l"], "left_anti"))
     if failed.limit(1).count():
         left = materialise(pairs_of(pairs, failed).select("xd", "xl", "yd", "yl").distinct())
-        more = materialise(matches(left, wanted_lines(docs, materialise(ends(left)))).distinct())
+        more = materialise(matches(left, wanted_lines(docs, ends(left))).distinct())
         gone = gone.unionByName(more)
         failed = materialise(failed.where("more = 1").drop("more").join(more, ["d", "l"], "left_anti"))
     if failed.limit(1).count():
@@ -724,7 +736,7 @@ def asked(docs: DataFrame, found: DataFrame, failed: DataFrame, hot: tuple[np.nd
     own = context.broadcast(filter_over(failed))
     asking = entry_rows(found, lambda token, d, line: passes(own.value, d, line)).withColumn("l", F.shiftright("at", 32)).join(failed, ["d", "l"], "left_semi")
     tokens = materialise(asking.select("token").distinct())
-    cells = context.broadcast(_bits_of(tokens, lambda batch: [token_cells(batch.column(0).to_numpy().view(np.uint64))], 1 << TOKEN_BITS))
+    cells = context.broadcast(_bits_of(tokens, tokens.count(), lambda batch: [token_cells(batch.column(0).to_numpy().view(np.uint64))], 1 << TOKEN_BITS))
 
     def wanted(token: np.ndarray, d: np.ndarray, line: np.ndarray) -> np.ndarray:
         cell = token_cells(token)
@@ -733,7 +745,7 @@ def asked(docs: DataFrame, found: DataFrame, failed: DataFrame, hot: tuple[np.nd
     some = entry_rows(found, wanted).join(tokens, "token", "left_semi").withColumn("l", F.shiftright("at", 32))
     some = some.join(failed.withColumn("asks", F.lit(True)), ["d", "l"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))).drop("l")
     near = materialise(near_askers(grouped(some, hot)).withColumn("l", F.shiftright("at", 32)))
-    lines = materialise(wanted_lines(docs, materialise(near.select("d", "l").distinct())))
+    lines = materialise(wanted_lines(docs, near.select("d", "l")))
     last = look_through(sorted_groups(near.join(lines, ["d", "l"]).drop("l"))).join(lines, ["d", "l"])
     return last.select("d", "l", F.crc32(F.col("line").cast("binary")).alias("mark"))
 
