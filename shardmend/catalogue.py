@@ -16,7 +16,7 @@ from shardmend.functions.prng import Pcg32, batch_seed, repeat_seed
 from shardmend.operators import byte_steps, cards, coefficients, donors, lookups, seeded_steps
 from shardmend.plans import presets
 from shardmend.functions.hashes import payload_hash
-from shardmend.plans.recipe import Recipe, Repeat, Step, apply_recipe, parse_recipe, plan_keys, write_recipe
+from shardmend.plans.recipe import Recipe, Repeat, Step, apply_recipe, needs_other, parse_recipe, plan_keys, write_recipe
 from shardmend.sources import markers
 from shardmend.sources.files import payload_kind
 
@@ -415,8 +415,14 @@ def card_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("preset_stories")
 def preset_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every story at half its worst on every payload, seeds counted up over the batch."""
-    docs = donors.with_donor(payloads(spark, sf_dir).withColumnRenamed("doc_id", "ord")).withColumnRenamed("ord", "doc_id")
-    out = [apply_recipe(docs, presets.story(name, 0.5, 7), seed="doc_id", other="other").select("doc_id", F.lit(name).alias("story"), F.length("bytes").alias("n_out"), digest().alias("digest")) for name in presets.STORIES]
+    docs = payloads(spark, sf_dir)
+    paired = donors.with_donor(docs.withColumnRenamed("doc_id", "ord")).withColumnRenamed("ord", "doc_id")
+    out = []
+    for name in presets.STORIES:
+        # Only stories with a step that takes another payload carry one to Python.
+        recipe = presets.story(name, 0.5, 7)
+        done = apply_recipe(paired, recipe, seed="doc_id", other="other") if needs_other(recipe) else apply_recipe(docs, recipe, seed="doc_id")
+        out.append(done.select("doc_id", F.lit(name).alias("story"), F.length("bytes").alias("n_out"), digest().alias("digest")))
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)

@@ -161,3 +161,23 @@ def test_prefix_keys_are_made_of_the_key_before(spark):
 
     size = lambda n: len(spark.range(1).select(plan_keys(Recipe([Step("truncate", {"percent": k}) for k in range(n)]), F.lit("a")))._jdf.queryExecution().analyzed().toString())
     assert size(24) < 6 * size(6)
+
+
+def test_stories_carry_other_payloads_only_where_steps_take_them(spark):
+    """Results are those of every story over payloads with donors; only stories with a donor step join donors."""
+    from shardmend import catalogue
+    from shardmend.operators import donors
+
+    sf = "/root/testdata/sf0.001"
+    found = catalogue.preset_stories(spark, sf)
+    takes = [name for name in STORIES if needs_other(story(name, 0.5, 7))]
+    assert 0 < len(takes) < len(STORIES)
+    pool = donors.with_donor(catalogue.payloads(spark, sf).withColumnRenamed("doc_id", "ord")).withColumnRenamed("ord", "doc_id")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    assert joins(found) == joins(pool) * len(takes) > 0
+    want = {}
+    for name in STORIES:
+        rows = apply_recipe(pool, story(name, 0.5, 7), seed="doc_id", other="other").select("doc_id", F.length("bytes").alias("n_out"), catalogue.digest().alias("digest")).collect()
+        want |= {(r["doc_id"], name): (r["n_out"], r["digest"]) for r in rows}
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["story"]): (r["n_out"], r["digest"]) for r in rows} == want
