@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from shardmend import sql_draws
 from shardmend.functions import card_fields
+from shardmend.functions.batches import BATCH_BYTES, BATCH_ROWS
 from shardmend.functions.prng import Pcg32, batch_seed, repeat_seed
 from shardmend.operators import byte_steps, cards, coefficients, donors, lookups, seeded_steps
 from shardmend.plans import presets
@@ -21,10 +22,6 @@ from shardmend.sources import markers
 from shardmend.sources.files import payload_kind
 
 
-#: Rows and bytes at which an Arrow batch ends. A Python task holds a batch, what is made of it and their copies at once.
-BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches small enough for whole payloads, whatever a table holds; a session keeps smaller bounds."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

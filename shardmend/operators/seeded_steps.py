@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shardmend.functions.batches import small
 from shardmend.functions.prng import STEP_STREAM, Pcg32
 from shardmend.sources.markers import body_start, scan_range
 
@@ -301,7 +302,7 @@ def seeded(df: DataFrame, name: str, column: str = "bytes", seed: str = "seed",
     """``df`` with ``column`` damaged by a step; ``seed`` and ``other`` name columns. Null payloads stay null, and one that a step cannot be applied to stays as it is."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             donors = batch.column(other).to_pylist() if other else [None] * batch.num_rows
             rows = zip(batch.column(column).to_pylist(), batch.column(seed).to_pylist(), donors, strict=True)
             done = [None if b is None else run_step(name, b, Pcg32(s or 0, stream), params, o) for b, s, o in rows]
