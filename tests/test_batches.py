@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from shardmend.functions.prng import Pcg32
+from shardmend.operators import marker_steps  # noqa: F401  (adds its steps)
 from shardmend.operators.seeded_steps import run_step, seeded
 
 HEAD = bytes.fromhex("FFD8" + "FFE200104943435F50524F46494C45000101" + "FFDB004300" + "01" * 64 + "FFC00011080010001003012200021101031101" + "FFDA000C03010002110311003F00")
@@ -51,6 +52,10 @@ def test_stuttered_reads_hold_a_piece_of_a_batch():
     check_step("stutter_read", cluster_kb=1)
 
 
+def test_scaled_tables_hold_a_piece_of_a_batch():
+    check_step("qtable_decode_swap", factor=2.5)
+
+
 @pytest.mark.parametrize("sizes", [[], [0], [3] * 2000, [5_000_000, 1, 5_000_000], [100_000] * 100, [0] * 1025])
 def test_pieces_are_whole_and_bounded(sizes):
     from shardmend.functions.batches import BATCH_BYTES, BATCH_ROWS, small
