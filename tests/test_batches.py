@@ -56,6 +56,10 @@ def test_scaled_tables_hold_a_piece_of_a_batch():
     check_step("qtable_decode_swap", factor=2.5)
 
 
+def test_lost_profiles_hold_a_piece_of_a_batch():
+    check_step("icc_loss")
+
+
 @pytest.mark.parametrize("sizes", [[], [0], [3] * 2000, [5_000_000, 1, 5_000_000], [100_000] * 100, [0] * 1025])
 def test_pieces_are_whole_and_bounded(sizes):
     from shardmend.functions.batches import BATCH_BYTES, BATCH_ROWS, small
