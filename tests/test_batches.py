@@ -69,3 +69,21 @@ def test_pieces_are_whole_and_bounded(sizes):
     assert [i for p in pieces for i in p.column("i").to_pylist()] == 2 * list(range(len(sizes)))
     assert [len(b) for p in pieces for b in p.column("bytes").to_pylist()] == 2 * sizes
     assert all(p.num_rows <= BATCH_ROWS and (p.nbytes <= BATCH_BYTES or p.num_rows == 1) for p in pieces)
+
+
+def test_recipes_hold_a_piece_of_a_batch():
+    from shardmend.plans.recipe import Recipe, Step, apply_recipe
+
+    payloads = [photo(i) for i in range(N)]
+    rows, most = apply_recipe(held("idx", payloads), Recipe([Step("ransomware", {"kb": 1}, 7)]), seed="idx")
+    assert rows == [{"idx": i, "bytes": hash(run_step("ransomware", p, Pcg32(7 + i), {"kb": 1}))} for i, p in enumerate(payloads)]
+    assert most < 20_000_000
+
+
+def test_clips_taken_apart_hold_a_piece_of_a_batch():
+    from shardmend.sources import clips
+
+    payloads = [photo(i) for i in range(N)]
+    rows, most = clips.clip_frames(held("clip_id", [clips.muxed([p, p[::-1]], 10.0, 16, 16) for p in payloads]))
+    assert rows == [{"clip_id": i, "idx": k, "fps": 10.0, "bytes": hash(frame)} for i, p in enumerate(payloads) for k, frame in enumerate((p, p[::-1]))]
+    assert most < 20_000_000
